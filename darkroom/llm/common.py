@@ -6,6 +6,7 @@ import os
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -88,3 +89,35 @@ def map_arrow(
                 yield out
 
     return df.mapInArrow(run, schema)
+
+
+class Membership:
+    """A bitmap of fixed size that says of a 64-bit hash whether it may be in a set."""
+
+    def __init__(self, pieces: dict[int, bytes], bits: int):
+        self.bits = bits
+        self.map = np.zeros((1 << bits) // 8, dtype=np.uint8)
+        for number, piece in pieces.items():
+            at = (number - 1) * len(piece)
+            self.map[at : at + len(piece)] = np.frombuffer(piece, dtype=np.uint8)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of some signed 64-bit hashes may be in the set."""
+        at = hashes & ((1 << self.bits) - 1)
+        return (self.map[at >> 3] >> (at & 7)) & 1 == 1
+
+
+def membership(values: DataFrame, column: str, bits: int = 24) -> Membership:
+    """Bitmap of a column of 64-bit hashes, built on the executors.
+
+    At most ``2 ** bits / 8`` bytes reach the driver, however many values there are.  It only spares
+    later steps work: it never rejects a value of the set, and a full one rejects none.
+    """
+    place = F.col(column).bitwiseAND(F.lit((1 << bits) - 1)) + 1  # Spark's buckets start at 1
+    rows = (
+        values.groupBy(F.bitmap_bucket_number(place).alias("number"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("piece"))
+        .collect()
+    )
+    found = {r["number"]: bytes(r["piece"]) for r in rows}
+    return Membership(found, bits)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.llm.common import cut_lineage, map_arrow, slices
+from darkroom.llm.common import Membership, cut_lineage, map_arrow, membership, slices
 from darkroom.llm.links import link
 from darkroom.llm.shingles import intersection_size, mix, shingle_set, signed, word_hashes
 
@@ -145,11 +145,10 @@ def sketch_keys(docs: DataFrame, length: int, percent: int) -> DataFrame:
 
 
 def _near_sketches(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes and parity sketches do not rule a link out, with the two doc_ids."""
+    """Pairs whose sizes and parity sketches do not rule a link out."""
     for side in ("a", "b"):
         one = sets.select(
             F.col("set_id").alias(side),
-            F.col("rep").alias(f"rep_{side}"),
             F.col("n_shingles").alias(f"n_{side}"),
             F.col("sketch").alias(f"sketch_{side}"),
         )
@@ -160,41 +159,50 @@ def _near_sketches(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         n_a, n_b = (batch.column(c).to_pylist() for c in ("n_a", "n_b"))
         left, right = (batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b"))
         near = [sketch_distance(x, y) <= most_apart(i, j, percent) for x, y, i, j in zip(left, right, n_a, n_b)]
-        return batch.select(["a", "b", "rep_a", "rep_b"]).filter(pa.array(near, pa.bool_()))
+        return batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return map_arrow(pairs, run, "a long, b long, rep_a long, rep_b long")
+    return map_arrow(pairs, run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, length: int, percent: int) -> DataFrame:
-    """Pairs (a, b, rep_a, rep_b) whose sets hold 100 * intersection >= percent * union."""
+def verified(pairs: DataFrame, sets: Callable[[Membership], DataFrame], percent: int) -> DataFrame:
+    """Pairs (a, b) whose sets hold 100 * intersection >= percent * union.
 
-    def shingled(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values = [s.tobytes() for _, s in _each(batch, length)]
-        return pa.RecordBatch.from_arrays([batch.column("v"), pa.array(values, pa.binary())], ["v", "shingles"])
-
-    wanted = pairs.select(F.col("rep_a").alias("doc_id"), F.col("a").alias("v")).unionAll(
-        pairs.select(F.col("rep_b").alias("doc_id"), F.col("b").alias("v"))
-    )
-    # One row per set: a doc_id that occurs with several texts gives its set's own text below.
-    texts = docs.join(wanted.distinct(), "doc_id").select("v", "text")
-    sets = map_arrow(texts, shingled, "v long, shingles binary")
-    sets = sets.filter(F.length("shingles") > 0)
+    ``sets`` gives (v, shingles) rows for the vertices that a bitmap of fixed size lets through, so
+    the sets of vertices in no pair are not shuffled.
+    """
+    wanted = membership(pairs.select(F.explode(F.array("a", "b")).alias("v")), "v")
+    found = sets(wanted)
     joined = pairs.select("a", "b")
     for side in ("a", "b"):
-        joined = joined.join(sets.select(F.col("v").alias(side), F.col("shingles").alias(f"set_{side}")), side)
+        joined = joined.join(found.select(F.col("v").alias(side), F.col("shingles").alias(f"set_{side}")), side)
 
     def holds(batch: pa.RecordBatch) -> pa.RecordBatch:
         good = []
-        for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "set_a", "set_b"))):
+        for x, y in zip(*(batch.column(c).to_pylist() for c in ("set_a", "set_b"))):
             left, right = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            if set_id(left) != a or set_id(right) != b:
-                good.append(False)
-                continue
             both = intersection_size(left, right)
             good.append(100 * both >= percent * (len(left) + len(right) - both))
         return batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return map_arrow(joined.select("a", "b", "set_a", "set_b"), holds, "a long, b long").distinct()
+    return map_arrow(joined.select("a", "b", "set_a", "set_b"), holds, "a long, b long")
+
+
+def _sets(docs: DataFrame, length: int, wanted: Membership) -> DataFrame:
+    """(v, shingles) of the sets that ``wanted`` may hold, one row each."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, values = [], []
+        for _, shingles in _each(batch, length):
+            if len(shingles):
+                owner = set_id(shingles)
+                if shared.value(np.array([owner]))[0]:
+                    ids.append(owner)
+                    values.append(shingles.tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.binary())], ["v", "shingles"])
+
+    found = map_arrow(docs.select("text"), run, "v long, shingles binary")
+    return cut_lineage(found.groupBy("v").agg(F.first("shingles").alias("shingles")))
 
 
 def jaccard_components(docs: DataFrame, length: int = 3, percent: int = 90) -> DataFrame:
@@ -219,7 +227,8 @@ def jaccard_components(docs: DataFrame, length: int = 3, percent: int = 90) -> D
     sets = cut_lineage(sets)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return _verified(cut_lineage(_near_sketches(pairs, sets, percent)), docs, length, percent)
+        near = cut_lineage(_near_sketches(pairs, sets, percent))
+        return verified(near, lambda wanted: _sets(docs, length, wanted), percent)
 
     labels = link(sketch_keys(docs, length, percent), verify)
     named = sets.select("set_id", "rep").join(labels.withColumnRenamed("v", "set_id"), "set_id", "left")

@@ -11,6 +11,7 @@ from darkroom.llm.common import table
 from darkroom.llm.language import identify
 from darkroom.llm.ngram_join import jaccard_components
 from darkroom.llm.packing import pack
+from darkroom.llm.paragraph_dedup import repeated_passages
 from darkroom.llm.quality_rules import quality_rules
 from darkroom.llm.token_counts import count_tokens
 from darkroom.llm.toxicity import toxicity
@@ -36,6 +37,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": op3_token_counts,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_language": op5_language,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_quality_rules": op8_quality_rules,
         "op10_ngram_join": op10_ngram_join,
     }
