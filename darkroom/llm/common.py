@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: ASCII blanks; a word is a run of other characters.
 BLANKS = r"\x20\x09-\x0D"
@@ -49,6 +50,36 @@ def remainder(column: str, modulus: int):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(0))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_id (a hash of the text) and the text's bytes.
+
+    doc_id and text_id together name a document, so that rows that share an id but not a text are
+    kept apart.
+    """
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64("text").alias("text_id"),
+        F.col("text").cast("binary").alias("text"),
+    )
+
+
+def attach(docs: DataFrame, marks: DataFrame, column: str) -> DataFrame:
+    """``docs`` with ``column`` of ``marks`` (doc_id, text_id, column), null where there is none."""
+    named = marks.select(F.col("doc_id").alias("__doc"), F.col("text_id").alias("__text"), column)
+    return docs.join(named, _same_document(docs), "left").drop("__doc", "__text")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the documents of ``gone`` (doc_id, text_id)."""
+    named = gone.select(F.col("doc_id").alias("__doc"), F.col("text_id").alias("__text"))
+    return docs.join(named, _same_document(docs), "left_anti")
+
+
+def _same_document(docs: DataFrame):
+    same_text = F.xxhash64(docs["text"]) == F.col("__text")
+    return same_text & docs["doc_id"].cast("long").eqNullSafe(F.col("__doc"))
+
+
 def by_bytes(texts: Iterable[str], limit: int) -> Iterator[list[str]]:
     """Consecutive runs of texts of about ``limit`` characters; a longer text stands alone."""
     run: list[str] = []
@@ -78,7 +109,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
 
 
 def map_arrow(
-    df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
+    df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType
 ) -> DataFrame:
     """``mapInArrow`` for a function of one batch."""
 

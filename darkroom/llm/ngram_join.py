@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.llm.common import Membership, cut_lineage, map_arrow, membership, slices
+from darkroom.llm.common import Membership, cut_lineage, keyed, map_arrow, membership, slices, without
 from darkroom.llm.links import link
 from darkroom.llm.shingles import intersection_size, mix, shingle_set, signed, word_hashes
 
@@ -98,7 +98,7 @@ def _each(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, np.ndarray]
 
 
 def set_ids(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, n_shingles, set_id (a hash of the shingle set, null if empty) and sketch."""
+    """doc_id, text_id, n_shingles, set_id (a hash of the shingle set, null if empty) and sketch."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, ids, sketches = [], [], []
@@ -107,11 +107,17 @@ def set_ids(docs: DataFrame, length: int) -> DataFrame:
             ids.append(set_id(shingles) if len(shingles) else None)
             sketches.append(whole_sketch(shingles) if len(shingles) else None)
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(sketches, pa.binary())],
-            ["doc_id", "n_shingles", "set_id", "sketch"],
+            [
+                batch.column("doc_id"),
+                batch.column("text_id"),
+                pa.array(sizes, pa.int64()),
+                pa.array(ids, pa.int64()),
+                pa.array(sketches, pa.binary()),
+            ],
+            ["doc_id", "text_id", "n_shingles", "set_id", "sketch"],
         )
 
-    return map_arrow(docs, run, "doc_id long, n_shingles long, set_id long, sketch binary")
+    return map_arrow(docs, run, "doc_id long, text_id long, n_shingles long, set_id long, sketch binary")
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -217,7 +223,24 @@ def jaccard_components(docs: DataFrame, length: int = 3, percent: int = 90) -> D
     shingles and are their own component; repeated rows are copies of each other; extra columns are
     ignored; an empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return _components(docs, length, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, length: int = 3, percent: int = 90) -> DataFrame:
+    """``docs`` with one document of each component, that of the least doc_id (then text hash).
+
+    Documents without words are no copies of each other and all stay.  Rows that repeat a doc_id
+    with an equal text are one document.
+    """
+    rows = cut_lineage(_components(docs, length, percent).filter("n_shingles > 0"))
+    name = F.struct("doc_id", "text_id")
+    first = rows.groupBy("component_id").agg(F.min(name).alias("first"), F.max(name).alias("last"))
+    more = first.filter("first != last").select("component_id", "first")
+    return without(docs, rows.join(more, "component_id").filter(name != F.col("first")).distinct())
+
+
+def _components(docs: DataFrame, length: int, percent: int) -> DataFrame:
+    docs = keyed(docs)
     rows = cut_lineage(set_ids(docs, length))
     sets = (
         rows.filter(F.col("set_id").isNotNull())
@@ -236,5 +259,5 @@ def jaccard_components(docs: DataFrame, length: int = 3, percent: int = 90) -> D
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_set = named.join(least, "component").select("set_id", "component_id")
     return rows.join(of_set, "set_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", "text_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from darkroom.llm.common import Membership, cut_lineage, map_arrow, membership, slices
+from darkroom.llm.common import WORD, Membership, attach, cut_lineage, keyed, map_arrow, membership, slices
 from darkroom.llm.links import link
 from darkroom.llm.ngram_join import verified
 from darkroom.llm.shingles import _WORDS, mix, signed
@@ -179,7 +178,6 @@ def _occurrences(docs: DataFrame, min_words: int, block_words: int, wanted: Memb
         columns: list[list[np.ndarray]] = [[] for _ in range(4)]
         rows: list[int] = []
         counts: list[int] = []
-        text_ids: list[int] = []
         whole: list[np.ndarray] = []
         for row, text in _texts(batch):
             units = Units(text, min_words, block_words)
@@ -193,7 +191,6 @@ def _occurrences(docs: DataFrame, min_words: int, block_words: int, wanted: Memb
                 continue
             rows.append(row)
             counts.append(len(which))
-            text_ids.append(text_id(text))
             line = line[which]
             for held, values in zip(columns, (ids[which], line, first[which] - units.line_start[line], (last - first)[which])):
                 held.append(values)
@@ -204,7 +201,7 @@ def _occurrences(docs: DataFrame, min_words: int, block_words: int, wanted: Memb
             [
                 pa.array(ids),
                 batch.column("doc_id").take(owner),
-                pa.array(np.repeat(np.array(text_ids, dtype=np.int64), counts)),
+                batch.column("text_id").take(owner),
                 pa.array(line),
                 pa.array(start),
                 pa.array(length),
@@ -214,11 +211,7 @@ def _occurrences(docs: DataFrame, min_words: int, block_words: int, wanted: Memb
         )
 
     schema = "v long, doc_id long, text_id long, line long, start long, n_words long, whole boolean"
-    return map_arrow(docs.select("doc_id", "text"), run, schema)
-
-
-def text_id(text: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+    return map_arrow(docs, run, schema)
 
 
 def repeated_passages(
@@ -237,7 +230,7 @@ def repeated_passages(
     hash).  Rows that repeat a doc_id with an equal text are one document.  Null and empty texts
     have no passages; extra columns are ignored; an empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    docs = keyed(docs)
 
     def verify(pairs: DataFrame) -> DataFrame:
         return verified(pairs, lambda wanted: _sets(docs, min_words, block_words, wanted), percent)
@@ -278,59 +271,22 @@ def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     Lines that lose all words go; a line that loses some keeps the others, parted by single
     spaces.  Documents that lose all words go; those that lose none are left as they are.
     """
-    spans = (
-        passages.groupBy(F.col("doc_id").alias("_doc"), F.col("text_id").alias("_text"))
-        .agg(F.collect_list(F.struct("line", "start", "n_words")).alias("_spans"))
-    )
-    keyed = docs.withColumn("_id", _text_ids(F.col("text").cast("binary")))
-    joined = keyed.join(
-        spans, (F.col("_id") == F.col("_text")) & (F.col("doc_id").cast("long").eqNullSafe(F.col("_doc"))), "left"
+    spans = passages.groupBy("doc_id", "text_id").agg(
+        F.collect_list(F.struct("line", "start", (F.col("start") + F.col("n_words")).alias("end"))).alias("__spans")
     )
-    rewritten = joined.withColumn(
-        "text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("_spans")))
+    left = F.expr(
+        """array_join(filter(transform(split(text, '\n', -1), (l, i) ->
+             CASE WHEN exists(__spans, s -> s.line = i)
+             THEN nullif(array_join(filter(filter(split(l, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w != ''), (w, j) ->
+                    NOT exists(__spans, s -> s.line = i AND j >= s.start AND j < s.end)), ' '), '')
+             ELSE l END), l -> l IS NOT NULL), '\n')"""
     )
-    return rewritten.filter(F.col("_spans").isNull() | F.col("text").isNotNull()).select(*docs.columns)
-
-
-def _text_ids(column):
-    @F.pandas_udf("long")
-    def ids(texts):
-        return texts.map(lambda t: text_id(bytes(t)) if t is not None else 0).astype("int64")
-
-    return ids(column)
-
-
-def _without(text, spans):
-    @F.pandas_udf("string")
-    def cut(texts, all_spans):
-        return texts.combine(all_spans, _cut) if len(texts) else texts
-
-    return cut(text, spans)
-
-
-def _cut(text: str | None, spans) -> str | None:
-    """The text without the spans; None if no word is left."""
-    if text is None or spans is None:
-        return text
-    lines = text.encode("utf-8").split(b"\n")
-    gone: dict[int, list[tuple[int, int]]] = {}
-    for span in spans:
-        gone.setdefault(span["line"], []).append((span["start"], span["start"] + span["n_words"]))
-    out = []
-    for number, line in enumerate(lines):
-        if number in gone:
-            words = line.split()
-            keep = np.ones(len(words), dtype=bool)
-            for low, high in gone[number]:
-                keep[low:high] = False
-            if not keep.any():
-                continue
-            line = b" ".join(w for w, k in zip(words, keep) if k)
-        out.append(line)
-    left = b"\n".join(out)
-    return left.decode("utf-8") if left.split() else None
+    marked = attach(docs, spans, "__spans")
+    rewritten = marked.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(left))
+    some = F.col("__spans").isNull() | F.col("text").rlike(WORD)
+    return rewritten.filter(some).select(*docs.columns)
 
 
-def dedup_passages(docs: DataFrame, rewrite: Callable = remove_passages, **options) -> DataFrame:
+def dedup_passages(docs: DataFrame, **options) -> DataFrame:
     """Documents without the passages that an earlier place holds."""
-    return rewrite(docs, cut_lineage(repeated_passages(docs, **options)))
+    return remove_passages(docs, cut_lineage(repeated_passages(docs, **options)))

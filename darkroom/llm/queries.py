@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from darkroom.llm.byte_bpe import encode_decode
 from darkroom.llm.common import table
+from darkroom.llm.embedding_dedup import near_duplicates
 from darkroom.llm.language import identify
+from darkroom.llm.line_dedup import ORACLE as LINE_DEDUP_SQL
+from darkroom.llm.line_dedup import dedup_lines
 from darkroom.llm.ngram_join import jaccard_components
 from darkroom.llm.packing import pack
 from darkroom.llm.paragraph_dedup import repeated_passages
@@ -37,6 +40,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -45,6 +52,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(table(spark, sf_dir, "documents"), keep_emptied=True)
+    return out.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -56,11 +68,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": op3_token_counts,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_language": op5_language,
+        "op6_embedding_dedup": op6_embedding_dedup,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_quality_rules": op8_quality_rules,
+        "op9_line_dedup": op9_line_dedup,
         "op10_ngram_join": op10_ngram_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_dedup": LINE_DEDUP_SQL}

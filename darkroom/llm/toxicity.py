@@ -315,3 +315,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % options.get("folds", 5)
     held = F.coalesce(fold == options.get("held_out_fold", 0), F.lit(False))
     return score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """``docs`` without the documents that are predicted toxic; all columns stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit_on(docs, labels, **options))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for part in slices(batch, "text"):
+            keep += (shared.value.scores([t or "" for t in part.column("text").to_pylist()]) < 0.5).tolist()
+        return batch.filter(pa.array(keep, pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)
