@@ -186,6 +186,14 @@ def mark_missing(instances: DataFrame, observed_keys: DataFrame, roots: list[str
     return joined.withColumn("exists_flag", F.when(missing, F.lit(False)).otherwise(F.col("exists_flag"))).drop("_seen")
 
 
+def fitted(rows: DataFrame, like: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``like``, null where missing."""
+    have = set(rows.columns)
+    return rows.select(
+        *(F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema)
+    )
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``new`` and those of ``old`` whose key it has not."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
@@ -245,16 +253,18 @@ def scan(observed: DataFrame, instances: DataFrame, assets: DataFrame, roots: li
     )
     first_seen = instances.select("id", "first_seen_at")
     written = written.join(first_seen, "id", "left").withColumn("first_seen_at", F.coalesce("first_seen_at", "last_seen_at"))
-    next_instances = upsert(instances, written.select(*instances.columns), ["id"])
+    next_instances = upsert(instances, fitted(written, instances), ["id"])
     next_instances = mark_missing(next_instances, media, roots)
     fresh = resolved.filter("asset_action != 'reuse'").dropDuplicates(["sha256"])
     rows = fresh.select(
         F.col("asset_id").alias("id"), "sha256", F.col("size").alias("file_size"), "quick_fingerprint", "extension",
-        F.lit(ANALYSIS_VERSION).alias("analysis_version"),
+        paths.file_class(F.col("extension")).alias("media_type"), paths.format_name(F.col("extension")).alias("format_name"),
+        paths.can_decode(F.col("extension")).alias("preview_supported"), F.lit(ANALYSIS_VERSION).alias("analysis_version"),
+        now.alias("created_at"), now.alias("updated_at"),
     )
     return {
         "file_instances": next_instances,
-        "content_assets": upsert(assets, rows.select(*assets.columns), ["id"]),
+        "content_assets": upsert(assets, fitted(rows, assets), ["id"]),
         "path_history": log.join(files.select("path_key", F.col("path").alias("new_path")), "path_key").select(
             F.col("instance_id").alias("file_instance_id"), "old_path", "new_path", "change_type", now.alias("detected_at")
         ),
