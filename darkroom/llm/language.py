@@ -133,7 +133,7 @@ def training_sample(labelled: DataFrame, rows: int, rows_per_language: int, max_
 
 def identify(
     docs: DataFrame,
-    rows: int = 1600,
+    rows: int = 1000,
     rows_per_language: int = 400,
     max_bytes: int = 8192,
     max_languages: int = 100,
