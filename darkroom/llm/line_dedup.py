@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from darkroom.llm.common import WORD, Membership, attach, cut_lineage, keyed, map_arrow, membership, slices
-from darkroom.llm.shingles import mix, signed
+from darkroom.llm.shingles import runs as line_runs
+from darkroom.llm.shingles import signed
 
 #: Lines of a gram.
 GRAM = 2
@@ -25,15 +26,6 @@ def _line_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.array(at, dtype=np.int64)
 
 
-def _runs(hashes: np.ndarray, length: int) -> np.ndarray:
-    """Hash of each run of ``length`` lines."""
-    n = max(0, len(hashes) - length + 1)
-    rolling = np.full(n, length, dtype=np.uint64)
-    for i in range(length):
-        rolling = mix(rolling + hashes[i : i + n])
-    return rolling
-
-
 def winnow(grams: np.ndarray, window: int) -> np.ndarray:
     """Positions of the least gram, the last among equals, of each run of ``window`` grams.
 
@@ -63,7 +55,7 @@ def fingerprints(docs: DataFrame, min_lines: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [np.zeros(0, dtype=np.int64)]
         for _, text in _texts(batch):
-            grams = _runs(_line_hashes(text)[0], GRAM)
+            grams = line_runs(_line_hashes(text)[0], GRAM)
             found.append(signed(grams[winnow(grams, min_lines - GRAM + 1)]))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["v"])
 
@@ -80,12 +72,12 @@ def extended(docs: DataFrame, min_lines: int, repeated: Membership) -> DataFrame
         rows, runs, first, lines = [], [], [], []
         for row, text in _texts(batch):
             hashes, numbers = _line_hashes(text)
-            grams = _runs(hashes, GRAM)
+            grams = line_runs(hashes, GRAM)
             chosen = winnow(grams, reach + 1)
             chosen = chosen[shared.value(signed(grams[chosen]))] if len(chosen) else chosen
             if not len(chosen):
                 continue
-            whole = signed(_runs(hashes, min_lines))
+            whole = signed(line_runs(hashes, min_lines))
             starts = np.unique((chosen[:, None] - np.arange(reach + 1)).ravel())
             starts = starts[(starts >= 0) & (starts < len(whole))]
             rows += [row] * len(starts)

@@ -1,16 +1,22 @@
-"""Links between vertices that share keys, and connected components, without all pairs of a group."""
+"""Links between sets that share keys, and connected components, without all pairs of a group."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.llm.common import cut_lineage
+from darkroom.llm.common import Membership, cut_lineage, map_arrow, membership
+from darkroom.llm.shingles import intersection_size
 
 #: Rounds in which the members of a key are compared with one leader before the rest is compared.
 STAR_ROUNDS = 2
+#: Words of 64 bits of the parity sketch that travels with a vertex.
+SKETCH_WORDS = 4
+SKETCH = tuple(f"s{i}" for i in range(SKETCH_WORDS))
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -38,21 +44,70 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return now.select(F.col("u").alias("v"), F.col("w").alias("component")).unionAll(roots)
 
 
-def shared_keys(keys: DataFrame) -> DataFrame:
-    """The distinct (key, v) rows of keys that two or more vertices have."""
-    spans = keys.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo < hi")
-    return keys.join(spans.select("key"), "key").distinct()
+def most_apart(small: int, large: int, percent: int) -> int:
+    """Largest symmetric difference of linked sets of these sizes.
 
+    100 * i >= percent * u with i = (s - d) / 2 and u = (s + d) / 2, s the sum of the sizes.
+    """
+    return (small + large) * (100 - percent) // (100 + percent)
+
+
+def parity_sketch(hashes: np.ndarray) -> np.ndarray:
+    """SKETCH_WORDS words whose Hamming distance is at most the symmetric difference of two sets."""
+    bits = SKETCH_WORDS * 64
+    at = ((hashes >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)
+    parity = (np.bincount(at, minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(parity, bitorder="little").view(np.int64)
+
+
+def _possible(a: str, b: str, percent: int) -> Column:
+    """That sizes and sketches of two vertices do not rule a link out."""
+    n_a, n_b = F.col(f"{a}n"), F.col(f"{b}n")
+    apart = sum((F.bit_count(F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))) for s in SKETCH), F.lit(0))
+    sizes = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
+    return sizes & ((100 + percent) * apart <= (100 - percent) * (n_a + n_b))
+
+
+def _shared_members(vertices: DataFrame) -> DataFrame:
+    """The (key, v) rows of keys that two or more vertices have.
+
+    A bitmap of fixed size thins the keys out before they are shuffled a second time.
+    """
+    keys = vertices.select(F.explode("keys").alias("key"), "v")
+    spans = keys.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo < hi").select("key")
+    spans = cut_lineage(spans)
+    shared = vertices.sparkSession.sparkContext.broadcast(membership(spans, "key"))
 
-def link(keys: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(v, component) of the graph whose links are the verified pairs among those sharing a key.
+    def thin(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column("keys")
+        keys = lists.flatten().to_numpy(zero_copy_only=False)
+        owner = np.repeat(batch.column("v").to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        keep = shared.value(keys)
+        return pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(owner[keep])], ["key", "v"])
 
-    ``keys`` has (key, v); ``verify`` gets distinct pairs (a, b), a < b, and returns those that
-    hold.  In the first rounds each key's members are compared with one leader, which is linear;
-    then only members of a key that are still in different components are compared with each
-    other.  A pair within one component can add nothing, so the components are exact.
+    some = map_arrow(vertices.filter(F.col("keys").isNotNull()).select("v", "keys"), thin, "key long, v long")
+    return some.distinct().join(spans, "key")
+
+
+def link(vertices: DataFrame, sets: Callable[[Membership], DataFrame], percent: int) -> DataFrame:
+    """(v, component) of sets linked by a Jaccard similarity of at least ``percent``.
+
+    Candidates share a key.  ``vertices`` has v, n (set size), s0 to s3 (see
+    :func:`parity_sketch`) and keys; a vertex may have several equal rows, and keys may be null in
+    all but one of them.  ``sets`` gives (v, shingles), sorted 64-bit hashes, for the vertices that
+    a bitmap of fixed size lets through.
+
+    In the first rounds each key's members are compared with one leader, another for each key and
+    round, which is linear; then only members of a key that are still in different components are
+    compared with each other.  A pair within one component can add nothing, so the components are
+    those of all pairs that share a key.  Sizes and sketches, which never rule a link out, thin
+    pairs out inside the joins.
     """
-    members = cut_lineage(shared_keys(keys))
+    described = vertices.groupBy("v").agg(F.first("n").alias("n"), *(F.first(s).alias(s) for s in SKETCH))
+    members = cut_lineage(_shared_members(vertices))
+    known = cut_lineage(described.join(members.select("v").distinct(), "v"))
+    values = cut_lineage(sets(membership(known, "v")).join(known.select("v"), "v", "left_semi"))
+    members = cut_lineage(members.join(known, "v"))
     edges = tested = labels = None
     for round_ in range(STAR_ROUNDS + 1):
         if labels is None:
@@ -60,26 +115,45 @@ def link(keys: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame
         else:
             named = members.join(labels.withColumnRenamed("component", "c"), "v", "left")
             named = named.withColumn("c", F.coalesce("c", "v"))
-        first = F.struct(F.xxhash64("v", F.lit(round_)).alias("h"), "v", "c")
-        spans = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(first).alias("first"))
-        spans = spans.filter("lo < hi")
+        order = F.xxhash64("v", "key", F.lit(round_)).alias("h")
+        first = F.min(F.struct(order, "v", "c", "n", *SKETCH)).alias("first")
+        spans = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), first).filter("lo < hi")
         if round_ < STAR_ROUNDS:
-            pairs = named.join(spans, "key").filter(F.col("c") != F.col("first.c"))
+            pairs = named.join(spans, "key").filter((F.col("c") != F.col("first.c")) & _possible("", "first.", percent))
             pairs = pairs.select(F.least("v", "first.v").alias("a"), F.greatest("v", "first.v").alias("b"))
         else:
-            open_ = named.join(spans.select("key"), "key")
-            other = open_.select("key", F.col("v").alias("b"), F.col("c").alias("d"))
-            pairs = open_.join(other, "key").filter("c != d AND v < b").select(F.col("v").alias("a"), "b")
+            open_ = named.join(spans.select("key"), "key").select("key", "v", "c", "n", *SKETCH)
+            other = open_.select("key", *(F.col(x).alias(f"o_{x}") for x in ("v", "c", "n", *SKETCH)))
+            near = (F.col("c") != F.col("o_c")) & (F.col("v") < F.col("o_v")) & _possible("", "o_", percent)
+            pairs = open_.withColumnRenamed("key", "k").join(other, (F.col("k") == F.col("key")) & near)
+            pairs = pairs.select(F.col("v").alias("a"), F.col("o_v").alias("b"))
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs)
         if pairs.isEmpty():
-            break
-        found = cut_lineage(verify(pairs).select("a", "b"))
+            continue
+        found = cut_lineage(verified(pairs, values, percent))
         edges = found if edges is None else edges.unionAll(found)
         tested = pairs if tested is None else tested.unionAll(pairs)
         labels = cut_lineage(components(edges))
     if labels is None:
         return members.select("v", F.col("v").alias("component")).limit(0)
     return labels
+
+
+def verified(pairs: DataFrame, values: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sets hold 100 * intersection >= percent * union."""
+    joined = pairs.select("a", "b")
+    for side in ("a", "b"):
+        joined = joined.join(values.select(F.col("v").alias(side), F.col("shingles").alias(f"set_{side}")), side)
+
+    def holds(batch: pa.RecordBatch) -> pa.RecordBatch:
+        good = []
+        for x, y in zip(*(batch.column(c).to_pylist() for c in ("set_a", "set_b"))):
+            left, right = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+            both = intersection_size(left, right)
+            good.append(100 * both >= percent * (len(left) + len(right) - both))
+        return batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return map_arrow(joined.select("a", "b", "set_a", "set_b"), holds, "a long, b long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,14 +10,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.llm.common import Membership, cut_lineage, keyed, map_arrow, membership, slices, without
-from darkroom.llm.links import link
-from darkroom.llm.shingles import intersection_size, mix, shingle_set, signed, word_hashes
+from darkroom.llm.common import Membership, cut_lineage, keyed, slices, without
+from darkroom.llm.links import SKETCH, link, most_apart, parity_sketch
+from darkroom.llm.shingles import mix, shingle_set, signed, word_hashes
 
 #: Ratio of the upper to the lower size of a band.
 BAND_RATIO = 1.5
-#: Bits of a segment of the parity sketch.
-SEGMENT_BITS = 64
+#: Bits of a part of the parity sketch.
+PART_BITS = 64
+_SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
 def band_bounds(size: int) -> tuple[int, int, int]:
@@ -30,21 +31,15 @@ def band_bounds(size: int) -> tuple[int, int, int]:
         number, low = number + 1, high
 
 
-def most_apart(small: int, large: int, percent: int) -> int:
-    """Largest symmetric difference of linked sets of at most these sizes.
-
-    100 * i >= percent * u with i = (s - d) / 2 and u = (s + d) / 2, s the sum of the sizes.
-    """
-    return (small + large) * (100 - percent) // (100 + percent)
-
-
 def parity_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """Join keys of a set: band, segment and XOR sketch of the segment, hashed to 64 bits.
-
-    Each shingle flips one bit of one segment, so differing bits number at most the symmetric
-    difference d of two sets.  With more than d segments one agrees whole.  A set has the keys of
-    its own band and, if a linked set may be in the band below, that band's as well; the number of
-    segments allows for all pairs whose smaller set lies in the band.
+    """Join keys of a set: band, group, part pair and XOR sketch of the parts, hashed to 64 bits.
+
+    Each shingle flips one bit of one sketch, so differing bits number at most the symmetric
+    difference d of two sets.  With more than d / 2 groups, one group differs in at most one bit;
+    of its three parts two then agree whole, and a key is made of each two parts.  That takes half
+    as many keys again as single segments would, of which far fewer agree by chance.  A set has the
+    keys of its own band and, if a linked set may be in the band below, that band's as well; the
+    number of groups allows for all pairs whose smaller set lies in the band.
     """
     size = len(shingles)
     number, low, high = band_bounds(size)
@@ -52,42 +47,23 @@ def parity_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     if number and -(-size * percent // 100) < low:
         bands.append((number - 1, low))
     out = []
+    bit = np.uint64(1) << (shingles & np.uint64(PART_BITS - 1))
     for band, above in bands:
         largest = above - 1
-        segments = most_apart(largest, largest * 100 // percent, percent) + 1
-        segment = ((shingles >> np.uint64(16)) % np.uint64(segments)).astype(np.int64)
-        bit = np.uint64(1) << (shingles & np.uint64(SEGMENT_BITS - 1))
-        order = np.argsort(segment, kind="stable")
-        segment, bit = segment[order], bit[order]
-        sketch = np.zeros(segments, dtype=np.uint64)
-        starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
-        sketch[segment[starts]] = np.bitwise_xor.reduceat(bit, starts)
-        where = np.arange(segments, dtype=np.uint64) + (np.uint64(band + 1) << np.uint64(40))
-        out.append(mix(mix(where) + sketch))
+        parts = 3 * (most_apart(largest, largest * 100 // percent, percent) // 2 + 1)
+        part = ((shingles >> np.uint64(16)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        part, flips = part[order], bit[order]
+        sketch = np.zeros(parts, dtype=np.uint64)
+        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        sketch[part[starts]] = np.bitwise_xor.reduceat(flips, starts)
+        one, two, three = mix(sketch.reshape(-1, 3) + np.arange(1, 4, dtype=np.uint64)).T
+        where = np.arange(parts, dtype=np.uint64) + (np.uint64(band + 1) << np.uint64(40))
+        pairs = np.concatenate([one + two * _SECOND, two + three * _SECOND, one + three * _SECOND])
+        out.append(mix(mix(where) + pairs))
     return np.concatenate(out)
 
 
-def whole_sketch(shingles: np.ndarray) -> bytes:
-    """Parity sketch of about a bit per shingle, at least 64 and a power of two.
-
-    Folding a longer one in halves by XOR gives every shorter one.
-    """
-    bits = 1 << max(6, int(len(shingles) - 1).bit_length())
-    at = ((shingles >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)
-    parity = np.bincount(at, minlength=bits) & 1
-    return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
-
-
-def sketch_distance(a: bytes, b: bytes) -> int:
-    """Hamming distance of two parity sketches, at the shorter one's length."""
-    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-    if len(x) > len(y):
-        x, y = y, x
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
-
-
 def _each(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, np.ndarray]]:
     row = 0
     for part in slices(batch, "text"):
@@ -97,118 +73,67 @@ def _each(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, np.ndarray]
             row += 1
 
 
-def set_ids(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, text_id, n_shingles, set_id (a hash of the shingle set, null if empty) and sketch."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, ids, sketches = [], [], []
-        for _, shingles in _each(batch, length):
-            sizes.append(len(shingles))
-            ids.append(set_id(shingles) if len(shingles) else None)
-            sketches.append(whole_sketch(shingles) if len(shingles) else None)
-        return pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                batch.column("text_id"),
-                pa.array(sizes, pa.int64()),
-                pa.array(ids, pa.int64()),
-                pa.array(sketches, pa.binary()),
-            ],
-            ["doc_id", "text_id", "n_shingles", "set_id", "sketch"],
-        )
+def set_rows(docs: DataFrame, length: int, percent: int) -> DataFrame:
+    """doc_id, text_id, n (set size), set_id (hash of the set, null if empty), s0 to s3 and keys.
 
-    return map_arrow(docs, run, "doc_id long, text_id long, n_shingles long, set_id long, sketch binary")
-
-
-def set_id(shingles: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
-
-
-def sketch_keys(docs: DataFrame, length: int, percent: int) -> DataFrame:
-    """(key, v): the parity keys of every document's set, v its set_id."""
+    Keys are null where the partition has given the set's keys before.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # copies within a partition give their keys once
+        seen: set[int] = set()
         for batch in batches:
-            keys, owners, held = [], [], 0
-            for _, shingles in _each(batch, length):
-                owner = set_id(shingles) if len(shingles) else None
-                if owner is None or owner in seen:
-                    continue
-                if len(seen) < 1_000_000:
-                    seen.add(owner)
-                found = signed(parity_keys(shingles, percent))
-                keys.append(found)
-                owners.append(np.full(len(found), owner, dtype=np.int64))
-                held += len(found)
-                if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], ["key", "v"])
-                    keys, owners, held = [], [], 0
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], ["key", "v"])
-
-    return docs.select("text").mapInArrow(run, "key long, v long")
-
-
-def _near_sketches(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes and parity sketches do not rule a link out."""
-    for side in ("a", "b"):
-        one = sets.select(
-            F.col("set_id").alias(side),
-            F.col("n_shingles").alias(f"n_{side}"),
-            F.col("sketch").alias(f"sketch_{side}"),
-        )
-        pairs = pairs.join(one, side)
-    pairs = pairs.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n_a, n_b = (batch.column(c).to_pylist() for c in ("n_a", "n_b"))
-        left, right = (batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b"))
-        near = [sketch_distance(x, y) <= most_apart(i, j, percent) for x, y, i, j in zip(left, right, n_a, n_b)]
-        return batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    return map_arrow(pairs, run, "a long, b long")
-
-
-def verified(pairs: DataFrame, sets: Callable[[Membership], DataFrame], percent: int) -> DataFrame:
-    """Pairs (a, b) whose sets hold 100 * intersection >= percent * union.
-
-    ``sets`` gives (v, shingles) rows for the vertices that a bitmap of fixed size lets through, so
-    the sets of vertices in no pair are not shuffled.
-    """
-    wanted = membership(pairs.select(F.explode(F.array("a", "b")).alias("v")), "v")
-    found = sets(wanted)
-    joined = pairs.select("a", "b")
-    for side in ("a", "b"):
-        joined = joined.join(found.select(F.col("v").alias(side), F.col("shingles").alias(f"set_{side}")), side)
+            sizes, ids, keys = [], [], []
+            sketches = np.zeros((batch.num_rows, len(SKETCH)), dtype=np.int64)
+            for row, shingles in _each(batch, length):
+                sizes.append(len(shingles))
+                ids.append(set_id(shingles) if len(shingles) else None)
+                fresh = len(shingles) > 0 and ids[-1] not in seen
+                keys.append(signed(parity_keys(shingles, percent)) if fresh else None)
+                if len(shingles):
+                    sketches[row] = parity_sketch(shingles)
+                    if len(seen) < 1_000_000:
+                        seen.add(ids[-1])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    batch.column("text_id"),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(ids, pa.int64()),
+                    *(pa.array(sketches[:, i]) for i in range(len(SKETCH))),
+                    pa.array(keys, pa.list_(pa.int64())),
+                ],
+                ["doc_id", "text_id", "n", "set_id", *SKETCH, "keys"],
+            )
+
+    words = ", ".join(f"{s} long" for s in SKETCH)
+    return docs.mapInArrow(run, f"doc_id long, text_id long, n long, set_id long, {words}, keys array<long>")
 
-    def holds(batch: pa.RecordBatch) -> pa.RecordBatch:
-        good = []
-        for x, y in zip(*(batch.column(c).to_pylist() for c in ("set_a", "set_b"))):
-            left, right = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            both = intersection_size(left, right)
-            good.append(100 * both >= percent * (len(left) + len(right) - both))
-        return batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return map_arrow(joined.select("a", "b", "set_a", "set_b"), holds, "a long, b long")
+def set_id(shingles: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
 def _sets(docs: DataFrame, length: int, wanted: Membership) -> DataFrame:
     """(v, shingles) of the sets that ``wanted`` may hold, one row each."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, values = [], []
-        for _, shingles in _each(batch, length):
-            if len(shingles):
-                owner = set_id(shingles)
-                if shared.value(np.array([owner]))[0]:
-                    ids.append(owner)
-                    values.append(shingles.tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.binary())], ["v", "shingles"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            ids, values = [], []
+            for _, shingles in _each(batch, length):
+                if len(shingles):
+                    owner = set_id(shingles)
+                    if owner not in seen and shared.value(np.array([owner]))[0]:
+                        ids.append(owner)
+                        values.append(shingles.tobytes())
+                        if len(seen) < 1_000_000:
+                            seen.add(owner)
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.binary())], ["v", "shingles"])
 
-    found = map_arrow(docs.select("text"), run, "v long, shingles binary")
-    return cut_lineage(found.groupBy("v").agg(F.first("shingles").alias("shingles")))
+    found = docs.select("text").mapInArrow(run, "v long, shingles binary")
+    return found.groupBy("v").agg(F.first("shingles").alias("shingles"))
 
 
 def jaccard_components(docs: DataFrame, length: int = 3, percent: int = 90) -> DataFrame:
@@ -216,7 +141,7 @@ def jaccard_components(docs: DataFrame, length: int = 3, percent: int = 90) -> D
 
     Documents with equal sets are one vertex.  Candidates share a parity key (see
     :func:`parity_keys`), which misses no link; whole-document parity sketches drop most of the
-    others, and the sets of what remains are compared.  Sets are compared by 64-bit hashes.
+    others, and the sets of what remains are compared (see :func:`darkroom.llm.links.link`).  Sets are compared by 64-bit hashes.
 
     ``docs`` has doc_id and text.  Returns doc_id, n_shingles and component_id, the smallest doc_id
     reachable by links, one row per input row.  Documents without words or with null text have 0
@@ -241,23 +166,15 @@ def one_of_each(docs: DataFrame, length: int = 3, percent: int = 90) -> DataFram
 
 def _components(docs: DataFrame, length: int, percent: int) -> DataFrame:
     docs = keyed(docs)
-    rows = cut_lineage(set_ids(docs, length))
-    sets = (
-        rows.filter(F.col("set_id").isNotNull())
-        .groupBy("set_id")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    )
-    sets = cut_lineage(sets)
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        near = cut_lineage(_near_sketches(pairs, sets, percent))
-        return verified(near, lambda wanted: _sets(docs, length, wanted), percent)
-
-    labels = link(sketch_keys(docs, length, percent), verify)
-    named = sets.select("set_id", "rep").join(labels.withColumnRenamed("v", "set_id"), "set_id", "left")
+    rows = cut_lineage(set_rows(docs, length, percent))
+    known = rows.filter(F.col("set_id").isNotNull())
+    vertices = known.withColumnRenamed("set_id", "v").select("v", "n", *SKETCH, "keys")
+    labels = link(vertices, lambda wanted: _sets(docs, length, wanted), percent)
+    reps = known.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
+    named = reps.join(labels.withColumnRenamed("v", "set_id"), "set_id", "left")
     named = named.withColumn("component", F.coalesce("component", "set_id"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_set = named.join(least, "component").select("set_id", "component_id")
-    return rows.join(of_set, "set_id", "left").select(
-        "doc_id", "text_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+    return rows.select("doc_id", "text_id", "n", "set_id").join(of_set, "set_id", "left").select(
+        "doc_id", "text_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )

@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from darkroom.llm.common import WORD, Membership, attach, cut_lineage, keyed, map_arrow, membership, slices
-from darkroom.llm.links import link
-from darkroom.llm.ngram_join import verified
-from darkroom.llm.shingles import _WORDS, mix, signed
+from darkroom.llm.links import SKETCH, link, parity_sketch
+from darkroom.llm.shingles import _WORDS, mix, runs, signed
 
 SHINGLE = 5
 #: Bands and rows: two paragraphs of similarity 0.8 share a band with probability 0.986.
@@ -78,11 +77,7 @@ class Units:
         return self.ids(self.block_start, self.block_end)
 
     def _shingles(self) -> np.ndarray:
-        n = max(0, self.n_words - SHINGLE + 1)
-        rolling = np.full(n, SHINGLE, dtype=np.uint64)
-        for i in range(SHINGLE):
-            rolling = mix(rolling + self.hashes[i : i + n])
-        return rolling
+        return runs(self.hashes, SHINGLE)
 
     def _spans(self) -> tuple[np.ndarray, np.ndarray]:
         """First and last (exclusive) shingle of each paragraph."""
@@ -106,10 +101,10 @@ class Units:
             keys[:, band] = key
         return keys
 
-    def paragraph_sets(self, which: np.ndarray) -> list[bytes]:
+    def paragraph_sets(self, which: np.ndarray) -> list[np.ndarray]:
         shingles = self._shingles()
         start, end = self._spans()
-        return [np.unique(shingles[a:b]).tobytes() for a, b in zip(start[which], end[which])]
+        return [np.unique(shingles[a:b]) for a, b in zip(start[which], end[which])]
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
@@ -121,31 +116,36 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
             row += 1
 
 
-def _columns(names: list[str], columns: list[list[np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate(c) if c else np.zeros(0, dtype=np.int64)) for c in columns], names
-    )
-
+def _paragraphs(docs: DataFrame, min_words: int, block_words: int) -> DataFrame:
+    """(v, count, n, s0 to s3, keys): each distinct paragraph, how often it occurs, its set's size and
+    parity sketch, and its band keys."""
 
-def _band_rows(docs: DataFrame, min_words: int, block_words: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, owners = [], []
+        keys, owners, sizes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], []
+        sketches = [np.zeros((0, len(SKETCH)), dtype=np.int64)]
         for _, text in _texts(batch):
             units = Units(text, min_words, block_words)
             keys.append(signed(units.band_keys().ravel()))
-            owners.append(np.repeat(units.paragraph_ids(), BANDS))
-        return _columns(["key", "v"], [keys, owners])
+            owners.append(units.paragraph_ids())
+            sets = units.paragraph_sets(np.arange(len(units.paragraphs)))
+            sizes += map(len, sets)
+            sketches += [parity_sketch(s)[None] for s in sets]
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(keys)), BANDS).cast(pa.list_(pa.int64()))
+        words = np.concatenate(sketches)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(owners)), pa.array(sizes, pa.int64()), *(pa.array(words[:, i]) for i in range(len(SKETCH))), lists],
+            ["v", "n", *SKETCH, "keys"],
+        )
 
-    return map_arrow(docs.select("text"), run, "key long, v long")
+    words = ", ".join(f"{s} long" for s in SKETCH)
+    found = map_arrow(docs.select("text"), run, f"v long, n long, {words}, keys array<long>")
+    return found.groupBy("v").agg(F.count(F.lit(1)).alias("count"), *(F.first(c).alias(c) for c in ("n", *SKETCH, "keys")))
 
 
-def _unit_ids(docs: DataFrame, min_words: int, block_words: int) -> DataFrame:
+def _block_ids(docs: DataFrame, min_words: int, block_words: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = []
-        for _, text in _texts(batch):
-            units = Units(text, min_words, block_words)
-            found += [units.paragraph_ids(), units.block_ids()]
-        return _columns(["v"], [found])
+        found = [Units(text, min_words, block_words).block_ids() for _, text in _texts(batch)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["v"])
 
     return map_arrow(docs.select("text"), run, "v long")
 
@@ -162,11 +162,11 @@ def _sets(docs: DataFrame, min_words: int, block_words: int, wanted: Membership)
             which = np.flatnonzero(shared.value(found))
             if len(which):
                 ids += found[which].tolist()
-                values += units.paragraph_sets(which)
+                values += [s.tobytes() for s in units.paragraph_sets(which)]
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.binary())], ["v", "shingles"])
 
     found = map_arrow(docs.select("text"), run, "v long, shingles binary")
-    return cut_lineage(found.groupBy("v").agg(F.first("shingles").alias("shingles")))
+    return found.groupBy("v").agg(F.first("shingles").alias("shingles"))
 
 
 def _occurrences(docs: DataFrame, min_words: int, block_words: int, wanted: Membership) -> DataFrame:
@@ -232,12 +232,11 @@ def repeated_passages(
     """
     docs = keyed(docs)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        return verified(pairs, lambda wanted: _sets(docs, min_words, block_words, wanted), percent)
-
-    labels = link(_band_rows(docs, min_words, block_words), verify)
-    again = _unit_ids(docs, min_words, block_words).groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    groups = again.select("v").join(labels, "v", "full_outer")
+    paragraphs = cut_lineage(_paragraphs(docs, min_words, block_words))
+    labels = link(paragraphs, lambda wanted: _sets(docs, min_words, block_words, wanted), percent)
+    blocks = _block_ids(docs, min_words, block_words).groupBy("v").agg(F.count(F.lit(1)).alias("count"))
+    again = paragraphs.select("v", "count").unionAll(blocks).filter("count > 1").select("v").distinct()
+    groups = again.join(labels, "v", "full_outer")
     groups = cut_lineage(groups.select("v", F.coalesce("component", "v").alias("component")))
     found = _occurrences(docs, min_words, block_words, membership(groups, "v"))
     found = cut_lineage(found.join(groups, "v").distinct())

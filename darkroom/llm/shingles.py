@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+#: Odd factors, one for each place in a run.
+_TIMES = np.random.default_rng(20240229).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -37,6 +39,15 @@ def word_hashes(text: bytes) -> np.ndarray:
     return np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+def runs(hashes: np.ndarray, length: int) -> np.ndarray:
+    """Hash of each run of ``length`` neighbours: a multilinear hash, then mixed."""
+    n = max(0, len(hashes) - length + 1)
+    total = np.full(n, length, dtype=np.uint64)
+    for i in range(length):
+        total += hashes[i : i + n] * _TIMES[i]
+    return mix(total)
+
+
 def shingle_set(words: np.ndarray, length: int) -> np.ndarray:
     """Sorted distinct hashes of the runs of ``length`` words.
 
@@ -45,11 +56,7 @@ def shingle_set(words: np.ndarray, length: int) -> np.ndarray:
     if not len(words):
         return words
     span = min(length, len(words))
-    n = len(words) - span + 1
-    rolling = np.full(n, span, dtype=np.uint64)
-    for i in range(span):
-        rolling = mix(rolling + words[i : i + n])
-    return np.unique(rolling)
+    return np.unique(runs(words, span))
 
 
 def intersection_size(a: np.ndarray, b: np.ndarray) -> int:
