@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from darkroom.llm.common import WORD, Membership, attach, cut_lineage, keyed, map_arrow, membership, slices
-from darkroom.llm.links import SKETCH, link, parity_sketch
+from darkroom.llm.links import SKETCH, link
 from darkroom.llm.shingles import _WORDS, mix, runs, signed
 
 SHINGLE = 5
@@ -24,6 +25,19 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base``, modulo 2 ** 64."""
+    held = _POWERS.get(base)
+    if held is None or len(held) < n:
+        steps = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+        steps[0] = 1
+        held = _POWERS[base] = np.multiply.accumulate(steps)
+    return held[:n]
+
+
+_POWERS: dict[int, np.ndarray] = {}
+
+
 class Units:
     """Paragraphs and blocks of one text.
 
@@ -38,43 +52,42 @@ class Units:
         counts = np.array([len(w) for w in lines], dtype=np.int64)
         words = list(chain.from_iterable(lines))
         n = len(words)
-        self.n_words = n
+        self.n_words, self.block_words = n, block_words
         self.hashes = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=n)
         ends = np.cumsum(counts)
         self.line_start = ends - counts
         self.line_end = ends
         self.paragraphs = np.flatnonzero(counts >= min_words)
-        power = np.full(n + 1, _BASE, dtype=np.uint64)
-        power[0] = 1
-        self.power = np.multiply.accumulate(power)
-        back = np.full(n + 1, _INVERSE, dtype=np.uint64)
-        back[0] = 1
-        self.back = np.multiply.accumulate(back)
+        self._words = words
         self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(self.hashes * self.power[:n], out=self.sums[1:])
-        last = np.fromiter((w[-1] for w in words), dtype=np.uint8, count=n)
+        np.cumsum(self.hashes * _powers(_BASE, n), out=self.sums[1:])
+
+    @cached_property
+    def blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First word, word after the last, and line of each block."""
+        last = np.fromiter((w[-1] for w in self._words), dtype=np.uint8, count=self.n_words)
         closes = (last == 46) | (last == 33) | (last == 63)  # . ! ?
-        if n:
-            closes[ends[counts > 0] - 1] = True
+        closes[self.line_end[self.line_end > self.line_start] - 1] = True
         stops = np.flatnonzero(closes) + 1  # word after each sentence
         starts = np.r_[0, stops[:-1]] if len(stops) else stops
-        at = np.searchsorted(stops, starts + block_words)
+        at = np.searchsorted(stops, starts + self.block_words)
         fits = at < len(stops)
         starts, to = starts[fits], stops[at[fits]]
-        line = np.searchsorted(ends, starts, side="right")
-        inside = to <= ends[line] if len(starts) else fits[:0]
-        self.block_start, self.block_end, self.block_line = starts[inside], to[inside], line[inside]
+        line = np.searchsorted(self.line_end, starts, side="right")
+        inside = to <= self.line_end[line] if len(starts) else fits[:0]
+        return starts[inside], to[inside], line[inside]
 
     def ids(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit hashes of runs of words."""
-        value = (self.sums[ends] - self.sums[starts]) * self.back[starts]
+        value = (self.sums[ends] - self.sums[starts]) * _powers(_INVERSE, self.n_words + 1)[starts]
         return signed(mix(value + (ends - starts).astype(np.uint64) * np.uint64(_INVERSE)))
 
     def paragraph_ids(self) -> np.ndarray:
         return self.ids(self.line_start[self.paragraphs], self.line_end[self.paragraphs])
 
     def block_ids(self) -> np.ndarray:
-        return self.ids(self.block_start, self.block_end)
+        """Hashes that differ from those of paragraphs of the same words."""
+        return ~self.ids(*self.blocks[:2])
 
     def _shingles(self) -> np.ndarray:
         return runs(self.hashes, SHINGLE)
@@ -89,18 +102,38 @@ class Units:
         keys = np.zeros((len(self.paragraphs), BANDS), dtype=np.uint64)
         if not len(keys):
             return keys
-        shingles = self._shingles()
         start, end = self._spans()
         cuts = np.stack([start, end], axis=1).ravel()
-        shingles = np.append(shingles, np.uint64(0))  # reduceat needs every cut inside
+        shingles = np.append(self._shingles(), np.uint64(0))  # reduceat needs every cut inside
         for band in range(BANDS):
+            rows = slice(band * ROWS, (band + 1) * ROWS)
+            mixed = (shingles[None] ^ _ADD[rows, None]) * _TIMES[rows, None]
+            least = np.minimum.reduceat(mixed, cuts, axis=1)[:, ::2]
             key = np.full(len(keys), band, dtype=np.uint64)
-            for i in range(band * ROWS, (band + 1) * ROWS):
-                least = np.minimum.reduceat((shingles ^ _ADD[i]) * _TIMES[i], cuts)[::2]
-                key = mix(key + least)
+            for row in least:
+                key = mix(key + row)
             keys[:, band] = key
         return keys
 
+    def paragraph_sketches(self) -> tuple[np.ndarray, np.ndarray]:
+        """Size and parity sketch of each paragraph's shingle set."""
+        n = len(self.paragraphs)
+        bits = len(SKETCH) * 64
+        if not n:
+            return np.zeros(0, dtype=np.int64), np.zeros((0, len(SKETCH)), dtype=np.int64)
+        start, end = self._spans()
+        owner = np.repeat(np.arange(n), end - start)
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(end - start) - (end - start), end - start)
+        hashes = self._shingles()[start[owner] + within]
+        order = np.lexsort((hashes, owner))
+        owner, hashes = owner[order], hashes[order]
+        fresh = np.r_[True, (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])]
+        owner, hashes = owner[fresh], hashes[fresh]
+        at = owner * bits + ((hashes >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)
+        parity = (np.bincount(at, minlength=n * bits) & 1).astype(np.uint8)
+        words = np.packbits(parity, bitorder="little").view(np.int64).reshape(n, len(SKETCH))
+        return np.bincount(owner, minlength=n), words
+
     def paragraph_sets(self, which: np.ndarray) -> list[np.ndarray]:
         shingles = self._shingles()
         start, end = self._spans()
@@ -116,38 +149,40 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
             row += 1
 
 
-def _paragraphs(docs: DataFrame, min_words: int, block_words: int) -> DataFrame:
-    """(v, count, n, s0 to s3, keys): each distinct paragraph, how often it occurs, its set's size and
-    parity sketch, and its band keys."""
+def _unit_counts(docs: DataFrame, min_words: int, block_words: int) -> DataFrame:
+    """(v, count, n, s0 to s3, keys): every distinct paragraph and each block that occurs twice or more.
+
+    n (set size), s0 to s3 (parity sketch) and keys (bands) describe paragraphs and are null for blocks.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, owners, sizes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], []
+        none = np.zeros(0, dtype=np.int64)
+        keys, owners, sizes, blocks = [none], [none], [none], [none]
         sketches = [np.zeros((0, len(SKETCH)), dtype=np.int64)]
         for _, text in _texts(batch):
             units = Units(text, min_words, block_words)
             keys.append(signed(units.band_keys().ravel()))
             owners.append(units.paragraph_ids())
-            sets = units.paragraph_sets(np.arange(len(units.paragraphs)))
-            sizes += map(len, sets)
-            sketches += [parity_sketch(s)[None] for s in sets]
+            size, sketch = units.paragraph_sketches()
+            sizes.append(size)
+            sketches.append(sketch)
+            blocks.append(units.block_ids())
         lists = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(keys)), BANDS).cast(pa.list_(pa.int64()))
         words = np.concatenate(sketches)
+        found = [pa.array(np.concatenate(sizes)), *(pa.array(words[:, i]) for i in range(len(SKETCH))), lists]
+        more = pa.array(np.concatenate(blocks))
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(owners)), pa.array(sizes, pa.int64()), *(pa.array(words[:, i]) for i in range(len(SKETCH))), lists],
+            [
+                pa.concat_arrays([pa.array(np.concatenate(owners)), more]),
+                *(pa.concat_arrays([a, pa.nulls(len(more), a.type)]) for a in found),
+            ],
             ["v", "n", *SKETCH, "keys"],
         )
 
     words = ", ".join(f"{s} long" for s in SKETCH)
     found = map_arrow(docs.select("text"), run, f"v long, n long, {words}, keys array<long>")
-    return found.groupBy("v").agg(F.count(F.lit(1)).alias("count"), *(F.first(c).alias(c) for c in ("n", *SKETCH, "keys")))
-
-
-def _block_ids(docs: DataFrame, min_words: int, block_words: int) -> DataFrame:
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [Units(text, min_words, block_words).block_ids() for _, text in _texts(batch)]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["v"])
-
-    return map_arrow(docs.select("text"), run, "v long")
+    counts = found.groupBy("v").agg(F.count(F.lit(1)).alias("count"), *(F.first(c).alias(c) for c in ("n", *SKETCH, "keys")))
+    return counts.filter("keys IS NOT NULL OR count > 1")
 
 
 def _sets(docs: DataFrame, min_words: int, block_words: int, wanted: Membership) -> DataFrame:
@@ -183,9 +218,10 @@ def _occurrences(docs: DataFrame, min_words: int, block_words: int, wanted: Memb
             units = Units(text, min_words, block_words)
             n_paragraphs = len(units.paragraphs)
             ids = np.concatenate([units.paragraph_ids(), units.block_ids()])
-            line = np.concatenate([units.paragraphs, units.block_line])
-            first = np.concatenate([units.line_start[units.paragraphs], units.block_start])
-            last = np.concatenate([units.line_end[units.paragraphs], units.block_end])
+            block_start, block_end, block_line = units.blocks
+            line = np.concatenate([units.paragraphs, block_line])
+            first = np.concatenate([units.line_start[units.paragraphs], block_start])
+            last = np.concatenate([units.line_end[units.paragraphs], block_end])
             which = np.flatnonzero(shared.value(ids))
             if not len(which):
                 continue
@@ -232,14 +268,13 @@ def repeated_passages(
     """
     docs = keyed(docs)
 
-    paragraphs = cut_lineage(_paragraphs(docs, min_words, block_words))
-    labels = link(paragraphs, lambda wanted: _sets(docs, min_words, block_words, wanted), percent)
-    blocks = _block_ids(docs, min_words, block_words).groupBy("v").agg(F.count(F.lit(1)).alias("count"))
-    again = paragraphs.select("v", "count").unionAll(blocks).filter("count > 1").select("v").distinct()
+    units = cut_lineage(_unit_counts(docs, min_words, block_words))
+    labels = link(units.filter("keys IS NOT NULL"), lambda wanted: _sets(docs, min_words, block_words, wanted), percent)
+    again = units.filter("count > 1").select("v")
     groups = again.join(labels, "v", "full_outer")
     groups = cut_lineage(groups.select("v", F.coalesce("component", "v").alias("component")))
     found = _occurrences(docs, min_words, block_words, membership(groups, "v"))
-    found = cut_lineage(found.join(groups, "v").distinct())
+    found = cut_lineage(found.join(groups, "v").drop("v"))
     place = F.struct("doc_id", "text_id", "line", "start")
     first = found.groupBy("component", "whole").agg(F.min(place).alias("first"))
     later = found.join(first, ["component", "whole"]).filter(place != F.col("first"))
