@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from darkroom.functions import paths
+from darkroom.operators.graph import materialize
 from darkroom.schema import ANALYSIS_VERSION
 
 
@@ -230,14 +231,15 @@ def scan(observed: DataFrame, instances: DataFrame, assets: DataFrame, roots: li
     Precedence is unchanged, same-volume move, known content, cross-volume move, new.
     """
     media, sidecars, counted = route(classified(observed))
-    state = with_state(media, instances, assets).withColumn("is_unchanged", unchanged())
+    # Each step is written once, as the later ones read it several times.
+    state = materialize(with_state(media, instances, assets).withColumn("is_unchanged", unchanged()))
     same = state.filter("is_unchanged").withColumn("asset_id", F.col("known_asset_id"))
     changed = state.filter(~F.col("is_unchanged"))
     moves = same_volume_moves(changed.filter("instance_id IS NULL"), instances).withColumn("change_type", F.lit("same_volume_move"))
-    resolved = resolve_assets(changed, assets)
+    resolved = materialize(resolve_assets(changed, assets))
     rest = resolved.join(moves.select("path_key"), "path_key", "left_anti")
     far = cross_volume_moves(rest, instances, media).withColumn("change_type", F.lit("cross_volume_move"))
-    log = moves.select("path_key", "instance_id", "old_path", "change_type").unionByName(far)
+    log = materialize(moves.select("path_key", "instance_id", "old_path", "change_type").unionByName(far))
     moved = log.select("path_key", F.col("instance_id").alias("moved_id"), "change_type")
     columns = ["path_key", "path", "size", "modified_ms", "volume_id", "file_id", "extension", "file_class", "sha256",
                "quick_fingerprint", "instance_id", "known_asset_id", "asset_id", "is_unchanged"]
@@ -245,7 +247,7 @@ def scan(observed: DataFrame, instances: DataFrame, assets: DataFrame, roots: li
     files = files.withColumn("moved", F.col("moved_id").isNotNull()).withColumn("disposition", disposition())
     files = files.withColumn("instance_id", F.coalesce("instance_id", "moved_id"))
     new_ids = numbered(files.filter("instance_id IS NULL").select("path_key"), "path_key", instances, "id", "new_id")
-    files = files.join(new_ids, "path_key", "left").withColumn("instance_id", F.coalesce("instance_id", "new_id"))
+    files = materialize(files.join(new_ids, "path_key", "left").withColumn("instance_id", F.coalesce("instance_id", "new_id")))
     written = files.select(
         F.col("instance_id").alias("id"), F.col("asset_id").alias("content_asset_id"), F.col("path").alias("current_path"), "path_key",
         "volume_id", "file_id", F.col("size").alias("file_size"), "modified_ms", "extension", "file_class",
