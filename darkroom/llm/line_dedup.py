@@ -33,10 +33,12 @@ def winnow(grams: np.ndarray, window: int) -> np.ndarray:
     """
     if len(grams) < window:
         return np.zeros(0, dtype=np.int64)
-    best = np.arange(window - 1, len(grams))
-    for back in range(1, window):
-        other = np.arange(window - 1 - back, len(grams) - back)
-        best = np.where(grams[other] < grams[best], other, best)
+    best, span = np.arange(len(grams)), 1
+    while span < window:
+        step = min(span, window - span)
+        left, right = best[:-step], best[step:]
+        best = np.where(grams[left] < grams[right], left, right)
+        span += step
     return np.unique(best)
 
 

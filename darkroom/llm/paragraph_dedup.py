@@ -1,4 +1,4 @@
-"""Remove passages that occur again, by paragraph MinHash banding and repeated sentence blocks."""
+"""Remove passages that occur again, by paragraph MinHash banding and winnowed runs of words."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from darkroom.llm.common import WORD, Membership, attach, cut_lineage, keyed, map_arrow, membership, slices
+from darkroom.llm.line_dedup import winnow
 from darkroom.llm.links import SKETCH, link
 from darkroom.llm.shingles import _WORDS, mix, runs, signed
 
@@ -41,10 +42,13 @@ _POWERS: dict[int, np.ndarray] = {}
 class Units:
     """Paragraphs and blocks of one text.
 
-    A paragraph is a line of at least ``min_words`` words.  A block runs from the start of a
-    sentence to the first sentence end at least ``block_words`` words on, within a line, so a
-    passage inside a longer line consists of blocks that do not depend on what surrounds it.  Words
-    part at ASCII blanks; A-Z count as lower case.
+    A paragraph is a line of at least ``min_words`` words, or a run of shorter lines, as of wrapped
+    text, of so many words together that a blank line, a longer line or the text's end closes.  A
+    block is ``block_words`` words in a row, or more.  Blocks are the runs of ``block_words`` words
+    that winnowing selects, over the whole text and whatever its lines and punctuation, so that two
+    texts that share ``2 * block_words`` words in a row share a block; and, for shorter repeats, the
+    runs from the start of a sentence to the first sentence end at least ``block_words`` words on,
+    within a line.  Words part at ASCII blanks; A-Z count as lower case.
     """
 
     def __init__(self, text: bytes, min_words: int, block_words: int):
@@ -57,14 +61,20 @@ class Units:
         ends = np.cumsum(counts)
         self.line_start = ends - counts
         self.line_end = ends
-        self.paragraphs = np.flatnonzero(counts >= min_words)
+        # a short line goes on with the paragraph of the short line before it
+        short = (counts > 0) & (counts < min_words)
+        opens = np.flatnonzero((counts > 0) & ~(short & np.r_[False, short[:-1]]))
+        start = self.line_start[opens]
+        end = np.r_[start[1:], n] if len(opens) else start
+        enough = end - start >= min_words
+        self.start, self.end = start[enough], end[enough]
         self._words = words
         self.sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(self.hashes * _powers(_BASE, n), out=self.sums[1:])
 
     @cached_property
-    def blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First word, word after the last, and line of each block."""
+    def blocks(self) -> tuple[np.ndarray, np.ndarray]:
+        """First word and word after the last of each block."""
         last = np.fromiter((w[-1] for w in self._words), dtype=np.uint8, count=self.n_words)
         closes = (last == 46) | (last == 33) | (last == 63)  # . ! ?
         closes[self.line_end[self.line_end > self.line_start] - 1] = True
@@ -75,7 +85,10 @@ class Units:
         starts, to = starts[fits], stops[at[fits]]
         line = np.searchsorted(self.line_end, starts, side="right")
         inside = to <= self.line_end[line] if len(starts) else fits[:0]
-        return starts[inside], to[inside], line[inside]
+        every = np.arange(max(0, self.n_words - self.block_words + 1))
+        chosen = winnow(self.ids(every, every + self.block_words).view(np.uint64), self.block_words + 1)
+        both = np.unique(np.r_[starts[inside] << 32 | to[inside], chosen << 32 | chosen + self.block_words])
+        return both >> 32, both & 0xFFFFFFFF
 
     def ids(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit hashes of runs of words."""
@@ -83,23 +96,22 @@ class Units:
         return signed(mix(value + (ends - starts).astype(np.uint64) * np.uint64(_INVERSE)))
 
     def paragraph_ids(self) -> np.ndarray:
-        return self.ids(self.line_start[self.paragraphs], self.line_end[self.paragraphs])
+        return self.ids(self.start, self.end)
 
     def block_ids(self) -> np.ndarray:
         """Hashes that differ from those of paragraphs of the same words."""
-        return ~self.ids(*self.blocks[:2])
+        return ~self.ids(*self.blocks)
 
     def _shingles(self) -> np.ndarray:
         return runs(self.hashes, SHINGLE)
 
     def _spans(self) -> tuple[np.ndarray, np.ndarray]:
         """First and last (exclusive) shingle of each paragraph."""
-        start, end = self.line_start[self.paragraphs], self.line_end[self.paragraphs]
-        return start, np.maximum(end - SHINGLE + 1, start + 1)
+        return self.start, np.maximum(self.end - SHINGLE + 1, self.start + 1)
 
     def band_keys(self) -> np.ndarray:
         """A row of band keys for each paragraph."""
-        keys = np.zeros((len(self.paragraphs), BANDS), dtype=np.uint64)
+        keys = np.zeros((len(self.start), BANDS), dtype=np.uint64)
         if not len(keys):
             return keys
         start, end = self._spans()
@@ -117,7 +129,7 @@ class Units:
 
     def paragraph_sketches(self) -> tuple[np.ndarray, np.ndarray]:
         """Size and parity sketch of each paragraph's shingle set."""
-        n = len(self.paragraphs)
+        n = len(self.start)
         bits = len(SKETCH) * 64
         if not n:
             return np.zeros(0, dtype=np.int64), np.zeros((0, len(SKETCH)), dtype=np.int64)
@@ -205,49 +217,119 @@ def _sets(docs: DataFrame, min_words: int, block_words: int, wanted: Membership)
 
 
 def _occurrences(docs: DataFrame, min_words: int, block_words: int, wanted: Membership) -> DataFrame:
-    """(v, doc_id, text_id, line, start, n_words, whole) of units whose id ``wanted`` may hold."""
+    """(v, doc_id, text_id, start, end, whole) of units whose id ``wanted`` may hold.
+
+    start and end count the words of the text.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
-    names = ["v", "doc_id", "text_id", "line", "start", "n_words", "whole"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns: list[list[np.ndarray]] = [[] for _ in range(4)]
-        rows: list[int] = []
-        counts: list[int] = []
-        whole: list[np.ndarray] = []
+        none = np.zeros(0, dtype=np.int64)
+        columns: list[list[np.ndarray]] = [[none] for _ in range(4)]
+        whole: list[np.ndarray] = [np.zeros(0, dtype=bool)]
         for row, text in _texts(batch):
             units = Units(text, min_words, block_words)
-            n_paragraphs = len(units.paragraphs)
             ids = np.concatenate([units.paragraph_ids(), units.block_ids()])
-            block_start, block_end, block_line = units.blocks
-            line = np.concatenate([units.paragraphs, block_line])
-            first = np.concatenate([units.line_start[units.paragraphs], block_start])
-            last = np.concatenate([units.line_end[units.paragraphs], block_end])
+            start = np.concatenate([units.start, units.blocks[0]])
+            end = np.concatenate([units.end, units.blocks[1]])
             which = np.flatnonzero(shared.value(ids))
-            if not len(which):
-                continue
-            rows.append(row)
-            counts.append(len(which))
-            line = line[which]
-            for held, values in zip(columns, (ids[which], line, first[which] - units.line_start[line], (last - first)[which])):
+            for held, values in zip(columns, (ids[which], start[which], end[which], np.full(len(which), row))):
                 held.append(values)
-            whole.append(which < n_paragraphs)
-        ids, line, start, length = (np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in columns)
-        owner = pa.array(np.repeat(np.array(rows, dtype=np.int64), counts))
+            whole.append(which < len(units.start))
+        ids, start, end, rows = (np.concatenate(c) for c in columns)
+        owner = pa.array(rows)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(ids),
                 batch.column("doc_id").take(owner),
                 batch.column("text_id").take(owner),
-                pa.array(line),
                 pa.array(start),
-                pa.array(length),
-                pa.array(np.concatenate(whole) if whole else np.zeros(0, dtype=bool)),
+                pa.array(end),
+                pa.array(np.concatenate(whole)),
             ],
-            names,
+            ["v", "doc_id", "text_id", "start", "end", "whole"],
         )
 
-    schema = "v long, doc_id long, text_id long, line long, start long, n_words long, whole boolean"
-    return map_arrow(docs, run, schema)
+    return map_arrow(docs, run, "v long, doc_id long, text_id long, start long, end long, whole boolean")
+
+
+def _surroundings(docs: DataFrame, reach: int, wanted: Membership) -> DataFrame:
+    """(text_id, at, before, after): hashes of up to ``reach`` words on both sides of word ``at``,
+    for the places whose text_id ^ at ``wanted`` may hold."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids: list[int] = []
+        places: list[int] = []
+        before: list[bytes] = []
+        after: list[bytes] = []
+        text_ids = batch.column("text_id").to_pylist()
+        for row, text in _texts(batch):
+            words = text.lower().split()
+            for at in np.flatnonzero(shared.value(np.arange(len(words) + 1) ^ np.int64(text_ids[row]))).tolist():
+                ids.append(text_ids[row])
+                places.append(at)
+                for held, part in ((before, words[max(0, at - reach) : at]), (after, words[at : at + reach])):
+                    held.append(np.fromiter(map(_WORDS.__getitem__, part), dtype=np.uint64, count=len(part)).tobytes())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(before, pa.binary()), pa.array(after, pa.binary())],
+            ["text_id", "at", "before", "after"],
+        )
+
+    found = map_arrow(docs, run, "text_id long, at long, before binary, after binary")
+    return found.groupBy("text_id", "at").agg(F.first("before").alias("before"), F.first("after").alias("after"))
+
+
+def _extended(docs: DataFrame, later: DataFrame, reach: int) -> DataFrame:
+    """``later``, and the words next to its blocks that also stand next to the first place.
+
+    Blocks that a shared run selects leave fewer than ``reach`` words at its ends, so only the first
+    and the last of blocks that touch are extended.
+    """
+    blocks = later.filter("NOT whole")
+    order = Window.partitionBy("doc_id", "text_id").orderBy("start", "end", "component")
+    upto = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    since = Window.partitionBy("doc_id", "text_id").orderBy(F.desc("end"), F.desc("start"), "component")
+    from_ = F.min("start").over(since.rowsBetween(Window.unboundedPreceding, -1))
+    marked = blocks.withColumn("opens", F.coalesce(upto < F.col("start"), F.lit(True)))
+    marked = marked.withColumn("closes", F.coalesce(from_ > F.col("end"), F.lit(True)))
+    other_end = F.col("first.start") + F.col("end") - F.col("start")
+    names = ["doc_id", "text_id", "component", "first", other_end.alias("first_end")]
+    ends = marked.filter("opens").select(*names, F.lit(True).alias("left"), F.col("start").alias("at"), F.col("first.start").alias("o_at"))
+    ends = ends.unionAll(marked.filter("closes").select(*names, F.lit(False), F.col("end"), other_end))
+    ends = cut_lineage(ends.withColumn("o_text", F.col("first.text_id")))
+    places = ends.select(F.col("text_id").bitwiseXOR(F.col("at")).alias("p"))
+    places = places.unionAll(ends.select(F.col("o_text").bitwiseXOR(F.col("o_at"))))
+    around = cut_lineage(_surroundings(docs, reach, membership(places, "p")))
+    beside = around.select("text_id", "at", *(F.col(c).alias(f"o_{c}") for c in ("before", "after")))
+    beside = beside.withColumnsRenamed({"text_id": "o_text", "at": "o_at"})
+    both = ends.join(around, ["text_id", "at"]).join(beside, ["o_text", "o_at"])
+
+    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lengths = []
+        for left, *sides in zip(*(batch.column(c).to_pylist() for c in ("left", "before", "o_before", "after", "o_after"))):
+            a, b = (np.frombuffer(x, dtype=np.uint64) for x in (sides[:2] if left else sides[2:]))
+            n = min(len(a), len(b))
+            differ = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1] if left else a[:n] != b[:n])
+            lengths.append(int(differ[0]) if len(differ) else n)
+        kept = ["doc_id", "text_id", "component", "first_doc", "first_text", "first_start", "first_end", "left", "at"]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(lengths, pa.int64())], [*kept, "n"])
+
+    fields = "doc_id long, text_id long, component long, first_doc long, first_text long, first_start long, first_end long, left boolean, at long, n long"
+    flat = both.select(
+        "doc_id", "text_id", "component", F.col("first.doc_id").alias("first_doc"), F.col("o_text").alias("first_text"),
+        F.col("first.start").alias("first_start"), "first_end", "left", "at", "before", "o_before", "after", "o_after",
+    )
+    # a copy in the text of the first place may not grow over it
+    same = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("text_id") == F.col("first_text"))
+    room = F.when(F.col("left") & same, F.least("n", F.col("at") - F.col("first_end"))).otherwise(F.col("n"))
+    grown = map_arrow(flat, compare, fields).withColumn("n", room).filter("n > 0")
+    first = F.struct(F.col("first_doc").alias("doc_id"), F.col("first_text").alias("text_id"), F.col("first_start").alias("start"))
+    more = grown.select(
+        "component", "doc_id", "text_id", F.when(F.col("left"), F.col("at") - F.col("n")).otherwise(F.col("at")).alias("start"),
+        F.when(F.col("left"), F.col("at")).otherwise(F.col("at") + F.col("n")).alias("end"), first.alias("first"),
+    )
+    return later.select(*more.columns).unionAll(more)
 
 
 def repeated_passages(
@@ -258,13 +340,16 @@ def repeated_passages(
     Paragraphs whose 5-word shingle sets have a Jaccard similarity of at least ``percent`` are
     linked: candidates share a MinHash band, the sets of candidates are compared, and linked
     paragraphs form components.  Equal paragraphs and equal blocks (see :class:`Units`) are linked
-    as well, so that any passage of at least twice ``block_words`` words is found wherever it
-    stands.  Of each component the first place by doc_id, line and word stays.
-
-    Returns a row for each run of words to remove: doc_id, text_id (hash of the text), line, start,
-    n_words, kept_doc_id (where the content stays) and component_id (the component's least content
-    hash).  Rows that repeat a doc_id with an equal text are one document.  Null and empty texts
-    have no passages; extra columns are ignored; an empty table gives no rows.
+    as well, so that any equal passage of at least twice ``block_words`` words is found wherever it
+    stands, whatever its lines and punctuation.  Of each component the first place by doc_id and
+    word stays.  Later blocks are extended both ways as far as they agree with the first place;
+    words at a passage's end that agree with another place only may stay.  A passage inside other
+    text that differs in some word of every ``block_words`` is not looked for.
+
+    Returns a row for each run of words of a line to remove: doc_id, text_id (hash of the text),
+    line, start, n_words, kept_doc_id (where the content stays) and component_id (the component's
+    least content hash).  Rows that repeat a doc_id with an equal text are one document.  Null and
+    empty texts have no passages; extra columns are ignored; an empty table gives no rows.
     """
     docs = keyed(docs)
 
@@ -275,28 +360,62 @@ def repeated_passages(
     groups = cut_lineage(groups.select("v", F.coalesce("component", "v").alias("component")))
     found = _occurrences(docs, min_words, block_words, membership(groups, "v"))
     found = cut_lineage(found.join(groups, "v").drop("v"))
-    place = F.struct("doc_id", "text_id", "line", "start")
-    first = found.groupBy("component", "whole").agg(F.min(place).alias("first"))
-    later = found.join(first, ["component", "whole"]).filter(place != F.col("first"))
-    return _runs(later)
+    place = F.struct("doc_id", "text_id", "start")
+    first = found.groupBy("component", "whole").agg(F.min(place).alias("first"), F.min(F.struct(place, "end")).alias("__at"))
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_id") == F.col("first.text_id"))
+    later = found.join(first, ["component", "whole"]).filter(~same | (F.col("start") >= F.col("__at.end"))).drop("__at")
+    return _runs(docs, _extended(docs, cut_lineage(later), block_words))
 
 
-def _runs(later: DataFrame) -> DataFrame:
-    """Join overlapping and touching spans of a line that one document keeps."""
-    line = Window.partitionBy("doc_id", "text_id", "line", "kept_doc_id")
-    ordered = line.orderBy("start", F.desc("n_words"), "component")
+def _runs(docs: DataFrame, later: DataFrame) -> DataFrame:
+    """Join overlapping and touching spans of a text that one document keeps, and part them by line."""
+    text = Window.partitionBy("doc_id", "text_id", "kept_doc_id")
+    ordered = text.orderBy("start", F.desc("end"), "component")
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    spans = later.withColumn("kept_doc_id", F.col("first.doc_id")).withColumn("end", F.col("start") + F.col("n_words"))
+    spans = later.withColumn("kept_doc_id", F.col("first.doc_id"))
     spans = spans.withColumn("reach", F.max("end").over(before))
     spans = spans.withColumn("fresh", F.when(F.col("reach") >= F.col("start"), 0).otherwise(1))
     spans = spans.withColumn("run", F.sum("fresh").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    return (
-        spans.groupBy("doc_id", "text_id", "line", "kept_doc_id", "run")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("component").alias("component_id"))
-        .select(
-            "doc_id", "text_id", "line", "start", (F.col("end") - F.col("start")).alias("n_words"), "kept_doc_id", "component_id"
-        )
+    joined = spans.groupBy("doc_id", "text_id", "kept_doc_id", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.min("component").alias("component_id")
     )
+    joined = cut_lineage(joined.drop("run"))
+    lines = _line_ends(docs, membership(joined, "text_id"))
+
+    def part(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, line, start, length = [], [], [], []
+        for row, (a, b, ends) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("start", "end", "ends")))):
+            ends = np.frombuffer(ends, dtype=np.int64)
+            at = np.arange(np.searchsorted(ends, a, side="right"), np.searchsorted(ends, b, side="left") + 1)
+            opens = np.where(at > 0, ends[at - 1], 0)
+            first, last = np.maximum(opens, a), np.minimum(ends[at], b)
+            some = last > first
+            rows += [row] * int(some.sum())
+            line += at[some].tolist()
+            start += (first - opens)[some].tolist()
+            length += (last - first)[some].tolist()
+        owner = pa.array(rows, pa.int64())
+        named = {c: batch.column(c).take(owner) for c in ("doc_id", "text_id", "kept_doc_id", "component_id")}
+        named |= {c: pa.array(x, pa.int64()) for c, x in (("line", line), ("start", start), ("n_words", length))}
+        names = ["doc_id", "text_id", "line", "start", "n_words", "kept_doc_id", "component_id"]
+        return pa.RecordBatch.from_arrays([named[c] for c in names], names)
+
+    schema = "doc_id long, text_id long, line long, start long, n_words long, kept_doc_id long, component_id long"
+    return map_arrow(joined.join(lines, "text_id"), part, schema)
+
+
+def _line_ends(docs: DataFrame, wanted: Membership) -> DataFrame:
+    """(text_id, ends): the number of words up to the end of each line, of texts that ``wanted`` may hold."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        held = shared.value(batch.column("text_id").to_numpy(zero_copy_only=False))
+        batch = batch.filter(pa.array(held))
+        ends = [np.cumsum([len(x.split()) for x in text.split(b"\n")], dtype=np.int64).tobytes() for _, text in _texts(batch)]
+        return pa.RecordBatch.from_arrays([batch.column("text_id"), pa.array(ends, pa.binary())], ["text_id", "ends"])
+
+    found = map_arrow(docs, run, "text_id long, ends binary")
+    return found.groupBy("text_id").agg(F.first("ends").alias("ends"))
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:

@@ -265,6 +265,32 @@ def test_paragraph_dedup(spark, odd, empty):
     assert paragraph_dedup.repeated_passages(empty).count() == 0
 
 
+def test_repeats_need_no_sentence_or_line(spark):
+    rng = np.random.default_rng(10)
+    some = lambda n: [f"t{x}" for x in rng.integers(0, 50_000, n)]
+    wrap = lambda words, width: "\n".join(" ".join(words[i : i + width]) for i in range(0, len(words), width))
+    plain, wrapped, short = some(50), some(70), some(70)
+    near = list(short)
+    near[20] = "other"
+    texts = [
+        " ".join([*some(31), *plain, *some(33)]),
+        " ".join([*some(45), *plain, *some(60)]),  # no sentence ends
+        wrap([*some(30), *wrapped, *some(25)], 9),
+        wrap([*some(34), *wrapped, *some(30)], 11),  # wrapped elsewhere
+        "long " + " ".join(some(30)) + "\n\n" + wrap(short, 8),
+        wrap(near, 10) + "\n\n" + " ".join(some(30)),  # a wrapped paragraph, nearly equal
+    ]
+    docs = documents(spark, texts)
+    cleaned = {r.doc_id: r.text.split() for r in paragraph_dedup.dedup_passages(docs).collect()}
+    assert all(cleaned[i] == texts[i].split() for i in (0, 2, 4))
+    for i, passage in ((1, plain), (3, wrapped), (5, near)):
+        words = texts[i].split()
+        at = words.index(passage[0])
+        assert cleaned[i] == words[:at] + words[at + len(passage) :]
+    found = paragraph_dedup.repeated_passages(docs).collect()
+    assert {(r.doc_id, r.kept_doc_id) for r in found} == {(1, 0), (3, 2), (5, 4)}
+
+
 def test_line_dedup(spark, odd, empty):
     rng = np.random.default_rng(2)
     texts = ["\n".join(f"line {x}" + " " * int(x % 2) for x in rng.integers(0, 6, rng.integers(0, 14))) for _ in range(60)]
