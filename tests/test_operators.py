@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from darkroom.functions import hashing, imaging, paths
 from darkroom.functions.vectors import ssim
-from darkroom.operators import ingest, learning, matching, ranking, ratings, review
+from darkroom.operators import graph, ingest, learning, matching, ranking, ratings, review
 from darkroom.schema import schema
 from darkroom.sources import files
 from darkroom.sources.store import Store
@@ -81,6 +81,25 @@ def test_cliques(spark):
     assert cliques(spark, [(1, 2, 0.98), (1, 3, 0.98)], [(1, 9.0), (2, 1.0), (3, 5.0)]) == [[1, 2]]
 
 
+def test_cliques_of_long_chains(spark):
+    rng = np.random.default_rng(7)
+    path = [int(x) for x in rng.permutation(600)]
+    edges = [(min(p), max(p), round(0.96 + 0.001 * (i % 37), 3)) for i, p in enumerate(itertools.pairwise(path))]
+    quality = [(i, float(x)) for i, x in enumerate(rng.permutation(600))]
+    found = {r.v: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long, s double")).collect()}
+    assert found == dict.fromkeys(range(600), 0)
+    links, used, want = {}, set(), []
+    for a, b, s in edges:
+        links.setdefault(a, {})[b] = links.setdefault(b, {})[a] = s
+    for anchor in sorted(links, key=lambda v: (-quality[v][1], v)):
+        free = [v for v in links[anchor] if v not in used]
+        if anchor not in used and free:  # a path has no triangles, so a clique is a pair
+            pair = {anchor, min(free, key=lambda v: (-links[anchor][v], v))}
+            used |= pair
+            want.append(sorted(pair))
+    assert cliques(spark, edges, quality) == sorted(want)
+
+
 def test_raw_pairs(spark):
     rows = spark.createDataFrame([("d/x.rw2",), ("d/x.jpg",), ("e/x.jpg",), ("d/x.mp4",)], "path string")
     ext = paths.extension(F.col("path"))
