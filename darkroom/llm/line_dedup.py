@@ -14,7 +14,7 @@ from darkroom.llm.common import WORD, Membership, attach, cut_lineage, keyed, ma
 from darkroom.llm.shingles import runs as line_runs
 from darkroom.llm.shingles import signed
 
-#: Lines of a gram.
+#: Lines of a gram, if a run has that many.
 GRAM = 2
 
 
@@ -53,12 +53,13 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
 
 def fingerprints(docs: DataFrame, min_lines: int) -> DataFrame:
     """(v): the winnowed gram hashes of every text."""
+    gram = min(GRAM, min_lines)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [np.zeros(0, dtype=np.int64)]
         for _, text in _texts(batch):
-            grams = line_runs(_line_hashes(text)[0], GRAM)
-            found.append(signed(grams[winnow(grams, min_lines - GRAM + 1)]))
+            grams = line_runs(_line_hashes(text)[0], gram)
+            found.append(signed(grams[winnow(grams, min_lines - gram + 1)]))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["v"])
 
     return map_arrow(docs.select("text"), run, "v long")
@@ -68,13 +69,14 @@ def extended(docs: DataFrame, min_lines: int, repeated: Membership) -> DataFrame
     """(run, doc_id, text_id, first, lines): the runs of ``min_lines`` lines around fingerprints
     that ``repeated`` may hold, extended both ways."""
     shared = docs.sparkSession.sparkContext.broadcast(repeated)
-    reach = min_lines - GRAM
+    gram = min(GRAM, min_lines)
+    reach = min_lines - gram
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, runs, first, lines = [], [], [], []
         for row, text in _texts(batch):
             hashes, numbers = _line_hashes(text)
-            grams = line_runs(hashes, GRAM)
+            grams = line_runs(hashes, gram)
             chosen = winnow(grams, reach + 1)
             chosen = chosen[shared.value(signed(grams[chosen]))] if len(chosen) else chosen
             if not len(chosen):
@@ -120,7 +122,8 @@ def dedup_lines(
 
     A run is ``min_lines`` or more successive lines with a word; lines without one are passed over
     and stay, and blanks at the ends of lines do not count.  Every run that also occurs at an
-    earlier place, by doc_id and line, is deleted.  Grams of two lines are winnowed so that every
+    earlier place, by doc_id and line, is deleted; with ``min_lines`` 1 every later copy of a line.
+    Grams of two lines (of one, if ``min_lines`` is 1) are winnowed so that every
     such run shares a fingerprint with its copies; repeated fingerprints are extended both ways and
     the extended runs joined by hash, so that no pairs are formed however often a run occurs.
 

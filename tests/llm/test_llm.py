@@ -319,6 +319,34 @@ def test_line_dedup(spark, odd, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+@pytest.mark.parametrize("least", [1, 2, 4])
+def test_line_dedup_of_short_runs(spark, least):
+    rng = np.random.default_rng(3)
+    texts = ["\n".join(f"line {x}" for x in rng.integers(0, 9, rng.integers(0, 6))) for _ in range(60)] + ["one", "one", "\n one "]
+    seen, want = set(), {}
+    for i, text in enumerate(texts):
+        lines = text.split("\n")
+        at = [k for k, line in enumerate(lines) if line.strip()]
+        gone = set()
+        for p in range(len(at) - least + 1):
+            run = tuple(lines[k].strip() for k in at[p : p + least])
+            if run in seen:
+                gone.update(at[p : p + least])
+            seen.add(run)
+        want[i] = "\n".join(line for k, line in enumerate(lines) if k not in gone)
+    got = line_dedup.dedup_lines(documents(spark, texts), min_lines=least, keep_emptied=True)
+    assert {r.doc_id: r.text for r in got.collect()} == want
+
+
+def test_pipeline_deletes_single_repeated_lines(spark):
+    import corpus_pipeline
+
+    notice = "Licensed under the Apache License, Version 2.0."
+    docs = documents(spark, [f"{notice}\none", f"two\n{notice}\nthree", notice, "four"])
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == {0: f"{notice}\none", 1: "two\nthree", 3: "four"}
+
+
 def test_embedding_dedup(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(40, 64))
