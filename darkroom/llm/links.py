@@ -97,8 +97,9 @@ def link(vertices: DataFrame, sets: Callable[[Membership], DataFrame], percent:
     all but one of them.  ``sets`` gives (v, shingles), sorted 64-bit hashes, for the vertices that
     a bitmap of fixed size lets through.
 
-    In the first rounds each key's members are compared with one leader, another for each key and
-    round, which is linear; then only members of a key that are still in different components are
+    In the first rounds each key's members are compared with one leader, which is linear: in the
+    first round by one order for all keys, so that close sets meet the same leader under most keys
+    and few pairs of sets are read, then another for each key; then only members of a key that are still in different components are
     compared with each other.  A pair within one component can add nothing, so the components are
     those of all pairs that share a key.  Sizes and sketches, which never rule a link out, thin
     pairs out inside the joins.
@@ -115,7 +116,7 @@ def link(vertices: DataFrame, sets: Callable[[Membership], DataFrame], percent:
         else:
             named = members.join(labels.withColumnRenamed("component", "c"), "v", "left")
             named = named.withColumn("c", F.coalesce("c", "v"))
-        order = F.xxhash64("v", "key", F.lit(round_)).alias("h")
+        order = (F.xxhash64("v", "key", F.lit(round_)) if round_ else F.xxhash64("v")).alias("h")
         first = F.min(F.struct(order, "v", "c", "n", *SKETCH)).alias("first")
         spans = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), first).filter("lo < hi")
         if round_ < STAR_ROUNDS:

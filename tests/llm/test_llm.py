@@ -226,6 +226,17 @@ def test_ngram_join(spark, odd, empty):
     assert ngram_join.jaccard_components(empty).count() == 0
 
 
+def test_pipeline_keeps_one_of_near_copies(spark):
+    import corpus_pipeline
+
+    texts = near_copies(seed=8, n=80)
+    words = [WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) for t in texts]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in enumerate(words)}
+    want = brute_components(sets, 80)
+    kept = {r.doc_id for r in corpus_pipeline.ngram_join(spark, documents(spark, texts).repartition(3), "").collect()}
+    assert kept == {i for i in sets if not sets[i] or want[i] == i}
+
+
 def test_parity_keys_miss_no_link():
     rng = np.random.default_rng(1)
     for size in (1, 5, 20, 60, 61, 300, 2000):
