@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -32,22 +35,60 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Only a session that names none, such
-    as a local test session, gets a temporary one.
+    Where none is named, a session of one machine (``local[n]``) gets a temporary folder; on a
+    cluster that is an error, as executors do not see each other's disks.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="darkroom-checkpoint-"))
-    return df.checkpoint(eager=True)
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    context = spark.sparkContext
+    if not context.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="darkroom-")
+        atexit.register(shutil.rmtree, _LOCAL[context.applicationId], ignore_errors=True)
+    return _LOCAL[context.applicationId]
+
+
+_LOCAL: dict[str, str] = {}
 
 
-def remainder(column: str, modulus: int):
-    """crc32 of the decimal id, modulo ``modulus``; null ids count as 0."""
-    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(0))
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table of the shared folder, which outlives the executors that wrote it.
+
+    The planner knows the size of such a table and reads it in as many tasks as its size asks for.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/darkroom-{uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables of :func:`cut_lineage` that nothing will read again."""
+    for df in tables:
+        path = getattr(df, "written_at", None)
+        if path:
+            context = df.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like ``wanted`` that no column of ``df`` has, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -63,21 +104,22 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def attach(docs: DataFrame, marks: DataFrame, column: str) -> DataFrame:
-    """``docs`` with ``column`` of ``marks`` (doc_id, text_id, column), null where there is none."""
-    named = marks.select(F.col("doc_id").alias("__doc"), F.col("text_id").alias("__text"), column)
-    return docs.join(named, _same_document(docs), "left").drop("__doc", "__text")
+def attach(docs: DataFrame, marks: DataFrame, column: str, name: str) -> DataFrame:
+    """``docs`` with ``column`` of ``marks`` (doc_id, text_id, column) as ``name``, null where there is none."""
+    doc, text = free_names(docs, "key_doc", "key_text")
+    named = marks.select(F.col("doc_id").alias(doc), F.col("text_id").alias(text), F.col(column).alias(name))
+    return docs.join(named, _same_document(docs, doc, text), "left").drop(doc, text)
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the documents of ``gone`` (doc_id, text_id)."""
-    named = gone.select(F.col("doc_id").alias("__doc"), F.col("text_id").alias("__text"))
-    return docs.join(named, _same_document(docs), "left_anti")
+    doc, text = free_names(docs, "key_doc", "key_text")
+    named = gone.select(F.col("doc_id").alias(doc), F.col("text_id").alias(text))
+    return docs.join(named, _same_document(docs, doc, text), "left_anti")
 
 
-def _same_document(docs: DataFrame):
-    same_text = F.xxhash64(docs["text"]) == F.col("__text")
-    return same_text & docs["doc_id"].cast("long").eqNullSafe(F.col("__doc"))
+def _same_document(docs: DataFrame, doc: str, text: str):
+    return (F.xxhash64(docs["text"]) == F.col(text)) & docs["doc_id"].cast("long").eqNullSafe(F.col(doc))
 
 
 def by_bytes(texts: Iterable[str], limit: int) -> Iterator[list[str]]:
@@ -138,12 +180,18 @@ class Membership:
         return (self.map[at >> 3] >> (at & 7)) & 1 == 1
 
 
-def membership(values: DataFrame, column: str, bits: int = 24) -> Membership:
+#: Largest bitmap: 2 ** MOST_BITS bits are 32 MB.
+MOST_BITS = 28
+
+
+def membership(values: DataFrame, column: str) -> Membership:
     """Bitmap of a column of 64-bit hashes, built on the executors.
 
-    At most ``2 ** bits / 8`` bytes reach the driver, however many values there are.  It only spares
-    later steps work: it never rejects a value of the set, and a full one rejects none.
+    It has about 16 bits a row, and at most 2 ** MOST_BITS, which bounds what reaches the driver and
+    is broadcast, however many values there are.  It only spares later steps work: it never rejects
+    a value of the set, and a full one rejects none.  ``values`` is read twice.
     """
+    bits = min(MOST_BITS, max(16, (16 * values.count()).bit_length()))
     place = F.col(column).bitwiseAND(F.lit((1 << bits) - 1)) + 1  # Spark's buckets start at 1
     rows = (
         values.groupBy(F.bitmap_bucket_number(place).alias("number"))
@@ -152,3 +200,10 @@ def membership(values: DataFrame, column: str, bits: int = 24) -> Membership:
     )
     found = {r["number"]: bytes(r["piece"]) for r in rows}
     return Membership(found, bits)
+
+
+def texts_of(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
+    """The texts of a batch, null as empty, in runs of about 4 MB."""
+    for part in slices(batch, "text"):
+        buffers = (t.as_buffer() for t in part.column("text"))
+        yield [raw.to_pybytes() if raw is not None else b"" for raw in buffers]

@@ -133,7 +133,7 @@ def dedup_lines(
     they are; an empty table gives no rows.
     """
     total, removed = ("n_lines", "n_removed") if counts else ("__lines", "__removed")
-    marked = attach(docs.drop(total, removed), repeated_lines(docs, min_lines), "__gone")
+    marked = attach(docs.drop(total, removed), repeated_lines(docs, min_lines), "__gone", "__gone")
     lines = F.expr("split(text, '\\n', -1)")
     worded = F.size(F.filter(lines, lambda l: l.rlike(WORD)))
     left = F.expr("array_join(filter(split(text, '\\n', -1), (l, i) -> NOT array_contains(__gone, cast(i AS bigint))), '\\n')")

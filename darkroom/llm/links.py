@@ -2,46 +2,100 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.llm.common import Membership, cut_lineage, map_arrow, membership
+from darkroom.llm.common import Membership, cut_lineage, map_arrow, membership, release
 from darkroom.llm.shingles import intersection_size
 
-#: Rounds in which the members of a key are compared with one leader before the rest is compared.
-STAR_ROUNDS = 2
+#: Leaders of a key in the round after the first; each later round has so many times more.
+LEADERS = 16
 #: Words of 64 bits of the parity sketch that travels with a vertex.
 SKETCH_WORDS = 4
 SKETCH = tuple(f"s{i}" for i in range(SKETCH_WORDS))
-
-
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+#: Edges that a task holds at once when it joins those it has.
+HELD_EDGES = 1 << 21
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every vertex of some edges but the least of each component, and that least vertex."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = at[: len(a)], at[len(a) :]
+    root = np.arange(len(names))
+    while True:
+        x, y = root[left], root[right]
+        apart = x != y
+        if not apart.any():
+            break
+        low, high = np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+        np.minimum.at(root, high, low)
+        while True:  # until every vertex names a root
+            further = root[root]
+            if (further == root).all():
+                break
+            root = further
+    some = root != np.arange(len(names))
+    return names[some], names[root[some]]
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """(u, w): edges (u, w) with the same components, as stars within what a task holds at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[], []]
+        n = 0
+        for batch in _and_end(batches):
+            if batch is not None:
+                for side, column in zip(held, ("u", "w")):
+                    side.append(batch.column(column).to_numpy(zero_copy_only=False))
+                n += batch.num_rows
+            if n and (batch is None or n >= HELD_EDGES):
+                u, w = stars(*(np.concatenate(side) for side in held))
+                held, n = [[], []], 0
+                for low in range(0, len(u), 1 << 16):
+                    part = slice(low, low + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(u[part]), pa.array(w[part])], ["u", "w"])
+
+    return edges.mapInArrow(run, "u long, w long")
+
+
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(v, component) for every vertex of ``edges`` (a, b): the smallest vertex it reaches.
 
-    Alternating large-star and small-star rounds; each is a partial aggregation and a join, so a
-    vertex of high degree is spread over tasks.  Rounds end when no edge changes.
+    Tasks first join what they hold into stars.  Then large-star and small-star rounds alternate
+    until no edge changes; each is a partial aggregation and a join, so a vertex of high degree is
+    spread over tasks.  The rounds are known to end; there is no limit to them.
     """
-    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("w"))
-    now = cut_lineage(now.filter("u > w").distinct())
+    now = cut_lineage(_contracted(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("w"))))
     before = None
-    for _ in range(max_rounds):
+    while now.rdd.getNumPartitions() > 1:  # one task's stars are whole components
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "w").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break
         before = state
         both = now.unionAll(now.select(F.col("w").alias("u"), F.col("u").alias("w")))
-        least = both.groupBy("u").agg(F.least(F.min("w"), F.col("u")).alias("m"))
+        least = cut_lineage(both.groupBy("u").agg(F.least(F.min("w"), F.col("u")).alias("m")))
         large = both.join(least, "u").filter("w > u").select(F.col("w").alias("u"), F.col("m").alias("w"))
-        large = large.filter("u > w").distinct()
-        least = large.groupBy("u").agg(F.min("w").alias("m"))
+        large = cut_lineage(large.filter("u > w").distinct())
+        release(least)
+        least = cut_lineage(large.groupBy("u").agg(F.min("w").alias("m")))
         small = large.join(least, "u").filter("w > m").select(F.col("w").alias("u"), F.col("m").alias("w"))
+        last = now
         now = cut_lineage(small.unionAll(least.select("u", F.col("m").alias("w"))).distinct())
+        release(large, least, last)
     roots = now.select(F.col("w").alias("v"), F.col("w").alias("component")).distinct()
-    return now.select(F.col("u").alias("v"), F.col("w").alias("component")).unionAll(roots)
+    found = cut_lineage(now.select(F.col("u").alias("v"), F.col("w").alias("component")).unionAll(roots))
+    release(now)
+    return found
 
 
 def most_apart(small: int, large: int, percent: int) -> int:
@@ -60,101 +114,95 @@ def parity_sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(parity, bitorder="little").view(np.int64)
 
 
-def _possible(a: str, b: str, percent: int) -> Column:
-    """That sizes and sketches of two vertices do not rule a link out."""
+def _possible(a: str, b: str, known: Sequence[str], percent: int) -> Column:
+    """That sizes and sketches, where vertices have them, do not rule a link out."""
+    if not known:
+        return F.lit(True)
     n_a, n_b = F.col(f"{a}n"), F.col(f"{b}n")
     apart = sum((F.bit_count(F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))) for s in SKETCH), F.lit(0))
     sizes = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
     return sizes & ((100 + percent) * apart <= (100 - percent) * (n_a + n_b))
 
 
-def _shared_members(vertices: DataFrame) -> DataFrame:
-    """The (key, v) rows of keys that two or more vertices have.
-
-    A bitmap of fixed size thins the keys out before they are shuffled a second time.
-    """
-    keys = vertices.select(F.explode("keys").alias("key"), "v")
-    spans = keys.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo < hi").select("key")
-    spans = cut_lineage(spans)
-    shared = vertices.sparkSession.sparkContext.broadcast(membership(spans, "key"))
-
-    def thin(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lists = batch.column("keys")
-        keys = lists.flatten().to_numpy(zero_copy_only=False)
-        owner = np.repeat(batch.column("v").to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-        keep = shared.value(keys)
-        return pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(owner[keep])], ["key", "v"])
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """(key): the keys of ``rows`` (key, v) that two or more different v have."""
+    spans = rows.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    return cut_lineage(spans.filter("lo < hi").select("key"))
 
-    some = map_arrow(vertices.filter(F.col("keys").isNotNull()).select("v", "keys"), thin, "key long, v long")
-    return some.distinct().join(spans, "key")
 
-
-def link(vertices: DataFrame, sets: Callable[[Membership], DataFrame], percent: int) -> DataFrame:
+def link(members: DataFrame, sets: Callable[[Membership], DataFrame], percent: int) -> DataFrame:
     """(v, component) of sets linked by a Jaccard similarity of at least ``percent``.
 
-    Candidates share a key.  ``vertices`` has v, n (set size), s0 to s3 (see
-    :func:`parity_sketch`) and keys; a vertex may have several equal rows, and keys may be null in
-    all but one of them.  ``sets`` gives (v, shingles), sorted 64-bit hashes, for the vertices that
-    a bitmap of fixed size lets through.
-
-    In the first rounds each key's members are compared with one leader, which is linear: in the
-    first round by one order for all keys, so that close sets meet the same leader under most keys
-    and few pairs of sets are read, then another for each key; then only members of a key that are still in different components are
-    compared with each other.  A pair within one component can add nothing, so the components are
-    those of all pairs that share a key.  Sizes and sketches, which never rule a link out, thin
-    pairs out inside the joins.
+    Candidates share a key: ``members`` is a table of :func:`cut_lineage` of distinct (key, v); it
+    may have n (set size) and s0 to s3 (see :func:`parity_sketch`) as well, which rule pairs out
+    before their sets are read.  ``sets`` gives (v, shingles), sorted 64-bit hashes, for at least
+    the vertices that a bitmap holds; of rows with the same v any may be taken.
+
+    In the first round each key's members are compared with one leader, by one order for all keys,
+    so that close sets meet the same leader under most keys.  A pair within one component can add
+    nothing, so each later round compares, under the keys whose members still lie in different
+    components, ``LEADERS`` leaders, then ``LEADERS`` ** 2 and so on, with the members of other
+    components.  Who has led has met all members and is done, and a key is closed when all others
+    lie in one component.  So every pair that shares a key is compared or joined otherwise, and only
+    a group of sets that do not link with each other is ever compared pair by pair.
     """
-    described = vertices.groupBy("v").agg(F.first("n").alias("n"), *(F.first(s).alias(s) for s in SKETCH))
-    members = cut_lineage(_shared_members(vertices))
-    known = cut_lineage(described.join(members.select("v").distinct(), "v"))
-    values = cut_lineage(sets(membership(known, "v")).join(known.select("v"), "v", "left_semi"))
-    members = cut_lineage(members.join(known, "v"))
-    edges = tested = labels = None
-    for round_ in range(STAR_ROUNDS + 1):
-        if labels is None:
-            named = members.withColumn("c", F.col("v"))
-        else:
-            named = members.join(labels.withColumnRenamed("component", "c"), "v", "left")
-            named = named.withColumn("c", F.coalesce("c", "v"))
-        order = (F.xxhash64("v", "key", F.lit(round_)) if round_ else F.xxhash64("v")).alias("h")
-        first = F.min(F.struct(order, "v", "c", "n", *SKETCH)).alias("first")
-        spans = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), first).filter("lo < hi")
-        if round_ < STAR_ROUNDS:
-            pairs = named.join(spans, "key").filter((F.col("c") != F.col("first.c")) & _possible("", "first.", percent))
-            pairs = pairs.select(F.least("v", "first.v").alias("a"), F.greatest("v", "first.v").alias("b"))
-        else:
-            open_ = named.join(spans.select("key"), "key").select("key", "v", "c", "n", *SKETCH)
-            other = open_.select("key", *(F.col(x).alias(f"o_{x}") for x in ("v", "c", "n", *SKETCH)))
-            near = (F.col("c") != F.col("o_c")) & (F.col("v") < F.col("o_v")) & _possible("", "o_", percent)
-            pairs = open_.withColumnRenamed("key", "k").join(other, (F.col("k") == F.col("key")) & near)
-            pairs = pairs.select(F.col("v").alias("a"), F.col("o_v").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
-        if pairs.isEmpty():
-            continue
-        found = cut_lineage(verified(pairs, values, percent))
-        edges = found if edges is None else edges.unionAll(found)
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        labels = cut_lineage(components(edges))
-    if labels is None:
-        return members.select("v", F.col("v").alias("component")).limit(0)
+    known = [c for c in ("n", *SKETCH) if c in members.columns]
+    values = cut_lineage(sets(membership(members, "v")).groupBy("v").agg(F.first("shingles").alias("shingles")))
+    own = F.xxhash64("v", F.lit("leader"))
+    spans = members.groupBy("key").agg(
+        F.min(F.struct(own.alias("h"), "v", *known)).alias("first"), F.max(F.struct(own.alias("h"), "v")).alias("last")
+    )
+    # what an aggregation gives is written before it is joined, so that a join on a hot key can be split
+    spans = cut_lineage(spans.filter(F.col("first.v") != F.col("last.v")).select("key", "first"))
+    pairs = members.join(spans, "key").filter((F.col("v") != F.col("first.v")) & _possible("", "first.", known, percent))
+    edges = verified(pairs.select(F.col("first.v").alias("a"), F.col("v").alias("b")), values, percent)
+    release(spans)
+    labels = components(edges)
+    release(edges)
+    live, led = members, 0
+    while True:
+        leaders = LEADERS if not led else led * LEADERS
+        named = live.drop("c").join(labels.withColumnRenamed("component", "c"), "v", "left")
+        named = named.withColumn("c", F.coalesce("c", "v"))
+        if led:
+            named = named.filter(F.col("place") * F.col("m") >= led)
+        spans = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("of"))
+        spans = cut_lineage(spans.filter("lo < hi").select("key", "of"))
+        named = named.join(spans, "key")
+        if not led:
+            place = F.pmod(F.xxhash64("v", "key"), F.lit(1 << 31)) / float(1 << 31)
+            named = named.withColumns({"m": F.col("of"), "place": place})
+        last, live = live, cut_lineage(named.drop("of"))
+        release(spans, last if led else None)
+        if live.isEmpty():
+            break
+        other = live.filter(F.col("place") * F.col("m") < leaders)
+        other = other.select("key", *(F.col(x).alias(f"o_{x}") for x in ("v", "c", *known)))
+        pairs = live.join(other, "key").filter((F.col("c") != F.col("o_c")) & _possible("", "o_", known, percent))
+        pairs = pairs.select(F.least("v", "o_v").alias("a"), F.greatest("v", "o_v").alias("b"))
+        more = verified(pairs, values, percent)
+        if not more.isEmpty():
+            named = components(more.unionAll(labels.select(F.col("v").alias("a"), F.col("component").alias("b"))))
+            release(labels)
+            labels = named
+        release(more)
+        led = leaders
+    release(live, values)
     return labels
 
 
 def verified(pairs: DataFrame, values: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sets hold 100 * intersection >= percent * union."""
-    joined = pairs.select("a", "b")
-    for side in ("a", "b"):
+    """The pairs (a, b) whose sets hold 100 * intersection >= percent * union."""
+    joined = pairs.distinct()
+    for side in ("b", "a"):  # of the leader, a, there may be many
         joined = joined.join(values.select(F.col("v").alias(side), F.col("shingles").alias(f"set_{side}")), side)
 
     def holds(batch: pa.RecordBatch) -> pa.RecordBatch:
         good = []
-        for x, y in zip(*(batch.column(c).to_pylist() for c in ("set_a", "set_b"))):
-            left, right = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+        for x, y in zip(batch.column("set_a"), batch.column("set_b")):
+            left, right = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (x, y))
             both = intersection_size(left, right)
             good.append(100 * both >= percent * (len(left) + len(right) - both))
         return batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return map_arrow(joined.select("a", "b", "set_a", "set_b"), holds, "a long, b long")
+    return cut_lineage(map_arrow(joined.select("a", "b", "set_a", "set_b"), holds, "a long, b long"))

@@ -10,8 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.llm.common import Membership, cut_lineage, keyed, slices, without
-from darkroom.llm.links import SKETCH, link, most_apart, parity_sketch
+from darkroom.llm.common import Membership, cut_lineage, keyed, map_arrow, membership, release, texts_of, without
+from darkroom.llm.links import SKETCH, link, most_apart, parity_sketch, shared_keys
 from darkroom.llm.shingles import mix, shingle_set, signed, word_hashes
 
 #: Ratio of the upper to the lower size of a band.
@@ -64,13 +64,10 @@ def parity_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _each(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, np.ndarray]]:
-    row = 0
-    for part in slices(batch, "text"):
-        for text in part.column("text"):
-            raw = text.as_buffer()
-            yield row, shingle_set(word_hashes(raw.to_pybytes() if raw is not None else b""), length)
-            row += 1
+def _each(batch: pa.RecordBatch, length: int) -> Iterator[np.ndarray]:
+    for texts in texts_of(batch):
+        for text in texts:
+            yield shingle_set(word_hashes(text), length)
 
 
 def set_rows(docs: DataFrame, length: int, percent: int) -> DataFrame:
@@ -84,7 +81,7 @@ def set_rows(docs: DataFrame, length: int, percent: int) -> DataFrame:
         for batch in batches:
             sizes, ids, keys = [], [], []
             sketches = np.zeros((batch.num_rows, len(SKETCH)), dtype=np.int64)
-            for row, shingles in _each(batch, length):
+            for row, shingles in enumerate(_each(batch, length)):
                 sizes.append(len(shingles))
                 ids.append(set_id(shingles) if len(shingles) else None)
                 fresh = len(shingles) > 0 and ids[-1] not in seen
@@ -113,18 +110,57 @@ def set_id(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-def _sets(docs: DataFrame, length: int, wanted: Membership) -> DataFrame:
-    """(v, shingles) of the sets that ``wanted`` may hold, one row each."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+def _members(rows: DataFrame) -> DataFrame:
+    """Distinct (key, v, n, s0 to s3) under the keys that two or more sets have.
+
+    A bitmap thins the keys out before they are shuffled a second time, with what describes the set.
+    """
+    shared = shared_keys(rows.select(F.explode("keys").alias("key"), F.col("set_id").alias("v")))
+    held = rows.sparkSession.sparkContext.broadcast(membership(shared, "key"))
+
+    def thin(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column("keys")
+        keys = lists.flatten().to_numpy(zero_copy_only=False)
+        keep = held.value(keys)
+        owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))[keep]
+        about = [batch.column(c).take(pa.array(owner)) for c in ("set_id", "n", *SKETCH)]
+        return pa.RecordBatch.from_arrays([pa.array(keys[keep]), *about], ["key", "v", "n", *SKETCH])
+
+    some = rows.filter("keys IS NOT NULL").select("set_id", "n", *SKETCH, "keys")
+    fields = ", ".join(f"{c} long" for c in ("key", "v", "n", *SKETCH))
+    thinned = map_arrow(some, thin, fields).join(shared, "key", "left_semi")
+    members = thinned.groupBy("key", "v").agg(*(F.first(c).alias(c) for c in ("n", *SKETCH)))
+    members = cut_lineage(members)
+    release(shared)
+    return members
+
+
+def _sets(docs: DataFrame, rows: DataFrame, length: int, wanted: Membership) -> DataFrame:
+    """(v, shingles) of the sets that ``wanted`` may hold, a row or more each.
+
+    Only texts whose set is wanted, again by a bitmap, are split into words once more.
+    """
+    context = docs.sparkSession.sparkContext
+    held = context.broadcast(wanted)
+
+    def known(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = held.value(batch.column("set_id").to_numpy(zero_copy_only=False))
+        return pa.RecordBatch.from_arrays([batch.column("text_id").filter(pa.array(keep))], ["text_id"])
+
+    of_texts = cut_lineage(map_arrow(rows.filter("set_id IS NOT NULL").select("text_id", "set_id"), known, "text_id long"))
+    texts = context.broadcast(membership(of_texts, "text_id"))
+    release(of_texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
+            some = texts.value(batch.column("text_id").to_numpy(zero_copy_only=False))
+            batch = batch.filter(pa.array(some))
             ids, values = [], []
-            for _, shingles in _each(batch, length):
+            for shingles in _each(batch, length):
                 if len(shingles):
                     owner = set_id(shingles)
-                    if owner not in seen and shared.value(np.array([owner]))[0]:
+                    if owner not in seen and held.value(np.array([owner]))[0]:
                         ids.append(owner)
                         values.append(shingles.tobytes())
                         if len(seen) < 1_000_000:
@@ -132,8 +168,7 @@ def _sets(docs: DataFrame, length: int, wanted: Membership) -> DataFrame:
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.binary())], ["v", "shingles"])
 
-    found = docs.select("text").mapInArrow(run, "v long, shingles binary")
-    return found.groupBy("v").agg(F.first("shingles").alias("shingles"))
+    return docs.select("text_id", "text").mapInArrow(run, "v long, shingles binary")
 
 
 def jaccard_components(docs: DataFrame, length: int = 3, percent: int = 90) -> DataFrame:
@@ -155,26 +190,27 @@ def one_of_each(docs: DataFrame, length: int = 3, percent: int = 90) -> DataFram
     """``docs`` with one document of each component, that of the least doc_id (then text hash).
 
     Documents without words are no copies of each other and all stay.  Rows that repeat a doc_id
-    with an equal text are one document.
+    with an equal text are one document.  All columns stay, whatever their names; an empty table
+    gives no rows.
     """
     rows = cut_lineage(_components(docs, length, percent).filter("n_shingles > 0"))
     name = F.struct("doc_id", "text_id")
-    first = rows.groupBy("component_id").agg(F.min(name).alias("first"), F.max(name).alias("last"))
-    more = first.filter("first != last").select("component_id", "first")
-    return without(docs, rows.join(more, "component_id").filter(name != F.col("first")).distinct())
+    first = rows.groupBy("component").agg(F.min(name).alias("first"), F.max(name).alias("last"))
+    more = cut_lineage(first.filter("NOT first <=> last").select("component", "first"))
+    gone = rows.join(more, "component").filter(~name.eqNullSafe(F.col("first"))).select("doc_id", "text_id").distinct()
+    return without(docs, gone)
 
 
 def _components(docs: DataFrame, length: int, percent: int) -> DataFrame:
+    """(doc_id, text_id, n_shingles, component, component_id) of every document."""
     docs = keyed(docs)
     rows = cut_lineage(set_rows(docs, length, percent))
-    known = rows.filter(F.col("set_id").isNotNull())
-    vertices = known.withColumnRenamed("set_id", "v").select("v", "n", *SKETCH, "keys")
-    labels = link(vertices, lambda wanted: _sets(docs, length, wanted), percent)
-    reps = known.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    named = reps.join(labels.withColumnRenamed("v", "set_id"), "set_id", "left")
-    named = named.withColumn("component", F.coalesce("component", "set_id"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_set = named.join(least, "component").select("set_id", "component_id")
-    return rows.select("doc_id", "text_id", "n", "set_id").join(of_set, "set_id", "left").select(
-        "doc_id", "text_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    members = _members(rows)
+    labels = link(members, lambda wanted: _sets(docs, rows, length, wanted), percent)
+    release(members)
+    named = rows.select("doc_id", "text_id", F.col("n").alias("n_shingles"), "set_id")
+    named = named.join(labels.withColumnRenamed("v", "set_id"), "set_id", "left")
+    named = named.withColumn("component", F.coalesce("component", "set_id")).drop("set_id")
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("of"))
+    least = cut_lineage(least.filter("component IS NOT NULL AND of > 1").drop("of"))
+    return named.join(least, "component", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))

@@ -434,7 +434,7 @@ def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
                     NOT exists(__spans, s -> s.line = i AND j >= s.start AND j < s.end)), ' '), '')
              ELSE l END), l -> l IS NOT NULL), '\n')"""
     )
-    marked = attach(docs, spans, "__spans")
+    marked = attach(docs, spans, "__spans", "__spans")
     rewritten = marked.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(left))
     some = F.col("__spans").isNull() | F.col("text").rlike(WORD)
     return rewritten.filter(some).select(*docs.columns)
