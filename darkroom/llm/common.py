@@ -157,7 +157,7 @@ def map_arrow(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = function(batch)
+            out = function(batch) if batch.num_rows else None
             if out is not None and out.num_rows:
                 yield out
 

@@ -24,7 +24,7 @@ class WordHashes(dict):
         return value
 
 
-_WORDS = WordHashes()
+WORDS = WordHashes()
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -36,7 +36,7 @@ def mix(values: np.ndarray) -> np.ndarray:
 def word_hashes(text: bytes) -> np.ndarray:
     """Hashes of the words of a UTF-8 text, A-Z lower-cased; ASCII blanks part words."""
     words = text.lower().split()
-    return np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
+    return np.fromiter(map(WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def runs(hashes: np.ndarray, length: int) -> np.ndarray:
