@@ -130,13 +130,32 @@ def shared_keys(rows: DataFrame) -> DataFrame:
     return cut_lineage(spans.filter("lo < hi").select("key"))
 
 
-def link(members: DataFrame, sets: Callable[[Membership], DataFrame], percent: int) -> DataFrame:
-    """(v, component) of sets linked by a Jaccard similarity of at least ``percent``.
+#: Which of some pairs of values, given as two columns of equal length, are linked.
+Alike = Callable[[pa.Array, pa.Array], np.ndarray]
+
+
+def jaccard(percent: int) -> Alike:
+    """Sorted 64-bit hashes with 100 * intersection >= percent * union."""
+
+    def alike(one: pa.Array, other: pa.Array) -> np.ndarray:
+        good = np.zeros(len(one), dtype=bool)
+        for row, pair in enumerate(zip(one, other)):
+            left, right = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in pair)
+            both = intersection_size(left, right)
+            good[row] = 100 * both >= percent * (len(left) + len(right) - both)
+        return good
+
+    return alike
+
+
+def link(members: DataFrame, known_values: Callable[[Membership], DataFrame], alike: Alike, percent: int = 0) -> DataFrame:
+    """(v, component) of the vertices whose values ``alike`` links, directly or by others.
 
     Candidates share a key: ``members`` is a table of :func:`cut_lineage` of distinct (key, v); it
-    may have n (set size) and s0 to s3 (see :func:`parity_sketch`) as well, which rule pairs out
-    before their sets are read.  ``sets`` gives (v, shingles), sorted 64-bit hashes, for at least
-    the vertices that a bitmap holds; of rows with the same v any may be taken.
+    may have n (set size) and s0 to s3 (see :func:`parity_sketch`) as well, which rule pairs of a
+    lower Jaccard similarity than ``percent`` out before their values are read.  ``known_values``
+    gives (v, value) for at least the vertices that a bitmap holds; of rows with the same v any may
+    be taken.
 
     In the first round each key's members are compared with one leader, by one order for all keys,
     so that close sets meet the same leader under most keys.  A pair within one component can add
@@ -147,7 +166,7 @@ def link(members: DataFrame, sets: Callable[[Membership], DataFrame], percent: i
     a group of sets that do not link with each other is ever compared pair by pair.
     """
     known = [c for c in ("n", *SKETCH) if c in members.columns]
-    values = cut_lineage(sets(membership(members, "v")).groupBy("v").agg(F.first("shingles").alias("shingles")))
+    values = cut_lineage(known_values(membership(members, "v")).groupBy("v").agg(F.first("value").alias("value")))
     own = F.xxhash64("v", F.lit("leader"))
     spans = members.groupBy("key").agg(
         F.min(F.struct(own.alias("h"), "v", *known)).alias("first"), F.max(F.struct(own.alias("h"), "v")).alias("last")
@@ -155,7 +174,7 @@ def link(members: DataFrame, sets: Callable[[Membership], DataFrame], percent: i
     # what an aggregation gives is written before it is joined, so that a join on a hot key can be split
     spans = cut_lineage(spans.filter(F.col("first.v") != F.col("last.v")).select("key", "first"))
     pairs = members.join(spans, "key").filter((F.col("v") != F.col("first.v")) & _possible("", "first.", known, percent))
-    edges = verified(pairs.select(F.col("first.v").alias("a"), F.col("v").alias("b")), values, percent)
+    edges = verified(pairs.select(F.col("first.v").alias("a"), F.col("v").alias("b")), values, alike)
     release(spans)
     labels = components(edges)
     release(edges)
@@ -180,7 +199,7 @@ def link(members: DataFrame, sets: Callable[[Membership], DataFrame], percent: i
         other = other.select("key", *(F.col(x).alias(f"o_{x}") for x in ("v", "c", *known)))
         pairs = live.join(other, "key").filter((F.col("c") != F.col("o_c")) & _possible("", "o_", known, percent))
         pairs = pairs.select(F.least("v", "o_v").alias("a"), F.greatest("v", "o_v").alias("b"))
-        more = verified(pairs, values, percent)
+        more = verified(pairs, values, alike)
         if not more.isEmpty():
             named = components(more.unionAll(labels.select(F.col("v").alias("a"), F.col("component").alias("b"))))
             release(labels)
@@ -191,18 +210,14 @@ def link(members: DataFrame, sets: Callable[[Membership], DataFrame], percent: i
     return labels
 
 
-def verified(pairs: DataFrame, values: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets hold 100 * intersection >= percent * union."""
+def verified(pairs: DataFrame, values: DataFrame, alike: Alike) -> DataFrame:
+    """The pairs (a, b) whose values are alike."""
     joined = pairs.distinct()
     for side in ("b", "a"):  # of the leader, a, there may be many
-        joined = joined.join(values.select(F.col("v").alias(side), F.col("shingles").alias(f"set_{side}")), side)
+        joined = joined.join(values.select(F.col("v").alias(side), F.col("value").alias(f"value_{side}")), side)
 
     def holds(batch: pa.RecordBatch) -> pa.RecordBatch:
-        good = []
-        for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-            left, right = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (x, y))
-            both = intersection_size(left, right)
-            good.append(100 * both >= percent * (len(left) + len(right) - both))
-        return batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        good = alike(batch.column("value_a"), batch.column("value_b"))
+        return batch.select(["a", "b"]).filter(pa.array(good))
 
-    return cut_lineage(map_arrow(joined.select("a", "b", "set_a", "set_b"), holds, "a long, b long"))
+    return cut_lineage(map_arrow(joined.select("a", "b", "value_a", "value_b"), holds, "a long, b long"))

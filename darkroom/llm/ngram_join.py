@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from darkroom.llm.common import Membership, cut_lineage, keyed, map_arrow, membership, release, texts_of, without
-from darkroom.llm.links import SKETCH, link, most_apart, parity_sketch, shared_keys
+from darkroom.llm.links import SKETCH, jaccard, link, most_apart, parity_sketch, shared_keys
 from darkroom.llm.shingles import mix, shingle_set, signed, word_hashes
 
 #: Ratio of the upper to the lower size of a band.
@@ -136,7 +136,7 @@ def _members(rows: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, rows: DataFrame, length: int, wanted: Membership) -> DataFrame:
-    """(v, shingles) of the sets that ``wanted`` may hold, a row or more each.
+    """(v, value): the shingles of the sets that ``wanted`` may hold, a row or more each.
 
     Only texts whose set is wanted, again by a bitmap, are split into words once more.
     """
@@ -166,9 +166,9 @@ def _sets(docs: DataFrame, rows: DataFrame, length: int, wanted: Membership) ->
                         if len(seen) < 1_000_000:
                             seen.add(owner)
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.binary())], ["v", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.binary())], ["v", "value"])
 
-    return docs.select("text_id", "text").mapInArrow(run, "v long, shingles binary")
+    return docs.select("text_id", "text").mapInArrow(run, "v long, value binary")
 
 
 def jaccard_components(docs: DataFrame, length: int = 3, percent: int = 90) -> DataFrame:
@@ -206,7 +206,7 @@ def _components(docs: DataFrame, length: int, percent: int) -> DataFrame:
     docs = keyed(docs)
     rows = cut_lineage(set_rows(docs, length, percent))
     members = _members(rows)
-    labels = link(members, lambda wanted: _sets(docs, rows, length, wanted), percent)
+    labels = link(members, lambda wanted: _sets(docs, rows, length, wanted), jaccard(percent), percent)
     release(members)
     named = rows.select("doc_id", "text_id", F.col("n").alias("n_shingles"), "set_id")
     named = named.join(labels.withColumnRenamed("v", "set_id"), "set_id", "left")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from darkroom.llm.common import WORD, Membership, attach, cut_lineage, free_names, keyed, map_arrow, membership, release, texts_of
-from darkroom.llm.links import link, shared_keys
+from darkroom.llm.links import jaccard, link, shared_keys
 from darkroom.llm.shingles import WORDS, mix, runs, signed
 
 SHINGLE = 5
@@ -233,7 +233,7 @@ def _members(units: DataFrame, shared: DataFrame, held) -> DataFrame:
 
 
 def _sets(docs: DataFrame, units: DataFrame, min_words: int, block_words: int, wanted: Membership) -> DataFrame:
-    """(v, shingles) of the paragraphs that ``wanted`` may hold, a row or more each."""
+    """(v, value): the shingles of the paragraphs that ``wanted`` may hold, a row or more each."""
     context = docs.sparkSession.sparkContext
     held = context.broadcast(wanted)
 
@@ -255,9 +255,9 @@ def _sets(docs: DataFrame, units: DataFrame, min_words: int, block_words: int, w
             _, first = np.unique(ids, return_index=True)
             which = first[held.value(ids[first])] if len(first) else first
             found |= zip(ids[which].tolist(), (s.tobytes() for s in units.paragraph_sets(which)))
-        return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())], ["v", "shingles"])
+        return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())], ["v", "value"])
 
-    return map_arrow(docs.select("text_id", "text"), run, "v long, shingles binary")
+    return map_arrow(docs.select("text_id", "text"), run, "v long, value binary")
 
 
 def _occurrences(units: DataFrame, block_words: int, held) -> DataFrame:
@@ -429,7 +429,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 20, block_words: int = 2
     held = context.broadcast(membership(shared, "key"))
     members = _members(units, shared, held)
     release(shared)
-    labels = link(members, lambda wanted: _sets(docs, units, min_words, block_words, wanted), percent)
+    labels = link(members, lambda wanted: _sets(docs, units, min_words, block_words, wanted), jaccard(percent))
     release(members)
     found = _occurrences(units, block_words, held).join(labels, "v", "left")
     found = cut_lineage(found.withColumn("component", F.coalesce("component", "v")).drop("v"))
