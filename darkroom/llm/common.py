@@ -123,15 +123,16 @@ def _same_document(docs: DataFrame, doc: str, text: str):
 
 
 def by_bytes(texts: Iterable[str], limit: int) -> Iterator[list[str]]:
-    """Consecutive runs of texts of about ``limit`` characters; a longer text stands alone."""
+    """Consecutive runs of texts of about ``limit`` UTF-8 bytes; a longer text stands alone."""
     run: list[str] = []
-    size = 0
+    held = 0
     for text in texts:
-        if run and size + len(text) > limit:
+        size = len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+        if run and held + size > limit:
             yield run
-            run, size = [], 0
+            run, held = [], 0
         run.append(text)
-        size += len(text)
+        held += size
     if run:
         yield run
 
@@ -184,14 +185,14 @@ class Membership:
 MOST_BITS = 28
 
 
-def membership(values: DataFrame, column: str) -> Membership:
+def membership(values: DataFrame, column: str, bits_a_row: int = 16) -> Membership:
     """Bitmap of a column of 64-bit hashes, built on the executors.
 
-    It has about 16 bits a row, and at most 2 ** MOST_BITS, which bounds what reaches the driver and
+    It has about ``bits_a_row`` bits a row, and at most 2 ** MOST_BITS, which bounds what reaches the driver and
     is broadcast, however many values there are.  It only spares later steps work: it never rejects
     a value of the set, and a full one rejects none.  ``values`` is read twice.
     """
-    bits = min(MOST_BITS, max(16, (16 * values.count()).bit_length()))
+    bits = min(MOST_BITS, max(16, (bits_a_row * values.count()).bit_length()))
     place = F.col(column).bitwiseAND(F.lit((1 << bits) - 1)) + 1  # Spark's buckets start at 1
     rows = (
         values.groupBy(F.bitmap_bucket_number(place).alias("number"))

@@ -71,16 +71,30 @@ def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
 def components(edges: DataFrame) -> DataFrame:
     """(v, component) for every vertex of ``edges`` (a, b): the smallest vertex it reaches.
 
-    Tasks first join what they hold into stars.  Then large-star and small-star rounds alternate
-    until no edge changes; each is a partial aggregation and a join, so a vertex of high degree is
-    spread over tasks.  The rounds are known to end; there is no limit to them.
+    Tasks first join what they hold into stars, of at most ``HELD_EDGES`` edges at once.  If no more
+    than that are left of all of them, one task joins these.  Else large-star and small-star rounds
+    alternate until no edge changes; each is a partial aggregation and a join, so a vertex of high
+    degree is spread over tasks.  The rounds are known to end; there is no limit to them.
     """
     now = cut_lineage(_contracted(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("w"))))
+    if now.count() <= HELD_EDGES:
+        last, now = now, cut_lineage(_contracted(now.coalesce(1)))
+        release(last)
+    else:
+        now = _settled(now)
+    roots = now.select(F.col("w").alias("v"), F.col("w").alias("component")).distinct()
+    found = cut_lineage(now.select(F.col("u").alias("v"), F.col("w").alias("component")).unionAll(roots))
+    release(now)
+    return found
+
+
+def _settled(now: DataFrame) -> DataFrame:
+    """Stars (u, w) of whole components, from a written table of edges u > w."""
     before = None
-    while now.rdd.getNumPartitions() > 1:  # one task's stars are whole components
+    while True:
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "w").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
-            break
+            return now
         before = state
         both = now.unionAll(now.select(F.col("w").alias("u"), F.col("u").alias("w")))
         least = cut_lineage(both.groupBy("u").agg(F.least(F.min("w"), F.col("u")).alias("m")))
@@ -92,10 +106,6 @@ def components(edges: DataFrame) -> DataFrame:
         last = now
         now = cut_lineage(small.unionAll(least.select("u", F.col("m").alias("w"))).distinct())
         release(large, least, last)
-    roots = now.select(F.col("w").alias("v"), F.col("w").alias("component")).distinct()
-    found = cut_lineage(now.select(F.col("u").alias("v"), F.col("w").alias("component")).unionAll(roots))
-    release(now)
-    return found
 
 
 def most_apart(small: int, large: int, percent: int) -> int:
@@ -151,11 +161,11 @@ def jaccard(percent: int) -> Alike:
 def link(members: DataFrame, known_values: Callable[[Membership], DataFrame], alike: Alike, percent: int = 0) -> DataFrame:
     """(v, component) of the vertices whose values ``alike`` links, directly or by others.
 
-    Candidates share a key: ``members`` is a table of :func:`cut_lineage` of distinct (key, v); it
-    may have n (set size) and s0 to s3 (see :func:`parity_sketch`) as well, which rule pairs of a
-    lower Jaccard similarity than ``percent`` out before their values are read.  ``known_values``
-    gives (v, value) for at least the vertices that a bitmap holds; of rows with the same v any may
-    be taken.
+    Candidates share a key: ``members`` is a table of :func:`cut_lineage` of distinct (key, v).
+    ``known_values`` gives (v, value) for at least the vertices that a bitmap holds; of rows with
+    the same v any may be taken.  Either may have n (set size) and s0 to s3 (see
+    :func:`parity_sketch`) as well, which rule pairs of a lower Jaccard similarity than ``percent``
+    out before they are gathered and their values read.
 
     In the first round each key's members are compared with one leader, by one order for all keys,
     so that close sets meet the same leader under most keys.  A pair within one component can add
@@ -165,8 +175,12 @@ def link(members: DataFrame, known_values: Callable[[Membership], DataFrame], al
     lie in one component.  So every pair that shares a key is compared or joined otherwise, and only
     a group of sets that do not link with each other is ever compared pair by pair.
     """
-    known = [c for c in ("n", *SKETCH) if c in members.columns]
-    values = cut_lineage(known_values(membership(members, "v")).groupBy("v").agg(F.first("value").alias("value")))
+    about = ("n", *SKETCH)
+    values = known_values(membership(members, "v"))
+    values = cut_lineage(values.groupBy("v").agg(*(F.first(c).alias(c) for c in values.columns if c != "v")))
+    if "n" in values.columns:
+        members = cut_lineage(members.join(values.select("v", *about), "v"))
+    known = [c for c in about if c in members.columns]
     own = F.xxhash64("v", F.lit("leader"))
     spans = members.groupBy("key").agg(
         F.min(F.struct(own.alias("h"), "v", *known)).alias("first"), F.max(F.struct(own.alias("h"), "v")).alias("last")

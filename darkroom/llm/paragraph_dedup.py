@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from darkroom.llm.common import WORD, Membership, attach, cut_lineage, free_names, keyed, map_arrow, membership, release, texts_of
-from darkroom.llm.links import jaccard, link, shared_keys
+from darkroom.llm.links import SKETCH, jaccard, link, parity_sketch, shared_keys
 from darkroom.llm.shingles import WORDS, mix, runs, signed
 
 SHINGLE = 5
@@ -233,7 +233,7 @@ def _members(units: DataFrame, shared: DataFrame, held) -> DataFrame:
 
 
 def _sets(docs: DataFrame, units: DataFrame, min_words: int, block_words: int, wanted: Membership) -> DataFrame:
-    """(v, value): the shingles of the paragraphs that ``wanted`` may hold, a row or more each."""
+    """(v, value, n, s0 to s3): shingles, their number and parity sketch of the paragraphs that ``wanted`` may hold."""
     context = docs.sparkSession.sparkContext
     held = context.broadcast(wanted)
 
@@ -248,16 +248,24 @@ def _sets(docs: DataFrame, units: DataFrame, min_words: int, block_words: int, w
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         batch = batch.filter(pa.array(texts.value(batch.column("text_id").to_numpy(zero_copy_only=False))))
-        found: dict[int, bytes] = {}
+        found: dict[int, np.ndarray] = {}
         for some in texts_of(batch):
             units = Units(some, min_words, block_words)
             ids = units.paragraph_ids()
             _, first = np.unique(ids, return_index=True)
             which = first[held.value(ids[first])] if len(first) else first
-            found |= zip(ids[which].tolist(), (s.tobytes() for s in units.paragraph_sets(which)))
-        return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())], ["v", "value"])
+            found |= zip(ids[which].tolist(), units.paragraph_sets(which))
+        sketches = np.array([parity_sketch(s) for s in found.values()]).reshape(-1, len(SKETCH))
+        columns = [
+            pa.array(found.keys(), pa.int64()),
+            pa.array([s.tobytes() for s in found.values()], pa.binary()),
+            pa.array([len(s) for s in found.values()], pa.int64()),
+            *(pa.array(np.ascontiguousarray(c)) for c in sketches.T),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["v", "value", "n", *SKETCH])
 
-    return map_arrow(docs.select("text_id", "text"), run, "v long, value binary")
+    words = ", ".join(f"{s} long" for s in SKETCH)
+    return map_arrow(docs.select("text_id", "text"), run, f"v long, value binary, n long, {words}")
 
 
 def _occurrences(units: DataFrame, block_words: int, held) -> DataFrame:
@@ -296,7 +304,7 @@ def _surroundings(docs: DataFrame, reach: int, places: DataFrame) -> DataFrame:
     at least the (text_id, at) of ``places``."""
     context = docs.sparkSession.sparkContext
     spots = cut_lineage(places.select("text_id", F.col("text_id").bitwiseXOR(F.col("at")).alias("spot")))
-    texts, held = (context.broadcast(membership(spots, c)) for c in ("text_id", "spot"))
+    texts, held = context.broadcast(membership(spots, "text_id")), context.broadcast(membership(spots, "spot", 64))
     release(spots)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -429,7 +437,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 20, block_words: int = 2
     held = context.broadcast(membership(shared, "key"))
     members = _members(units, shared, held)
     release(shared)
-    labels = link(members, lambda wanted: _sets(docs, units, min_words, block_words, wanted), jaccard(percent))
+    labels = link(members, lambda wanted: _sets(docs, units, min_words, block_words, wanted), jaccard(percent), percent)
     release(members)
     found = _occurrences(units, block_words, held).join(labels, "v", "left")
     found = cut_lineage(found.withColumn("component", F.coalesce("component", "v")).drop("v"))
