@@ -15,6 +15,10 @@ from darkroom.llm.common import map_arrow, slices
 
 SENTENCE_END = re.compile(r"[.!?\n]+")
 WORD = re.compile(r"\w+")
+#: The most that a word takes from its sentence's sum, so that harmless words do not drown an insult.
+LEAST = -0.15
+#: Share of clean texts, held out of the fit in turn, that the cut of 0.5 leaves alone.
+LEFT_ALONE = 0.995
 #: Words of a window; longer sentences are read in windows that overlap by half.
 WINDOW = 64
 
@@ -57,7 +61,7 @@ def windows(text: str) -> list[list[str]]:
 
 
 class ToxicityModel:
-    """Sum of word weights per sentence, largest sentence per text, logistic link."""
+    """Sum of word weights (none below LEAST) per sentence, largest sentence per text, logistic link."""
 
     def __init__(self, weights: np.ndarray, slope: float, shift: float, bits: int):
         self.weights, self.slope, self.shift, self.bits = weights, slope, shift, bits
@@ -69,15 +73,20 @@ class ToxicityModel:
     def _weight(self, word: str) -> float:
         found = self._memo.get(word)
         if found is None:
-            found = self._memo[word] = float(self.weights[word_features(word[:256], self.bits)].sum())
+            found = max(LEAST, float(self.weights[word_features(word, self.bits)].sum()))
+            if len(word) <= 64:
+                self._memo[word] = found
         return found
 
     def raw(self, text: str) -> float:
         """The largest sum over the text's sentences; 0 without words."""
+        return self.largest(windows(text))
+
+    def largest(self, groups: Sequence[Sequence[str]]) -> float:
         if len(self._memo) > 300_000:
             self._memo.clear()
         weight = self._weight
-        return max((sum(map(weight, words)) for words in windows(text)), default=0.0)
+        return max((sum(map(weight, words)) for words in groups), default=0.0)
 
     def scores(self, texts: Iterable[str]) -> np.ndarray:
         z = np.array([self.raw(t) for t in texts], dtype=np.float64) * self.slope + self.shift
@@ -92,7 +101,7 @@ class _Sentences:
         self.words = np.array([number.setdefault(w, len(number)) for s in sentences for w in s], dtype=np.int64)
         self.sentence = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
         self.n = len(sentences)
-        features = [word_features(w[:256], bits) for w in number]
+        features = [word_features(w, bits) for w in number]
         self.features = np.array([f for fs in features for f in fs], dtype=np.int64)
         self.word_of = np.repeat(np.arange(len(features)), [len(f) for f in features])
         self.n_words, self.n_features = len(features), 1 << bits
@@ -156,8 +165,9 @@ def fit(
     A text is toxic if one of its sentences is.  Each round fits sentence scores: every sentence
     of clean texts counts as clean, and of each toxic text all sentences (first round) or the one
     that scores highest (later rounds) count as toxic.  ``penalty`` times the squared change of
-    score between counterfactual sentences is added to the logistic loss.  Without both labels
-    every text gets a low (or high) score according to the one label seen.
+    score between counterfactual sentences is added to the logistic loss.  The logistic link is
+    fitted to sums of texts that two further fits, each on half of the texts, have not seen.
+    Without both labels every text gets a low (or high) score according to the one label seen.
     """
     groups = [windows(t) for t in texts]
     labels = np.asarray(labels, dtype=np.int64)
@@ -165,9 +175,40 @@ def fit(
     if len(set(labels[kept].tolist())) < 2:
         shift = 4.0 if len(labels) and labels.mean() > 0.5 else -4.0
         return ToxicityModel(np.zeros(1 << bits, dtype=np.float32), 1.0, shift, bits)
-    sentences = [s for i in kept for s in groups[i]]
-    text_of = np.repeat(np.arange(len(kept)), [len(groups[i]) for i in kept])
-    of_text = labels[kept]
+    groups, labels = [groups[i] for i in kept], labels[kept]
+    learn = lambda which: ToxicityModel(
+        _learn([groups[i] for i in which], labels[which], terms, penalty, bits, rounds, steps, decay, carriers, seed), 1.0, 0.0, bits
+    )
+    model = learn(np.arange(len(labels)))
+    half = np.zeros(len(labels), dtype=np.int64)  # of each label every other text
+    for value in (0, 1):
+        some = np.flatnonzero(labels == value)
+        half[some] = np.arange(len(some)) % 2
+    raw = np.zeros(len(labels))
+    for side in (0, 1):
+        others = np.flatnonzero(half != side)
+        other = learn(others) if len(set(labels[others].tolist())) == 2 else model
+        for i in np.flatnonzero(half == side):
+            raw[i] = other.largest(groups[i])
+    model.slope, model.shift = _calibrate(raw, labels)
+    return model
+
+
+def _learn(
+    groups: Sequence[Sequence[Sequence[str]]],
+    of_text: np.ndarray,
+    terms: Sequence[Sequence[str]],
+    penalty: float,
+    bits: int,
+    rounds: int,
+    steps: int,
+    decay: float,
+    carriers: int,
+    seed: int,
+) -> np.ndarray:
+    """Feature weights from the sentences of texts and the texts' labels, both of which occur."""
+    sentences = [s for g in groups for s in g]
+    text_of = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
     label = of_text[text_of]
     pairs = counterfactuals(sentences, np.flatnonzero(label == 0), terms, seed, carriers)
     data = _Sentences([*sentences, *(p[0] for p in pairs), *(p[1] for p in pairs)], bits)
@@ -186,7 +227,7 @@ def fit(
         # Each class carries half of the weight; each toxic text the same share of its half.
         share = np.where(use, 1.0, 0.0)
         positive = label == 1
-        per_text = np.bincount(text_of, share * positive, minlength=len(kept))
+        per_text = np.bincount(text_of, share * positive, minlength=len(groups))
         share[positive] /= per_text[text_of[positive]]
         share[positive] *= 0.5 / share[positive].sum()
         share[~positive] *= 0.5 / max(1e-9, share[~positive].sum())
@@ -209,9 +250,7 @@ def fit(
             rate = 0.05 * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
             weights -= rate * first / (np.sqrt(second) + 1e-8)
             bias -= rate * first_b / (np.sqrt(second_b) + 1e-8)
-    raw = np.maximum.reduceat(data.sums(weights)[:n], starts)
-    slope, shift = _calibrate(raw, of_text)
-    return ToxicityModel(weights.astype(np.float32), slope, shift, bits)
+    return weights.astype(np.float32)
 
 
 def _calibrate(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
@@ -230,9 +269,9 @@ def _calibrate(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
         move *= min(1.0, 2.0 / max(1e-9, np.abs(move).max()))
         a, b = a - move[0], b - move[1]
     slope, shift = a / spread, b - a * centre / spread
-    clean, toxic = np.quantile(raw[label == 0], 0.995), np.quantile(raw[label == 1], 0.02)
-    if slope > 0 and clean < toxic:
-        shift = -slope * (clean + toxic) / 2  # well separated: the threshold lies midway
+    clean, toxic = np.quantile(raw[label == 0], LEFT_ALONE), np.quantile(raw[label == 1], 0.02)
+    if slope > 0:  # the cut: midway if the classes lie apart, else where it leaves clean texts alone
+        shift = -slope * ((clean + toxic) / 2 if clean < toxic else clean)
     return slope, shift
 
 
@@ -318,7 +357,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that are predicted toxic; all columns stay."""
+    """``docs`` without the documents that are predicted toxic; all columns stay, whatever their names.
+
+    A null or empty text, or one without words, scores as the model scores no words and so stays unless
+    all labels are toxic.  Repeated rows are judged each; without usable labels all stay; an empty
+    table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit_on(docs, labels, **options))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
