@@ -64,54 +64,64 @@ class SumOfSquares:
         return window, level
 
 
-def close_windows(packer: SumOfSquares, held: dict[int, list[list]]) -> Iterator[tuple[list, int, int]]:
-    """Cut what still lies in partly filled windows so that no padding is left.
+    def take(self, level: int) -> int:
+        """An open window of ``level``, no longer open."""
+        self.count[level] -= 1
+        return self.open[level].pop()
 
-    ``held`` has each open window's pieces as ``[document, start, length]``.  The fullest windows
-    are topped up with pieces cut from the emptiest.  The one window that remains is cut into
-    sequences whose lengths are powers of two, which need no padding.  Yields
-    ``(piece, window, offset)``.
+    def put(self, window: int, level: int) -> None:
+        """``window`` is open and filled to ``level``."""
+        self.open[level].append(window)
+        self.count[level] += 1
+
+    def levels(self) -> np.ndarray:
+        """The levels of open windows, ascending."""
+        return np.flatnonzero(self.count)
+
+
+def top_up(packer: SumOfSquares, held: dict[int, list[list]]) -> int | None:
+    """Fill the fullest open window with pieces cut from the emptiest ones.
+
+    ``held`` has each open window's pieces as ``[document, start, length]``.  Returns the window,
+    which is full and no longer open; None if all that is open does not fill one.
     """
-    levels = sorted((sum(p[2] for p in pieces), w) for w, pieces in held.items())
-    low, high = 0, len(levels) - 1
-    level = dict((w, n) for n, w in levels)
-    while low < high:
-        window = levels[high][1]
-        room = packer.size - level[window]
-        while room and low < high:
-            giver = levels[low][1]
+    top = int(packer.levels()[-1])
+    window = packer.take(top)
+    room = packer.size - top
+    while room and packer.count.any():
+        level = int(packer.levels()[0])
+        giver = packer.take(level)
+        while room and held[giver]:
             document, start, length = held[giver].pop()
-            take = min(length, room)
-            held[window].append([document, start + length - take, take])
-            if take < length:
-                held[giver].append([document, start, length - take])
-            level[giver] -= take
-            room -= take
-            if not held[giver]:
-                low += 1
-        level[window] = packer.size - room
-        if not room:
-            high -= 1
-    for n, w in levels:
-        if not held[w]:
-            continue
-        if level[w] == packer.size:
-            offset = 0
-            for piece in held[w]:
-                yield piece, w, offset
-                offset += piece[2]
-            continue
-        room, offset, window = 0, 0, w
-        left = level[w]
-        for document, start, length in held[w]:
-            while length:
-                if not room:
-                    room = 1 << (left.bit_length() - 1)
-                    left -= room
-                    window, offset = packer.new(), 0
-                take = min(length, room)
-                yield [document, start, take], window, offset
-                start, length, room, offset = start + take, length - take, room - take, offset + take
+            some = min(length, room)
+            held[window].append([document, start + length - some, some])
+            if some < length:
+                held[giver].append([document, start, length - some])
+            level, room = level - some, room - some
+        if held[giver]:
+            packer.put(giver, level)
+        else:
+            del held[giver]
+    if room:
+        packer.put(window, packer.size - room)
+        return None
+    return window
+
+
+def powers_of_two(packer: SumOfSquares, pieces: list[list]) -> Iterator[tuple[list, int, int]]:
+    """Cut the pieces of a window that cannot be filled into sequences of powers of two, which need
+    no padding.  Yields ``(piece, window, offset)``."""
+    left = sum(length for _, _, length in pieces)
+    room = offset = window = 0
+    for document, start, length in pieces:
+        while length:
+            if not room:
+                room = 1 << (left.bit_length() - 1)
+                left -= room
+                window, offset = packer.new(), 0
+            some = min(length, room)
+            yield [document, start, some], window, offset
+            start, length, room, offset = start + some, length - some, room - some, offset + some
 
 
 def pack(
@@ -119,17 +129,17 @@ def pack(
     max_tokens: int = 2048,
     vocabulary: str | None = None,
     end_id: int = 1,
-    flush_documents: int = 50_000,
+    max_open: int = 4096,
 ) -> DataFrame:
     """Pack every document of ``docs`` (doc_id, text) into sequences of ``max_tokens`` tokens.
 
     A document is its text's ids, special strings as the library reads them, then ``end_id``; a
     null or empty text is ``end_id`` alone.  Whole windows are cut from documents longer than a
     window; each remainder is placed by :class:`SumOfSquares`.  Partitions pack on their own, so
-    there is no shuffle and no task sees more than its own rows; what is open after
-    ``flush_documents`` documents, or at a partition's end, is cut by :func:`close_windows`, which
-    leaves no padding.  Repeated rows are packed each; extra columns are ignored; an empty table
-    gives no rows.  One row per piece.
+    there is no shuffle and no task sees more than its own rows.  Only ids of open windows are held:
+    beyond ``max_open`` of them the fullest is topped up by cutting pieces of the emptiest (see
+    :func:`top_up`), as are all that are open at a partition's end.  There is no padding.  Repeated
+    rows are packed each; extra columns are ignored; an empty table gives no rows.  One row per piece.
     """
     path = vocabulary or tokenizer_path("byte_bpe_50k.json")
 
@@ -144,7 +154,7 @@ def pack(
         open_pieces: dict[int, list[list]] = {}
         ids_of: dict[int, np.ndarray] = {}  # remainder ids of documents in open windows
         about: dict[int, tuple[int | None, int, int]] = {}  # doc_id, tokens, first id kept
-        levels: dict[int, int] = {}
+        left: dict[int, int] = {}  # remainder ids that have not gone out
         serial = 0
 
         def emit(piece: list, window: int, offset: int) -> None:
@@ -153,14 +163,19 @@ def pack(
             ids = ids_of[document][start - base : start - base + length]
             rows.append((doc_id, start, length, zlib.crc32(ids.tobytes()), total, window, offset))
 
-        def drain() -> None:
-            for piece, window, offset in close_windows(packer, open_pieces):
+        def close(window: int) -> None:
+            offset = 0
+            for piece in open_pieces.pop(window):
                 emit(piece, window, offset)
-            for kept in (open_pieces, ids_of, about, levels):
-                kept.clear()
-            packer.count[:] = 0
-            for stack in packer.open:
-                stack.clear()
+                offset += piece[2]
+                drop(piece)
+
+        def drop(piece: list) -> None:
+            """Forget a document when its last id has gone out."""
+            left[piece[0]] -= piece[2]
+            if not left[piece[0]]:
+                for kept in (ids_of, about, left):
+                    kept.pop(piece[0])
 
         def take_rows() -> pa.RecordBatch:
             columns = list(zip(*rows))
@@ -186,24 +201,26 @@ def pack(
                     serial += 1
                     ids_of[serial] = ids[full:].copy()
                     about[serial] = (doc_id, total, full)
-                    piece = [serial, full, total - full]
+                    left[serial] = total - full
                     window, offset = packer.place(total - full)
-                    pieces = open_pieces.setdefault(window, [])
-                    pieces.append(piece)
-                    levels[window] = offset + piece[2]
-                    if levels[window] == max_tokens:
-                        offset = 0
-                        for piece in open_pieces.pop(window):
-                            emit(piece, window, offset)
-                            offset += piece[2]
-                            ids_of.pop(piece[0])
-                            about.pop(piece[0])
-                        levels.pop(window)
-                    if len(ids_of) >= flush_documents:
-                        drain()
+                    open_pieces.setdefault(window, []).append([serial, full, total - full])
+                    if offset + total - full == max_tokens:
+                        close(window)
+                    elif len(open_pieces) > max_open:
+                        filled = top_up(packer, open_pieces)
+                        if filled is not None:
+                            close(filled)
                 if len(rows) >= 4096:
                     yield take_rows()
-        drain()
+        while packer.count.any():
+            window = top_up(packer, open_pieces)
+            if window is None:
+                for piece, window, offset in powers_of_two(packer, open_pieces[int(packer.open[packer.levels()[0]][0])]):
+                    emit(piece, window, offset)
+                break
+            close(window)
+            if len(rows) >= 4096:
+                yield take_rows()
         if rows:
             yield take_rows()
 
