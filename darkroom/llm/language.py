@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -108,23 +106,27 @@ def fit(
     return LanguageModel(names, (marks.T.astype(np.float64) @ (whiten @ weights)).astype(np.float32), lengths, bits)
 
 
-def training_sample(labelled: DataFrame, rows: int, rows_per_language: int, max_bytes: int, max_languages: int) -> list:
-    """A bounded sample of (text, lang) for the driver.
+def training_sample(labelled: DataFrame, rows: int, rows_per_language: int, max_chars: int) -> list:
+    """A bounded sample of (text, lang) for the driver: of every language some rows.
 
-    The ``max_languages`` most frequent languages share ``rows`` rows, each getting at most
-    ``rows_per_language``, from texts of at most ``max_bytes`` bytes.  Rows are those of the
-    smallest id hash; the hash limit that their count suggests leaves about twice as many to sort.
+    The languages share ``rows`` rows, each getting at most ``rows_per_language`` and at least 4.
+    Rows are those of the smallest id hash; the hash limit that their count suggests leaves about
+    twice as many to sort.  Of texts longer than ``max_chars`` characters a piece of that length,
+    from a place that the id hash chooses, is an example.
     """
-    usable = labelled.filter(F.col("lang").isNotNull() & F.octet_length("text").between(1, max_bytes))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    usable = labelled.filter(F.col("lang").isNotNull() & (F.octet_length("text") > 0))
+    counts = usable.groupBy("lang").count().collect()
     each = max(4, min(rows_per_language, rows // max(1, len(counts))))
-    place = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30))
-    below = [(F.col("lang") == r["lang"]) & (place < int(min(1.0, (2 * each + 40) / r["count"]) * (1 << 30))) for r in counts]
-    if not below:
+    if not counts:
         return []
-    found = usable.filter(reduce(or_, below)).select("text", "lang", place.alias("h")).collect()
+    place = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30))
+    limits = [(r["lang"], int(min(1.0, (2 * each + 40) / r["count"]) * (1 << 30))) for r in counts]
+    limits = labelled.sparkSession.createDataFrame(limits, "lang string, below long")  # a row a language
+    free = F.greatest(F.lit(1), F.length("text") - max_chars + 1)
+    piece = F.substring(F.col("text"), F.pmod(F.xxhash64("doc_id"), free).cast("int") + 1, F.lit(max_chars))
+    found = usable.join(F.broadcast(limits), "lang").filter(place < F.col("below"))
     kept: dict[str, list] = {}
-    for row in sorted(found, key=lambda r: (r.lang, r.h, r.text)):
+    for row in sorted(found.select(piece.alias("text"), "lang", place.alias("h")).collect(), key=lambda r: (r.lang, r.h, r.text)):
         some = kept.setdefault(row.lang, [])
         if len(some) < each:
             some.append(row)
@@ -135,8 +137,7 @@ def identify(
     docs: DataFrame,
     rows: int = 1000,
     rows_per_language: int = 400,
-    max_bytes: int = 8192,
-    max_languages: int = 100,
+    max_chars: int = 8192,
     folds: int = 4,
     held_out_fold: int = 2,
     **options,
@@ -144,12 +145,13 @@ def identify(
     """Predict the language of every text of ``docs`` (doc_id, text, lang).
 
     Learns from rows outside the held-out fold, crc32(doc_id) mod ``folds``, whose lang is not
-    null.  Whole texts of any length are read.  Null texts and those without a letter are ``und``
+    null: from ``rows`` of them, shared by all languages (see :func:`training_sample`), so every
+    language can be predicted.  Whole texts of any length are read.  Null texts and those without a letter are ``und``
     with score 0; so are all texts if nothing can be learnt.  Repeated rows are scored each; extra
-    columns are ignored.  Returns doc_id, held_out, lang_pred, score.
+    columns are ignored; an empty table gives no rows.  Returns doc_id, held_out, lang_pred, score.
     """
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds, F.lit(-1))
-    sample = training_sample(docs.filter(fold != held_out_fold), rows, rows_per_language, max_bytes, max_languages)
+    sample = training_sample(docs.filter(fold != held_out_fold), rows, rows_per_language, max_chars)
     model = fit([r.text for r in sample], [r.lang for r in sample], **options)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
