@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.llm.common import cut_lineage
+from darkroom.llm.common import cut_lineage, release
 
 #: Frequent short words of some languages, the bins of the common-word histogram.
 COMMON_WORDS: tuple[str, ...] = (
@@ -40,7 +40,8 @@ def base_counts(docs: DataFrame, *keep: str) -> DataFrame:
 
     n_repeat_words counts the words inside 3-word windows that occur twice or more in the text,
     the first occurrence included.  Windows are compared by 64-bit hashes: hash and position are
-    sorted as one long where 40 bits tell the text's windows apart, else as pairs.
+    sorted as one long where 40 bits tell the text's windows apart, else as pairs.  Repeated rows
+    are counted each; an empty table gives no rows.
     """
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.coalesce("text", F.lit("")).alias("text"))
     df = df.withColumn("words", F.expr("filter(split(text, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w != '')"))
@@ -97,7 +98,7 @@ def base_counts(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def histograms(df: DataFrame) -> DataFrame:
-    """Replace text and words by word_chars, classes and commons (arrays of counts)."""
+    """Replace text and words by word_chars, classes and commons (arrays of counts, zeros for empty texts)."""
     rest = "text"
     for name, pattern in CHARACTER_CLASSES:
         df = df.withColumn(f"_{name}", F.regexp_replace(rest, pattern, ""))
@@ -127,24 +128,21 @@ def js_distance(p: str, q: str) -> str:
     return f"sqrt(greatest(0D, 0.5D * aggregate({terms}, 0D, (a, x) -> a + x)))"
 
 
-def references(features: DataFrame, max_languages: int, min_documents: int) -> list[tuple[list[int], list[int]]]:
-    """Summed histograms of the languages with at least ``min_documents`` documents that pass the base rules.
+def references(features: DataFrame, min_share: float, min_documents: int) -> dict[str, tuple[list[int], list[int]]]:
+    """Summed histograms of languages, from their documents that pass the base rules.
 
-    At most ``max_languages`` small rows reach the driver.
+    A language has a reference if those are at least ``min_documents`` and at least ``min_share`` of
+    all that pass, so that there are at most 1 / ``min_share`` references, and a few bad documents
+    under a label of their own, or under none, make no standard.
     """
     n_classes, n_commons = len(CHARACTER_CLASSES) + 1, len(COMMON_WORDS) + 1
     sums = [F.sum(F.col("classes")[i]).alias(f"k{i}") for i in range(n_classes)]
     sums += [F.sum(F.col("commons")[i]).alias(f"w{i}") for i in range(n_commons)]
-    rows = (
-        features.filter(~F.col("base_failed"))
-        .groupBy("lang")
-        .agg(F.count(F.lit(1)).alias("n"), *sums)
-        .filter(F.col("n") >= min_documents)
-        .orderBy(F.desc("n"), "lang")
-        .limit(max_languages)
-        .collect()
-    )
-    return [([r[f"k{i}"] for i in range(n_classes)], [r[f"w{i}"] for i in range(n_commons)]) for r in rows]
+    by_language = cut_lineage(features.filter(~F.col("base_failed")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *sums))
+    least = max(min_documents, min_share * (by_language.agg(F.sum("n")).first()[0] or 0))
+    rows = by_language.filter(F.col("lang").isNotNull() & (F.col("n") >= least)).collect()
+    release(by_language)
+    return {r["lang"]: ([r[f"k{i}"] for i in range(n_classes)], [r[f"w{i}"] for i in range(n_commons)]) for r in rows}
 
 
 def nearest(column: str, references: list[list[int]]) -> Column:
@@ -159,29 +157,31 @@ def quality_rules(
     max_word_distance: float = 0.62,
     min_words: int = 50,
     max_repeat_percent: int = 50,
-    max_languages: int = 50,
+    min_share: float = 0.01,
     min_documents: int = 5,
 ) -> DataFrame:
     """Base counts and a verdict on every document of ``docs`` (doc_id, text, lang).
 
     base_failed: fewer than ``min_words`` words, or more than ``max_repeat_percent`` of them
     repeated.  Other documents are kept if both their histograms lie within the given
-    Jensen-Shannon distances of some language's reference; the references sum the corpus's own
-    documents that pass the base rules, by lang (null is a language too).  ``min_words`` is also
-    the guard below which no distance is judged, as short texts stray far by chance.  Without any
-    reference every document that passes the base rules is kept.  Null texts have no words;
-    repeated rows are judged each; extra columns are ignored; an empty table gives no rows.
+    Jensen-Shannon distances of some language's reference (see :func:`references`); a reference
+    sums the corpus's own documents of a language that pass the base rules.  ``min_words`` is also
+    the guard below which no distance is judged, as short texts stray far by chance.  A document of
+    a language that has no reference (its documents are fewer than ``min_share`` of all) is judged
+    by the base rules alone, as others' references say nothing about it; one without a language is
+    judged by all references, if there are any.  Null texts have no words; repeated rows are judged
+    each; extra columns are ignored; an empty table gives no rows.
     """
     base_failed = (F.col("n_words") < min_words) | (
         100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")
     )
     features = cut_lineage(histograms(base_counts(docs, "lang")).withColumn("base_failed", base_failed))
-    found = references(features, max_languages, min_documents)
+    found = references(features, min_share, min_documents)
+    near = near_words = F.lit(0.0)
     if found:
-        near = F.when(~F.col("base_failed"), nearest("classes", [r[0] for r in found]))
-        near_words = F.when(~F.col("base_failed"), nearest("commons", [r[1] for r in found]))
-    else:
-        near = near_words = F.lit(0.0)
+        judged = ~F.col("base_failed") & (F.col("lang").isNull() | F.col("lang").isin(list(found)))
+        near = F.when(judged, nearest("classes", [r[0] for r in found.values()]))
+        near_words = F.when(judged, nearest("commons", [r[1] for r in found.values()]))
     return features.select(
         "doc_id",
         "n_words",
@@ -192,12 +192,9 @@ def quality_rules(
         "base_failed",
         near.alias("class_distance"),
         near_words.alias("word_distance"),
-    ).select(
-        "*",
-        F.coalesce(
-            ~F.col("base_failed")
-            & (F.col("class_distance") <= max_class_distance)
-            & (F.col("word_distance") <= max_word_distance),
-            F.lit(False),
-        ).alias("kept"),
+    ).withColumn(
+        "kept",
+        ~F.col("base_failed")
+        & (F.coalesce("class_distance", F.lit(0.0)) <= max_class_distance)
+        & (F.coalesce("word_distance", F.lit(0.0)) <= max_word_distance),
     )
