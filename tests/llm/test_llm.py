@@ -35,7 +35,10 @@ def documents(spark, texts, **columns):
 def odd(spark):
     """Odd texts, a repeated row, and columns whose names clash with those the operators add."""
     frame = documents(spark, ODD_TEXTS).unionAll(documents(spark, ODD_TEXTS).filter("doc_id = 4"))
-    for name in ("n_lines", "v", "key", "score", "n", "keys", "component_id", "_spans"):
+    for name in (
+        "n_lines", "v", "key", "score", "n", "keys", "component_id", "component", "_spans", "__doc", "__text", "__gone", "__spans",
+        "key_doc", "key_text", "gone_lines", "removed_spans", "Key_Doc_", "a.b", "text_id", "c", "place", "m", "value",
+    ):
         frame = frame.withColumn(name, F.lit("x"))
     return frame.withColumn("lang", F.lit(None).cast("string"))
 
@@ -76,9 +79,71 @@ def test_counterfactual_penalty_pulls_group_terms_together():
     assert gap[1] < 0.5 * gap[0]
 
 
+def test_toxicity_scores_whole_runs_and_neutral_mentions():
+    texts = [f"{w} people talk" for w in ("calm", "kind", "quiet", "warm", "slow", "plain")] * 10 + ["you idiot", "a moron", "some idiot moron"] * 10
+    model = toxicity.fit(texts, [0] * 60 + [1] * 30)
+    plain = lambda text: max(
+        (sum(max(toxicity.LEAST, model.weights[toxicity.word_features(w, model.bits)].sum()) for w in words) for words in toxicity.windows(text)),
+        default=0.0,
+    )
+    for text in [*texts[:9], "", "x_" * 400 + "idiot", "idiot " * 200, "a. b! idiot\nc"]:
+        want = 1 / (1 + np.exp(-(plain(text) * model.slope + model.shift)))
+        assert abs(model.scores([text])[0] - want) < 1e-6
+    long = "y" * 300
+    assert set(toxicity.word_features(long + "idiot", 18)) - set(toxicity.word_features(long, 18))
+    terms = [t for kind in toxicity.IDENTITY_TERMS for t in kind]
+    neutral = [f"{t} people talk" for t in terms]
+    assert (model.scores(neutral) < 0.5).mean() >= 0.95  # with the penalty of production
+
+
 # tokens
 
 
+def test_encoders_agree():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, fast = Tokenizer.from_file(path), packing.encoder(path)
+    rng = np.random.default_rng(12)
+    parts = ["a", "Ze", " ", "  ", "\n", "\t", "1", "99", "'s", "'", "é", "ß", "ÀÉ", "\u00a0", "\u0085", "–", "…", "<|endoftext|>", "<", "|", "漢", "\u3000", "\u200b", "İ", "x" * 40]
+    for _ in range(4000):
+        text = "".join(parts[k] for k in rng.integers(0, len(parts), rng.integers(0, 12)))
+        assert fast(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_packing_with_few_open_windows(spark):
+    docs = documents(spark, [f"text number {i} " * (i * 7 % 90 + 1) for i in range(120)]).coalesce(1)
+    plain = packing.pack(docs, max_tokens=64, max_open=200).collect()
+    for most in (1, 3, 64):
+        pieces = packing.pack(docs, max_tokens=64, max_open=most).collect()
+        filled = collections.Counter()
+        for p in pieces:
+            filled[p.sequence_id] += p.length
+        assert sum(filled.values()) == sum(p.length for p in plain)
+        assert all(n <= 64 and n & (n - 1) == 0 for n in filled.values())
+        covered = collections.Counter((p.doc_id, p.start + k) for p in pieces for k in range(p.length))
+        assert set(covered.values()) == {1}
+
+
+def test_very_long_texts(spark):
+    from sentencepiece import SentencePieceProcessor
+
+    text = "one long text goes on. " * 260_000 + "漢字 " * 1000  # 6 MB
+    docs = documents(spark, [text, None, text]).withColumn("lang", F.lit("en"))
+    assert [r.n_bytes for r in token_counts.count_tokens(docs.filter("doc_id < 2")).orderBy("doc_id").collect()] == [len(text.encode()), 0]
+    model = SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    short = text[:70_000]
+    assert token_counts.count_tokens(documents(spark, [short])).first().n_tokens == len(model.encode(short))
+    assert {r.lang_pred for r in language.identify(docs).collect()} <= {"en", "und"}
+    grams = ngram_join.jaccard_components(docs).orderBy("doc_id").collect()
+    assert [r.component_id for r in grams] == [0, 1, 0] and grams[0].n_shingles == len(
+        {tuple(w) for w in zip(*(text.split()[k:] for k in range(3)))}
+    )
+    assert {r.doc_id for r in paragraph_dedup.dedup_passages(docs).collect()} == {0, 1}
+    counts = quality_rules.quality_rules(docs.filter("doc_id < 2")).orderBy("doc_id").collect()
+    assert counts[0].n_words == len(text.split()) and counts[0].base_failed
+
+
 def test_packing(spark, odd, empty):
     from tokenizers import Tokenizer
 
@@ -177,6 +242,49 @@ def test_language(spark, odd, empty):
     assert language.identify(empty).count() == 0
 
 
+def test_language_model_is_the_unfolded_kernel():
+    samples = ["the cat and the dog", "der Hund und die Katze", "le chien et le chat", "a house in the sun", "ein Haus am See", "la maison au bord"] * 4
+    names = ["en", "de", "fr"] * 8
+    texts = [f"{s} {'xyz'[i % 3]}{i}" for i, s in enumerate(samples)]
+    model = language.fit(texts, names, landmarks_per_language=4)
+    lengths = (1, 2, 3, 4)
+
+    def kernel(a, b):
+        one, two = (set(language.presence(t, lengths, 15).tolist()) for t in (a, b))
+        return len(one & two) / np.sqrt(len(one) * len(two))
+
+    def grams(text):  # by definition, before hashing
+        framed = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+        return {framed[i : i + n] for n in lengths for i in range(len(framed) - n + 1)}
+
+    assert all(0 <= len(grams(t)) - len(language.presence(t, lengths, 15)) <= 2 for t in texts)
+    label = np.array([sorted(set(names)).index(n) for n in names])
+    marks = [texts[i] for c in range(3) for i in np.flatnonzero(label == c)[:4]]
+    square = np.array([[kernel(a, b) for b in marks] for a in marks])
+    values, basis = np.linalg.eigh(square)
+    good = values > 1e-6 * values.max()
+    whiten = basis[:, good] / np.sqrt(values[good])
+    mapped = np.array([[kernel(t, m) for m in marks] for t in texts]) @ whiten
+    target = np.where(label[:, None] == np.arange(3), 1.0, -0.5)
+    weighted = mapped / np.bincount(label)[label][:, None]
+    weights = np.linalg.solve(weighted.T @ mapped + 1e-3 * np.eye(mapped.shape[1]), weighted.T @ target)
+    for text in ("the old dog sat", "die alte Katze schlief", "le vieux chat", "x"):
+        margin = np.array([kernel(text, m) for m in marks]) @ whiten @ weights
+        score = np.exp(6 * (margin - margin.max()))
+        found, got = model.predict([text])
+        assert found[0] == sorted(set(names))[int(margin.argmax())]
+        assert abs(got[0] - (score / score.sum()).max()) < 1e-3
+
+
+def test_every_language_can_be_predicted(spark):
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    texts = [" ".join(alphabet[k % 26] * 2 + alphabet[k // 26] * 3 for _ in range(4)) for k in range(130)] * 8
+    docs = documents(spark, texts).withColumn("lang", F.concat(F.lit("l"), (F.col("doc_id") % 130).cast("string")))
+    long = documents(spark, ["qz" * 9000] * 20).withColumns({"doc_id": F.col("doc_id") + 5000, "lang": F.lit("only-long")})
+    got = language.identify(docs.unionByName(long)).collect()
+    assert sum(r.lang_pred == ("only-long" if r.doc_id >= 5000 else f"l{r.doc_id % 130}") for r in got) >= 0.99 * len(got)
+
+
 # near duplicates
 
 
@@ -252,10 +360,46 @@ def test_parity_keys_miss_no_link():
                 assert apart <= len(a) + len(b) - 2 * both
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = {r.v: r.component for r in links.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 140))
+    names = np.random.default_rng(7).permutation(900)
+    path = [(int(a), int(b)) for a, b in zip(names, names[1:])]  # far longer than any number of rounds
+    frame = spark.createDataFrame(path, "a long, b long").repartition(6)
+    assert {r.component for r in links.components(frame).collect()} == {0}
+    monkeypatch.setattr(links, "HELD_EDGES", 50)  # so that one task may not hold all
+    assert {(r.v, r.component) for r in links.components(frame).collect()} == {(v, 0) for v in range(900)}
+    assert links.components(frame.limit(0)).count() == 0
+
+
+def test_stars_join_what_edges_join():
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        a, b = rng.integers(0, 40, (2, int(rng.integers(1, 40))))
+        want = brute_components({int(x): set() for x in np.r_[a, b]}, 100)
+        edges = {(int(x), int(y)) for x, y in zip(a, b)}
+        while True:
+            lower = {(max(want[x], want[y]), min(want[x], want[y])) for x, y in edges if want[x] != want[y]}
+            if not lower:
+                break
+            high, low = next(iter(lower))
+            want = {v: low if c == high else c for v, c in want.items()}
+        got = dict(zip(*(x.tolist() for x in links.stars(a, b))))
+        assert got == {v: c for v, c in want.items() if v != c}
+
+
+def test_link_leaves_no_pair_of_a_large_key_out(spark, monkeypatch):
+    """Many sets under one key, most of which do not link, and rounds of few leaders."""
+    monkeypatch.setattr(links, "LEADERS", 2)
+    rng = np.random.default_rng(11)
+    sets = {i: np.unique(rng.integers(0, 30, 12)).astype(np.uint64) for i in range(60)}
+    members = spark.createDataFrame([(k, i) for i in sets for k in (1, 2 + i % 3)], "key long, v long")
+    values = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets.items()], "v long, value binary")
+    got = {r.v: r.component for r in links.link(members, lambda held: values, links.jaccard(60), 60).collect()}
+    want = brute_components({i: set(s.tolist()) for i, s in sets.items()}, 60)
+    of = collections.Counter(want.values())
+    assert got == {i: c for i, c in want.items() if of[c] > 1} and len(set(got.values())) > 1
 
 
 def test_paragraph_dedup(spark, odd, empty):
@@ -276,6 +420,36 @@ def test_paragraph_dedup(spark, odd, empty):
     assert paragraph_dedup.repeated_passages(empty).count() == 0
 
 
+def test_passages_against_brute_force(spark):
+    """No run of 50 words that an earlier document has may stay, wherever and however often it stands."""
+    rng = np.random.default_rng(14)
+    some = lambda n: [f"t{x}" for x in rng.integers(0, 50_000, n)]
+    passages = [some(int(n)) for n in rng.integers(51, 400, 8)]
+    texts = []
+    for _ in range(60):
+        words = some(int(rng.integers(0, 200)))
+        for p in rng.integers(0, len(passages), int(rng.integers(0, 3))):
+            at = int(rng.integers(0, len(words) + 1))
+            words[at:at] = passages[p]
+        width = int(rng.integers(3, 90))
+        texts.append("\n".join(" ".join(words[i : i + width]) for i in range(0, len(words), width)))
+    texts += [texts[3], texts[3], "short text", "short text"]
+    docs = documents(spark, texts).repartition(5)
+    cleaned = {r.doc_id: (r.text or "").split() for r in paragraph_dedup.dedup_passages(docs).collect()}
+    seen, n = set(), 0
+    for i, text in enumerate(texts):
+        words = text.split()
+        runs_ = {tuple(words[k : k + 50]) for k in range(len(words) - 49)}
+        left = cleaned.get(i, [])
+        n += len(runs_ & seen)
+        assert not {tuple(left[k : k + 50]) for k in range(len(left) - 49)} & (runs_ & seen)
+        seen |= runs_
+    assert n > 1000
+    once = [i for i, t in enumerate(texts) if not any(p[0] in t.split() for p in passages) and t]
+    assert all(cleaned[i] == texts[i].split() for i in once)
+    assert 61 not in cleaned and cleaned[62] == cleaned[63] == ["short", "text"]
+
+
 def test_repeats_need_no_sentence_or_line(spark):
     rng = np.random.default_rng(10)
     some = lambda n: [f"t{x}" for x in rng.integers(0, 50_000, n)]
@@ -302,51 +476,38 @@ def test_repeats_need_no_sentence_or_line(spark):
     assert {(r.doc_id, r.kept_doc_id) for r in found} == {(1, 0), (3, 2), (5, 4)}
 
 
-def test_line_dedup(spark, odd, empty):
-    rng = np.random.default_rng(2)
-    texts = ["\n".join(f"line {x}" + " " * int(x % 2) for x in rng.integers(0, 6, rng.integers(0, 14))) for _ in range(60)]
-    texts += ["\n\n" + texts[0], "a\na\na\na\na"]
-
-    def brute(texts):
-        seen, out = set(), {}
-        for i, text in enumerate(texts):
-            lines = text.split("\n")
-            at = [k for k, line in enumerate(lines) if line.strip()]
-            gone = set()
-            for p in range(len(at) - 2):
-                run = tuple(lines[k].strip() for k in at[p : p + 3])
-                if run in seen:
-                    gone.update(at[p : p + 3])
-                seen.add(run)
-            out[i] = (len(at), len(gone), "\n".join(line for k, line in enumerate(lines) if k not in gone))
-        return out
-
-    want = brute(texts)
-    got = line_dedup.dedup_lines(documents(spark, texts), keep_emptied=True).select("doc_id", "n_lines", "n_removed", "text")
-    assert rows(got) == sorted(((i, *w) for i, w in want.items()), key=repr)
-    kept = {r.doc_id for r in line_dedup.dedup_lines(documents(spark, texts)).collect()}
-    assert kept == {i for i, w in want.items() if w[1] < w[0] or not w[1]}
-    assert line_dedup.dedup_lines(odd, counts=False).select(*odd.columns).count() == len(ODD_TEXTS) + 1
-    assert line_dedup.dedup_lines(empty).count() == 0
-
-
-@pytest.mark.parametrize("least", [1, 2, 4])
-def test_line_dedup_of_short_runs(spark, least):
-    rng = np.random.default_rng(3)
-    texts = ["\n".join(f"line {x}" for x in rng.integers(0, 9, rng.integers(0, 6))) for _ in range(60)] + ["one", "one", "\n one "]
-    seen, want = set(), {}
+def brute_lines(texts, least):
+    """Lines with a word, lines removed, text left: a shortest run of ``least`` words goes if seen before."""
+    seen, out = set(), {}
     for i, text in enumerate(texts):
         lines = text.split("\n")
         at = [k for k, line in enumerate(lines) if line.strip()]
         gone = set()
-        for p in range(len(at) - least + 1):
-            run = tuple(lines[k].strip() for k in at[p : p + least])
-            if run in seen:
-                gone.update(at[p : p + least])
-            seen.add(run)
-        want[i] = "\n".join(line for k, line in enumerate(lines) if k not in gone)
-    got = line_dedup.dedup_lines(documents(spark, texts), min_lines=least, keep_emptied=True)
-    assert {r.doc_id: r.text for r in got.collect()} == want
+        for p in range(len(at)):
+            for q in range(p, len(at)):
+                if sum(len(lines[k].split()) for k in at[p : q + 1]) >= least:
+                    run = tuple(lines[k].strip() for k in at[p : q + 1])
+                    if run in seen:
+                        gone.update(at[p : q + 1])
+                    seen.add(run)
+                    break
+        out[i] = (len(at), len(gone), "\n".join(line for k, line in enumerate(lines) if k not in gone))
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 3, 7])
+def test_line_dedup(spark, odd, empty, least):
+    rng = np.random.default_rng(2)
+    texts = ["\n".join(f"line {x}" + " " * int(x % 2) + " and more words" * int(x % 3) for x in rng.integers(0, 9, rng.integers(0, 12))) for _ in range(60)]
+    texts += ["\n\n" + texts[0], "a\na\na\na\na", "one", "one", "\n one ", "", "\n"]
+    want = brute_lines(texts, least)
+    got = line_dedup.dedup_lines(documents(spark, texts), least, keep_emptied=True).select("doc_id", "n_lines", "n_removed", "text")
+    assert rows(got) == sorted(((i, *w) for i, w in want.items()), key=repr)
+    kept = {r.doc_id for r in line_dedup.dedup_lines(documents(spark, texts), least).collect()}
+    assert kept == {i for i, w in want.items() if w[1] < w[0] or not w[1]}
+    same = line_dedup.dedup_lines(odd, least, counts=False)
+    assert sorted(same.columns) == sorted(odd.columns) and same.count() == len(ODD_TEXTS) + 1
+    assert line_dedup.dedup_lines(empty).count() == 0
 
 
 def test_pipeline_deletes_single_repeated_lines(spark):
@@ -377,19 +538,36 @@ def test_embedding_dedup(spark):
             count[b] += 1
     got = {r.vec_id: r for r in embedding_dedup.near_duplicates(frame).collect()}
     assert len(got) == len(plain) and all(got[i].n_links <= count[i] for i in got)
-    assert sum(r.n_links for r in got.values()) >= 0.9 * sum(count.values()) > 0
+    assert sum(r.n_links for r in got.values()) >= 0.98 * sum(count.values()) > 0
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
     assert got[160].component_id == 0 and got[161].component_id == 0 and got[162].n_links == 0
     assert embedding_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
 def test_large_bucket_is_dealt_to_blocks(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "BLOCK", 4)
     rng = np.random.default_rng(6)
     base = rng.normal(size=64)
-    rows_ = [(i, [float(x) for x in base + rng.normal(size=64) * 0.01]) for i in range(30)]
-    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows_, "vec_id long, embedding array<float>")).collect()
-    assert {(r.n_links, r.component_id) for r in got} == {(29, 0)}
+    for n in (2, 7, 30):
+        rows_ = [(i, [float(x) for x in base + rng.normal(size=64) * 0.01]) for i in range(n)]
+        frame = spark.createDataFrame(rows_, "vec_id long, embedding array<float>")
+        for block in (1, 2, 4):  # some pairs of blocks have rows of one block only
+            monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+            got = embedding_dedup.near_duplicates(frame).collect()
+            assert {(r.n_links, r.component_id) for r in got} == {(n - 1, 0)}
+
+
+def test_embedding_links_are_exact_in_components(spark):
+    """A chain whose ends are apart: links are counted, not the members of the component."""
+    steps = [[float(np.cos(k * 0.2)), float(np.sin(k * 0.2)), 0.0, 0.0] for k in range(12)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(list(enumerate(steps)), "vec_id long, embedding array<double>"))
+    reach = [sum(np.cos((k - j) * 0.2) >= 0.9 for j in range(12)) - 1 for k in range(12)]
+    assert [(r.n_links, r.component_id) for r in got.orderBy("vec_id").collect()] == [(n, 0) for n in reach]
+
+
+def test_hadamard_is_the_transform():
+    for size in (2, 4, 8, 16, 64, 128):
+        want = [[(-1) ** bin(i & j).count("1") / size**0.5 for j in range(size)] for i in range(size)]
+        assert np.allclose(embedding_dedup.hadamard(np.eye(size)), want)
 
 
 # quality
@@ -416,6 +594,46 @@ def test_quality_rules(spark, odd, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def test_quality_verdict_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    words = {"en": "the of and to in stone river cloud green quick".split(), "de": "der die und das Haus Wald Stein klein gross ist".split()}
+    texts, langs = [], []
+    for i in range(60):
+        lang = ("en", "de")[i % 2]
+        texts.append(" ".join(f"{w}{'' if k % 4 else '.'}" for k, w in enumerate(rng.choice(words[lang], 70 + i))) + f" {i}")
+        langs.append(lang)
+    junk = lambda: " ".join(f"{x:012x}" for x in rng.integers(0, 1 << 47, 80))
+    texts += [junk() for _ in range(7)] + [junk(), " ".join(rng.choice(words["en"], 90)), "few words"]
+    langs += ["xx"] * 1 + [None] * 6 + ["en", None, "en"]
+    docs = spark.createDataFrame(list(enumerate(zip(texts, langs))), "doc_id long, d struct<text:string,lang:string>").select("doc_id", "d.*")
+
+    def counts(text):
+        classes = [0] * 7
+        for c in text:
+            at = 0 if "a" <= c <= "z" else 1 if c in " \t\n\v\f\r" else 2 if "A" <= c <= "Z" else 3 if c.isalpha() else 4 if c.isdigit() else 5 if c in ".,;:?'\"()-" else 6
+            classes[at] += 1
+        found = WORD.findall(text)
+        common = [sum(w.lower() == c for w in found) for c in quality_rules.COMMON_WORDS]
+        return np.array(classes, float), np.array([*common, len(found) - sum(common)], float)
+
+    def distance(p, q):
+        p, q = p / p.sum(), q / q.sum()
+        m = (p + q) / 2
+        part = lambda x: (x[x > 0] * np.log2(x[x > 0] / m[x > 0])).sum()
+        return np.sqrt(max(0.0, (part(p) + part(q)) / 2))
+
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
+    passed = [i for i in range(len(texts)) if not got[i].base_failed]
+    sums = {lang: [sum(h) for h in zip(*(counts(texts[i]) for i in passed if langs[i] == lang))] for lang in ("en", "de")}
+    for i in passed:
+        near = [min(distance(h, r[k]) for r in sums.values()) for k, h in enumerate(counts(texts[i]))]
+        want = langs[i] == "xx" or (near[0] <= 0.30 and near[1] <= 0.62)
+        assert got[i].kept == want, (i, near)
+        if langs[i] != "xx":
+            assert abs(got[i].class_distance - near[0]) < 1e-9 and abs(got[i].word_distance - near[1]) < 1e-9
+    assert not any(got[i].kept for i in range(61, 68)) and got[68].kept  # unlabelled junk sets no standard
+
+
 def test_js_distance(spark):
     frame = spark.createDataFrame([([1, 0], [0, 1]), ([2, 2], [5, 5])], "p array<long>, q array<long>")
     assert [round(r[0], 6) for r in frame.select(F.expr(quality_rules.js_distance("p", "q"))).collect()] == [1.0, 0.0]
