@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from darkroom.sources.scratch import materialize as cut_lineage
+from darkroom.sources.scratch import release, shared_folder, sweep
+
+__all__ = ["cut_lineage", "release", "shared_folder", "sweep"]
+
 #: ASCII blanks; a word is a run of other characters.
 BLANKS = r"\x20\x09-\x0D"
 WORD = rf"[^{BLANKS}]+"
@@ -35,50 +36,6 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
-
-    Where none is named, a session of one machine (``local[n]``) gets a temporary folder; on a
-    cluster that is an error, as executors do not see each other's disks.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    context = spark.sparkContext
-    if not context.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if context.applicationId not in _LOCAL:
-        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="darkroom-")
-        atexit.register(shutil.rmtree, _LOCAL[context.applicationId], ignore_errors=True)
-    return _LOCAL[context.applicationId]
-
-
-_LOCAL: dict[str, str] = {}
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table of the shared folder, which outlives the executors that wrote it.
-
-    The planner knows the size of such a table and reads it in as many tasks as its size asks for.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/darkroom-{uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_at = path
-    return out
-
-
-def release(*tables: DataFrame | None) -> None:
-    """Delete tables of :func:`cut_lineage` that nothing will read again."""
-    for df in tables:
-        path = getattr(df, "written_at", None)
-        if path:
-            context = df.sparkSession.sparkContext
-            at = context._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """Names like ``wanted`` that no column of ``df`` has, whatever their case."""
     taken = {c.lower() for c in df.columns}

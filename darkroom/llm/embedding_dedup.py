@@ -19,6 +19,8 @@ from darkroom.llm.shingles import mix, signed
 BLOCK = 4096
 #: Rows of a matrix product.
 STRIP = 512
+#: Shorter vectors are padded to this length, as rotations by signs need some length to differ.
+LEAST_SIZE = 64
 #: Vectors that are hashed at once, so that they stay in the processor's cache.
 HASHED = 1024
 
@@ -52,7 +54,7 @@ class CrossPolytope:
     """
 
     def __init__(self, dimension: int, tables: int, parts: int, probes: int, seed: int = 11):
-        self.size = 1 << max(1, (dimension - 1).bit_length())
+        self.size = max(LEAST_SIZE, 1 << (dimension - 1).bit_length())
         self.tables, self.parts, self.probes = tables, parts, probes
         rng = np.random.default_rng(seed)
         self.signs = rng.choice(np.array([-1, 1], dtype=np.float32), size=(tables, parts, 3, self.size))
@@ -253,7 +255,7 @@ def near_duplicates(
     )
     classes = cut_lineage(classes)
     size = classes.agg(F.count(F.lit(1)), F.max(F.length("unit"))).first()
-    width = max(2, 1 << max(1, ((size[1] or 8) // 8 - 1).bit_length()))
+    width = max(LEAST_SIZE, 1 << ((size[1] or 8) // 8 - 1).bit_length())
     parts = max(1, math.ceil(math.log(max(2.0, size[0] / per_bucket)) / math.log(2 * width)))
     hashed = cut_lineage(_keys(classes, tables, parts, probes))
     placed = hashed.select("v", F.explode(F.array_distinct("keys")).alias("key"))

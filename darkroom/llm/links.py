@@ -2,110 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.llm.common import Membership, cut_lineage, map_arrow, membership, release
+from darkroom.llm.common import Membership, cut_lineage, map_arrow, membership, release, sweep
 from darkroom.llm.shingles import intersection_size
+from darkroom.operators.graph import components
 
 #: Leaders of a key in the round after the first; each later round has so many times more.
 LEADERS = 16
 #: Words of 64 bits of the parity sketch that travels with a vertex.
 SKETCH_WORDS = 4
 SKETCH = tuple(f"s{i}" for i in range(SKETCH_WORDS))
-#: Edges that a task holds at once when it joins those it has.
-HELD_EDGES = 1 << 21
-
-
-def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every vertex of some edges but the least of each component, and that least vertex."""
-    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    left, right = at[: len(a)], at[len(a) :]
-    root = np.arange(len(names))
-    while True:
-        x, y = root[left], root[right]
-        apart = x != y
-        if not apart.any():
-            break
-        low, high = np.minimum(x, y)[apart], np.maximum(x, y)[apart]
-        np.minimum.at(root, high, low)
-        while True:  # until every vertex names a root
-            further = root[root]
-            if (further == root).all():
-                break
-            root = further
-    some = root != np.arange(len(names))
-    return names[some], names[root[some]]
-
-
-def _contracted(edges: DataFrame) -> DataFrame:
-    """(u, w): edges (u, w) with the same components, as stars within what a task holds at once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[], []]
-        n = 0
-        for batch in _and_end(batches):
-            if batch is not None:
-                for side, column in zip(held, ("u", "w")):
-                    side.append(batch.column(column).to_numpy(zero_copy_only=False))
-                n += batch.num_rows
-            if n and (batch is None or n >= HELD_EDGES):
-                u, w = stars(*(np.concatenate(side) for side in held))
-                held, n = [[], []], 0
-                for low in range(0, len(u), 1 << 16):
-                    part = slice(low, low + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(u[part]), pa.array(w[part])], ["u", "w"])
-
-    return edges.mapInArrow(run, "u long, w long")
-
-
-def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(v, component) for every vertex of ``edges`` (a, b): the smallest vertex it reaches.
-
-    Tasks first join what they hold into stars, of at most ``HELD_EDGES`` edges at once.  If no more
-    than that are left of all of them, one task joins these.  Else large-star and small-star rounds
-    alternate until no edge changes; each is a partial aggregation and a join, so a vertex of high
-    degree is spread over tasks.  The rounds are known to end; there is no limit to them.
-    """
-    now = cut_lineage(_contracted(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("w"))))
-    if now.count() <= HELD_EDGES:
-        last, now = now, cut_lineage(_contracted(now.coalesce(1)))
-        release(last)
-    else:
-        now = _settled(now)
-    roots = now.select(F.col("w").alias("v"), F.col("w").alias("component")).distinct()
-    found = cut_lineage(now.select(F.col("u").alias("v"), F.col("w").alias("component")).unionAll(roots))
-    release(now)
-    return found
-
-
-def _settled(now: DataFrame) -> DataFrame:
-    """Stars (u, w) of whole components, from a written table of edges u > w."""
-    before = None
-    while True:
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "w").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            return now
-        before = state
-        both = now.unionAll(now.select(F.col("w").alias("u"), F.col("u").alias("w")))
-        least = cut_lineage(both.groupBy("u").agg(F.least(F.min("w"), F.col("u")).alias("m")))
-        large = both.join(least, "u").filter("w > u").select(F.col("w").alias("u"), F.col("m").alias("w"))
-        large = cut_lineage(large.filter("u > w").distinct())
-        release(least)
-        least = cut_lineage(large.groupBy("u").agg(F.min("w").alias("m")))
-        small = large.join(least, "u").filter("w > m").select(F.col("w").alias("u"), F.col("m").alias("w"))
-        last = now
-        now = cut_lineage(small.unionAll(least.select("u", F.col("m").alias("w"))).distinct())
-        release(large, least, last)
 
 
 def most_apart(small: int, large: int, percent: int) -> int:
@@ -158,37 +70,43 @@ def jaccard(percent: int) -> Alike:
     return alike
 
 
-def link(members: DataFrame, known_values: Callable[[Membership], DataFrame], alike: Alike, percent: int = 0) -> DataFrame:
+def link(
+    members: DataFrame,
+    known_values: Callable[[Membership], DataFrame],
+    alike: Alike,
+    percent: int = 0,
+    sketches: DataFrame | None = None,
+) -> DataFrame:
     """(v, component) of the vertices whose values ``alike`` links, directly or by others.
 
-    Candidates share a key: ``members`` is a table of :func:`cut_lineage` of distinct (key, v).
-    ``known_values`` gives (v, value) for at least the vertices that a bitmap holds; of rows with
-    the same v any may be taken.  Either may have n (set size) and s0 to s3 (see
-    :func:`parity_sketch`) as well, which rule pairs of a lower Jaccard similarity than ``percent``
-    out before they are gathered and their values read.
+    Candidates share a key: ``members`` is a table of :func:`cut_lineage` of distinct (key, v).  It
+    may have n (set size) and s0 to s3 (see :func:`parity_sketch`) as well, which rule pairs of a
+    lower Jaccard similarity than ``percent`` out before they are gathered; ``sketches`` (v, n,
+    sketch), longer ones, rule more out before values are read.  ``known_values`` gives (v, value)
+    for at least the vertices that a bitmap holds; of rows with the same v any may be taken.
 
-    In the first round each key's members are compared with one leader, by one order for all keys,
-    so that close sets meet the same leader under most keys.  A pair within one component can add
+    In the first round each key's members meet one leader, by one order for all keys, and each
+    vertex is compared with the leader it meets most often.  A pair within one component can add
     nothing, so each later round compares, under the keys whose members still lie in different
     components, ``LEADERS`` leaders, then ``LEADERS`` ** 2 and so on, with the members of other
     components.  Who has led has met all members and is done, and a key is closed when all others
     lie in one component.  So every pair that shares a key is compared or joined otherwise, and only
     a group of sets that do not link with each other is ever compared pair by pair.
     """
-    about = ("n", *SKETCH)
-    values = known_values(membership(members, "v"))
-    values = cut_lineage(values.groupBy("v").agg(*(F.first(c).alias(c) for c in values.columns if c != "v")))
-    if "n" in values.columns:
-        members = cut_lineage(members.join(values.select("v", *about), "v"))
-    known = [c for c in about if c in members.columns]
+    known = [c for c in ("n", *SKETCH) if c in members.columns]
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return _tested(pairs, known_values, alike, percent, sketches)
+
     own = F.xxhash64("v", F.lit("leader"))
     spans = members.groupBy("key").agg(
         F.min(F.struct(own.alias("h"), "v", *known)).alias("first"), F.max(F.struct(own.alias("h"), "v")).alias("last")
     )
     # what an aggregation gives is written before it is joined, so that a join on a hot key can be split
     spans = cut_lineage(spans.filter(F.col("first.v") != F.col("last.v")).select("key", "first"))
-    pairs = members.join(spans, "key").filter((F.col("v") != F.col("first.v")) & _possible("", "first.", known, percent))
-    edges = verified(pairs.select(F.col("first.v").alias("a"), F.col("v").alias("b")), values, alike)
+    met = members.join(spans, "key").filter((F.col("v") != F.col("first.v")) & _possible("", "first.", known, percent))
+    met = met.groupBy(F.col("first.v").alias("a"), F.col("v").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+    edges = linked(met.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")))
     release(spans)
     labels = components(edges)
     release(edges)
@@ -212,21 +130,68 @@ def link(members: DataFrame, known_values: Callable[[Membership], DataFrame], al
         other = live.filter(F.col("place") * F.col("m") < leaders)
         other = other.select("key", *(F.col(x).alias(f"o_{x}") for x in ("v", "c", *known)))
         pairs = live.join(other, "key").filter((F.col("c") != F.col("o_c")) & _possible("", "o_", known, percent))
-        pairs = pairs.select(F.least("v", "o_v").alias("a"), F.greatest("v", "o_v").alias("b"))
-        more = verified(pairs, values, alike)
+        more = linked(pairs.select(F.least("v", "o_v").alias("a"), F.greatest("v", "o_v").alias("b")))
         if not more.isEmpty():
             named = components(more.unionAll(labels.select(F.col("v").alias("a"), F.col("component").alias("b"))))
             release(labels)
             labels = named
         release(more)
         led = leaders
-    release(live, values)
+    release(live)
     return labels
 
 
+def _tested(
+    pairs: DataFrame, known_values: Callable[[Membership], DataFrame], alike: Alike, percent: int, sketches: DataFrame | None
+) -> DataFrame:
+    """The pairs (a, b) that are linked; values are read of those only that sketches leave."""
+    pairs = cut_lineage(pairs.distinct())
+    if sketches is not None:
+        last, pairs = pairs, cut_lineage(_sketched(pairs, sketches, percent))
+        release(last)
+    ends = cut_lineage(pairs.select(F.col("a").alias("v")).unionAll(pairs.select("b")))
+    values = known_values(membership(ends, "v"))
+    values = cut_lineage(values.groupBy("v").agg(F.first("value").alias("value")))
+    found = verified(pairs, values, alike)
+    release(pairs, ends, values)
+    sweep(found.sparkSession)
+    return found
+
+
+def long_sketch(hashes: np.ndarray) -> bytes:
+    """A parity sketch of a power of two of bits, at least twice as many as hashes and 256."""
+    bits = max(256, 1 << (2 * len(hashes) - 1).bit_length())
+    at = ((hashes >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketches_apart(one: np.ndarray, other: np.ndarray) -> int:
+    """Hamming distance of two long sketches, as words, the longer one folded to the length of the other."""
+    if len(one) < len(other):
+        one, other = other, one
+    return int(np.bitwise_count(np.bitwise_xor.reduce(one.reshape(-1, len(other)), axis=0) ^ other).sum())
+
+
+def _sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their sizes and long sketches do not rule out."""
+    joined = pairs
+    for side in ("b", "a"):
+        of_side = sketches.select(F.col("v").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
+        joined = joined.join(of_side, side)
+
+    def holds(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sizes = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+        words = ((np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in batch.column(c)) for c in ("sketch_a", "sketch_b"))
+        apart = np.fromiter((sketches_apart(x, y) for x, y in zip(*words)), dtype=np.int64, count=batch.num_rows)
+        return batch.select(["a", "b"]).filter(pa.array((100 + percent) * apart <= (100 - percent) * sizes))
+
+    some = joined.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return map_arrow(some.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b"), holds, "a long, b long")
+
+
 def verified(pairs: DataFrame, values: DataFrame, alike: Alike) -> DataFrame:
     """The pairs (a, b) whose values are alike."""
-    joined = pairs.distinct()
+    joined = pairs
     for side in ("b", "a"):  # of the leader, a, there may be many
         joined = joined.join(values.select(F.col("v").alias(side), F.col("value").alias(f"value_{side}")), side)
 

@@ -10,8 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.llm.common import Membership, cut_lineage, keyed, map_arrow, membership, release, texts_of, without
-from darkroom.llm.links import SKETCH, jaccard, link, most_apart, parity_sketch, shared_keys
+from darkroom.llm.common import Membership, cut_lineage, keyed, map_arrow, membership, release, sweep, texts_of, without
+from darkroom.llm.links import SKETCH, jaccard, link, long_sketch, most_apart, parity_sketch, shared_keys
 from darkroom.llm.shingles import mix, shingle_set, signed, word_hashes
 
 #: Ratio of the upper to the lower size of a band.
@@ -71,21 +71,22 @@ def _each(batch: pa.RecordBatch, length: int) -> Iterator[np.ndarray]:
 
 
 def set_rows(docs: DataFrame, length: int, percent: int) -> DataFrame:
-    """doc_id, text_id, n (set size), set_id (hash of the set, null if empty), s0 to s3 and keys.
+    """doc_id, text_id, n (set size), set_id (hash of the set, null if empty), s0 to s3, sketch and keys.
 
-    Keys are null where the partition has given the set's keys before.
+    Sketch and keys are null where the partition has given the set's before.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            sizes, ids, keys = [], [], []
+            sizes, ids, keys, longs = [], [], [], []
             sketches = np.zeros((batch.num_rows, len(SKETCH)), dtype=np.int64)
             for row, shingles in enumerate(_each(batch, length)):
                 sizes.append(len(shingles))
                 ids.append(set_id(shingles) if len(shingles) else None)
                 fresh = len(shingles) > 0 and ids[-1] not in seen
                 keys.append(signed(parity_keys(shingles, percent)) if fresh else None)
+                longs.append(long_sketch(shingles) if fresh else None)
                 if len(shingles):
                     sketches[row] = parity_sketch(shingles)
                     if len(seen) < 1_000_000:
@@ -97,13 +98,14 @@ def set_rows(docs: DataFrame, length: int, percent: int) -> DataFrame:
                     pa.array(sizes, pa.int64()),
                     pa.array(ids, pa.int64()),
                     *(pa.array(sketches[:, i]) for i in range(len(SKETCH))),
+                    pa.array(longs, pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "text_id", "n", "set_id", *SKETCH, "keys"],
+                ["doc_id", "text_id", "n", "set_id", *SKETCH, "sketch", "keys"],
             )
 
     words = ", ".join(f"{s} long" for s in SKETCH)
-    return docs.mapInArrow(run, f"doc_id long, text_id long, n long, set_id long, {words}, keys array<long>")
+    return docs.mapInArrow(run, f"doc_id long, text_id long, n long, set_id long, {words}, sketch binary, keys array<long>")
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -204,10 +206,15 @@ def one_of_each(docs: DataFrame, length: int = 3, percent: int = 90) -> DataFram
 def _components(docs: DataFrame, length: int, percent: int) -> DataFrame:
     """(doc_id, text_id, n_shingles, component, component_id) of every document."""
     docs = keyed(docs)
-    rows = cut_lineage(set_rows(docs, length, percent))
-    members = _members(rows)
-    labels = link(members, lambda wanted: _sets(docs, rows, length, wanted), jaccard(percent), percent)
-    release(members)
+    whole = cut_lineage(set_rows(docs, length, percent))
+    members = _members(whole)
+    rows = cut_lineage(whole.select("doc_id", "text_id", "n", "set_id"))
+    sketches = whole.filter("sketch IS NOT NULL").groupBy(F.col("set_id").alias("v"))
+    sketches = cut_lineage(sketches.agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    release(whole)  # the keys are the most of it
+    sweep(docs.sparkSession)
+    labels = link(members, lambda wanted: _sets(docs, rows, length, wanted), jaccard(percent), percent, sketches)
+    release(members, sketches)
     named = rows.select("doc_id", "text_id", F.col("n").alias("n_shingles"), "set_id")
     named = named.join(labels.withColumnRenamed("v", "set_id"), "set_id", "left")
     named = named.withColumn("component", F.coalesce("component", "set_id")).drop("set_id")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.llm.common import WORD, Membership, attach, cut_lineage, free_names, keyed, map_arrow, membership, release, texts_of
+from darkroom.llm.common import WORD, Membership, attach, cut_lineage, free_names, keyed, map_arrow, membership, release, sweep, texts_of
 from darkroom.llm.links import SKETCH, jaccard, link, parity_sketch, shared_keys
 from darkroom.llm.shingles import WORDS, mix, runs, signed
 
@@ -268,8 +268,9 @@ def _sets(docs: DataFrame, units: DataFrame, min_words: int, block_words: int, w
     return map_arrow(docs.select("text_id", "text"), run, f"v long, value binary, n long, {words}")
 
 
-def _occurrences(units: DataFrame, block_words: int, held) -> DataFrame:
-    """(v, doc_id, text_id, start, end, whole) of units whose hash may occur twice, of one document per text.
+def _occurrences(units: DataFrame, block_words: int, held, near) -> DataFrame:
+    """(v, doc_id, text_id, start, end, whole) of units whose hash may occur twice (``held``) or be
+    that of a paragraph with a like one (``near``), of one document per text.
 
     start and end count the words of the text; ``whole`` is true of paragraphs.
     """
@@ -283,7 +284,7 @@ def _occurrences(units: DataFrame, block_words: int, held) -> DataFrame:
         start = np.concatenate([_flat(batch.column(c))[0] for c in ("p_start", "b_start")])
         end = np.concatenate([_flat(batch.column("p_end"))[0], start[len(paragraph) :] + block_words])
         whole = np.arange(len(ids)) < len(paragraph)
-        some = np.flatnonzero(held.value(ids))
+        some = np.flatnonzero(held.value(ids) | near.value(ids))
         some = some[np.argsort(rows[some], kind="stable")]
         counts = np.bincount(rows[some], minlength=n)
         columns = [_lists(values[some], counts) for values in (ids, start, end, whole)]
@@ -437,9 +438,14 @@ def repeated_passages(docs: DataFrame, min_words: int = 20, block_words: int = 2
     held = context.broadcast(membership(shared, "key"))
     members = _members(units, shared, held)
     release(shared)
-    labels = link(members, lambda wanted: _sets(docs, units, min_words, block_words, wanted), jaccard(percent), percent)
-    release(members)
-    found = _occurrences(units, block_words, held).join(labels, "v", "left")
+    sweep(docs.sparkSession)
+    sets = _sets(docs, units, min_words, block_words, membership(members, "v"))
+    sets = cut_lineage(sets.groupBy("v").agg(*(F.first(c).alias(c) for c in ("value", "n", *SKETCH))))
+    described = cut_lineage(members.join(sets.select("v", "n", *SKETCH), "v"))
+    labels = link(described, lambda wanted: sets.select("v", "value"), jaccard(percent), percent)
+    release(members, described, sets)
+    near = context.broadcast(membership(labels, "v"))
+    found = _occurrences(units, block_words, held, near).join(labels, "v", "left")
     found = cut_lineage(found.withColumn("component", F.coalesce("component", "v")).drop("v"))
     release(labels)
     place = F.struct("doc_id", "text_id", "start", "end")

@@ -364,11 +364,13 @@ def clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit_on(docs, labels, **options))
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names of any kind pass through
+    text = f"c{docs.columns.index('text')}"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
-        for part in slices(batch, "text"):
-            keep += (shared.value.scores([t or "" for t in part.column("text").to_pylist()]) < 0.5).tolist()
+        for part in slices(batch, text):
+            keep += (shared.value.scores([t or "" for t in part.column(text).to_pylist()]) < 0.5).tolist()
         return batch.filter(pa.array(keep, pa.bool_()))
 
-    return map_arrow(docs, run, docs.schema)
+    return map_arrow(plain, run, plain.schema).toDF(*docs.columns)

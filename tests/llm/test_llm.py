@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from darkroom.llm import byte_bpe, embedding_dedup, language, line_dedup, links, ngram_join, packing
 from darkroom.llm import paragraph_dedup, quality_rules, segments, shingles, token_counts, toxicity
+from darkroom.operators import graph
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD_TEXTS = [
@@ -356,6 +357,8 @@ def test_parity_keys_miss_no_link():
             both = shingles.intersection_size(a, b)
             if 100 * both >= 90 * (len(a) + len(b) - both):
                 assert set(ngram_join.parity_keys(a, 90)) & set(ngram_join.parity_keys(b, 90))
+                long = [np.frombuffer(links.long_sketch(x), dtype=np.uint64) for x in (a, b)]
+                assert links.sketches_apart(*long) <= len(a) + len(b) - 2 * both
                 apart = int(np.bitwise_count((links.parity_sketch(a) ^ links.parity_sketch(b)).view(np.uint64)).sum())
                 assert apart <= len(a) + len(b) - 2 * both
 
@@ -368,7 +371,7 @@ def test_components(spark, monkeypatch):
     path = [(int(a), int(b)) for a, b in zip(names, names[1:])]  # far longer than any number of rounds
     frame = spark.createDataFrame(path, "a long, b long").repartition(6)
     assert {r.component for r in links.components(frame).collect()} == {0}
-    monkeypatch.setattr(links, "HELD_EDGES", 50)  # so that one task may not hold all
+    monkeypatch.setattr(graph, "HELD_EDGES", 50)  # so that one task may not hold all
     assert {(r.v, r.component) for r in links.components(frame).collect()} == {(v, 0) for v in range(900)}
     assert links.components(frame.limit(0)).count() == 0
 
@@ -385,7 +388,7 @@ def test_stars_join_what_edges_join():
                 break
             high, low = next(iter(lower))
             want = {v: low if c == high else c for v, c in want.items()}
-        got = dict(zip(*(x.tolist() for x in links.stars(a, b))))
+        got = dict(zip(*(x.tolist() for x in graph.stars(a, b))))
         assert got == {v: c for v, c in want.items() if v != c}
 
 
@@ -396,8 +399,8 @@ def test_link_leaves_no_pair_of_a_large_key_out(spark, monkeypatch):
     sets = {i: np.unique(rng.integers(0, 30, 12)).astype(np.uint64) for i in range(60)}
     members = spark.createDataFrame([(k, i) for i in sets for k in (1, 2 + i % 3)], "key long, v long")
     values = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets.items()], "v long, value binary")
-    got = {r.v: r.component for r in links.link(members, lambda held: values, links.jaccard(60), 60).collect()}
-    want = brute_components({i: set(s.tolist()) for i, s in sets.items()}, 60)
+    got = {r.v: r.component for r in links.link(members, lambda held: values, links.jaccard(45)).collect()}
+    want = brute_components({i: set(s.tolist()) for i, s in sets.items()}, 45)
     of = collections.Counter(want.values())
     assert got == {i: c for i, c in want.items() if of[c] > 1} and len(set(got.values())) > 1
 
@@ -445,9 +448,9 @@ def test_passages_against_brute_force(spark):
         assert not {tuple(left[k : k + 50]) for k in range(len(left) - 49)} & (runs_ & seen)
         seen |= runs_
     assert n > 1000
-    once = [i for i, t in enumerate(texts) if not any(p[0] in t.split() for p in passages) and t]
+    once = [i for i, t in enumerate(texts[:60]) if i != 3 and not any(p[0] in t.split() for p in passages) and t]
     assert all(cleaned[i] == texts[i].split() for i in once)
-    assert 61 not in cleaned and cleaned[62] == cleaned[63] == ["short", "text"]
+    assert not {60, 61} & set(cleaned) and cleaned[62] == cleaned[63] == ["short", "text"]
 
 
 def test_repeats_need_no_sentence_or_line(spark):
