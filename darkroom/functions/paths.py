@@ -52,9 +52,12 @@ def can_decode(ext: Column) -> Column:
     return ext.isin(list(DECODABLE))
 
 
+_ASCII = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def path_key(path: Column) -> Column:
-    """Identity of a path: forward slashes, trimmed, lower case."""
-    return F.lower(F.trim(normal_slashes(path)))
+    """Identity of a path: forward slashes, trimmed, ASCII letters in lower case; others stay."""
+    return F.translate(F.trim(normal_slashes(path)), *_ASCII)
 
 
 def root_key(path: Column) -> Column:
@@ -88,9 +91,8 @@ def megapixels_at_least(width: Column, height: Column, megapixels: float) -> Col
 def contains_folded(column: Column, query: str) -> Column:
     """LIKE '%query%' with ASCII letters folded; % and _ in the query keep their meaning."""
     pattern = query.strip()
-    fold = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     plain = "".join(c.lower() if c.isascii() else c for c in pattern)
-    return F.translate(column, *fold).like(f"%{plain}%")
+    return F.translate(column, *_ASCII).like(f"%{plain}%")
 
 
 def text_filter(query: str, *columns: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from darkroom.functions.paths import contains_folded, megapixels_at_least
+from darkroom.operators.learning import active_model
 
 
 @dataclass(frozen=True)
@@ -29,7 +30,7 @@ class Filter:
     score_min: float | None = None
     score_max: float | None = None
     bucket: str | None = None
-    delete_candidate: bool | None = None
+    delete_candidate_only: bool = False
     has_prediction: bool | None = None
     group: str | None = None  # in_group, not_in_group, pending_group or a kind of pending group
 
@@ -62,22 +63,22 @@ class Filter:
             add(contains_folded(F.col("current_path"), self.path_contains))
         if self.bucket is not None:
             add(F.col("ai_bucket") == self.bucket)
-        if self.delete_candidate is not None:
-            add(F.col("delete_candidate") == self.delete_candidate)
+        if self.delete_candidate_only:
+            add(F.col("delete_candidate"))
         if self.has_prediction is not None:
             add(F.col("ai_score").isNotNull() if self.has_prediction else F.col("ai_score").isNull())
         return out
 
 
-#: Sort orders; all but path_asc end with the id.
+#: Sort orders.  Paths are unique; all others end with the id.
 SORTS: dict[str, list[tuple[str, bool]]] = {
     "quality_desc": [("quality", False), ("instance_id", True)],
     "quality_asc": [("quality", True), ("instance_id", True)],
     "rating_desc": [("rating", False), ("instance_id", True)],
     "rating_asc": [("rating", True), ("instance_id", True)],
     "path_asc": [("current_path", True)],
-    "newest": [("captured_at", False), ("instance_id", True)],
-    "oldest": [("captured_at", True), ("instance_id", True)],
+    "file_id_asc": [("instance_id", True)],
+    "updated_desc": [("last_seen_at", False), ("instance_id", True)],
     "resolution_desc": [("pixels", False), ("instance_id", True)],
     "ai_score_desc": [("ai_score", False), ("instance_id", True)],
     "ai_score_asc": [("ai_score", True), ("instance_id", True)],
@@ -108,6 +109,24 @@ def in_group(rows: DataFrame, wanted: str | None, members: DataFrame, groups: Da
     return rows.join(of, "instance_id", "left_anti" if wanted == "not_in_group" else "left_semi")
 
 
+#: What a prediction says of an asset.
+PREDICTED = {"ai_score": "double", "ai_confidence": "double", "ai_bucket": "string", "delete_candidate": "boolean"}
+
+
+def with_predictions(rows: DataFrame, predictions: DataFrame | None, models: DataFrame | None) -> DataFrame:
+    """``rows`` with the active model's predictions; all null if there are none or no model is active.
+
+    ``predictions`` has asset_id, model_id and the columns of PREDICTED; without ``models`` all
+    of them are taken as one model's.
+    """
+    if predictions is None:
+        return rows.withColumns({name: F.lit(None).cast(kind) for name, kind in PREDICTED.items()})
+    if models is not None:
+        active = active_model(models).select(F.col("id").alias("model_id"))
+        predictions = predictions.join(F.broadcast(active), "model_id")  # one row at most
+    return rows.join(predictions.select("asset_id", *PREDICTED), "asset_id", "left")
+
+
 def listing(
     records: DataFrame,
     ratings: DataFrame,
@@ -115,23 +134,30 @@ def listing(
     members: DataFrame | None = None,
     groups: DataFrame | None = None,
     wanted: Filter = Filter(),
+    models: DataFrame | None = None,
 ) -> DataFrame:
-    """Filtered rows before order and page.
+    """Filtered rows of live images, before order and page.
 
-    ``predictions`` are those of the active model.  Filters on the files run before the joins.
+    ``records`` has exists_flag, file_class and preview_supported besides what is shown.  Filters on
+    the files run before the joins.
     """
-    rows = records.withColumn("pixels", F.col("width").cast("long") * F.col("height").cast("long"))
+    rows = records.filter(F.col("exists_flag") & (F.col("file_class") == "image"))
+    rows = rows.withColumn("pixels", F.col("width").cast("long") * F.col("height").cast("long"))
     rows = rows.join(ratings.select("instance_id", "rating"), "instance_id", "left")
-    if predictions is not None:
-        rows = rows.join(predictions.select("asset_id", "ai_score", "ai_bucket", "delete_candidate"), "asset_id", "left")
+    rows = with_predictions(rows, predictions, models)
     if wanted.conditions():
         rows = rows.filter(reduce(and_, wanted.conditions()))
     if groups is not None and members is not None:
         rows = in_group(rows, wanted.group, members, groups)
-        rows = rows.join(first_group(members, groups), "instance_id", "left")
     return rows
 
 
+def with_first_group(shown: DataFrame, members: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of a page with their first group; only groups of files on the page are looked at."""
+    of_page = members.join(F.broadcast(shown.select("instance_id")), "instance_id", "left_semi")  # a page
+    return shown.join(first_group(of_page, groups), "instance_id", "left")
+
+
 def page(rows: DataFrame, sort: str, offset: int, limit: int) -> DataFrame:
     return rows.orderBy(*order(sort)).offset(offset).limit(limit)
 

@@ -6,12 +6,15 @@ modified_ms, volume_id, file_id, extension, file_class, sha256 and quick_fingerp
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import os
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from darkroom.functions import paths
-from darkroom.operators.graph import materialize
+from darkroom.operators.order import placed
 from darkroom.schema import ANALYSIS_VERSION
+from darkroom.sources.scratch import materialize
 
 
 def prepare_roots(roots: list[str]) -> list[str]:
@@ -25,6 +28,20 @@ def prepare_roots(roots: list[str]) -> list[str]:
     return list(out.values())
 
 
+def checked_roots(roots: list[str]) -> list[str]:
+    """Prepared roots in their canonical form; raises ValueError for none, and for those that are no folders."""
+    out = []
+    for root in prepare_roots(roots):
+        if not os.path.exists(root):
+            raise ValueError(f"folder does not exist: {root}")
+        if not os.path.isdir(root):
+            raise ValueError(f"not a folder: {root}")
+        out.append(os.path.realpath(root))
+    if not out:
+        raise ValueError("no folder to scan")
+    return prepare_roots(out)
+
+
 def classified(manifest: DataFrame) -> DataFrame:
     """Manifest with path_key, extension and file_class."""
     out = manifest.withColumn("path_key", paths.path_key(F.col("path"))).withColumn("extension", paths.extension(F.col("path")))
@@ -95,8 +112,8 @@ def same_volume_moves(changed: DataFrame, instances: DataFrame) -> DataFrame:
         F.col("id").alias("instance_id"), F.col("current_path").alias("old_path"), F.col("path_key").alias("old_key"), "volume_id", "file_id"
     )
     found = changed.drop("instance_id").join(known, ["volume_id", "file_id"]).filter(F.col("old_key") != F.col("path_key"))
-    order = Window.partitionBy("path_key").orderBy("instance_id")
-    return found.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select("instance_id", "old_path", "path", "path_key")
+    least = found.groupBy("path_key", "path").agg(F.min_by(F.struct("instance_id", "old_path"), "instance_id").alias("k"))
+    return least.select("k.instance_id", "k.old_path", "path", "path_key")
 
 
 def known_content(pending: DataFrame, assets: DataFrame, version: int = ANALYSIS_VERSION) -> tuple[DataFrame, DataFrame]:
@@ -129,14 +146,9 @@ def numbered(rows: DataFrame, key: str, known: DataFrame, id_: str, name: str) -
 
     Numbers are dealt per range partition from its offset, so the rows are never gathered in one task.
     """
-    ordered = rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id())
-    ordered = ordered.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(key)))
-    sizes = ordered.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))  # a row per partition
-    before = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_p", before.alias("_o"))
     top = known.agg(F.coalesce(F.max(id_), F.lit(0)).alias("_top"))
-    joined = ordered.join(F.broadcast(offsets), "_p").crossJoin(F.broadcast(top))  # one row
-    return joined.withColumn(name, (F.col("_top") + F.col("_o") + F.col("_r")).cast("long")).drop("_p", "_r", "_o", "_top")
+    joined = placed(rows, [], [F.col(key)], "_at").crossJoin(F.broadcast(top))  # one row
+    return joined.withColumn(name, (F.col("_top") + F.col("_at") + 1).cast("long")).drop("_at", "_top")
 
 
 def cross_volume_moves(resolved: DataFrame, instances: DataFrame, observed_keys: DataFrame) -> DataFrame:
@@ -149,9 +161,8 @@ def cross_volume_moves(resolved: DataFrame, instances: DataFrame, observed_keys:
         .select(F.col("content_asset_id").alias("asset_id"), "instance_id", "old_path")
     )
     fresh = resolved.drop("instance_id").join(instances.select("path_key"), "path_key", "left_anti").join(single, "asset_id")
-    order = Window.partitionBy("instance_id").orderBy("path_key")
-    one = fresh.withColumn("_n", F.row_number().over(order)).filter("_n = 1")
-    return one.select("path_key", "instance_id", "old_path")
+    one = fresh.groupBy("instance_id").agg(F.min_by(F.struct("path_key", "old_path"), "path_key").alias("k"))
+    return one.select("k.path_key", "instance_id", "k.old_path")
 
 
 def disposition() -> Column:
@@ -218,25 +229,65 @@ def promote(queue: DataFrame, done: DataFrame) -> DataFrame:
     return joined.withColumn("stage", F.when(F.col("_done"), "promoted").otherwise(F.col("stage"))).drop("_done")
 
 
+def job_group(run_id: int) -> str:
+    return f"scan-{run_id}"
+
+
 def cancel(spark, run_id: int, runs: DataFrame) -> DataFrame:
-    """Stop the run's jobs and mark it cancelled, so that it is not resumed."""
-    spark.sparkContext.cancelJobGroup(f"scan-{run_id}")
+    """Stop the run's jobs, which :func:`scan` runs under its group, and mark it cancelled, so that it is not resumed."""
+    spark.sparkContext.cancelJobGroup(job_group(run_id))
     return runs.withColumn("status", F.when(F.col("id") == run_id, "cancelled").otherwise(F.col("status")))
 
 
-def scan(observed: DataFrame, instances: DataFrame, assets: DataFrame, roots: list[str], run_id: int, now: Column) -> dict[str, DataFrame]:
+def enqueue(observed: DataFrame, run_id: int) -> DataFrame:
+    """Queue rows of the files that a run found: scan_run_id, path_key, path, stage."""
+    return observed.select(F.lit(run_id).cast("long").alias("scan_run_id"), "path_key", "path", F.lit("discovered").alias("stage"))
+
+
+def resume(observed: DataFrame, instances: DataFrame, assets: DataFrame, runs: DataFrame, queue: DataFrame, now: Column):
+    """Go on with the newest run that has files left: (run id, tables as of :func:`scan`, runs, queue).
+
+    Of ``observed`` only files that the run found and has not done are taken, whatever was asked for
+    since; known content is not looked up by fingerprint and nothing is marked missing.  The run ends
+    as completed.  Without such a run: (None, {}, runs, queue).
+    """
+    found = resume_candidate(runs, queue).select("id").collect()  # one row at most
+    if not found:
+        return None, {}, runs, queue
+    run_id = found[0]["id"]
+    waiting = queue.filter((F.col("scan_run_id") == run_id) & (F.col("stage") == "discovered"))
+    todo = classified(observed).join(waiting.select("path_key").distinct(), "path_key", "left_semi")
+    out = scan(todo, instances, assets, [], run_id, now, known=False)
+    done = F.col("id") == run_id
+    runs = runs.withColumn("status", F.when(done, "completed").otherwise(F.col("status")))
+    runs = runs.withColumn("finished_at", F.when(done, now).otherwise(F.col("finished_at")))
+    return run_id, out, runs, promote(queue, waiting)
+
+
+def scan(
+    observed: DataFrame, instances: DataFrame, assets: DataFrame, roots: list[str], run_id: int, now: Column, known: bool = True
+) -> dict[str, DataFrame]:
     """One scan: the next instances and assets, the move log and a disposition per file.
 
     ``observed`` has path, size, modified_ms, volume_id, file_id, quick_fingerprint and sha256.
-    Precedence is unchanged, same-volume move, known content, cross-volume move, new.
+    Precedence is unchanged, same-volume move, known content, cross-volume move, new.  With ``known``,
+    changed files whose fingerprint and hash name a current asset take it at once; the others are
+    resolved by hash.  Jobs run under the run's group, see :func:`cancel`.
     """
+    observed.sparkSession.sparkContext.setJobGroup(job_group(run_id), f"scan {run_id}", True)
     media, sidecars, counted = route(classified(observed))
     # Each step is written once, as the later ones read it several times.
     state = materialize(with_state(media, instances, assets).withColumn("is_unchanged", unchanged()))
     same = state.filter("is_unchanged").withColumn("asset_id", F.col("known_asset_id"))
     changed = state.filter(~F.col("is_unchanged"))
     moves = same_volume_moves(changed.filter("instance_id IS NULL"), instances).withColumn("change_type", F.lit("same_volume_move"))
-    resolved = materialize(resolve_assets(changed, assets))
+    if known:
+        hits, misses = known_content(changed, assets)
+        hits = hits.withColumn("asset_action", F.lit("reuse"))
+        resolved = hits.unionByName(resolve_assets(misses, assets).select(*hits.columns))
+    else:
+        resolved = resolve_assets(changed, assets)
+    resolved = materialize(resolved)
     rest = resolved.join(moves.select("path_key"), "path_key", "left_anti")
     far = cross_volume_moves(rest, instances, media).withColumn("change_type", F.lit("cross_volume_move"))
     log = materialize(moves.select("path_key", "instance_id", "old_path", "change_type").unionByName(far))

@@ -13,8 +13,14 @@ from pyspark.sql import functions as F
 
 from darkroom.functions.vectors import dot, sigmoid
 
-#: Rows of a training set that may reach the driver.
-MOST_SAMPLES = 200_000
+#: Encoders by what there is to load, and the least number of ratings to train on.
+ENCODER, STUB_ENCODER = "clip_vitb32", "stub"
+LEAST_RATED = 3
+
+
+def active_encoder(model_file: str | None) -> str:
+    """The encoder whose file there is, else the stub."""
+    return ENCODER if model_file and Path(model_file).exists() else STUB_ENCODER
 
 
 def ai_bucket(score: Column) -> Column:
@@ -30,6 +36,16 @@ def target(rating: np.ndarray) -> np.ndarray:
     return (np.clip(rating, 1, 5) - 1) / 4
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; rows of next to no length stay."""
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.where(norm > 1e-6, x / np.maximum(norm, 1e-6), x)
+
+
+def logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
+
+
 @dataclass
 class LinearHead:
     weights: np.ndarray
@@ -37,17 +53,18 @@ class LinearHead:
 
     @classmethod
     def train(cls, x: np.ndarray, rating: np.ndarray, epochs: int = 500, rate: float = 0.01, decay: float = 0.001):
-        """Gradient descent on squared error of sigmoid scores; returns the head and its metrics."""
-        head, y = cls(np.zeros(x.shape[1], dtype=np.float32)), target(rating).astype(np.float32)
+        """Gradient descent on the mean over all samples; returns the head and its metrics."""
+        if not len(x):
+            raise ValueError("no training samples")
+        head, y = cls(np.zeros(x.shape[1])), target(rating)
         for _ in range(epochs):
-            for row, want in zip(x, y):
-                error = head.score(row[None])[0] - want
-                head.weights = head.weights - rate * (error * row + decay * head.weights)
-                head.bias -= rate * float(error)
+            error = head.score(x) - y
+            head.weights = head.weights - rate * (error @ x / len(x) + decay * head.weights)
+            head.bias -= rate * float(error.mean())
         return head, metrics(head.score(x), y)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(x @ self.weights + self.bias)))
+        return logistic(x @ self.weights + self.bias)
 
     def column(self, embedding: Column) -> Column:
         """The score as a native column."""
@@ -59,18 +76,18 @@ class LinearHead:
     @classmethod
     def load(cls, path: Path) -> LinearHead:
         held = json.loads(path.read_text())
-        return cls(np.array(held["weights"], dtype=np.float32), held["bias"])
+        return cls(np.array(held["weights"]), held["bias"])
 
 
 def initial(shape: tuple[int, ...], scale: float) -> np.ndarray:
     """Reproducible start weights: sines of multiples of the golden section."""
     n = int(np.prod(shape))
-    return (np.sin((np.arange(n) + 1) * 0.618034) * scale).astype(np.float32).reshape(shape)
+    return (np.sin((np.arange(n) + 1) * 0.618034) * scale).reshape(shape)
 
 
 @dataclass
 class MlpHead:
-    """One hidden layer with ReLU and a sigmoid output."""
+    """One hidden layer with ReLU on the unit vector, and a sigmoid output."""
 
     w1: np.ndarray
     b1: np.ndarray
@@ -80,29 +97,31 @@ class MlpHead:
     @classmethod
     def new(cls, dimension: int) -> MlpHead:
         hidden = int(np.clip(dimension // 24, 8, 32))
-        return cls(initial((hidden, dimension), 0.1), np.zeros(hidden, np.float32), initial((hidden,), 0.2), 0.0)
+        return cls(initial((hidden, dimension), 0.1), np.zeros(hidden), initial((hidden,), 0.2), 0.0)
 
     @classmethod
     def train(cls, x: np.ndarray, rating: np.ndarray, epochs: int = 140, rate: float = 0.03, decay: float = 0.0005):
-        head, y = cls.new(x.shape[1]), target(rating).astype(np.float32)
+        """Gradient descent on the mean over all samples, errors clamped to -1 to 1."""
+        if not len(x):
+            raise ValueError("no training samples")
+        head, y = cls.new(x.shape[1]), target(rating)
+        rows, n = unit(x), len(x)
         for _ in range(epochs):
-            for row, want in zip(x, y):
-                pre = head.w1 @ row + head.b1
-                h = np.maximum(pre, 0)
-                score = 1 / (1 + np.exp(-(head.w2 @ h + head.b2)))
-                error = float(np.clip(score - want, -1, 1))
-                back = error * head.w2 * (pre > 0)
-                head.w2 = head.w2 - rate * (error * h + decay * head.w2)
-                head.b2 -= rate * error
-                head.w1 = head.w1 - rate * (np.outer(back, row) + decay * head.w1)
-                head.b1 = head.b1 - rate * back
+            pre = rows @ head.w1.T + head.b1
+            h = np.maximum(pre, 0)
+            error = np.clip(logistic(h @ head.w2 + head.b2) - y, -1, 1)
+            back = error[:, None] * head.w2 * (pre > 0)
+            head.w1 = head.w1 - rate * (back.T @ rows / n + decay * head.w1)
+            head.b1 = head.b1 - rate * back.mean(axis=0)
+            head.w2 = head.w2 - rate * (error @ h / n + decay * head.w2)
+            head.b2 -= rate * float(error.mean())
         return head, metrics(head.score(x), y)
 
     def hidden(self, x: np.ndarray) -> np.ndarray:
-        return np.maximum(x @ self.w1.T + self.b1, 0)
+        return np.maximum(unit(x) @ self.w1.T + self.b1, 0)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.hidden(x) @ self.w2 + self.b2)))
+        return logistic(self.hidden(x) @ self.w2 + self.b2)
 
     def confidence(self, x: np.ndarray) -> np.ndarray:
         return np.clip(2 * np.abs(self.score(x) - 0.5) + 0.15 * np.abs(self.hidden(x)).mean(axis=1), 0, 1)
@@ -114,12 +133,15 @@ class MlpHead:
     @classmethod
     def load(cls, path: Path) -> MlpHead:
         held = json.loads(path.read_text())
-        arrays = (np.array(held[k], dtype=np.float32) for k in ("w1", "b1", "w2"))
-        return cls(*arrays, held["b2"])
+        return cls(*(np.array(held[k]) for k in ("w1", "b1", "w2")), held["b2"])
 
 
 def metrics(score: np.ndarray, want: np.ndarray) -> dict[str, float]:
-    return {"mse": float(np.mean((score - want) ** 2)), "mae": float(np.mean(np.abs(score - want)))}
+    return {
+        "mse": float(np.mean((score - want) ** 2)),
+        "mae": float(np.mean(np.abs(score - want))),
+        "sample_count": len(want),
+    }
 
 
 def missing_embeddings(assets: DataFrame, embeddings: DataFrame, encoder: str, version: str) -> DataFrame:
@@ -128,12 +150,23 @@ def missing_embeddings(assets: DataFrame, embeddings: DataFrame, encoder: str, v
     return assets.join(have.select(F.col("content_asset_id").alias("asset_id")), "asset_id", "left_anti")
 
 
-def training_set(embeddings: DataFrame, ratings: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, vectors and ratings (above 0) of at most MOST_SAMPLES assets, the least ids."""
+def extract(assets: DataFrame, embeddings: DataFrame, encode: Column, encoder: str, version: str, only_missing: bool = True) -> DataFrame:
+    """Embeddings with those of ``assets`` by ``encode``: of all of them, or of those that have none yet."""
+    todo = missing_embeddings(assets, embeddings, encoder, version) if only_missing else assets
+    new = todo.select(
+        F.col("asset_id").alias("content_asset_id"), F.lit(encoder).alias("encoder_name"), F.lit(version).alias("encoder_version"),
+        encode.cast("array<float>").alias("embedding"),
+    )
+    keys = ["content_asset_id", "encoder_name", "encoder_version"]
+    return embeddings.join(new.select(*keys), keys, "left_anti").unionByName(new)
+
+
+def training_set(embeddings: DataFrame, ratings: DataFrame, most: int = 200_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, vectors and ratings (above 0) of the rated assets; of more than ``most`` those of the least id hash."""
     joined = embeddings.join(ratings.filter("rating > 0"), "asset_id").select("asset_id", "embedding", "rating")
-    rows = joined.orderBy("asset_id").limit(MOST_SAMPLES).collect()
-    x = np.array([r.embedding for r in rows], dtype=np.float32) if rows else np.zeros((0, 0), np.float32)
-    return np.array([r.asset_id for r in rows]), x, np.array([r.rating for r in rows], dtype=np.float32)
+    rows = joined.orderBy(F.xxhash64("asset_id"), "asset_id").limit(most).collect()  # a bounded sample
+    x = np.array([r.embedding for r in rows], dtype=np.float64) if rows else np.zeros((0, 0))
+    return np.array([r.asset_id for r in rows]), x, np.array([r.rating for r in rows], dtype=np.float64)
 
 
 def predict_linear(embeddings: DataFrame, head: LinearHead) -> DataFrame:
@@ -151,9 +184,9 @@ def predict_mlp(embeddings: DataFrame, head: MlpHead) -> DataFrame:
     def run(batches):
         for batch in batches:
             if len(batch):
-                x = np.stack(batch.embedding.to_numpy()).astype(np.float32)
+                x = np.stack(batch.embedding.to_numpy()).astype(np.float64)
                 model = shared.value
-                yield pd.DataFrame({"asset_id": batch.asset_id, "ai_score": model.score(x).astype(float), "ai_confidence": model.confidence(x).astype(float)})
+                yield pd.DataFrame({"asset_id": batch.asset_id, "ai_score": model.score(x), "ai_confidence": model.confidence(x)})
 
     usable = embeddings.filter(F.size("embedding") == dimension).select("asset_id", "embedding")
     return with_bucket(usable.mapInPandas(run, "asset_id long, ai_score double, ai_confidence double"))
@@ -172,28 +205,55 @@ def predict_missing(embeddings: DataFrame, predictions: DataFrame, head: MlpHead
     return predictions.unionByName(found.select(*predictions.columns))
 
 
+def clear_predictions(predictions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """No predictions, and how many there were as one row (deleted)."""
+    return predictions.limit(0), predictions.agg(F.count(F.lit(1)).alias("deleted"))
+
+
 def activate(models: DataFrame, new: DataFrame) -> DataFrame:
     """Registry in which only ``new`` is active."""
     return models.withColumn("active", F.lit(False)).unionByName(new.withColumn("active", F.lit(True)))
 
 
 def active_model(models: DataFrame) -> DataFrame:
-    return models.filter("active").orderBy(F.desc("created_at"), F.desc("id")).limit(1)
+    """The active model of the greatest id; no row if none is active."""
+    return models.filter("active").orderBy(F.desc("id")).limit(1)
 
 
-def full_pipeline(embeddings: DataFrame, ratings: DataFrame, predictions: DataFrame, least: int = 3):
+def full_pipeline(embeddings: DataFrame, ratings: DataFrame, predictions: DataFrame, least: int = LEAST_RATED, most: int = 200_000):
     """Train on what is rated, if that is enough, and score what is not scored; (head or None, predictions)."""
-    _, x, y = training_set(embeddings, ratings)
+    _, x, y = training_set(embeddings, ratings, most)
     if len(y) < least:
         return None, predictions
     head, _ = MlpHead.train(x, y)
     return head, predict_missing(embeddings, predictions, head)
 
 
-def status(embeddings: DataFrame, ratings: DataFrame, predictions: DataFrame) -> DataFrame:
-    """One row of counts."""
-    return (
-        embeddings.agg(F.count(F.lit(1)).alias("n_embeddings"))
-        .crossJoin(F.broadcast(ratings.agg(F.count_if(F.col("rating") > 0).alias("n_rated"))))
-        .crossJoin(F.broadcast(predictions.agg(F.count(F.lit(1)).alias("n_predictions"))))
+def rated_counts(ratings: DataFrame, instances: DataFrame) -> DataFrame:
+    """One row: n_rated, ratings above 0 of known files, and n_rated_images, any ratings of live images."""
+    files = instances.select(F.col("id").alias("file_instance_id"), "exists_flag", "file_class")
+    live = F.col("exists_flag") & (F.col("file_class") == "image")
+    return ratings.join(files, "file_instance_id").agg(
+        F.count_if(F.col("rating") > 0).alias("n_rated"), F.count_if(live).alias("n_rated_images")
     )
+
+
+def status(
+    assets: DataFrame, embeddings: DataFrame, ratings: DataFrame, instances: DataFrame, predictions: DataFrame, models: DataFrame,
+    jobs: DataFrame, encoder: str, version: str,
+) -> DataFrame:
+    """One row: n_assets, n_embeddings of the encoder, n_rated, n_rated_images, n_predictions of the active
+    model, active_model_id, running_job_id (the newest pending or running one), latest_job_id."""
+    own = (F.col("encoder_name") == encoder) & (F.col("encoder_version") == version)
+    active = active_model(models).select(F.col("id").alias("model_id"))
+    parts = [
+        embeddings.agg(F.count_if(own).alias("n_embeddings")),
+        rated_counts(ratings, instances),
+        predictions.join(F.broadcast(active), "model_id").agg(F.count(F.lit(1)).alias("n_predictions")),
+        active.agg(F.max("model_id").alias("active_model_id")),
+        jobs.agg(F.max(F.when(F.col("status").isin("pending", "running"), F.col("id"))).alias("running_job_id"), F.max("id").alias("latest_job_id")),
+    ]
+    out = assets.agg(F.count(F.lit(1)).alias("n_assets"))
+    for part in parts:
+        out = out.crossJoin(F.broadcast(part))  # one row each
+    return out

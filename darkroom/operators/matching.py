@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from darkroom.functions.hashing import hamming
 from darkroom.functions.vectors import ssim
 from darkroom.operators.graph import components
+from darkroom.operators.ingest import numbered
 from darkroom.schema import DHASH_MAX_DISTANCE, MAX_CLIQUE, PHASH_MAX_DISTANCE, SIMILARITY_THRESHOLD
+from darkroom.sources.scratch import materialize
 
 
 def best_first(quality: Column, pixels: Column, path: Column) -> list[Column]:
@@ -55,6 +57,44 @@ def bands(bits: int, radius: int) -> list[tuple[int, int]]:
     return [(low, high - low) for low, high in zip(edges, edges[1:])]
 
 
+def band_keys(value: Column, bits: int, radius: int, near: int) -> Column:
+    """Keys of a hash: for each band its number and each value that differs in at most one bit.
+
+    There are bands enough that hashes within ``radius`` differ in at most ``near`` bits of one of
+    them.  With ``near`` 2, two such values have a neighbour in common, each a bit away, so that both
+    sides give 1 + width keys and no more.
+    """
+    out = []
+    for number, (shift, width) in enumerate(bands(bits, radius // (near + 1))):
+        part = F.shiftrightunsigned(value, shift).bitwiseAND(F.lit((1 << width) - 1))
+        tag = F.lit(number << width)
+        out += [part.bitwiseXOR(F.lit(flip)).bitwiseOR(tag) for flip in (0, *(1 << i for i in range(width)))]
+    return F.array(*out)
+
+
+def hash_classes(hashes: DataFrame, id_: str = "asset_id") -> DataFrame:
+    """(id, phash, dhash, rep): each row with the least id that has equal hashes."""
+    reps = materialize(hashes.groupBy("phash", "dhash").agg(F.min(id_).alias("rep")))
+    return hashes.select(id_, "phash", "dhash").join(reps, ["phash", "dhash"])
+
+
+def hamming_links(
+    distinct: DataFrame, radius: int = PHASH_MAX_DISTANCE, other_radius: int | None = DHASH_MAX_DISTANCE, bits: int = 63
+) -> DataFrame:
+    """Pairs (l_rep, rep), l_rep < rep, of distinct hashes (rep, phash, dhash) within both radii.
+
+    Pigeonhole bands of a third of the bits turn the distance into equi-joins (see
+    :func:`band_keys`): unrelated hashes share a key about once in three thousand pairs.
+    """
+    keyed = distinct.select("rep", "phash", "dhash", F.explode(band_keys(F.col("phash"), bits, radius, 2)).alias("key"))
+    left = keyed.select("key", *(F.col(c).alias(f"l_{c}") for c in ("rep", "phash", "dhash")))
+    near = hamming(F.col("l_phash"), F.col("phash")) <= radius
+    if other_radius is not None:
+        near = near & (hamming(F.col("l_dhash"), F.col("dhash")) <= other_radius)
+    met = left.join(keyed, "key").filter((F.col("l_rep") < F.col("rep")) & near)
+    return met.select("l_rep", "rep").distinct()
+
+
 def hamming_join(
     hashes: DataFrame,
     id_: str = "asset_id",
@@ -64,33 +104,15 @@ def hamming_join(
 ) -> DataFrame:
     """Pairs a < b of ``hashes`` (id, phash, dhash) within both radii.
 
-    Pigeonhole bands turn the distance into equi-joins.  Rows with equal hashes are joined as one
-    and expanded after, so that a value many files share meets each other value once.
+    Rows with equal hashes are compared as one (see :func:`hash_classes`, :func:`hamming_links`) and
+    expanded after, as each pair of files is confirmed by its own pixels.
     """
-    distinct = hashes.groupBy("phash", "dhash").agg(F.min(id_).alias("rep"))
-    band = F.explode(
-        F.array(
-            *(
-                F.struct(
-                    F.lit(i).alias("band"),
-                    F.shiftrightunsigned("phash", shift).bitwiseAND(F.lit((1 << width) - 1)).alias("part"),
-                )
-                for i, (shift, width) in enumerate(bands(bits, radius))
-            )
-        )
-    )
-    keyed = distinct.select("rep", "phash", "dhash", band.alias("k")).select("rep", "phash", "dhash", "k.band", "k.part")
-    left = keyed.select(*(F.col(c).alias(f"l_{c}") for c in keyed.columns))
-    near = hamming(F.col("l_phash"), F.col("phash")) <= radius
-    if other_radius is not None:
-        near = near & (hamming(F.col("l_dhash"), F.col("dhash")) <= other_radius)
-    same_key = (F.col("l_band") == F.col("band")) & (F.col("l_part") == F.col("part"))
-    between = left.join(keyed, same_key & (F.col("l_rep") < F.col("rep")) & near)
-    between = between.select("l_phash", "l_dhash", "phash", "dhash").distinct()
-    one = hashes.select(F.col(id_).alias("x"), F.col("phash").alias("l_phash"), F.col("dhash").alias("l_dhash"))
-    two = hashes.select(F.col(id_).alias("y"), "phash", "dhash")
-    across = between.join(one, ["l_phash", "l_dhash"]).join(two, ["phash", "dhash"]).select("x", "y")
-    within = one.join(two, (F.col("l_phash") == F.col("phash")) & (F.col("l_dhash") == F.col("dhash")) & (F.col("x") < F.col("y")))
+    classes = materialize(hash_classes(hashes, id_))
+    links = hamming_links(classes.groupBy("rep").agg(F.first("phash").alias("phash"), F.first("dhash").alias("dhash")), radius, other_radius, bits)
+    one = classes.select(F.col(id_).alias("x"), F.col("rep").alias("l_rep"))
+    two = classes.select(F.col(id_).alias("y"), "rep")
+    across = links.join(one, "l_rep").join(two, "rep").select("x", "y")
+    within = one.join(two, (F.col("l_rep") == F.col("rep")) & (F.col("x") < F.col("y")))
     pairs = across.unionAll(within.select("x", "y"))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
@@ -207,3 +229,78 @@ def untouched_groups(groups: DataFrame, members: DataFrame, new_assets: DataFram
     open_ = groups.filter((F.col("kind") == "similar") & (F.col("status") != "applied"))
     return open_.join(touched.select(F.col("group_id").alias("id")).distinct(), "id", "left_anti")
 
+
+#: Columns of a draft.
+DRAFT = ("anchor", "kind", "instance_id", "asset_id", "similarity", "role", "quality", "pixels", "current_path")
+
+
+def exact_drafts(records: DataFrame) -> DataFrame:
+    """Exact groups as drafts: a row per member with anchor, kind, similarity and role."""
+    found = exact_members(records)
+    anchor = F.concat(F.lit("exact:"), F.col("asset_id").cast("string"))
+    return _drafts(found, anchor, "exact")
+
+
+def raw_drafts(records: DataFrame, key: Column, is_raw: Column, is_export: Column) -> DataFrame:
+    """Raw and export sets as drafts; the anchor names the key."""
+    found = raw_export_sets(records, key, is_raw, is_export)
+    return _drafts(found, F.concat(F.lit("raw_jpeg:"), F.col("pair_key")), "raw_jpeg_set")
+
+
+def similar_drafts(cliques: DataFrame, records: DataFrame) -> DataFrame:
+    """Cliques of assets as drafts of their files; the best file is recommended."""
+    named = cliques.join(similar_anchor(cliques).select("anchor_id", "anchor"), "anchor_id")
+    files = named.join(records, "asset_id").withColumn("pixels", F.col("width").cast("long") * F.col("height").cast("long"))
+    best = best_member(files, "anchor").select("anchor", F.col("instance_id").alias("best"))
+    role = F.when(F.col("instance_id") == F.col("best"), "recommended_keep").otherwise("duplicate")
+    return _drafts(files.join(best, "anchor").withColumn("role", role), F.col("anchor"), "similar")
+
+
+def _drafts(found: DataFrame, anchor: Column, kind: str) -> DataFrame:
+    pixels = F.col("width").cast("long") * F.col("height").cast("long")
+    return found.select(
+        anchor.alias("anchor"), F.lit(kind).alias("kind"), "instance_id", "asset_id", F.col("similarity").cast("double").alias("similarity"),
+        "role", "quality", pixels.alias("pixels"), "current_path",
+    )
+
+
+def recompute(drafts: DataFrame, groups: DataFrame, members: DataFrame, new_assets: DataFrame | None, run_at: str) -> tuple[DataFrame, DataFrame]:
+    """Groups and members after ``drafts`` (see :func:`exact_drafts`) are reconciled with them.
+
+    ``groups`` has id, anchor, kind, status, recommended_keep_instance_id; ``members`` has group_id,
+    file_instance_id, content_asset_id, similarity and role.  A draft of a known anchor replaces the
+    members of a group that is not applied, under its id and status; an applied group keeps its
+    members under an archived anchor while the draft becomes a new pending group.  Groups without a
+    draft go, but for applied ones and, if there are ``new_assets`` (an incremental run), similar
+    groups that hold none of these.  New ids follow the greatest one in the order of anchors.
+    """
+    drafts = materialize(drafts)
+    best = best_member(drafts.withColumn("group", F.col("anchor")), "group").select("anchor", F.col("instance_id").alias("best"), F.col("kind").alias("new_kind"))
+    plan = materialize(reconcile(best.select("anchor", F.col("new_kind").alias("kind")), groups, run_at))
+    fresh = numbered(plan.filter("action IN ('insert', 'archive_insert')").select("anchor"), "anchor", groups, "id", "new_id")
+    fresh = materialize(fresh)
+    kept = plan.filter("action = 'keep'").select(F.col("group_id").alias("id"))
+    if new_assets is not None and not new_assets.isEmpty():
+        dropped = plan.filter("action = 'drop'").select(F.col("group_id").alias("id"))
+        kept = kept.unionAll(untouched_groups(groups, members, new_assets).join(dropped, "id", "left_semi").select("id"))
+    archived = plan.filter("action = 'archive_insert'").select(F.col("group_id").alias("id"), "archived_anchor")
+    replaced = plan.filter("action = 'replace'").select(F.col("group_id").alias("id"), "anchor").join(best, "anchor")
+    columns = ["id", "anchor", "kind", "status", "recommended_keep_instance_id"]
+    old = groups.select(*columns)
+    out = old.join(kept, "id", "left_semi")
+    out = out.unionByName(old.join(archived, "id").withColumn("anchor", F.col("archived_anchor")).select(*columns))
+    out = out.unionByName(
+        old.drop("anchor", "kind", "recommended_keep_instance_id").join(replaced, "id").select(
+            "id", "anchor", F.col("new_kind").alias("kind"), "status", F.col("best").alias("recommended_keep_instance_id")
+        )
+    )
+    new = fresh.join(best, "anchor").select(
+        F.col("new_id").alias("id"), "anchor", F.col("new_kind").alias("kind"), F.lit("pending").alias("status"), F.col("best").alias("recommended_keep_instance_id")
+    )
+    out = materialize(out.unionByName(new))
+    stay = kept.unionAll(archived.select("id")).withColumnRenamed("id", "group_id")
+    written = fresh.select("anchor", F.col("new_id").alias("group_id")).unionByName(replaced.select("anchor", F.col("id").alias("group_id")))
+    rows = drafts.join(written, "anchor").select(
+        "group_id", F.col("instance_id").alias("file_instance_id"), F.col("asset_id").alias("content_asset_id"), "similarity", "role"
+    )
+    return out, members.select(*rows.columns).join(stay, "group_id", "left_semi").unionByName(rows)

@@ -8,10 +8,13 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.operators.learning import initial
+from darkroom.operators.learning import initial, logistic, unit
+from darkroom.operators.order import placed
+from darkroom.operators.ratings import latest_per_asset
+from darkroom.sources.scratch import materialize
 
 GAPS = (1, 2, 4, 8, 16, 32)
 CHOICES = ("left", "right", "tie", "skip")
@@ -22,25 +25,25 @@ def ranked(scores: DataFrame) -> DataFrame:
 
     The gap is to the nearer neighbour in score.  Buckets: percentile at most 20 top, at least 80
     back.  The low gaps are uncertain: cut-offs are the nearest-rank 0.35 and 0.70 quantiles of the
-    set's gaps.  Ties go by asset.
+    set's gaps.  Ties go by asset.  Places are dealt by range, so a set of any size is spread over tasks.
     """
-    own = Window.partitionBy("set_id")
-    by_score = own.orderBy(F.desc("score"), "asset_id")
-    n = F.count(F.lit(1)).over(own)
-    before, after = F.lag("score").over(by_score) - F.col("score"), F.col("score") - F.lead("score").over(by_score)
-    out = scores.select(
-        "set_id", "asset_id", "score",
-        F.row_number().over(by_score).cast("long").alias("rank_position"),
-        n.alias("n"),
-        F.coalesce(F.least(before, after), F.lit(0.0)).alias("score_gap"),
-    )
-    out = out.withColumn("percentile", F.col("rank_position") * 100.0 / F.col("n"))
+    by_score = [F.desc("score"), F.col("asset_id")]
+    rows = materialize(placed(scores.select("set_id", "asset_id", "score"), ["set_id"], by_score, "at"))
+    sizes = materialize(rows.groupBy("set_id").agg(F.count(F.lit(1)).alias("n")))
+    above = rows.select("set_id", (F.col("at") + 1).alias("at"), F.col("score").alias("above"))
+    below = rows.select("set_id", (F.col("at") - 1).alias("at"), F.col("score").alias("below"))
+    out = rows.join(above, ["set_id", "at"], "left").join(below, ["set_id", "at"], "left").join(sizes, "set_id")
+    gap = F.least(F.col("above") - F.col("score"), F.col("score") - F.col("below"))
+    out = out.withColumn("score_gap", F.coalesce(gap, F.lit(0.0))).drop("above", "below")
+    out = materialize(out)
+    by_gap = placed(out.select("set_id", "asset_id", "score_gap", "n"), ["set_id"], [F.col("score_gap"), F.col("asset_id")], "g")
+    cut = lambda q: F.max(F.when(F.col("g") == F.floor((F.col("n") - 1) * q + 0.5), F.col("score_gap")))
+    cuts = materialize(by_gap.groupBy("set_id").agg(cut(0.35).alias("low"), cut(0.70).alias("high")))
+    out = out.join(cuts, "set_id")
+    out = out.withColumn("rank_position", F.col("at") + 1).withColumn("percentile", F.col("rank_position") * 100.0 / F.col("n"))
     bucket = F.when(F.col("percentile") <= 20, "top").when(F.col("percentile") >= 80, "back").otherwise("mid")
-    by_gap = own.orderBy("score_gap", "asset_id")
-    out = out.withColumn("rank_bucket", bucket).withColumn("_g", F.row_number().over(by_gap) - 1)
-    cut = lambda q: F.max(F.when(F.col("_g") == F.floor((F.col("n") - 1) * q + 0.5), F.col("score_gap"))).over(own)
-    uncertain = F.when(F.col("score_gap") <= cut(0.35), "high").when(F.col("score_gap") <= cut(0.70), "medium").otherwise("low")
-    return out.withColumn("uncertainty_bucket", uncertain).drop("_g")
+    uncertain = F.when(F.col("score_gap") <= F.col("low"), "high").when(F.col("score_gap") <= F.col("high"), "medium").otherwise("low")
+    return out.withColumn("rank_bucket", bucket).withColumn("uncertainty_bucket", uncertain).drop("at", "low", "high")
 
 
 def bucket_counts(rankings: DataFrame) -> DataFrame:
@@ -55,12 +58,18 @@ def bucket_counts(rankings: DataFrame) -> DataFrame:
     )
 
 
-def create_set(rows: DataFrame, order: list, set_id: int) -> DataFrame:
-    """(set_id, asset_id, position): the distinct assets of a listing in its order, from 0."""
-    first = rows.withColumn("_n", F.row_number().over(Window.orderBy(*order)))
-    place = first.groupBy("asset_id").agg(F.min("_n").alias("_n"))
-    position = F.row_number().over(Window.orderBy("_n")) - 1
-    return place.select(F.lit(set_id).cast("long").alias("set_id"), "asset_id", position.cast("long").alias("position"))
+def create_set(rows: DataFrame, order: list, set_id: int, chosen: DataFrame | None = None) -> DataFrame:
+    """(set_id, asset_id, position): the distinct assets of a listing in its order, from 0.
+
+    ``chosen`` (asset_id, position), if given and not empty, is an explicit selection and counts
+    instead of the listing; an asset chosen twice keeps its first place.
+    """
+    if chosen is not None and not chosen.isEmpty():
+        place = chosen.groupBy("asset_id").agg(F.min("position").alias("_n"))
+    else:
+        place = placed(rows, [], order, "_n").groupBy("asset_id").agg(F.min("_n").alias("_n"))
+    out = placed(place, [], [F.col("_n"), F.col("asset_id")], "position")
+    return out.select(F.lit(set_id).cast("long").alias("set_id"), "asset_id", "position")
 
 
 def list_sets(sets: DataFrame, items: DataFrame, votes: DataFrame, rankings: DataFrame) -> DataFrame:
@@ -92,6 +101,21 @@ def preference_tasks(items: DataFrame, votes: DataFrame, count: int) -> DataFram
     return out.orderBy("gap", "idx", "set_id").limit(max(count, 1))
 
 
+def submit_vote(votes: DataFrame, sets: DataFrame, vote: dict, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Votes with ``vote`` (set_id, left_id, right_id, choice) of weight 1, and sets with its set used ``now``.
+
+    Raises ValueError for a choice that is none of the four.
+    """
+    if vote["choice"] not in CHOICES:
+        raise ValueError("invalid preference choice")
+    new = votes.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id")).select(
+        "id", *(F.lit(vote[c]).cast("long").alias(c) for c in ("set_id", "left_id", "right_id")),
+        F.lit(vote["choice"]).alias("choice"), F.lit(1.0).alias("weight"), now.alias("created_at"),
+    )
+    used = F.when(F.col("id") == vote["set_id"], now).otherwise(F.col("updated_at"))
+    return votes.unionByName(new), sets.withColumn("updated_at", used)
+
+
 def vote_samples(votes: DataFrame, embeddings: DataFrame) -> DataFrame:
     """(better_id, worse_id, weight, tie) of votes on two embedded assets; skips drop out; ties weigh at least 0.4."""
     have = embeddings.select("asset_id")
@@ -114,15 +138,14 @@ def star_pairs(best: DataFrame) -> DataFrame:
     The asset at place i of its level meets, of each lower level, those at places i and i + 1,
     cyclically; a level of one gives one.
     """
-    level = Window.partitionBy("rating")
-    placed = best.withColumn("idx", F.row_number().over(level.orderBy("asset_id")) - 1)
+    at_level = materialize(placed(best, ["rating"], [F.col("asset_id")], "idx"))
     sizes = best.groupBy("rating").agg(F.count(F.lit(1)).alias("size"))  # one row per level
-    high = placed.filter("rating >= 2").select(F.col("asset_id").alias("better_id"), F.col("rating").alias("high"), "idx")
+    high = at_level.filter("rating >= 2").select(F.col("asset_id").alias("better_id"), F.col("rating").alias("high"), "idx")
     low_level = sizes.select(F.col("rating").alias("low"), "size")
     steps = F.explode(F.sequence(F.lit(0), F.least(F.lit(2), F.col("size")).cast("int") - 1))
     picks = high.join(F.broadcast(low_level), F.col("low") <= F.col("high") - 2).withColumn("k", steps)
     picks = picks.withColumn("at", F.pmod(F.col("idx") + F.col("k"), F.col("size")))
-    low = placed.select(F.col("asset_id").alias("worse_id"), F.col("rating").alias("low"), F.col("idx").alias("at"))
+    low = at_level.select(F.col("asset_id").alias("worse_id"), F.col("rating").alias("low"), F.col("idx").alias("at"))
     weight = F.least(F.lit(0.5), F.greatest(F.lit(0.2), 0.2 + 0.1 * (F.col("high") - F.col("low") - 2)))
     return picks.join(low, ["low", "at"]).select("better_id", "worse_id", F.round(weight, 6).alias("weight"))
 
@@ -139,12 +162,30 @@ def delete_set(set_id: int, tables: dict[str, DataFrame]) -> dict[str, DataFrame
 
 
 def ranked_items(rankings: DataFrame, records: DataFrame, ratings: DataFrame, bucket: str | None = None) -> DataFrame:
-    """Ranked assets with their least live file and its rating; no bucket means all."""
+    """Ranked assets with their live image of the least id and its rating; no bucket means all.
+
+    ``records`` has instance_id, asset_id, current_path, exists_flag and file_class.
+    """
     if bucket is not None:
         rankings = rankings.filter(F.col("rank_bucket") == bucket)
-    files = records.groupBy("asset_id").agg(F.min_by(F.struct("instance_id", "current_path"), "instance_id").alias("f"))
-    out = rankings.join(files.select("asset_id", "f.instance_id", "f.current_path"), "asset_id", "left")
-    return out.join(ratings.select("asset_id", "rating"), "asset_id", "left").orderBy("set_id", "rank_position")
+    out = rankings.join(set_photos(rankings.select("asset_id").distinct(), records, ratings), "asset_id", "left")
+    return out.orderBy("set_id", "rank_position")
+
+
+def set_photos(assets: DataFrame, records: DataFrame, ratings: DataFrame) -> DataFrame:
+    """(asset_id, instance_id, current_path, rating): each asset's live image of the least id and its latest rating."""
+    live = records.filter("exists_flag AND file_class = 'image'").join(assets, "asset_id", "left_semi")
+    files = live.groupBy("asset_id").agg(F.min_by(F.struct("instance_id", "current_path"), "instance_id").alias("f"))
+    shown = files.select("asset_id", "f.instance_id", "f.current_path")
+    return shown.join(latest_per_asset(ratings, records), "asset_id", "left")
+
+
+def overview(sets: DataFrame, votes: DataFrame, rated_images: int, runs: DataFrame) -> dict:
+    """Counts of sets and votes, the active run's id and the state of the ranking model."""
+    n_sets, n_votes = (t.agg(F.count(F.lit(1))).first()[0] for t in (sets, votes))
+    active = runs.filter("active").agg(F.max("id")).first()[0]
+    state = model_status(active is not None, n_votes, rated_images)
+    return {"set_count": n_sets, "vote_count": n_votes, "rated_count": rated_images, "active_run_id": active, "model_status": state}
 
 
 @dataclass
@@ -159,29 +200,37 @@ class PairwiseNet:
     @classmethod
     def new(cls, dimension: int) -> PairwiseNet:
         hidden = int(np.clip(dimension // 16, 16, 64))
-        return cls(initial((hidden, dimension), 0.08), np.zeros(hidden, np.float32), initial((hidden,), 0.12), 0.0)
+        return cls(initial((hidden, dimension), 0.08), np.zeros(hidden), initial((hidden,), 0.12), 0.0)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return np.maximum(_unit(x) @ self.w1.T + self.b1, 0) @ self.w2 + self.b2
+        return np.maximum(unit(x) @ self.w1.T + self.b1, 0) @ self.w2 + self.b2
 
     def train(self, better: np.ndarray, worse: np.ndarray, weight: np.ndarray, tie: np.ndarray, epochs: int = 90,
               rate: float = 0.02, decay: float = 0.0004) -> dict[str, float]:
-        """Logistic loss on score differences of preferences, squared differences of ties."""
-        a, b = _unit(better), _unit(worse)
+        """Gradient descent on the mean over all samples of the weighted logistic loss on score differences
+        of preferences and half the squared difference of ties; returns the metrics of the two."""
+        if not len(better):
+            raise ValueError("no ranking samples")
+        a, b, n, tie = unit(better), unit(worse), len(better), tie.astype(bool)
         for _ in range(epochs):
-            for i in range(len(a)):
-                pre = np.stack([a[i], b[i]]) @ self.w1.T + self.b1
-                h = np.maximum(pre, 0)
-                gap = float((h[0] - h[1]) @ self.w2)
-                pull = weight[i] * (2 * gap if tie[i] else -1 / (1 + np.exp(gap)))
-                back = pull * self.w2 * (pre > 0)
-                self.w2 = self.w2 - rate * (pull * (h[0] - h[1]) + decay * self.w2)
-                self.w1 = self.w1 - rate * (np.outer(back[0], a[i]) - np.outer(back[1], b[i]) + decay * self.w1)
-                self.b1 = self.b1 - rate * (back[0] - back[1])
+            pre_a, pre_b = a @ self.w1.T + self.b1, b @ self.w1.T + self.b1
+            apart = np.maximum(pre_a, 0) - np.maximum(pre_b, 0)
+            gap = apart @ self.w2
+            pull = weight * np.where(tie, gap, logistic(gap) - 1)
+            back_a, back_b = (pull[:, None] * self.w2 * (pre > 0) for pre in (pre_a, pre_b))
+            self.w1 = self.w1 - rate * ((back_a.T @ a - back_b.T @ b) / n + decay * self.w1)
+            self.b1 = self.b1 - rate * (back_a - back_b).sum(axis=0) / n
+            self.w2 = self.w2 - rate * (pull @ apart / n + decay * self.w2)
         gap = self.score(better) - self.score(worse)
-        chosen = ~tie.astype(bool)
-        loss = np.where(chosen, np.log1p(np.exp(-gap)), gap**2)
-        return {"loss": float(loss.mean()), "accuracy": float((gap[chosen] > 0).mean()) if chosen.any() else 0.0}
+        some, ties = max(1, int((~tie).sum())), max(1, int(tie.sum()))
+        return {
+            "pairwise_loss": float((np.log1p(np.exp(-gap)) * weight)[~tie].sum() / some),
+            "tie_loss": float((0.5 * gap**2 * weight)[tie].sum() / ties),
+            "preference_pair_count": int((~tie).sum()),
+            "tie_pair_count": int(tie.sum()),
+            "preference_accuracy": float((gap[~tie] > 0).sum() / some),
+            "weak_only": bool(tie.all()),
+        }
 
     def save(self, path: Path) -> None:
         path.write_text(json.dumps({k: np.asarray(v).tolist() for k, v in self.__dict__.items()}, indent=2))
@@ -189,12 +238,7 @@ class PairwiseNet:
     @classmethod
     def load(cls, path: Path) -> PairwiseNet:
         held = json.loads(path.read_text())
-        return cls(*(np.array(held[k], dtype=np.float32) for k in ("w1", "b1", "w2")), held["b2"])
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.where(norm > 1e-6, x / np.maximum(norm, 1e-6), x)
+        return cls(*(np.array(held[k]) for k in ("w1", "b1", "w2")), held["b2"])
 
 
 def rank_set(embeddings: DataFrame, items: DataFrame, net: PairwiseNet) -> DataFrame:
@@ -203,6 +247,28 @@ def rank_set(embeddings: DataFrame, items: DataFrame, net: PairwiseNet) -> DataF
 
     @F.pandas_udf("double")
     def score(vectors: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(np.stack(vectors.to_numpy())).astype(float)) if len(vectors) else pd.Series(dtype=float)
+        return pd.Series(shared.value.score(np.stack(vectors.to_numpy()).astype(float))) if len(vectors) else pd.Series(dtype=float)
 
     return ranked(items.join(embeddings, "asset_id").select("set_id", "asset_id", score("embedding").alias("score")))
+
+
+def replace_rankings(rankings: DataFrame, new: DataFrame, run_id: int, now: Column) -> DataFrame:
+    """``rankings`` with the rows of run ``run_id`` for the sets of ``new`` replaced by ``new``."""
+    fresh = new.withColumn("model_run_id", F.lit(run_id).cast("long")).withColumn("ranked_at", now)
+    gone = new.select("set_id").distinct().withColumn("model_run_id", F.lit(run_id).cast("long"))
+    return rankings.join(gone, ["set_id", "model_run_id"], "left_anti").unionByName(fresh.select(*rankings.columns))
+
+
+def train_and_rank(embeddings: DataFrame, votes: DataFrame, best: DataFrame, items: DataFrame, most: int = 200_000):
+    """Train on votes and star pairs, at most ``most`` of the least hash, and rank the sets; (net, metrics, ranks)."""
+    pairs = vote_samples(votes, embeddings).unionByName(star_pairs(best).withColumn("tie", F.lit(False)))
+    one = embeddings.select(F.col("asset_id").alias("better_id"), F.col("embedding").alias("x"))
+    two = embeddings.select(F.col("asset_id").alias("worse_id"), F.col("embedding").alias("y"))
+    rows = pairs.join(one, "better_id").join(two, "worse_id")
+    rows = rows.orderBy(F.xxhash64("better_id", "worse_id"), "better_id", "worse_id", "tie", "weight").limit(most).collect()
+    if not rows:
+        raise ValueError("no ranking samples")
+    x, y = (np.array([r[c] for r in rows], dtype=np.float64) for c in ("x", "y"))
+    net = PairwiseNet.new(x.shape[1])
+    found = net.train(x, y, np.array([r.weight for r in rows]), np.array([r.tie for r in rows]))
+    return net, found, rank_set(embeddings, items, net)

@@ -6,9 +6,11 @@ before the last event, so nothing is ever overwritten.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from darkroom.operators.review import prune
+
 
 def set_rating(events: DataFrame, new: DataFrame) -> DataFrame:
     """``events`` and ``new``; ratings outside 0 to 5 raise an error when the rows are read."""
@@ -61,23 +63,24 @@ def page(rows: DataFrame, offset: int, limit: int) -> tuple[DataFrame, DataFrame
     return rows.offset(offset).limit(limit), rows.agg(F.count(F.lit(1)).alias("total"))
 
 
-def recycle_rated(instances: DataFrame, events: DataFrame, instance_id: int, now) -> tuple[DataFrame, DataFrame]:
-    """Instances with a live image gone, and events with its rating 0."""
+def recycle_rated(state: dict[str, DataFrame], instance_id: int, now) -> dict[str, DataFrame]:
+    """State without a live image, which gets the rating 0: instances, rating_events, match_groups, group_members.
+
+    The file is no longer a member of any group, and groups left with one member go.  ``recycle_plan``
+    has the file to move away.  Raises ValueError if there is no such live image.
+    """
+    instances, events = state["file_instances"], state["rating_events"]
     this = (F.col("id") == instance_id) & F.col("exists_flag") & (F.col("file_class") == "image")
-    top = events.agg(F.coalesce(F.max("event_id"), F.lit(0)).alias("top"))
-    event = instances.filter(this).crossJoin(F.broadcast(top)).select(
-        F.col("id").alias("file_instance_id"), F.lit(0).alias("rating"), F.lit(None).cast("string").alias("note"),
+    plan = instances.filter(this).select("id", "current_path")
+    if plan.isEmpty():
+        raise ValueError("photo not found or already removed")
+    event = events.agg(F.coalesce(F.max("event_id"), F.lit(0)).alias("top")).select(
+        F.lit(instance_id).cast("long").alias("file_instance_id"), F.lit(0).alias("rating"), F.lit(None).cast("string").alias("note"),
         (F.col("top") + 1).alias("event_id"), now.alias("at"),
     )
-    gone = instances.withColumn("exists_flag", F.when(this, F.lit(False)).otherwise(F.col("exists_flag")))
-    return gone, events.unionByName(event)
-
-
-def by_level(ratings: DataFrame) -> DataFrame:
-    return ratings.groupBy("rating").agg(F.count(F.lit(1)).alias("n"))
-
-
-def with_turn(ratings: DataFrame) -> DataFrame:
-    """Position of each rated asset within its level, by id, and the level's size."""
-    level = Window.partitionBy("rating")
-    return ratings.withColumn("idx", F.row_number().over(level.orderBy("asset_id")) - 1).withColumn("size", F.count(F.lit(1)).over(level))
+    gone = instances.withColumn("last_seen_at", F.when(this, now).otherwise(F.col("last_seen_at")))
+    gone = gone.withColumn("exists_flag", F.when(this, F.lit(False)).otherwise(F.col("exists_flag")))
+    groups, members = prune(state["match_groups"], state["group_members"], gone, state["content_assets"])
+    return state | {
+        "file_instances": gone, "rating_events": events.unionByName(event), "match_groups": groups, "group_members": members, "recycle_plan": plan,
+    }

@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def list_groups(groups: DataFrame, members: DataFrame, kind: str | None = None, status: str | None = None) -> DataFrame:
-    """Group headers with their number of members, newest first; absent filters filter nothing."""
+def list_groups(
+    groups: DataFrame, members: DataFrame, kind: str | None = None, status: str | None = None, instances: DataFrame | None = None
+) -> DataFrame:
+    """Group headers with their number of members, newest first; absent filters filter nothing.
+
+    With ``instances`` (id, current_path) also recommended_path, that of the recommended file, null if there is none.
+    """
     if kind is not None:
         groups = groups.filter(F.col("kind") == kind)
     if status is not None:
         groups = groups.filter(F.col("status") == status)
     counts = members.groupBy(F.col("group_id").alias("id")).agg(F.count(F.lit(1)).alias("n_members"))
-    return groups.join(counts, "id").orderBy(F.desc("updated_at"), F.desc("id"))
+    out = groups.join(counts, "id")
+    if instances is not None:
+        files = instances.select(F.col("id").alias("recommended_keep_instance_id"), F.col("current_path").alias("recommended_path"))
+        out = out.join(files, "recommended_keep_instance_id", "left")
+    return out.orderBy(F.desc("updated_at"), F.desc("id"))
 
 
 def group_detail(group_id: int, members: DataFrame, instances: DataFrame, assets: DataFrame, ratings: DataFrame) -> DataFrame:
@@ -83,19 +92,15 @@ def prune(groups: DataFrame, members: DataFrame, instances: DataFrame, assets: D
     """Groups and members without dead files.
 
     Dead members go from all groups; groups that are not applied and have fewer than two members go;
-    the recommendation moves to the live member of the best quality.
+    the recommendation moves to the live member of the best quality, then the least path.
     """
     alive = instances.filter("exists_flag").select(
         F.col("id").alias("file_instance_id"), "current_path", F.col("content_asset_id").alias("_asset")
     )
     live = members.join(alive, "file_instance_id").join(assets.select(F.col("id").alias("_asset"), "quality_score"), "_asset", "left")
-    order = Window.partitionBy("group_id").orderBy(F.coalesce("quality_score", F.lit(0.0)).desc(), "current_path")
-    best = live.withColumn("_n", F.row_number().over(order)).filter("_n = 1")
-    sizes = live.groupBy("group_id").agg(F.count(F.lit(1)).alias("_size"))
-    joined = groups.join(sizes.withColumnRenamed("group_id", "id"), "id", "left").join(
-        best.select(F.col("group_id").alias("id"), F.col("file_instance_id").alias("_best")), "id", "left"
-    )
-    kept = joined.filter((F.col("status") == "applied") | (F.coalesce("_size", F.lit(0)) >= 2))
+    place = F.struct(-F.coalesce("quality_score", F.lit(0.0)), "current_path", "file_instance_id")
+    of_group = live.groupBy(F.col("group_id").alias("id")).agg(F.count(F.lit(1)).alias("_size"), F.min_by("file_instance_id", place).alias("_best"))
+    kept = groups.join(of_group, "id", "left").filter((F.col("status") == "applied") | (F.coalesce("_size", F.lit(0)) >= 2))
     kept = kept.withColumn("recommended_keep_instance_id", F.coalesce("_best", "recommended_keep_instance_id"))
     next_members = live.join(kept.select(F.col("id").alias("group_id")), "group_id", "left_semi").select(*members.columns)
     return kept.select(*groups.columns), next_members

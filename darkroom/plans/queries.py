@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from darkroom.functions import hashing, paths
-from darkroom.functions.vectors import dot, l2_normalized, sigmoid, stub_embedding, total
+from darkroom.functions.vectors import l2_normalized, stub_embedding
 from darkroom.operators import classify, ingest, matching, ranking, ratings, review
 from darkroom.operators.classify import Filter, listing
-from darkroom.operators.learning import MlpHead, ai_bucket, delete_candidate, predict_mlp
+from darkroom.operators.learning import LinearHead, MlpHead, initial, predict_linear, predict_mlp
 from darkroom.sources import library
 from darkroom.sources.library import read
 
@@ -208,26 +208,44 @@ _WEIGHT_SQL = "list_transform(range(1, 65), lambda i: sin(i * 0.618034) * 0.8)"
       (s < 0.2 AND 2 * abs(s - 0.5) > 0.6) AS delete_candidate FROM s"""
 )
 def linear_predict_buckets(spark, sf_dir):
-    weights = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.sin(i * 0.618034) * 0.8)
-    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("asset_id"), sigmoid(dot(F.col("embedding"), weights) + 0.05).alias("s"))
-    confidence = 2 * F.abs(F.col("s") - 0.5)
-    return rows.select(
-        "asset_id", F.round("s", 6).alias("ai_score"), F.round(confidence, 6).alias("ai_confidence"),
-        ai_bucket(F.col("s")).alias("ai_bucket"), delete_candidate(F.col("s"), confidence).alias("delete_candidate"),
-    )
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("asset_id"), "embedding")
+    out = predict_linear(rows, LinearHead(initial((64,), 0.8), 0.05))
+    return out.withColumns({c: F.round(c, 6) for c in ("ai_score", "ai_confidence")})
 
 
-@query()
+_UNIT = """u AS (SELECT vec_id AS asset_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS e FROM embeddings)"""
+
+
+def _hidden(n: int, scale: float) -> str:
+    """A column of the outputs of ``n`` hidden units with start weights on the 64 places of e."""
+    return (
+        f"h AS (SELECT asset_id, list_transform(range(0, {n}), lambda j: greatest(0, list_sum(list_transform(range(1, 65), "
+        f"lambda i: e[i] * sin((j * 64 + i) * 0.618034) * {scale})))) AS h FROM u)"
+    )
+
+
+@query(
+    f"""WITH {_UNIT}, {_hidden(8, 0.1)},
+    s AS (SELECT asset_id, h, 1 / (1 + exp(-list_sum(list_transform(range(1, 9), lambda j: h[j] * sin(j * 0.618034) * 0.2)))) AS s FROM h),
+    c AS (SELECT asset_id, s, least(1, greatest(0, 2 * abs(s - 0.5) + 0.15 * list_sum(h) / 8)) AS c FROM s)
+    SELECT asset_id, round(s, 6) AS ai_score, round(c, 6) AS ai_confidence, CASE WHEN s < 0.33 THEN 'low' WHEN s < 0.67 THEN 'maybe' ELSE 'high' END AS ai_bucket,
+      s < 0.2 AND c > 0.6 AS delete_candidate FROM c"""
+)
 def mlp_predict(spark, sf_dir):
     rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("asset_id"), "embedding")
-    return predict_mlp(rows, MlpHead.new(64))
+    return predict_mlp(rows, MlpHead.new(64)).withColumns({c: F.round(c, 6) for c in ("ai_score", "ai_confidence")})
 
 
-@query()
+@query(
+    f"""WITH {_UNIT}, {_hidden(16, 0.08)},
+    s AS (SELECT asset_id, asset_id % 4 AS set_id, list_sum(list_transform(range(1, 17), lambda j: h[j] * sin(j * 0.618034) * 0.12)) AS s FROM h)
+    SELECT set_id, asset_id, round(s, 6) AS score, row_number() OVER (PARTITION BY set_id ORDER BY s DESC, asset_id)::BIGINT AS rank_position FROM s"""
+)
 def rank_model_scores(spark, sf_dir):
     rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("asset_id"), "embedding")
     items = rows.select((F.col("asset_id") % 4).alias("set_id"), "asset_id")
-    return ranking.rank_set(rows, items, ranking.PairwiseNet.new(64))
+    out = ranking.rank_set(rows, items, ranking.PairwiseNet.new(64))
+    return out.select("set_id", "asset_id", F.round("score", 6).alias("score"), "rank_position")
 
 
 @query()
@@ -430,16 +448,27 @@ def rating_undo_log(spark, sf_dir):
     return ratings.current(ratings.undo(log, F.to_timestamp(F.lit("2030-01-01")))).select("file_instance_id", "rating")
 
 
-def _page(spark, sf_dir, wanted: Filter, sort: str, limit: int = 50, offset: int = 0) -> DataFrame:
+def _rows(spark, sf_dir, wanted: Filter) -> tuple[DataFrame, DataFrame, DataFrame]:
     groups, members = _groups(spark, sf_dir)
-    rows = listing(library.active_records(spark, sf_dir), library.ratings(spark, sf_dir), None, members, groups, wanted)
-    shown = classify.page(rows.select("instance_id", "asset_id", "current_path", "quality", "rating", "pixels", "group_id", "group_status"), sort, offset, limit)
-    return shown.drop("pixels")
+    records, rated = library.listed_records(spark, sf_dir), library.ratings(spark, sf_dir)
+    rows = listing(records, rated, library.predictions(spark, sf_dir), members, groups, wanted, library.models(spark))
+    return rows, members, groups
+
+
+def _page(spark, sf_dir, wanted: Filter, sort: str, limit: int = 50, offset: int = 0) -> DataFrame:
+    rows, members, groups = _rows(spark, sf_dir, wanted)
+    shown = classify.with_first_group(classify.page(rows, sort, offset, limit), members, groups)
+    return shown.select("instance_id", "asset_id", "current_path", "quality", "rating", "ai_score", "ai_bucket", "group_id", "group_status")
 
 
-_LIST = _GROUP_SQL + """, lst AS (SELECT rec.instance_id, rec.asset_id, rec.current_path, rec.quality, rat.rating, rec.width, rec.height, rec.extension,
-  g.group_id, g.status AS group_status FROM rec LEFT JOIN rat USING (instance_id) LEFT JOIN mem m ON m.instance_id = rec.instance_id LEFT JOIN grp g ON g.group_id = m.group_id)
-SELECT instance_id, asset_id, current_path, quality, rating, group_id, group_status FROM lst """
+_LIVE = """SELECT rec.*, rat.rating, p.ai_score, 2 * abs(p.ai_score - 0.5) AS ai_confidence, rec.instance_id % 5 <> 0 AS preview_supported, rec.instance_id % 1000 AS last_seen_at,
+  CASE WHEN p.ai_score < 0.33 THEN 'low' WHEN p.ai_score < 0.67 THEN 'maybe' WHEN p.ai_score IS NOT NULL THEN 'high' END AS ai_bucket,
+  p.ai_score < 0.2 AND 2 * abs(p.ai_score - 0.5) > 0.6 AS delete_candidate, g.group_id, g.status AS group_status
+  FROM rec LEFT JOIN rat USING (instance_id) LEFT JOIN (SELECT DISTINCT asset_id, (asset_id * 3 % 100)::DOUBLE / 100 AS ai_score FROM rec WHERE asset_id % 7 <> 0) p ON p.asset_id = rec.asset_id
+  LEFT JOIN mem m ON m.instance_id = rec.instance_id LEFT JOIN grp g ON g.group_id = m.group_id
+  WHERE rec.instance_id % 13 <> 0 AND rec.instance_id % 11 <> 0"""
+_LIST = _GROUP_SQL + f""", lst AS ({_LIVE})
+SELECT instance_id, asset_id, current_path, quality, rating, ai_score, ai_bucket, group_id, group_status FROM lst """
 
 
 @query(WITH + _LIST + "ORDER BY quality DESC NULLS LAST, instance_id LIMIT 50")
@@ -486,9 +515,80 @@ def classify_combined(spark, sf_dir):
     return _page(spark, sf_dir, wanted, "quality_desc")
 
 
-@query(WITH + "SELECT count(*)::BIGINT AS total FROM rec LEFT JOIN rat USING (instance_id) WHERE rating >= 4")
+#: Each filter of the listing, alone, with its condition in SQL.
+_FILTERS: dict[str, tuple[Filter, str]] = {
+    "none": (Filter(), "true"),
+    "unrated": (Filter(rating_mode="unrated"), "rating IS NULL"),
+    "rated": (Filter(rating_mode="rated"), "rating IS NOT NULL"),
+    "rating_min": (Filter(rating_mode="min", rating_min=4), "rating >= 4"),
+    "rating_min_without_value": (Filter(rating_mode="min"), "true"),
+    "quality_min": (Filter(quality_min=50), "quality >= 50"),
+    "quality_max": (Filter(quality_max=50), "quality <= 50"),
+    "width_min": (Filter(width_min=500), "width >= 500"),
+    "height_min": (Filter(height_min=40), "height >= 40"),
+    "megapixels_min": (Filter(megapixels_min=0.03), "width * height >= 30000"),
+    "preview_only": (Filter(preview_only=True), "preview_supported"),
+    "extensions": (Filter(extensions=["EN", "fr"]), "extension IN ('en', 'fr')"),
+    "path_contains": (Filter(path_contains=" DOC-1"), "current_path LIKE '%doc-1%'"),
+    "score_min": (Filter(score_min=0.4), "ai_score >= 0.4"),
+    "score_max": (Filter(score_max=0.4), "ai_score <= 0.4"),
+    "bucket": (Filter(bucket="maybe"), "ai_bucket = 'maybe'"),
+    "delete_candidate_only": (Filter(delete_candidate_only=True), "delete_candidate"),
+    "has_prediction": (Filter(has_prediction=True), "ai_score IS NOT NULL"),
+    "has_no_prediction": (Filter(has_prediction=False), "ai_score IS NULL"),
+    "in_group": (Filter(group="in_group"), "group_id IS NOT NULL"),
+    "not_in_group": (Filter(group="not_in_group"), "group_id IS NULL"),
+    "pending_group": (Filter(group="pending_group"), "group_status = 'pending'"),
+    "exact": (Filter(group="exact"), "group_status = 'pending'"),
+    "similar": (Filter(group="similar"), "false"),
+    "raw_jpeg_set": (Filter(group="raw_jpeg_set"), "false"),
+}
+#: Each order of the listing in SQL.
+_ORDERS = {
+    "quality_desc": "quality DESC NULLS LAST, instance_id", "quality_asc": "quality ASC NULLS LAST, instance_id",
+    "rating_desc": "rating DESC NULLS LAST, instance_id", "rating_asc": "rating ASC NULLS LAST, instance_id",
+    "resolution_desc": "width * height DESC NULLS LAST, instance_id", "path_asc": "current_path",
+    "file_id_asc": "instance_id", "updated_desc": "last_seen_at DESC, instance_id",
+    "ai_score_desc": "ai_score DESC NULLS LAST, instance_id", "ai_score_asc": "ai_score ASC NULLS LAST, instance_id",
+}
+
+
+@query(
+    WITH + _GROUP_SQL + f", lst AS ({_LIVE}) "
+    + " UNION ALL ".join(f"SELECT '{n}' AS filter, count(*)::BIGINT AS total FROM lst WHERE {c}" for n, (_, c) in _FILTERS.items())
+)
+def classify_filter_totals(spark, sf_dir):
+    """The total under each filter of the listing."""
+    out = None
+    for name, (wanted, _) in _FILTERS.items():
+        row = classify.total(_rows(spark, sf_dir, wanted)[0]).select(F.lit(name).alias("filter"), "total")
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
+@query(
+    WITH + _GROUP_SQL + f", lst AS ({_LIVE}) "
+    + " UNION ALL ".join(f"(SELECT '{n}' AS sort, instance_id FROM lst ORDER BY {c} LIMIT 7 OFFSET 20)" for n, c in _ORDERS.items())
+)
+def classify_sort_pages(spark, sf_dir):
+    """A page under each order of the listing."""
+    out = None
+    for name in classify.SORTS:
+        shown = classify.page(_rows(spark, sf_dir, Filter())[0], name, 20, 7).select(F.lit(name).alias("sort"), "instance_id")
+        out = shown if out is None else out.unionAll(shown)
+    return out
+
+
+@query(WITH + "SELECT count(*)::BIGINT AS total FROM rec WHERE instance_id % 13 <> 0 AND instance_id % 11 <> 0")
+def classify_without_predictions(spark, sf_dir):
+    """The listing where nothing was ever predicted: no file has a prediction."""
+    rows = listing(library.listed_records(spark, sf_dir), library.ratings(spark, sf_dir), wanted=Filter(has_prediction=False))
+    return classify.total(rows)
+
+
+@query(WITH + "SELECT count(*)::BIGINT AS total FROM rec LEFT JOIN rat USING (instance_id) WHERE rating >= 4 AND instance_id % 13 <> 0 AND instance_id % 11 <> 0")
 def classify_total(spark, sf_dir):
-    rows = listing(library.active_records(spark, sf_dir), library.ratings(spark, sf_dir), wanted=Filter("min", 4))
+    rows = listing(library.listed_records(spark, sf_dir), library.ratings(spark, sf_dir), wanted=Filter("min", 4))
     return classify.total(rows)
 
 
@@ -640,9 +740,9 @@ def rank_positions(spark, sf_dir):
     return out.select("set_id", "asset_id", "rank_position", F.round("percentile", 6).alias("percentile"))
 
 
-@query(_RANKED + "SELECT set_id, asset_id, round(score_gap, 5) AS score_gap FROM r")
+@query(_RANKED + "SELECT set_id, asset_id, round(score_gap, 6) AS score_gap FROM r")
 def rank_score_gaps(spark, sf_dir):
-    return ranking.ranked(library.scores(spark, sf_dir)).select("set_id", "asset_id", F.round("score_gap", 5).alias("score_gap"))
+    return ranking.ranked(library.scores(spark, sf_dir)).select("set_id", "asset_id", F.round("score_gap", 6).alias("score_gap"))
 
 
 @query(_RANKED + "SELECT set_id, asset_id, rank_bucket FROM r")

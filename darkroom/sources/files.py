@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from darkroom.functions import hashing
 from darkroom.operators.ingest import classified, prepare_roots
+from darkroom.schema import ANALYSIS_VERSION
+from darkroom.sources.scratch import materialize
 
 
 def listing(spark: SparkSession, roots: list[str]) -> DataFrame:
@@ -17,20 +21,56 @@ def listing(spark: SparkSession, roots: list[str]) -> DataFrame:
     )
 
 
-def manifest(spark: SparkSession, roots: list[str], identities: DataFrame | None = None) -> DataFrame:
-    """The listing with hashes, extension and class, and volume_id and file_id where ``identities`` knows them."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(prepare_roots(roots))
-    rows = files.select(
+def changed(listed: DataFrame, instances: DataFrame, version: int = ANALYSIS_VERSION) -> DataFrame:
+    """The rows of a listing whose path, size and time are not those of a live, currently analysed instance.
+
+    ``instances`` has path_key, file_size, modified_ms, exists_flag and analysis_version.
+    """
+    known = instances.filter(F.col("exists_flag") & (F.col("analysis_version") == version))
+    known = known.select("path_key", F.col("file_size").alias("size"), "modified_ms")
+    return classified(listed).join(known, ["path_key", "size", "modified_ms"], "left_anti")
+
+
+def manifest(
+    spark: SparkSession, roots: list[str], identities: DataFrame | None = None, instances: DataFrame | None = None, chunk: int = 10_000
+) -> DataFrame:
+    """The listing with hashes, extension and class, and volume_id and file_id where ``identities`` knows them.
+
+    With ``instances`` (see :func:`changed`) only files that changed are read; the others have no
+    hashes.  Paths of changed files are read from in runs of ``chunk``: a listing of all files is held by the
+    driver anyhow, contents never.
+    """
+    if instances is None:
+        rows = _hashed(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(prepare_roots(roots)))
+    else:
+        listed = materialize(listing(spark, roots))
+        some: list[str] = []
+        parts: list[DataFrame] = []
+        for row in changed(listed, instances).select("path").toLocalIterator():
+            some.append(row["path"])
+            if len(some) == chunk:
+                parts.append(materialize(_hashed(spark.read.format("binaryFile").load(some))))
+                some = []
+        if some:
+            parts.append(materialize(_hashed(spark.read.format("binaryFile").load(some))))
+        new = reduce(DataFrame.unionByName, parts) if parts else None
+        none = F.lit(None).cast("string")
+        same = listed.withColumns({"quick_fingerprint": none, "sha256": none})
+        rows = same if new is None else same.join(new.select("path"), "path", "left_anti").unionByName(new)
+    if identities is None:
+        nothing = F.lit(None).cast("string")
+        return classified(rows.withColumn("volume_id", nothing).withColumn("file_id", nothing))
+    return classified(rows.join(identities, "path", "left"))
+
+
+def _hashed(files: DataFrame) -> DataFrame:
+    return files.select(
         F.regexp_replace("path", "^file:/*", "/").alias("path"),
         F.col("length").alias("size"),
         F.unix_millis("modificationTime").alias("modified_ms"),
         hashing.quick_fingerprint(F.col("content")).alias("quick_fingerprint"),
         hashing.sha256_hex(F.col("content")).alias("sha256"),
     )
-    if identities is None:
-        nothing = F.lit(None).cast("string")
-        return classified(rows.withColumn("volume_id", nothing).withColumn("file_id", nothing))
-    return classified(rows.join(identities, "path", "left"))
 
 
 def contents(spark: SparkSession, roots: list[str]) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from darkroom.functions import hashing, paths
 from darkroom.functions.vectors import total
-from darkroom.operators.graph import materialize
+from darkroom.operators.learning import with_bucket
+from darkroom.sources.scratch import materialize
 
 BINS = 64
 
@@ -45,6 +46,32 @@ def active_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(assets, "sha256")
 
 
+def listed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active records with what the listing asks of files: some are gone, some are no images, some have no preview."""
+    return active_records(spark, sf_dir).withColumns(
+        {
+            "exists_flag": F.col("instance_id") % 13 != 0,
+            "file_class": F.when(F.col("instance_id") % 11 == 0, "video").otherwise("image"),
+            "preview_supported": F.col("instance_id") % 5 != 0,
+            "last_seen_at": F.col("instance_id") % 1000,
+        }
+    )
+
+
+def models(spark: SparkSession) -> DataFrame:
+    """A registry of three models, of which the second and the third are marked active."""
+    return spark.range(1, 4).withColumn("active", F.col("id") > 1)
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of models 2 and 3 for most assets; each asset's score is made from its id."""
+    assets = active_records(spark, sf_dir).select("asset_id").distinct().filter("asset_id % 7 != 0")
+    model = F.explode(F.array(F.lit(2), F.lit(3)).cast("array<bigint>"))
+    score = (F.col("asset_id") * F.col("model_id") % 100).cast("double") / 100
+    scored = assets.withColumn("model_id", model).withColumn("ai_score", score)
+    return with_bucket(scored.withColumn("ai_confidence", 2 * F.abs(F.col("ai_score") - 0.5)))
+
+
 def rating_of(labels: DataFrame) -> DataFrame:
     """instance_id, rating 1 to 5 and the time it was given."""
     return labels.select(

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -10,15 +13,17 @@ from darkroom.operators.ingest import insert_ignore, run_counters, scan
 from darkroom.sources.store import Store
 
 
-def apply_batch(store: Store, batch: DataFrame, epoch: int) -> None:
-    """One batch as a scan of no root: nothing is marked missing.  A batch seen before changes nothing."""
+def apply_batch(store: Store, batch: DataFrame, epoch: int, now: Column) -> None:
+    """One batch as a scan of no root: nothing is marked missing.  A batch seen before changes nothing.
+
+    ``now`` is given, so that a batch that is replayed gives the same rows.
+    """
     done = store.read("scan_runs")
     if not done.filter(F.col("id") == epoch).isEmpty():
         return
     order = F.struct("modified_ms", "sha256")
     last = batch.groupBy("path_key").agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
     instances, assets = store.read("file_instances"), store.read("content_assets")
-    now = F.current_timestamp()
     out = scan(last, instances, assets, [], epoch, now)
     counts = run_counters(out["files"])
     run = counts.select(
@@ -36,8 +41,8 @@ def apply_batch(store: Store, batch: DataFrame, epoch: int) -> None:
     )
 
 
-def start(stream: DataFrame, store: Store, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Run the stream into the store; ``once`` reads what is there and stops."""
-    writer = stream.writeStream.foreachBatch(lambda batch, epoch: apply_batch(store, batch, epoch))
+def start(stream: DataFrame, store: Store, checkpoint: str, clock: Callable[[int], datetime], once: bool = True) -> StreamingQuery:
+    """Run the stream into the store; ``clock`` gives each batch its time; ``once`` reads what is there and stops."""
+    writer = stream.writeStream.foreachBatch(lambda batch, epoch: apply_batch(store, batch, epoch, F.lit(clock(epoch))))
     writer = writer.option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

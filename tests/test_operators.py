@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from darkroom.functions import hashing, imaging, paths
 from darkroom.functions.vectors import ssim
-from darkroom.operators import graph, ingest, learning, matching, ranking, ratings, review
+from darkroom.operators import graph, ingest, jobs, learning, matching, order, ranking, ratings, review
 from darkroom.schema import schema
 from darkroom.sources import files
 from darkroom.sources.store import Store
@@ -63,6 +64,20 @@ def test_band_join_equals_brute_force(spark):
         if bin(a[1] ^ b[1]).count("1") <= 8 and bin(a[2] ^ b[2]).count("1") <= 12
     }
     assert got == want and want
+    classes = {r.asset_id: r.rep for r in matching.hash_classes(frame).collect()}
+    equal = {(r[0], o[0]) for r in rows for o in rows if r[1:] == o[1:]}
+    assert all((classes[a] == classes[b]) == ((a, b) in equal) for a in classes for b in classes)
+
+
+def test_bands_meet_few_unrelated_hashes(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, int(rng.integers(0, 1 << 62)) * 2 + int(rng.integers(0, 2)), 0) for i in range(1500)]
+    keys = spark.createDataFrame(rows, "rep long, phash long, dhash long").select(
+        "rep", F.explode(matching.band_keys(F.col("phash"), 63, 8, 2)).alias("key")
+    )
+    assert keys.count() == 1500 * 66
+    of_key = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]
+    assert of_key < 1500 * 1499 / 2 / 1000  # of all pairs
 
 
 def cliques(spark, edges, quality):
@@ -151,22 +166,115 @@ def test_rank_buckets(spark):
     assert [r.rank_bucket for r in ranks(spark, 5)] == ["top", "mid", "mid", "back", "back"]
 
 
+def test_ranks_across_partitions(spark):
+    """Places, gaps and cuts of a set that is spread over range partitions, with ties, against plain Python."""
+    rng = np.random.default_rng(4)
+    rows = [(s, i, float(rng.integers(0, 60)) / 4) for s, n in ((1, 400), (2, 3), (3, 37)) for i in range(n)]
+    got = {(r.set_id, r.asset_id): r for r in ranking.ranked(spark.createDataFrame(rows, "set_id long, asset_id long, score double")).collect()}
+    assert len(got) == len(rows)
+    for set_id in (1, 2, 3):
+        order = sorted((-score, asset) for s, asset, score in rows if s == set_id)
+        scores, n = [-x for x, _ in order], len(order)
+        gaps = [min([abs(scores[k] - scores[j]) for j in (k - 1, k + 1) if 0 <= j < n], default=0.0) if 0 < k < n - 1 else None for k in range(n)]
+        for k, (_, asset) in enumerate(order):
+            near = [abs(scores[k] - scores[j]) for j in (k - 1, k + 1) if 0 <= j < n]
+            assert got[set_id, asset].rank_position == k + 1 and got[set_id, asset].n == n
+            if gaps[k] is not None:
+                assert got[set_id, asset].score_gap == min(near)
+        by_gap = sorted(r.score_gap for (s, _), r in got.items() if s == set_id)
+        cuts = [by_gap[int((n - 1) * q + 0.5)] for q in (0.35, 0.70)]
+        for (s, _), r in got.items():
+            if s == set_id:
+                assert r.uncertainty_bucket == ("high" if r.score_gap <= cuts[0] else "medium" if r.score_gap <= cuts[1] else "low")
+
+
 def test_star_pairs(spark):
     best = spark.createDataFrame([(1, 5), (2, 3), (3, 1), (4, 1)], "asset_id long, rating int")
     got = sorted((r.better_id, r.worse_id, r.weight) for r in ranking.star_pairs(best).collect())
     assert got == [(1, 2, 0.2), (1, 3, 0.4), (1, 4, 0.4), (2, 3, 0.2), (2, 4, 0.2)]
 
 
-def test_heads():
-    x = np.array([[1, 0], [1, 0], [0, 1], [0, 1]], np.float32)
-    head, found = learning.LinearHead.train(x, np.array([5, 4, 1, 2], np.float32))
-    assert found["mse"] < 0.1 and head.score(x[:1])[0] > head.score(x[2:3])[0]
-    y = np.eye(4, dtype=np.float32)
-    mlp, found = learning.MlpHead.train(y, np.array([5, 4, 1, 2], np.float32))
-    assert found["mse"] < 0.2 and mlp.score(y[:1])[0] > mlp.score(y[2:3])[0]
-    net = ranking.PairwiseNet.new(4)
-    result = net.train(y[[0, 1]], y[[2, 3]], np.ones(2), np.zeros(2, bool))
-    assert result["accuracy"] == 1.0
+def _sigmoid(x):
+    return 1 / (1 + np.exp(-x))
+
+
+def _normal(x):
+    length = float(np.sqrt((x * x).sum()))
+    return x / length if length > 1e-6 else x
+
+
+def test_heads_equal_plain_loops(tmp_path):
+    """Weights of the batch trainers against loops over samples that sum gradients and divide by their number."""
+    rng = np.random.default_rng(1)
+    x, rating = rng.normal(size=(9, 30)), rng.integers(0, 6, 9).astype(float)
+    y = [(min(max(r, 1), 5) - 1) / 4 for r in rating]
+    head, found = learning.LinearHead.train(x, rating, epochs=7)
+    w, bias = np.zeros(30), 0.5
+    for _ in range(7):
+        dw, db = np.zeros(30), 0.0
+        for row, want in zip(x, y):
+            error = _sigmoid(w @ row + bias) - want
+            dw += error * row
+            db += error
+        w, bias = w - 0.01 * (dw / 9 + 0.001 * w), bias - 0.01 * db / 9
+    assert np.allclose(head.weights, w) and abs(head.bias - bias) < 1e-12 and found["sample_count"] == 9
+    mlp, found = learning.MlpHead.train(x, rating, epochs=7)
+    ref = learning.MlpHead.new(30)
+    assert ref.w1.shape == (8, 30) and abs(ref.w1[0, 1] - np.sin(2 * 0.618034) * 0.1) < 1e-12
+    for _ in range(7):
+        g1, gb1, g2, gb2 = np.zeros_like(ref.w1), np.zeros(8), np.zeros(8), 0.0
+        for row, want in zip(map(_normal, x), y):
+            pre = ref.w1 @ row + ref.b1
+            h = np.maximum(pre, 0)
+            error = min(max(_sigmoid(ref.w2 @ h + ref.b2) - want, -1), 1)
+            g2 += error * h
+            gb2 += error
+            for j in range(8):
+                if pre[j] > 0:
+                    g1[j] += error * ref.w2[j] * row
+                    gb1[j] += error * ref.w2[j]
+        ref.w1, ref.b1 = ref.w1 - 0.03 * (g1 / 9 + 0.0005 * ref.w1), ref.b1 - 0.03 * gb1 / 9
+        ref.w2, ref.b2 = ref.w2 - 0.03 * (g2 / 9 + 0.0005 * ref.w2), ref.b2 - 0.03 * gb2 / 9
+    assert np.allclose(mlp.w1, ref.w1) and np.allclose(mlp.w2, ref.w2) and abs(mlp.b2 - ref.b2) < 1e-12
+    assert abs(found["mse"] - np.mean((ref.score(x) - y) ** 2)) < 1e-12
+    for kind, model in ((learning.LinearHead, head), (learning.MlpHead, mlp)):
+        model.save(tmp_path / "head.json")
+        assert np.allclose(kind.load(tmp_path / "head.json").score(x), model.score(x))
+        with pytest.raises(ValueError, match="no training samples"):
+            kind.train(x[:0], rating[:0])
+    far, _ = learning.MlpHead.train(np.eye(4), np.array([5.0, 4, 1, 2]))
+    assert far.score(np.eye(4))[0] > far.score(np.eye(4))[2]
+
+
+def test_pairwise_net_equals_plain_loop(tmp_path):
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=(8, 40)), rng.normal(size=(8, 40))
+    weight, tie = rng.uniform(0.2, 1, 8), np.arange(8) % 3 == 0
+    net, ref = ranking.PairwiseNet.new(40), ranking.PairwiseNet.new(40)
+    found = net.train(a, b, weight, tie, epochs=6)
+    for _ in range(6):
+        g1, gb, g2 = np.zeros_like(ref.w1), np.zeros_like(ref.b1), np.zeros_like(ref.w2)
+        for x, z, w, t in zip(map(_normal, a), map(_normal, b), weight, tie):
+            diff = float(np.maximum(ref.w1 @ x + ref.b1, 0) @ ref.w2 - np.maximum(ref.w1 @ z + ref.b1, 0) @ ref.w2)
+            pull = diff * w if t else (_sigmoid(diff) - 1) * w
+            for row, side in ((x, pull), (z, -pull)):
+                pre = ref.w1 @ row + ref.b1
+                g2 += side * np.maximum(pre, 0)
+                for j in range(len(pre)):
+                    if pre[j] > 0:
+                        g1[j] += side * ref.w2[j] * row
+                        gb[j] += side * ref.w2[j]
+        ref.w1, ref.b1 = ref.w1 - 0.02 * (g1 / 8 + 0.0004 * ref.w1), ref.b1 - 0.02 * gb / 8
+        ref.w2 = ref.w2 - 0.02 * (g2 / 8 + 0.0004 * ref.w2)
+    assert np.allclose(net.w1, ref.w1) and np.allclose(net.b1, ref.b1) and np.allclose(net.w2, ref.w2)
+    gap = ref.score(a) - ref.score(b)
+    assert abs(found["tie_loss"] - np.mean((0.5 * gap**2 * weight)[tie])) < 1e-12
+    assert found["preference_pair_count"] == 5 and found["tie_pair_count"] == 3 and not found["weak_only"]
+    assert abs(found["preference_accuracy"] - (gap[~tie] > 0).mean()) < 1e-12
+    net.save(tmp_path / "net.json")
+    assert np.allclose(ranking.PairwiseNet.load(tmp_path / "net.json").score(a), net.score(a))
+    with pytest.raises(ValueError, match="no ranking samples"):
+        net.train(a[:0], b[:0], weight[:0], tie[:0])
 
 
 def ramp(height, width, seed):
@@ -228,6 +336,306 @@ def test_store_and_stream(spark, tmp_path):
     store = Store(spark, str(folder))
     stream = spark.readStream.schema(keyed.schema).parquet(str(source))
     for _ in range(2):  # a second run finds nothing new
-        start(stream, store, str(tmp_path / "check")).awaitTermination()
+        start(stream, store, str(tmp_path / "check"), lambda epoch: datetime(2026, 1, 1 + epoch)).awaitTermination()
     assert sorted(r.path_key for r in store.read("file_instances").collect()) == ["r/a.jpg", "r/b.jpg"]
-    assert [r.new_count for r in store.read("scan_runs").collect()] == [2]
+    assert [(r.new_count, r.started_at) for r in store.read("scan_runs").collect()] == [(2, datetime(2026, 1, 1))]
+
+
+# what has no SQL: state in, state out
+
+NOW = "2026-02-03 04:05:06"
+
+
+def now():
+    return F.to_timestamp(F.lit(NOW))
+
+
+def rows(frame, *columns):
+    return sorted((tuple(r) for r in (frame.select(*columns) if columns else frame).collect()), key=repr)
+
+
+def test_placed_numbers_all_and_groups(spark):
+    frame = spark.createDataFrame([(i % 3, (i * 37) % 101) for i in range(101)], "g long, x long").repartition(5)
+    assert rows(order.placed(frame, [], [F.col("x")], "at"), "x", "at") == sorted(((i, i) for i in range(101)), key=repr)
+    got = rows(order.placed(frame, ["g"], [F.desc("x")], "at"), "g", "x", "at")
+    for g in range(3):
+        of_g = sorted(((x, at) for h, x, at in got if h == g), reverse=True)
+        assert [at for _, at in of_g] == list(range(len(of_g)))
+
+
+def test_job_log(spark):
+    log = spark.createDataFrame([], schema("ai_jobs"))
+    log = jobs.create(jobs.create(log, "train", now()), "download", now())
+    log = jobs.update(log, 1, "running", 2, 9, "half", now())
+    assert rows(log, "id", "job_type", "status", "done", "total", "message", F.col("started_at").isNotNull(), F.col("finished_at").isNotNull()) == [
+        (1, "train", "running", 2, 9, "half", True, False), (2, "download", "pending", 0, 0, None, False, False),
+    ]
+    log = jobs.update(log, 1, "completed", 9, 9, None, now())
+    assert rows(log.filter("id = 1"), "status", F.col("started_at").isNotNull(), F.col("finished_at").isNotNull()) == [("completed", True, True)]
+    assert [r.id for r in jobs.newest(log, 1).collect()] == [2]
+    assert [r.id for r in jobs.latest(log, "train").collect()] == [1] and [r.id for r in jobs.latest(log, only_open=True).collect()] == [2]
+    assert rows(jobs.heal(log, "download", False, now()), "id", "status") == [(1, "completed"), (2, "failed")]
+    assert rows(jobs.heal(log, "download", True, now()), "id", "status") == [(1, "completed"), (2, "pending")]
+
+
+def test_votes(spark):
+    votes = spark.createDataFrame([], schema("ai_preference_votes"))
+    sets = spark.createDataFrame([(1, "one", None, None), (2, "two", None, None)], "id long, name string, created_at timestamp, updated_at timestamp")
+    votes, sets = ranking.submit_vote(votes, sets, {"set_id": 2, "left_id": 7, "right_id": 8, "choice": "tie"}, now())
+    votes, sets = ranking.submit_vote(votes, sets, {"set_id": 2, "left_id": 7, "right_id": 9, "choice": "skip"}, now())
+    assert rows(votes, "id", "set_id", "left_id", "right_id", "choice", "weight") == [(1, 2, 7, 8, "tie", 1.0), (2, 2, 7, 9, "skip", 1.0)]
+    assert rows(sets, "id", F.col("updated_at").isNotNull()) == [(1, False), (2, True)]
+    with pytest.raises(ValueError, match="invalid preference choice"):
+        ranking.submit_vote(votes, sets, {"set_id": 2, "left_id": 7, "right_id": 9, "choice": "both"}, now())
+    empty = spark.createDataFrame([], "id long, active boolean")
+    assert ranking.overview(sets, votes, 12, empty)["model_status"] == "untrained"
+    assert ranking.overview(sets, votes, 3, empty)["model_status"] == "insufficient_data"
+    assert ranking.overview(sets, votes, 3, spark.createDataFrame([(4, True)], empty.schema))["model_status"] == "ready"
+
+
+def test_sets(spark):
+    listing = spark.createDataFrame([(1, 5.0), (2, 9.0), (1, 7.0), (3, 1.0)], "asset_id long, q double")
+    assert rows(ranking.create_set(listing, [F.desc("q")], 4), "set_id", "asset_id", "position") == [(4, 1, 1), (4, 2, 0), (4, 3, 2)]
+    chosen = spark.createDataFrame([(3, 0), (1, 1), (3, 2)], "asset_id long, position long")
+    assert rows(ranking.create_set(listing, [F.desc("q")], 4, chosen), "asset_id", "position") == [(1, 1), (3, 0)]
+    sets = spark.createDataFrame([(1, datetime(2026, 1, 1)), (2, datetime(2026, 1, 2))], "id long, created_at timestamp")
+    items = spark.createDataFrame([(1, 5), (1, 6)], "set_id long, asset_id long")
+    votes = spark.createDataFrame([(1,), (1,), (1,)], "set_id long")
+    rankings = spark.createDataFrame([(1, datetime(2026, 3, 1))], "set_id long, ranked_at timestamp")
+    assert [(r.set_id, r.n_items, r.n_votes) for r in ranking.list_sets(sets, items, votes, rankings).collect()] == [(1, 2, 3), (2, 0, 0)]
+    left = ranking.delete_set(1, {"ai_sets": sets, "ai_set_items": items})
+    assert rows(left["ai_sets"], "id") == [(2,)] and left["ai_set_items"].count() == 0
+
+
+def test_ranked_items_show_live_images(spark):
+    records = spark.createDataFrame(
+        [(1, 10, "gone", False, "image"), (2, 10, "film", True, "video"), (3, 10, "b", True, "image"), (4, 10, "c", True, "image"), (5, 11, "d", True, "image")],
+        "instance_id long, asset_id long, current_path string, exists_flag boolean, file_class string",
+    )
+    rated = spark.createDataFrame([(3, 2, 1), (4, 5, 2)], "instance_id long, rating int, event_id long")
+    ranks_ = spark.createDataFrame([(1, 10, 2, "top"), (1, 11, 1, "mid"), (1, 12, 3, "mid")], "set_id long, asset_id long, rank_position long, rank_bucket string")
+    assert [(r.asset_id, r.instance_id, r.rating) for r in ranking.ranked_items(ranks_, records, rated).collect()] == [(11, 5, None), (10, 3, 5), (12, None, None)]
+    assert [r.asset_id for r in ranking.ranked_items(ranks_, records, rated, "mid").collect()] == [11, 12]
+
+
+def test_train_and_rank(spark):
+    vectors = [(i, [float(x) for x in np.eye(6)[i]]) for i in range(6)]
+    embeddings = spark.createDataFrame(vectors, "asset_id long, embedding array<double>")
+    votes = spark.createDataFrame([(0, 1, "left", 1.0), (2, 3, "right", 1.0), (4, 5, "tie", 0.1), (0, 5, "skip", 1.0)], "left_id long, right_id long, choice string, weight double")
+    best = spark.createDataFrame([(0, 5), (1, 1)], "asset_id long, rating int")
+    items = spark.createDataFrame([(1, i) for i in range(6)], "set_id long, asset_id long")
+    net, found, ranks_ = ranking.train_and_rank(embeddings, votes, best, items)
+    assert found["preference_pair_count"] == 3 and found["tie_pair_count"] == 1 and found["preference_accuracy"] == 1.0
+    place = {r.asset_id: r.rank_position for r in ranks_.collect()}
+    assert place[0] < place[1] and place[3] < place[2]
+    kept = spark.createDataFrame([(1, 1, 9, 0.5, 1), (2, 1, 9, 0.5, 1), (1, 2, 9, 0.5, 1)], "set_id long, model_run_id long, asset_id long, score double, rank_position long")
+    kept = kept.withColumn("ranked_at", now())
+    out = ranking.replace_rankings(kept, ranks_, 1, now())
+    assert out.groupBy("set_id", "model_run_id").count().count() == 3 and out.count() == 6 + 2
+    with pytest.raises(ValueError, match="no ranking samples"):
+        ranking.train_and_rank(embeddings, votes.limit(0), best.limit(0), items)
+
+
+def test_learning_state(spark, tmp_path):
+    embeddings = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 7)], "asset_id long, embedding array<double>")
+    rated = spark.createDataFrame([(1, 5), (2, 1), (3, 0), (4, 3)], "asset_id long, rating int")
+    ids, x, y = learning.training_set(embeddings, rated)
+    assert sorted(ids) == [1, 2, 4] and len(x) == len(y) == 3 and len(learning.training_set(embeddings, rated, 2)[0]) == 2
+    none = spark.createDataFrame([], "asset_id long, ai_score double, ai_confidence double, ai_bucket string, delete_candidate boolean")
+    old = spark.createDataFrame([(1, 0.5, 0.0, "maybe", False)], none.schema)
+    head, out = learning.full_pipeline(embeddings, rated, old)
+    assert head is not None and out.count() == 6 and rows(out.filter("asset_id = 1"), "ai_score") == [(0.5,)]
+    assert learning.full_pipeline(embeddings, rated.limit(0), old)[0] is None
+    linear = learning.predict_missing(embeddings, old, learning.LinearHead(np.array([0.1, -0.2]), 0.3))
+    want = {i: 1 / (1 + np.exp(-(0.1 * i - 0.2 + 0.3))) for i in range(2, 7)}
+    assert all(abs(r.ai_score - want[r.asset_id]) < 1e-12 for r in linear.filter("asset_id > 1").collect())
+    left, deleted = learning.clear_predictions(out)
+    assert left.count() == 0 and deleted.first()[0] == 6
+    models = spark.createDataFrame([(1, True), (2, False)], "id long, active boolean")
+    models = learning.activate(models, spark.createDataFrame([(3,)], "id long"))
+    assert rows(models) == [(1, False), (2, False), (3, True)] and rows(learning.active_model(models), "id") == [(3,)]
+    assert learning.active_encoder(None) == "stub"
+    (tmp_path / "m.onnx").write_text("")
+    assert learning.active_encoder(str(tmp_path / "m.onnx")) == "clip_vitb32"
+    assets = spark.createDataFrame([(1,), (2,)], "asset_id long")
+    have = spark.createDataFrame([(1, "stub", "1", [9.0]), (2, "stub", "0", [8.0])], schema("image_embeddings"))
+    assert rows(learning.missing_embeddings(assets, have, "stub", "1")) == [(2,)]
+    encode = F.array(F.col("asset_id").cast("float"))
+    assert rows(learning.extract(assets, have, encode, "stub", "1")) == [(1, "stub", "1", [9.0]), (2, "stub", "0", [8.0]), (2, "stub", "1", [2.0])]
+    assert rows(learning.extract(assets, have, encode, "stub", "1", False).filter("encoder_version = '1'"), "embedding") == [([1.0],), ([2.0],)]
+
+
+def test_learning_status(spark):
+    instances = spark.createDataFrame([(1, True, "image"), (2, False, "image"), (3, True, "video")], "id long, exists_flag boolean, file_class string")
+    rated = spark.createDataFrame([(1, 0), (2, 4), (3, 5), (9, 5)], "file_instance_id long, rating int")
+    have = spark.createDataFrame([(1, "stub", "1", [1.0]), (2, "stub", "0", [1.0])], schema("image_embeddings"))
+    found = spark.createDataFrame([(1, 3), (2, 3), (1, 2)], "asset_id long, model_id long")
+    models = spark.createDataFrame([(2, True), (3, True), (4, False)], "id long, active boolean")
+    log = spark.createDataFrame([(1, "running"), (2, "failed")], "id long, status string")
+    got = learning.status(instances.select("id"), have, rated, instances, found, models, log, "stub", "1").first().asDict()
+    assert got == {"n_assets": 3, "n_embeddings": 1, "n_rated": 2, "n_rated_images": 1, "n_predictions": 2, "active_model_id": 3, "running_job_id": 1, "latest_job_id": 2}
+
+
+def test_recycle_rated(spark):
+    empty = lambda t: spark.createDataFrame([], schema(t))
+    instances = ingest.fitted(spark.createDataFrame([(1, 5, "a", True, "image"), (2, 5, "b", True, "image"), (3, 6, "v", True, "video")],
+                              "id long, content_asset_id long, current_path string, exists_flag boolean, file_class string"), empty("file_instances"))
+    groups = ingest.fitted(spark.createDataFrame([(1, "exact:5", "exact", "pending")], "id long, anchor string, kind string, status string"), empty("match_groups"))
+    members = ingest.fitted(spark.createDataFrame([(1, 1, 5), (1, 2, 5)], "group_id long, file_instance_id long, content_asset_id long"), empty("group_members"))
+    assets = ingest.fitted(spark.createDataFrame([(5,), (6,)], "id long"), empty("content_assets"))
+    state = {"file_instances": instances, "rating_events": empty("rating_events"), "match_groups": groups, "group_members": members, "content_assets": assets}
+    out = ratings.recycle_rated(state, 1, now())
+    assert rows(out["file_instances"], "id", "exists_flag", F.col("last_seen_at").isNotNull()) == [(1, False, True), (2, True, False), (3, True, False)]
+    assert rows(ratings.current(out["rating_events"]), "file_instance_id", "rating") == [(1, 0)]
+    assert out["match_groups"].count() == 0 and out["group_members"].count() == 0 and rows(out["recycle_plan"]) == [(1, "a")]
+    for gone in (3, 9):
+        with pytest.raises(ValueError, match="not found"):
+            ratings.recycle_rated(out, gone, now())
+    with pytest.raises(ValueError, match="not found"):
+        ratings.recycle_rated(out, 1, now())
+
+
+def test_review_reads(spark):
+    groups = spark.createDataFrame([(1, "exact", "pending", 2, 10), (2, "similar", "applied", None, 20)],
+                                   "id long, kind string, status string, recommended_keep_instance_id long, updated_at long")
+    members = spark.createDataFrame([(1, 1, 5, 1.0, "duplicate"), (1, 2, 5, 1.0, "recommended_keep"), (2, 1, 5, 0.9, "duplicate")],
+                                    "group_id long, file_instance_id long, content_asset_id long, similarity double, role string")
+    instances = spark.createDataFrame([(1, "a", True, 5), (2, "b", True, 5)], "id long, current_path string, exists_flag boolean, content_asset_id long")
+    listed = review.list_groups(groups, members, instances=instances).collect()
+    assert [(r.id, r.n_members, r.recommended_path) for r in listed] == [(2, 1, None), (1, 2, "b")]
+    assets = spark.createDataFrame([(5, 7.0, 3, 4)], "id long, quality_score double, width int, height int")
+    rated = spark.createDataFrame([(2, 4)], "file_instance_id long, rating int")
+    assert [(r.current_path, r.rating) for r in review.group_detail(1, members, instances, assets, rated).collect()] == [("a", None), ("b", 4)]
+    assert rows(review.default_recycle(members.withColumn("kind", F.lit("exact"))), "group_id", "file_instance_id") == [(1, 1), (2, 1)]
+    assert review.default_recycle(members.withColumn("kind", F.lit("raw_jpeg_set"))).count() == 0
+    actions = spark.createDataFrame([(1, 5), (2, 9), (3, 9)], "id long, created_at long")
+    assert [r.id for r in review.list_actions(actions).collect()] == [3, 2, 1]
+    moves = spark.createDataFrame([(1, "x", "y", 1), (1, "y", "z", 2), (9, "q", "r", 3)], "file_instance_id long, old_path string, new_path string, detected_at long")
+    assert [r.new_path for r in review.lookup_history(moves, instances, 5).collect()] == ["z", "y"]
+
+
+def test_apply_decision(spark):
+    empty = lambda t: spark.createDataFrame([], schema(t))
+    fitted = lambda data, ddl, t: ingest.fitted(spark.createDataFrame(data, ddl), empty(t))
+    state = {
+        "file_instances": fitted([(1, 5, "a", True), (2, 5, "b", True), (3, 6, "c", True)], "id long, content_asset_id long, current_path string, exists_flag boolean", "file_instances"),
+        "match_groups": fitted([(1, "exact", "pending"), (2, "similar", "pending")], "id long, kind string, status string", "match_groups"),
+        "group_members": fitted([(1, 1), (1, 2), (2, 2), (2, 3)], "group_id long, file_instance_id long", "group_members"),
+        "content_assets": fitted([(5,), (6,)], "id long", "content_assets"),
+        "review_actions": empty("review_actions"),
+    }
+    out = review.apply_decision(state, 1, [1], [2], "why", 7, now())
+    assert rows(out["match_groups"], "id", "status", "recommended_keep_instance_id") == [(1, "applied", 1)]
+    assert rows(out["group_members"], "group_id", "file_instance_id") == [(1, 1)]
+    assert rows(out["review_actions"], "id", "group_id", "keep_ids", "recycle_ids", "note") == [(7, 1, [1], [2], "why")]
+    assert rows(out["recycle_plan"]) == [(2, "b")] and rows(out["file_instances"], "id", "exists_flag") == [(1, True), (2, False), (3, True)]
+    with pytest.raises(ValueError, match="a file is not in the group"):
+        review.apply_decision(state, 1, [1], [3], None, 8, now())
+
+
+RECORD = "instance_id long, asset_id long, current_path string, quality double, width int, height int, phash long"
+
+
+def test_representatives_and_pairs(spark):
+    records = spark.createDataFrame([(1, 5, "b", 3.0, 1, 1, None), (2, 5, "a", 2.0, 1, 1, 9), (3, 5, "0", 2.0, 1, 1, 8), (4, 6, "c", None, 1, 1, 7)], RECORD)
+    assert rows(matching.representatives(records, ["phash"]), "instance_id") == [(3,), (4,)]
+    found = spark.createDataFrame([(9, 9), (9, 11), (9, 2), (4, 4), (4, 5)], "anchor_id long, asset_id long")
+    assert rows(matching.similar_anchor(found), "anchor_id", "anchor", "n_members") == [(4, "similar:4-5", 2), (9, "similar:2-9-11", 3)]
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (4, 5)], "a long, b long")
+    cached = spark.createDataFrame([(1, 2, 0.98), (4, 5, 0.99)], "a long, b long, similarity double")
+    todo, reused = matching.incremental_pairs(pairs, spark.createDataFrame([(3,)], "asset_id long"), cached)
+    assert rows(todo) == [(1, 3), (2, 3)] and rows(reused) == [(1, 2, 0.98), (4, 5, 0.99)]
+
+
+def test_recompute(spark):
+    """Drafts against groups: new, replaced, archived, kept and dropped ones; an incremental run keeps what it did not touch."""
+    records = spark.createDataFrame([(1, 5, "r/a.jpg", 3.0, 10, 10, 1), (2, 5, "r/b.jpg", 4.0, 10, 10, 1), (3, 6, "r/c.jpg", 1.0, 10, 10, 1),
+                                     (4, 6, "s/c.jpg", 1.0, 10, 10, 1), (5, 7, "r/d.jpg", 2.0, 10, 10, 1)], RECORD)
+    cliques_ = spark.createDataFrame([(5, 5, 0.98), (5, 7, 0.98)], "anchor_id long, asset_id long, similarity double")
+    drafts = matching.exact_drafts(records).unionByName(matching.similar_drafts(cliques_, records))
+    assert rows(drafts.filter("kind = 'similar'"), "anchor", "instance_id", "role") == [
+        ("similar:5-7", 1, "duplicate"), ("similar:5-7", 2, "recommended_keep"), ("similar:5-7", 5, "duplicate")
+    ]
+    groups = spark.createDataFrame(
+        [(1, "exact:5", "exact", "approved", 9), (2, "exact:6", "exact", "applied", 9), (3, "exact:8", "exact", "applied", 9),
+         (4, "exact:9", "exact", "pending", 9), (5, "similar:1-2", "similar", "pending", 9), (6, "similar:3-7", "similar", "skipped", 9)],
+        "id long, anchor string, kind string, status string, recommended_keep_instance_id long",
+    )
+    members = spark.createDataFrame([(i, 100 + i, a, 0.5, "old") for i, a in ((1, 5), (2, 6), (3, 8), (4, 9), (5, 1), (6, 7))],
+                                    "group_id long, file_instance_id long, content_asset_id long, similarity double, role string")
+    out, held = matching.recompute(drafts, groups, members, None, "t1")
+    assert rows(out) == [
+        (1, "exact:5", "exact", "approved", 2), (2, "exact:6#applied:2:t1", "exact", "applied", 9), (3, "exact:8", "exact", "applied", 9),
+        (7, "exact:6", "exact", "pending", 3), (8, "similar:5-7", "similar", "pending", 2),
+    ]
+    assert rows(held, "group_id", "file_instance_id", "role") == [
+        (1, 1, "duplicate"), (1, 2, "recommended_keep"), (2, 102, "old"), (3, 103, "old"), (7, 3, "recommended_keep"), (7, 4, "duplicate"),
+        (8, 1, "duplicate"), (8, 2, "recommended_keep"), (8, 5, "duplicate"),
+    ]
+    new = spark.createDataFrame([(7,)], "asset_id long")
+    out, held = matching.recompute(drafts, groups, members, new, "t1")
+    assert rows(out, "id") == [(1,), (2,), (3,), (5,), (7,), (8,)] and (5, 105) in rows(held, "group_id", "file_instance_id")
+
+
+def test_resume_and_cancel(spark):
+    empty = lambda t: spark.createDataFrame([], schema(t))
+    ddl = "path string, size long, modified_ms long, volume_id string, file_id string, quick_fingerprint string, sha256 string"
+    seen = spark.createDataFrame([(f"r/{n}.jpg", 1, 1, "V", n, n, n) for n in "abc"], ddl)
+    runs = ingest.fitted(spark.createDataFrame([(1, "running"), (2, "running"), (3, "completed")], "id long, status string"), empty("scan_runs"))
+    queue = ingest.enqueue(ingest.classified(seen.filter("path != 'r/c.jpg'")), 2)
+    queue = ingest.promote(queue, spark.createDataFrame([(2, "r/a.jpg")], "scan_run_id long, path_key string"))
+    assert rows(queue, "path_key", "stage") == [("r/a.jpg", "promoted"), ("r/b.jpg", "discovered")]
+    assert rows(ingest.resume_candidate(runs, queue), "id") == [(2,)]
+    run_id, out, after, left = ingest.resume(seen, empty("file_instances"), empty("content_assets"), runs, queue, now())
+    assert run_id == 2 and rows(out["files"], "path_key", "disposition") == [("r/b.jpg", "new")]
+    assert rows(after, "id", "status") == [(1, "running"), (2, "completed"), (3, "completed")]
+    assert rows(left, "stage") == [("promoted",), ("promoted",)]
+    assert ingest.resume(seen, empty("file_instances"), empty("content_assets"), after, left, now())[0] is None
+    stopped = ingest.cancel(spark, 2, runs)
+    assert rows(stopped, "id", "status") == [(1, "running"), (2, "cancelled"), (3, "completed")]
+    assert ingest.resume_candidate(stopped, queue).count() == 0
+    ingest.scan(seen, empty("file_instances"), empty("content_assets"), ["r"], 77, now())
+    assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") == ingest.job_group(77)
+
+
+def test_known_content_takes_the_fast_path(spark):
+    ddl = "path string, size long, modified_ms long, volume_id string, file_id string, quick_fingerprint string, sha256 string"
+    assets = ingest.fitted(spark.createDataFrame([(9, "s", 1, "q", 2), (10, "t", 1, "q", 1)], "id long, sha256 string, file_size long, quick_fingerprint string, analysis_version int"),
+                           spark.createDataFrame([], schema("content_assets")))
+    seen = spark.createDataFrame([("r/a.jpg", 1, 1, "V", "1", "q", "s"), ("r/b.jpg", 1, 1, "V", "2", "q", "t"), ("r/c.jpg", 1, 1, "V", "3", "q", "u")], ddl)
+    out = ingest.scan(seen, spark.createDataFrame([], schema("file_instances")), assets, ["r"], 1, now())
+    assert rows(out["files"], "path_key", "asset_id", "disposition") == [("r/a.jpg", 9, "new"), ("r/b.jpg", 10, "new"), ("r/c.jpg", 11, "new")]
+    assert rows(out["content_assets"], "id", "analysis_version") == [(10, 2), (11, 2), (9, 2)]
+
+
+def test_only_changed_files_are_read(spark, tmp_path):
+    for name, body in (("a.jpg", b"one"), ("b.jpg", b"two"), ("c.txt", b"three")):
+        (tmp_path / name).write_bytes(body)
+    roots = ingest.checked_roots([str(tmp_path), f" {tmp_path} ", ""])
+    assert roots == [str(tmp_path)]
+    for bad in ([str(tmp_path / "none")], [str(tmp_path / "a.jpg")], []):
+        with pytest.raises(ValueError):
+            ingest.checked_roots(bad)
+    whole = files.manifest(spark, roots)
+    assert whole.filter("sha256 IS NULL").count() == 0
+    known = whole.select("path_key", F.col("size").alias("file_size"), "modified_ms", F.lit(True).alias("exists_flag"), F.lit(2).alias("analysis_version"))
+    known = spark.createDataFrame(known.collect(), known.schema)
+    assert files.manifest(spark, roots, instances=known).filter("sha256 IS NOT NULL").count() == 0
+    (tmp_path / "b.jpg").write_bytes(b"two, changed")
+    again = files.manifest(spark, roots, instances=known, chunk=1)
+    assert again.count() == 3 and [r.path.rsplit("/", 1)[1] for r in again.filter("sha256 IS NOT NULL").collect()] == ["b.jpg"]
+
+
+def test_store_rewrites_partitions(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    ddl = "scan_run_id long, extension string, n long, example_path string"
+    store.commit({"unknown_formats": spark.createDataFrame([(1, "zip", 1, "a"), (2, "zip", 2, "b")], ddl)})
+    store.rewrite_partition("unknown_formats", spark.createDataFrame([(2, "rar", 5, "c"), (3, "7z", 1, "d")], ddl), "scan_run_id")
+    assert rows(store.read("unknown_formats"), "scan_run_id", "extension") == [(1, "zip"), (2, "rar"), (3, "7z")]
+
+
+def test_text_and_json(spark):
+    frame = spark.createDataFrame([("Holiday in ROME", "[3, 1]"), ("work", None)], "p string, ids string")
+    assert [r.p for r in frame.filter(paths.text_filter("rome", F.col("p"))).collect()] == ["Holiday in ROME"]
+    got = [r[0] for r in frame.select(paths.ids_from_json(F.col("ids"))).collect()]
+    assert got[0] == [3, 1]
