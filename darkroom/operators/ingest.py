@@ -151,9 +151,14 @@ def numbered(rows: DataFrame, key: str, known: DataFrame, id_: str, name: str) -
     return joined.withColumn(name, (F.col("_top") + F.col("_at") + 1).cast("long")).drop("_at", "_top")
 
 
-def cross_volume_moves(resolved: DataFrame, instances: DataFrame, observed_keys: DataFrame) -> DataFrame:
-    """(path_key, instance_id, old_path): new paths of assets with exactly one instance gone from disk."""
+def cross_volume_moves(resolved: DataFrame, instances: DataFrame, observed_keys: DataFrame, moved: DataFrame | None = None) -> DataFrame:
+    """(path_key, instance_id, old_path): new paths of assets with exactly one instance gone from disk.
+
+    The instances of ``moved`` (instance_id) are found elsewhere and so not gone.
+    """
     gone = instances.join(observed_keys.select("path_key"), "path_key", "left_anti")
+    if moved is not None:
+        gone = gone.join(moved.select(F.col("instance_id").alias("id")), "id", "left_anti")
     single = (
         gone.groupBy("content_asset_id")
         .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("instance_id"), F.min("current_path").alias("old_path"))
@@ -289,7 +294,7 @@ def scan(
         resolved = resolve_assets(changed, assets)
     resolved = materialize(resolved)
     rest = resolved.join(moves.select("path_key"), "path_key", "left_anti")
-    far = cross_volume_moves(rest, instances, media).withColumn("change_type", F.lit("cross_volume_move"))
+    far = cross_volume_moves(rest, instances, media, moves).withColumn("change_type", F.lit("cross_volume_move"))
     log = materialize(moves.select("path_key", "instance_id", "old_path", "change_type").unionByName(far))
     moved = log.select("path_key", F.col("instance_id").alias("moved_id"), "change_type")
     columns = ["path_key", "path", "size", "modified_ms", "volume_id", "file_id", "extension", "file_class", "sha256",

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from darkroom.functions import hashing, paths
 from darkroom.functions.vectors import l2_normalized, stub_embedding
-from darkroom.operators import classify, ingest, matching, ranking, ratings, review
+from darkroom.operators import classify, ingest, learning, matching, ranking, ratings, review
 from darkroom.operators.classify import Filter, listing
 from darkroom.operators.learning import LinearHead, MlpHead, initial, predict_linear, predict_mlp
+from darkroom.schema import schema
 from darkroom.sources import library
 from darkroom.sources.library import read
 
@@ -698,6 +699,50 @@ def disposition_counts(spark, sf_dir):
     return ingest.run_counters(files.withColumn("disposition", ingest.disposition()))
 
 
+@query(
+    WITH + _STATE + """, mv AS (SELECT st.path_key, min(k.id) AS id FROM st JOIN kn k ON k.file_id = st.file_id AND k.path_key <> st.path_key
+      WHERE NOT is_unchanged AND st.instance_id IS NULL GROUP BY st.path_key),
+    single AS (SELECT content_asset_id, min(id) AS id FROM kn WHERE path_key NOT IN (SELECT path_key FROM obs) AND id NOT IN (SELECT id FROM mv) GROUP BY content_asset_id HAVING count(*) = 1),
+    far AS (SELECT s.id, min(st.path_key) AS path_key FROM st JOIN ast a USING (sha256) JOIN single s ON s.content_asset_id = a.id
+      WHERE NOT is_unchanged AND st.instance_id IS NULL AND st.path_key NOT IN (SELECT path_key FROM mv) GROUP BY s.id),
+    f AS (SELECT CASE WHEN is_unchanged OR known_asset_id = a.id THEN 'unchanged' WHEN st.instance_id IS NOT NULL OR mv.id IS NOT NULL OR far.id IS NOT NULL THEN 'updated' ELSE 'new' END AS disposition,
+      CASE WHEN mv.id IS NOT NULL THEN 'same_volume_move' WHEN far.id IS NOT NULL THEN 'cross_volume_move' ELSE 'none' END AS change_type
+      FROM st LEFT JOIN ast a USING (sha256) LEFT JOIN mv ON mv.path_key = st.path_key LEFT JOIN far ON far.path_key = st.path_key)
+    SELECT disposition, change_type, count(*)::BIGINT AS n FROM f GROUP BY ALL"""
+)
+def scan_dispositions(spark, sf_dir):
+    """A whole scan over known instances and assets; file names end in .jpg, so that all are media."""
+    observed, instances, assets = _state(spark, sf_dir)
+    jpg = lambda c: F.concat(F.col(c), F.lit(".jpg"))
+    observed = observed.withColumn("path", jpg("path"))
+    instances = instances.withColumns({c: jpg(c) for c in ("current_path", "path_key")})
+    empty = lambda t: spark.createDataFrame([], schema(t))
+    now = F.to_timestamp(F.lit("2026-01-01"))
+    out = ingest.scan(observed, ingest.fitted(instances, empty("file_instances")), ingest.fitted(assets, empty("content_assets")), ["src1"], 9, now)
+    change = F.coalesce("change_type", F.lit("none")).alias("change_type")
+    return out["files"].groupBy("disposition", change).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    WITH + _STATE + """, gone AS (SELECT k.* FROM kn k WHERE k.path_key LIKE 'src1/%' AND k.path_key NOT IN (SELECT path_key FROM obs)
+      AND k.id NOT IN (SELECT k2.id FROM st JOIN kn k2 ON k2.file_id = st.file_id AND k2.path_key <> st.path_key WHERE NOT is_unchanged AND st.instance_id IS NULL))
+    SELECT count(*)::BIGINT AS n_gone, (SELECT count(DISTINCT sha256) FROM (SELECT sha256 FROM ast UNION SELECT sha256 FROM obs))::BIGINT AS n_assets FROM gone"""
+)
+def scan_missing_and_assets(spark, sf_dir):
+    """What a scan of one root marks as gone, and how many assets there are after it; cross-volume moves apart."""
+    observed, instances, assets = _state(spark, sf_dir)
+    jpg = lambda c: F.concat(F.col(c), F.lit(".jpg"))
+    observed = observed.withColumn("path", jpg("path"))
+    instances = instances.withColumns({c: jpg(c) for c in ("current_path", "path_key")})
+    empty = lambda t: spark.createDataFrame([], schema(t))
+    now = F.to_timestamp(F.lit("2026-01-01"))
+    out = ingest.scan(observed, ingest.fitted(instances, empty("file_instances")), ingest.fitted(assets, empty("content_assets")), ["src1"], 9, now)
+    far = out["path_history"].filter("change_type = 'cross_volume_move' AND old_path LIKE 'src1/%'").agg(F.count(F.lit(1)).alias("far"))
+    gone = out["file_instances"].agg(F.count_if(~F.col("exists_flag")).alias("gone"))
+    held = out["content_assets"].agg(F.count(F.lit(1)).alias("n_assets"))
+    return gone.crossJoin(F.broadcast(far)).crossJoin(F.broadcast(held)).select((F.col("gone") + F.col("far")).alias("n_gone"), "n_assets")  # one row each
+
+
 @query(
     """SELECT user_id AS instance_id, event_id, ts AS detected_at, prev AS old_path, event_type AS new_path FROM (SELECT *, lag(event_type)
     OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) WHERE prev <> event_type"""
@@ -820,6 +865,108 @@ def star_pairs(spark, sf_dir):
     return ranking.star_pairs(ratings.best_per_asset(library.ratings(spark, sf_dir), library.active_records(spark, sf_dir)))
 
 
+@query(
+    WITH + """SELECT 5::BIGINT AS set_id, asset_id, row_number() OVER (ORDER BY n) - 1 AS position FROM (SELECT asset_id, min(n) AS n FROM
+    (SELECT asset_id, row_number() OVER (ORDER BY quality DESC, instance_id) AS n FROM rec) GROUP BY asset_id)"""
+)
+def create_set_positions(spark, sf_dir):
+    rows = library.active_records(spark, sf_dir).select("asset_id", "quality", "instance_id")
+    return ranking.create_set(rows, [F.desc("quality"), F.col("instance_id")], 5)
+
+
+@query(
+    _RANKED + ", " + INSTANCES + """, ph AS (SELECT asset_id, min(instance_id) AS instance_id FROM rec WHERE instance_id % 13 <> 0 AND instance_id % 11 <> 0 GROUP BY asset_id),
+    lr AS (SELECT rec.asset_id, arg_max(rating, event_id) AS rating FROM rat JOIN rec USING (instance_id) GROUP BY rec.asset_id)
+    SELECT r.set_id, r.asset_id, r.rank_position::BIGINT AS rank_position, ph.instance_id, CASE WHEN ph.instance_id IS NOT NULL THEN lr.rating END::INT AS rating
+    FROM r LEFT JOIN ph USING (asset_id) LEFT JOIN lr USING (asset_id) WHERE rank_bucket = 'top'"""
+)
+def ranked_items_page(spark, sf_dir):
+    ranks = ranking.ranked(library.scores(spark, sf_dir))
+    out = ranking.ranked_items(ranks, library.listed_records(spark, sf_dir), library.ratings(spark, sf_dir), "top")
+    return out.select("set_id", "asset_id", "rank_position", "instance_id", "rating")
+
+
+@query(
+    WITH + """SELECT count(*) FILTER (rating > 2)::BIGINT AS n_rated, count(*) FILTER (instance_id % 13 <> 0 AND instance_id % 11 <> 0)::BIGINT AS n_rated_images
+    FROM rat JOIN rec USING (instance_id)"""
+)
+def rated_counts(spark, sf_dir):
+    files = library.listed_records(spark, sf_dir).withColumnRenamed("instance_id", "id")
+    rated = library.ratings(spark, sf_dir).select(F.col("instance_id").alias("file_instance_id"), (F.col("rating") - 2).alias("rating"))
+    return learning.rated_counts(rated, files)
+
+
+@query(
+    WITH + """SELECT asset_id, arg_min(instance_id, (-quality, current_path)) AS instance_id FROM rec WHERE extension <> 'fr' GROUP BY asset_id"""
+)
+def representatives_per_asset(spark, sf_dir):
+    records = library.active_records(spark, sf_dir).withColumn("preview", F.when(F.col("extension") != "fr", F.col("extension")))
+    return matching.representatives(records, ["preview"]).select("asset_id", "instance_id")
+
+
+@query(
+    WITH + _GROUP_SQL + """SELECT group_id AS anchor_id, 'similar:' || string_agg(instance_id::VARCHAR, '-' ORDER BY instance_id) AS anchor, count(*)::BIGINT AS n_members
+    FROM mem GROUP BY group_id"""
+)
+def similar_anchors(spark, sf_dir):
+    _, members = _groups(spark, sf_dir)
+    return matching.similar_anchor(members.select(F.col("group_id").alias("anchor_id"), F.col("instance_id").alias("asset_id")))
+
+
+_PAIRS = """, pr AS (SELECT a.instance_id AS a, b.instance_id AS b FROM mem a JOIN mem b ON a.group_id = b.group_id AND a.instance_id < b.instance_id)"""
+
+
+@query(
+    WITH + _GROUP_SQL + _PAIRS + """SELECT a, b, 'fresh' AS kind, NULL::DOUBLE AS similarity FROM pr WHERE a % 3 = 0 OR b % 3 = 0
+    UNION ALL SELECT a, b, 'reused' AS kind, (a % 10)::DOUBLE / 10 AS similarity FROM pr WHERE a % 3 <> 0 AND b % 3 <> 0 AND a % 2 = 0"""
+)
+def incremental_pairs_split(spark, sf_dir):
+    _, members = _groups(spark, sf_dir)
+    pairs = matching.cached_pairs(members.select("group_id", F.col("instance_id").alias("content_asset_id")))
+    new = members.filter("instance_id % 3 = 0").select(F.col("instance_id").alias("asset_id")).distinct()
+    cached = pairs.filter("a % 2 = 0").withColumn("similarity", (F.col("a") % 10).cast("double") / 10)
+    todo, reused = matching.incremental_pairs(pairs, new, cached)
+    none = F.lit(None).cast("double").alias("similarity")
+    return todo.select("a", "b", F.lit("fresh").alias("kind"), none).unionByName(reused.withColumn("kind", F.lit("reused")))
+
+
+@query(
+    WITH + _GROUP_SQL + """SELECT g.group_id AS id, g.status, g.n_members, rec.current_path AS recommended_path FROM grp g
+    LEFT JOIN rec ON rec.instance_id = CASE WHEN g.group_id % 2 = 0 THEN g.group_id END"""
+)
+def list_groups_recommended(spark, sf_dir):
+    groups, members = _groups(spark, sf_dir)
+    best = F.when(F.col("group_id") % 2 == 0, F.col("group_id")).alias("recommended_keep_instance_id")
+    headers = groups.select(F.col("group_id").alias("id"), "status", "updated_at", best)
+    files = library.active_records(spark, sf_dir).withColumnRenamed("instance_id", "id")
+    return review.list_groups(headers, members, instances=files).select("id", "status", "n_members", "recommended_path")
+
+
+@query("WITH " + _SIGNATURES + "SELECT asset_id, min(asset_id) OVER (PARTITION BY phash, dhash) AS rep FROM sig")
+def hash_class_members(spark, sf_dir):
+    return matching.hash_classes(library.signatures(spark, sf_dir)).select("asset_id", "rep")
+
+
+@query(
+    WITH + _GROUP_SQL + """SELECT coalesce(CASE WHEN status = 'applied' AND group_id % 5 <> 0 THEN 'archived' END, CASE WHEN group_id % 5 <> 0 THEN 'replaced' END,
+      CASE WHEN status = 'applied' THEN 'kept' ELSE 'dropped' END) AS fate, count(*)::BIGINT AS n_groups, sum(n_members)::BIGINT AS n_members FROM grp GROUP BY ALL"""
+)
+def recompute_fates(spark, sf_dir):
+    """What becomes of known groups when the drafts of four fifths of them are found again."""
+    groups, members = _groups(spark, sf_dir)
+    drafts = matching.exact_drafts(library.active_records(spark, sf_dir)).filter("asset_id % 5 != 0")
+    anchor = F.concat(F.lit("exact:"), F.col("group_id").cast("string"))
+    none = F.lit(None).cast("long").alias("recommended_keep_instance_id")
+    headers = groups.select(F.col("group_id").alias("id"), anchor.alias("anchor"), "kind", "status", none)
+    held = members.select("group_id", F.col("instance_id").alias("file_instance_id"), F.col("asset_id").alias("content_asset_id"), F.lit(1.0).alias("similarity"), "role")
+    out, kept = matching.recompute(drafts, headers, held, None, "t1")
+    sizes = kept.groupBy(F.col("group_id").alias("id")).agg(F.count(F.lit(1)).alias("after"))
+    before = held.groupBy(F.col("group_id").alias("id")).agg(F.count(F.lit(1)).alias("before"))
+    joined = headers.select("id").join(out.join(sizes, "id", "left"), "id", "left").join(before, "id")
+    fate = F.when(F.col("anchor").isNull(), "dropped").when(F.col("anchor").contains("#applied"), "archived").when(F.col("recommended_keep_instance_id").isNotNull(), "replaced").otherwise("kept")
+    return joined.groupBy(fate.alias("fate")).agg(F.count(F.lit(1)).alias("n_groups"), F.sum(F.coalesce("after", "before")).alias("n_members"))
+
+
 # ---------------------------------------------------------------- generic listing at scale
 
 
