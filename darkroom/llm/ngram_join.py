@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.llm.common import Membership, cut_lineage, keyed, map_arrow, membership, release, sweep, texts_of, without
+from darkroom.llm.common import Membership, cut_lineage, keyed, map_arrow, membership, release, slices, sweep, texts_of, without
 from darkroom.llm.links import SKETCH, jaccard, link, long_sketch, most_apart, parity_sketch, shared_keys
 from darkroom.llm.shingles import mix, shingle_set, signed, word_hashes
 
@@ -78,7 +78,7 @@ def set_rows(docs: DataFrame, length: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             sizes, ids, keys, longs = [], [], [], []
             sketches = np.zeros((batch.num_rows, len(SKETCH)), dtype=np.int64)
             for row, shingles in enumerate(_each(batch, length)):
@@ -155,7 +155,7 @@ def _sets(docs: DataFrame, rows: DataFrame, length: int, wanted: Membership) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             some = texts.value(batch.column("text_id").to_numpy(zero_copy_only=False))
             batch = batch.filter(pa.array(some))
             ids, values = [], []
@@ -221,3 +221,25 @@ def _components(docs: DataFrame, length: int, percent: int) -> DataFrame:
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("of"))
     least = cut_lineage(least.filter("component IS NOT NULL AND of > 1").drop("of"))
     return named.join(least, "component", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+
+
+#: The same by brute force: all pairs that share a shingle, and everything reachable by links.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w
+), g AS (
+  SELECT doc_id, unnest(s) AS g FROM s
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * n >= 90 * (len(x.s) + len(y.s) - n)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM s UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON edges.a = reach.other
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, (SELECT min(other) FROM reach r WHERE r.doc_id = s.doc_id) AS component_id FROM s
+"""

@@ -198,3 +198,51 @@ def quality_rules(
         & (F.coalesce("class_distance", F.lit(0.0)) <= max_class_distance)
         & (F.coalesce("word_distance", F.lit(0.0)) <= max_word_distance),
     )
+
+
+def _distance_sql(p: str, q: str) -> str:
+    total = "list_sum({0})::DOUBLE"
+    return f"""sqrt(greatest(0, 0.5 * list_sum(list_transform(range(1, len({p}) + 1), lambda i:
+      CASE WHEN {p}[i] > 0 THEN {p}[i] / {total.format(p)} * log2(2 * ({p}[i] / {total.format(p)}) / ({p}[i] / {total.format(p)} + {q}[i] / {total.format(q)})) ELSE 0 END +
+      CASE WHEN {q}[i] > 0 THEN {q}[i] / {total.format(q)} * log2(2 * ({q}[i] / {total.format(q)}) / ({p}[i] / {total.format(p)} + {q}[i] / {total.format(q)})) ELSE 0 END))))"""
+
+
+def _oracle() -> str:
+    """The query's SQL: counts, summed references of the languages, and the least distances."""
+    stages, rest = [], "t"
+    for k, (_, pattern) in enumerate(CHARACTER_CLASSES):
+        stages.append(f"r{k} AS (SELECT *, regexp_replace({rest}, '{pattern.replace(chr(39), chr(39) * 2)}', '', 'g') AS x{k} FROM {'base' if k == 0 else f'r{k - 1}'})")
+        rest = f"x{k}"
+    texts = ["t", *(f"x{k}" for k in range(len(CHARACTER_CLASSES)))]
+    classes = ", ".join(f"length({a}) - length({b})" for a, b in zip(texts, texts[1:]))
+    commons = ", ".join(f"len(list_filter(words, lambda w: lower(w) = '{c}'))" for c in COMMON_WORDS)
+    n_classes, n_commons = len(CHARACTER_CLASSES) + 1, len(COMMON_WORDS) + 1
+    sums = lambda column, n: "[" + ", ".join(f"sum({column}[{i}])" for i in range(1, n + 1)) + "]"
+    return rf"""
+WITH base AS (
+  SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM documents
+), grams AS (
+  SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM base)
+), again AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM grams SEMI JOIN
+    (SELECT doc_id, g FROM grams GROUP BY ALL HAVING count(*) > 1) d ON d.doc_id = grams.doc_id AND d.g = grams.g) GROUP BY doc_id
+), {", ".join(stages)}, counted AS (
+  SELECT doc_id, lang, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
+    (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(again.n, 0)::BIGINT AS n_repeat_words, [{classes}, length({rest})] AS k, [{commons}] AS c FROM {f"r{len(CHARACTER_CLASSES) - 1}"} LEFT JOIN again USING (doc_id)
+), judged AS (
+  SELECT *, list_append(c, n_words - list_sum(c)) AS w, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
+), refs AS (
+  SELECT lang, {sums("k", n_classes)} AS k, {sums("w", n_commons)} AS w FROM judged WHERE NOT base_failed GROUP BY lang
+  HAVING lang IS NOT NULL AND count(*) >= greatest(5, 0.01 * (SELECT count(*) FROM judged WHERE NOT base_failed))
+), near AS (
+  SELECT j.doc_id, min({_distance_sql("j.k", "r.k")}) AS class_distance, min({_distance_sql("j.w", "r.w")}) AS word_distance
+  FROM judged j CROSS JOIN refs r WHERE NOT j.base_failed AND (j.lang IS NULL OR j.lang IN (SELECT lang FROM refs)) GROUP BY j.doc_id
+)
+SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance,
+  NOT base_failed AND coalesce(class_distance, 0) <= 0.30 AND coalesce(word_distance, 0) <= 0.62 AS kept FROM judged j LEFT JOIN near USING (doc_id)
+"""
+
+
+ORACLE = _oracle()

@@ -12,9 +12,11 @@ from darkroom.llm.embedding_dedup import near_duplicates
 from darkroom.llm.language import identify
 from darkroom.llm.line_dedup import ORACLE as LINE_DEDUP_SQL
 from darkroom.llm.line_dedup import dedup_lines
+from darkroom.llm.ngram_join import ORACLE as NGRAM_JOIN_SQL
 from darkroom.llm.ngram_join import jaccard_components
 from darkroom.llm.packing import pack
 from darkroom.llm.paragraph_dedup import repeated_passages
+from darkroom.llm.quality_rules import ORACLE as QUALITY_RULES_SQL
 from darkroom.llm.quality_rules import quality_rules
 from darkroom.llm.token_counts import count_tokens
 from darkroom.llm.toxicity import toxicity
@@ -77,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": LINE_DEDUP_SQL}
+    return {"op8_quality_rules": QUALITY_RULES_SQL, "op9_line_dedup": LINE_DEDUP_SQL, "op10_ngram_join": NGRAM_JOIN_SQL}
