@@ -1,7 +1,9 @@
-"""Pixel functions in numpy: decode PNG, resize, perceptual hashes, quality."""
+"""Pixel functions in numpy: decode, resize, perceptual hashes, quality."""
 
 from __future__ import annotations
 
+import io
+import os
 import struct
 import zlib
 
@@ -9,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from darkroom.functions.jpeg import decode_jpeg, encode_jpeg
 from darkroom.schema import PHASH_EDGE, SIMILARITY_EDGE, THUMB_EDGE
 
 LUMA = np.array([0.299, 0.587, 0.114])
@@ -51,21 +54,34 @@ def decode_png(data: bytes) -> np.ndarray:
 def _unfilter(kind: int, row: np.ndarray, up: np.ndarray, step: int) -> np.ndarray:
     if kind == 0:
         return row
+    if kind == 1:
+        return row.reshape(-1, step).cumsum(axis=0).ravel() & 255
     if kind == 2:
         return (row + up) & 255
-    out = row.copy()
-    for i in range(len(row)):
-        left = out[i - step] if i >= step else 0
-        corner = up[i - step] if i >= step else 0
-        if kind == 1:
-            guess = left
-        elif kind == 3:
-            guess = (left + up[i]) // 2
+    out, above = [0] * step + row.tolist(), [0] * step + up.tolist()
+    for i in range(step, len(out)):
+        left, over, corner = out[i - step], above[i], above[i - step]
+        if kind == 3:
+            guess = (left + over) // 2
         else:
-            base = left + up[i] - corner
-            guess = min((abs(base - left), 0, left), (abs(base - up[i]), 1, up[i]), (abs(base - corner), 2, corner))[2]
-        out[i] = (row[i] + guess) & 255
-    return out
+            base = left + over - corner
+            a, b, c = abs(base - left), abs(base - over), abs(base - corner)
+            guess = left if a <= b and a <= c else over if b <= c else corner
+        out[i] = (out[i] + guess) & 255
+    return np.array(out[step:], dtype=np.int64)
+
+
+def decode(data: bytes) -> np.ndarray:
+    """Grey values 0 to 255 of an 8-bit PNG or sequential JPEG, or of what an installed Pillow reads; else ValueError."""
+    try:
+        return decode_png(data) if data.startswith(b"\x89PNG") else decode_jpeg(data)
+    except ValueError as error:
+        try:
+            from PIL import Image
+        except ImportError:
+            raise error from None
+    with Image.open(io.BytesIO(data)) as image:
+        return np.asarray(image.convert("RGB"), dtype=float) @ LUMA
 
 
 def resize(grey: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -151,15 +167,39 @@ def features(files: DataFrame) -> DataFrame:
             rows = []
             for path, sha, content in zip(batch.path, batch.sha256, batch.content):
                 try:
-                    grey = decode_png(bytes(content))
+                    grey = decode(bytes(content))
                     buffer = similarity_buffer(grey)
                     height, width = grey.shape
                     rows.append((path, sha, width, height, perceptual_hash(grey), difference_hash(grey),
-                                 quality(buffer, width, height), (buffer / 255).ravel().tolist(), encode_png(thumbnail(grey)), None))
-                except (ValueError, zlib.error, struct.error) as error:  # one bad file does not stop the rest
+                                 quality(buffer, width, height), (buffer / 255).ravel().tolist(), encode_jpeg(thumbnail(grey)), None))
+                except (ValueError, IndexError, OSError, zlib.error, struct.error) as error:  # one bad file does not stop the rest
                     rows.append((path, sha, None, None, None, None, None, None, None, str(error)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in FEATURES.split(", ")]).astype(
                 {"width": "Int32", "height": "Int32", "phash": "Int64", "dhash": "Int64"}
             )
 
     return files.select("path", "sha256", "content").mapInPandas(run, FEATURES)
+
+
+def thumbnail_files(found: DataFrame, folder: str) -> DataFrame:
+    """(sha256, thumbnail_path): the thumbnails of :func:`features` as ``{sha256}.jpg`` below ``folder``.
+
+    The folder is one that all executors share.  A file appears whole or not at all, and one that is
+    there already is left, so that a task may run twice.
+    """
+
+    def run(batches):
+        for batch in batches:
+            paths = []
+            for sha, data in zip(batch.sha256, batch.thumbnail):
+                path = os.path.join(folder, f"{sha}.jpg")
+                if not os.path.exists(path):
+                    own = f"{path}.{os.getpid()}"
+                    with open(own, "wb") as file:
+                        file.write(bytes(data))
+                    os.replace(own, path)
+                paths.append(path)
+            yield pd.DataFrame({"sha256": batch.sha256, "thumbnail_path": paths})
+
+    wanted = found.filter("thumbnail IS NOT NULL").select("sha256", "thumbnail").dropDuplicates(["sha256"])
+    return wanted.mapInPandas(run, "sha256 string, thumbnail_path string")

@@ -1,0 +1,236 @@
+"""Grey values of sequential JPEG files, and grey JPEG files, in numpy."""
+
+from __future__ import annotations
+
+import struct
+
+import numpy as np
+
+#: Where the k-th coefficient of a block stands: diagonals from the first, in turns up and down.
+ZIGZAG = np.array(
+    sorted(range(64), key=lambda p: (p // 8 + p % 8, (p // 8 if (p // 8 + p % 8) % 2 else p % 8))), dtype=np.int64
+)
+_K = np.arange(8)
+_BASIS = np.cos(np.pi * (2 * _K[None] + 1) * _K[:, None] / 16) * np.where(_K[:, None] == 0, np.sqrt(1 / 8), 0.5)
+
+
+class _Bits:
+    """Bits of entropy-coded data, whose stuffed zeros are gone; ones follow the end."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.held, self.n = data.replace(b"\xff\x00", b"\xff"), 0, 0, 0
+
+    def peek(self, n: int) -> int:
+        while self.n < n:
+            byte = self.data[self.at] if self.at < len(self.data) else 255
+            self.at += 1
+            if self.at > len(self.data) + 64:
+                raise ValueError("JPEG ends early")
+            self.held = (self.held << 8 | byte) & 0xFFFFFFFF
+            self.n += 8
+        return self.held >> (self.n - n) & ((1 << n) - 1)
+
+    def take(self, n: int) -> int:
+        value = self.peek(n) if n else 0
+        self.n -= n
+        return value
+
+
+def _signed(value: int, size: int) -> int:
+    return value if not size or value >> (size - 1) else value - (1 << size) + 1
+
+
+def _table(counts: bytes, symbols: bytes) -> list[tuple[int, int]]:
+    """(length, symbol) by the next 16 bits; length 0 for no code."""
+    out = [(0, 0)] * (1 << 16)
+    code, at = 0, 0
+    for length, count in enumerate(counts, 1):
+        for symbol in symbols[at : at + count]:
+            low = code << (16 - length)
+            out[low : low + (1 << (16 - length))] = [(length, symbol)] * (1 << (16 - length))
+            code += 1
+        at += count
+        code <<= 1
+    if len(out) != 1 << 16:
+        raise ValueError("bad Huffman table")
+    return out
+
+
+def _symbol(bits: _Bits, table: list[tuple[int, int]]) -> int:
+    length, symbol = table[bits.peek(16)]
+    if not length:
+        raise ValueError("bad Huffman code")
+    bits.n -= length
+    return symbol
+
+
+def _block(bits: _Bits, dc: list, ac: list, last: int, out: list[int] | None) -> int:
+    """Read one block, into ``out`` if it is wanted; returns its first coefficient."""
+    size = _symbol(bits, dc)
+    first = last + _signed(bits.take(size), size)
+    if out is not None:
+        out[0] = first
+    k = 1
+    while k < 64:
+        symbol = _symbol(bits, ac)
+        run, size = symbol >> 4, symbol & 15
+        if not size:
+            if run < 15:
+                break
+            k += 16
+            continue
+        k += run
+        value = _signed(bits.take(size), size)
+        if k > 63:
+            raise ValueError("bad JPEG block")
+        if out is not None:
+            out[k] = value
+        k += 1
+    return first
+
+
+def decode_jpeg(data: bytes) -> np.ndarray:
+    """Luma, 0 to 255, of an 8-bit sequential JPEG; ValueError for other content."""
+    if not data.startswith(b"\xff\xd8"):
+        raise ValueError("not a JPEG")
+    at, quants, tables, frame, interval = 2, {}, {}, None, 0
+    while at + 4 <= len(data):
+        if data[at] != 255:
+            raise ValueError("bad JPEG marker")
+        kind = data[at + 1]
+        if kind == 255:
+            at += 1
+            continue
+        (size,) = struct.unpack(">H", data[at + 2 : at + 4])
+        body = data[at + 4 : at + 2 + size]
+        at += 2 + size
+        if kind == 0xDB:
+            while body:
+                wide = body[0] >> 4
+                values = np.frombuffer(body[1 : 1 + 64 * (1 + wide)], dtype=">u2" if wide else np.uint8)
+                quants[body[0] & 15], body = values.astype(np.float64), body[1 + 64 * (1 + wide) :]
+        elif kind == 0xC4:
+            while body:
+                n = sum(body[1:17])
+                tables[body[0]], body = _table(body[1:17], body[17 : 17 + n]), body[17 + n :]
+        elif kind in (0xC0, 0xC1):
+            if body[0] != 8:
+                raise ValueError("unsupported JPEG")
+            height, width, n = struct.unpack(">HHB", body[1:6])
+            frame = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
+        elif 0xC2 <= kind <= 0xCF and kind != 0xC8 and kind != 0xCC:
+            raise ValueError("unsupported JPEG")
+        elif kind == 0xDD:
+            (interval,) = struct.unpack(">H", body[:2])
+        elif kind == 0xDA:
+            if frame is None or not height or not width or body[0] != len(frame) or any(h == 0 or v == 0 for _, h, v, _ in frame):
+                raise ValueError("unsupported JPEG")
+            chosen = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
+            return _scan(data[at:], frame, chosen, quants, tables, interval, height, width)
+    raise ValueError("JPEG without an image")
+
+
+def _scan(data: bytes, frame, chosen, quants, tables, interval: int, height: int, width: int) -> np.ndarray:
+    wide, high = max(f[1] for f in frame), max(f[2] for f in frame)
+    if len(frame) == 1:  # one component is not interleaved, whatever its factors
+        frame, wide, high = [(frame[0][0], 1, 1, frame[0][3])], 1, 1
+    across, down = -(-width // (8 * wide)), -(-height // (8 * high))
+    _, h, v, quant = frame[0]
+    blocks = np.zeros((down * v, across * h, 64), dtype=np.float64)
+    pieces = _pieces(data)
+    bits, last = _Bits(next(pieces)), [0] * len(frame)
+    for unit in range(across * down):
+        if interval and unit and unit % interval == 0:
+            bits, last = _Bits(next(pieces, b"")), [0] * len(frame)
+        row, column = divmod(unit, across)
+        for number, (name, ch, cv, _) in enumerate(frame):
+            dc, ac = (tables.get(t) for t in (chosen.get(name, 0) >> 4, 16 | chosen.get(name, 0) & 15))
+            if dc is None or ac is None:
+                raise ValueError("JPEG without a Huffman table")
+            for part in range(ch * cv):
+                out = [0] * 64 if number == 0 else None
+                last[number] = _block(bits, dc, ac, last[number], out)
+                if out is not None:
+                    blocks[row * v + part // ch, column * h + part % ch] = out
+    if quant not in quants:
+        raise ValueError("JPEG without a quantisation table")
+    plain = np.zeros_like(blocks)
+    plain[:, :, ZIGZAG] = blocks * quants[quant]
+    pixels = _BASIS.T @ plain.reshape(*plain.shape[:2], 8, 8) @ _BASIS
+    grey = np.clip(pixels.transpose(0, 2, 1, 3).reshape(down * v * 8, across * h * 8) + 128, 0, 255)
+    if (h, v) != (wide, high):  # luma of a lower resolution
+        grey = np.repeat(np.repeat(grey, high // v, axis=0), wide // h, axis=1)
+    return grey[:height, :width]
+
+
+def _pieces(data: bytes):
+    """Entropy-coded data up to each restart marker, the last up to another marker."""
+    start = at = 0
+    while True:
+        at = data.find(b"\xff", at)
+        if at < 0 or at + 1 >= len(data):
+            yield data[start:]
+            return
+        kind = data[at + 1]
+        if kind == 0 or kind == 255:
+            at += 2 if kind == 0 else 1
+        elif 0xD0 <= kind <= 0xD7:
+            yield data[start:at]
+            start = at = at + 2
+        else:
+            yield data[start:at]
+            return
+
+
+def encode_jpeg(grey: np.ndarray, quality: int = 85) -> bytes:
+    """Grey sequential JPEG.  Steps grow with the frequency; all codes of a table have one length."""
+    height, width = grey.shape
+    down, across = -(-height // 8), -(-width // 8)
+    padded = np.pad(np.asarray(grey, dtype=np.float64), ((0, down * 8 - height), (0, across * 8 - width)), mode="edge")
+    blocks = padded.reshape(down, 8, across, 8).transpose(0, 2, 1, 3).reshape(-1, 8, 8) - 128
+    steps = np.clip(np.round((16 + 6 * (_K[:, None] + _K[None])) * (100 - quality) / 50), 1, 255).ravel()[ZIGZAG]
+    found = (_BASIS @ blocks @ _BASIS.T).reshape(-1, 64)[:, ZIGZAG]
+    values = np.clip(np.round(found / steps), -1023, 1023).astype(np.int64)
+    dc = list(range(12))
+    ac = [0x00, 0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))]
+    code = {symbol: (i, 8) for i, symbol in enumerate(ac)}
+    bits: list[str] = []
+
+    def number(value: int, size: int) -> str:
+        return format(value if value > 0 else value + (1 << size) - 1, f"0{size}b") if size else ""
+
+    last = 0
+    for block in values.tolist():
+        size = abs(block[0] - last).bit_length()
+        bits.append(format(size, "04b") + number(block[0] - last, size))
+        last, run = block[0], 0
+        for value in block[1:]:
+            if not value:
+                run += 1
+                continue
+            while run > 15:
+                bits.append(format(code[0xF0][0], "08b"))
+                run -= 16
+            size = abs(value).bit_length()
+            bits.append(format(code[run << 4 | size][0], "08b") + number(value, size))
+            run = 0
+        if run:
+            bits.append(format(code[0x00][0], "08b"))
+    whole = "".join(bits)
+    whole += "1" * (-len(whole) % 8)
+    coded = int(whole, 2).to_bytes(len(whole) // 8, "big").replace(b"\xff", b"\xff\x00")
+    segment = lambda kind, body: bytes([255, kind]) + struct.pack(">H", len(body) + 2) + body
+    lengths = lambda length, n: bytes(n if i == length else 0 for i in range(1, 17))
+    return b"".join(
+        [
+            b"\xff\xd8",
+            segment(0xE0, b"JFIF\0\x01\x01\0\0\x01\0\x01\0\0"),
+            segment(0xDB, b"\0" + steps.astype(np.uint8).tobytes()),
+            segment(0xC0, struct.pack(">BHHB", 8, height, width, 1) + b"\x01\x11\0"),
+            segment(0xC4, b"\0" + lengths(4, 12) + bytes(dc)),
+            segment(0xC4, b"\x10" + lengths(8, len(ac)) + bytes(ac)),
+            segment(0xDA, b"\x01\x01\0\0\x3f\0"),
+            coded,
+            b"\xff\xd9",
+        ]
+    )

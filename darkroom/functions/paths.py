@@ -109,3 +109,8 @@ def text_filter(query: str, *columns: Column) -> Column:
 def ids_from_json(column: Column) -> Column:
     """Array of ids; [] for what is no such array."""
     return F.coalesce(F.from_json(column, "array<bigint>"), F.array().cast("array<bigint>"))
+
+
+def ids_to_json(column: Column) -> Column:
+    """JSON text of an array of ids; that of none for null."""
+    return F.to_json(F.coalesce(column, F.array().cast("array<bigint>")))

@@ -249,7 +249,13 @@ def rank_model_scores(spark, sf_dir):
     return out.select("set_id", "asset_id", F.round("score", 6).alias("score"), "rank_position")
 
 
-@query()
+@query(
+    "WITH " + _SIGNATURES + """, hx AS (SELECT asset_id, printf('%016x', phash) AS p, printf('%016x', dhash) AS d FROM sig)
+    SELECT asset_id, list_concat(list_transform(range(0, 16), lambda i: ((('0x' || p[i // 4 + 1])::INT >> (3 - i % 4)) & 1)::FLOAT),
+      list_transform(range(0, 12), lambda i: ((('0x' || d[i // 4 + 1])::INT >> (3 - i % 4)) & 1)::FLOAT),
+      [((n_chars % 101)::DOUBLE / 100)::FLOAT, (ln(1.8) / ln(51))::FLOAT, 0::FLOAT, 0::FLOAT]) AS embedding
+    FROM hx JOIN documents ON doc_id = asset_id"""
+)
 def stub_embeddings(spark, sf_dir):
     found = library.signatures(spark, sf_dir)
     return found.select(
@@ -580,6 +586,22 @@ def classify_sort_pages(spark, sf_dir):
     return out
 
 
+@query(
+    WITH + _GROUP_SQL + f", lst AS ({_LIVE}) "
+    + " UNION ALL ".join(f"(SELECT '{n}' AS sort, instance_id FROM lst ORDER BY {c} LIMIT 7 OFFSET 20)" for n, c in _ORDERS.items() if n != "path_asc")
+)
+def classify_pages_after(spark, sf_dir):
+    """The page behind the twentieth row under the orders of the listing, found by that row's values."""
+    rows = _rows(spark, sf_dir, Filter())[0]
+    out = None
+    for name, columns in classify.SORTS.items():
+        if name != "path_asc":
+            last = classify.page(rows, name, 19, 1).first().asDict()  # one row
+            shown = classify.page_after(rows, name, {c: last[c] for c, _ in columns}, 7).select(F.lit(name).alias("sort"), "instance_id")
+            out = shown if out is None else out.unionAll(shown)
+    return out
+
+
 @query(WITH + "SELECT count(*)::BIGINT AS total FROM rec WHERE instance_id % 13 <> 0 AND instance_id % 11 <> 0")
 def classify_without_predictions(spark, sf_dir):
     """The listing where nothing was ever predicted: no file has a prediction."""

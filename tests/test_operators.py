@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import itertools
+import struct
+import zlib
 from datetime import datetime
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from darkroom.functions import hashing, imaging, paths
-from darkroom.functions.vectors import ssim
+from darkroom.functions import hashing, imaging, jpeg, paths
+from darkroom.functions.vectors import from_bytes, ssim, to_bytes
 from darkroom.operators import graph, ingest, jobs, learning, matching, order, ranking, ratings, review
 from darkroom.schema import schema
 from darkroom.sources import files
@@ -295,6 +297,50 @@ def test_image_features(spark, tmp_path):
     assert pair.select(ssim(F.col("x"), F.col("y"))).first()[0] == pytest.approx(1.0)
 
 
+def test_jpeg(spark, tmp_path):
+    y, x = np.mgrid[0:41, 0:67]
+    grey = np.clip(128 + 70 * np.sin(x / 9) + 40 * np.cos(y / 7), 0, 255)
+    data = jpeg.encode_jpeg(grey, 95)
+    assert jpeg.decode_jpeg(data).shape == (41, 67) and np.abs(jpeg.decode_jpeg(data) - grey).mean() < 2
+    assert jpeg.ZIGZAG[:10].tolist() == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24] and sorted(jpeg.ZIGZAG) == list(range(64))
+    for bad in (b"", b"no image", data[:40], b"\xff\xd8\xff\xc2\x00\x04\x08\x00"):
+        with pytest.raises(ValueError):
+            jpeg.decode_jpeg(bad)
+    (tmp_path / "a.jpg").write_bytes(data)
+    (tmp_path / "b.png").write_bytes(imaging.encode_png(grey))
+    found = imaging.features(files.contents(spark, [str(tmp_path)]))
+    got = {r.path.rsplit("/", 1)[1]: r for r in found.collect()}
+    assert bin(got["a.jpg"].phash ^ got["b.png"].phash).count("1") <= 6 and got["a.jpg"].width == 67
+    assert all(jpeg.decode_jpeg(bytes(r.thumbnail)).shape == (41, 67) for r in got.values())
+    folder = tmp_path / "thumbs"
+    folder.mkdir()
+    for _ in range(2):
+        named = {r.sha256: r.thumbnail_path for r in imaging.thumbnail_files(found, str(folder)).collect()}
+    assert sorted(p.name for p in folder.iterdir()) == sorted(f"{s}.jpg" for s in named) and len(named) == 2
+
+
+@pytest.mark.parametrize("channels", [1, 3])
+def test_png_filters(channels):
+    """Each filter of PNG rows undone, against filters applied by their definition."""
+    rng = np.random.default_rng(channels)
+    rows_ = rng.integers(0, 256, (5, 7 * channels))
+    packed = b""
+    for kind, row in enumerate(rows_):
+        up = rows_[kind - 1] if kind else np.zeros_like(row)
+        out = []
+        for i, value in enumerate(row):
+            left, over = (row[i - channels] if i >= channels else 0), up[i]
+            corner = up[i - channels] if i >= channels else 0
+            paeth = min((left, over, corner), key=lambda g: abs(left + over - corner - g))
+            out.append((value - (0, left, over, (left + over) // 2, paeth)[kind]) % 256)
+        packed += bytes([kind, *out])
+    chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    head = struct.pack(">IIBBBBB", 7, 5, 8, {1: 0, 3: 2}[channels], 0, 0, 0)
+    data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(packed)) + chunk(b"IEND", b"")
+    want = rows_.reshape(5, 7, channels).astype(float)
+    assert np.allclose(imaging.decode(data), want[:, :, 0] if channels == 1 else want @ imaging.LUMA)
+
+
 def test_scan_states(spark, tmp_path):
     """New files, a rescan without changes, a same-volume move, a disappearance."""
     manifest = lambda rows: spark.createDataFrame(
@@ -638,4 +684,9 @@ def test_text_and_json(spark):
     frame = spark.createDataFrame([("Holiday in ROME", "[3, 1]"), ("work", None)], "p string, ids string")
     assert [r.p for r in frame.filter(paths.text_filter("rome", F.col("p"))).collect()] == ["Holiday in ROME"]
     got = [r[0] for r in frame.select(paths.ids_from_json(F.col("ids"))).collect()]
-    assert got[0] == [3, 1]
+    assert got == [[3, 1], []]
+    back = frame.select(paths.ids_to_json(paths.ids_from_json(F.col("ids")))).collect()
+    assert [r[0] for r in back] == ["[3,1]", "[]"]
+    vectors = spark.createDataFrame([([1.5, -2.0],), ([],), (None,)], "v array<float>")
+    packed = vectors.select("v", to_bytes("v").alias("b")).select("v", "b", from_bytes("b").alias("w")).collect()
+    assert bytes(packed[0].b) == struct.pack("<2f", 1.5, -2.0) and all(r.v == r.w for r in packed)
