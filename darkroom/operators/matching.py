@@ -11,7 +11,7 @@ from darkroom.functions.vectors import ssim
 from darkroom.operators.graph import components
 from darkroom.operators.ingest import numbered
 from darkroom.schema import DHASH_MAX_DISTANCE, MAX_CLIQUE, PHASH_MAX_DISTANCE, SIMILARITY_THRESHOLD
-from darkroom.sources.scratch import materialize
+from darkroom.sources.scratch import materialize, release
 
 
 def best_first(quality: Column, pixels: Column, path: Column) -> list[Column]:
@@ -144,19 +144,21 @@ def incremental_pairs(candidates: DataFrame, new_assets: DataFrame, cached: Data
     return tagged.filter(touched).select("a", "b"), tagged.filter(~touched).select("a", "b").join(cached, ["a", "b"])
 
 
-def greedy_cliques(pairs: DataFrame, nodes: DataFrame, most: int = MAX_CLIQUE) -> DataFrame:
+def greedy_cliques(pairs: DataFrame, nodes: DataFrame, most: int = MAX_CLIQUE, held_edges: int = 200_000) -> DataFrame:
     """Cover by cliques: (anchor_id, asset_id, similarity).
 
     Anchors come in order of quality, descending, then id.  An anchor takes its unused neighbours by
     similarity, descending, then id, each only if linked to all taken so far, up to ``most``
-    members.  Decisions never leave a connected component, so components are handled on their own.
-    A clique's member has the greatest similarity it has inside the clique.
+    members.  Decisions never leave a connected component: components of at most ``held_edges``
+    edges are covered in a task each, larger ones in rounds (see :func:`_covered_in_rounds`), with
+    equal results.  A clique's member has the greatest similarity it has inside the clique.
     """
     labels = components(pairs.select("a", "b"))
-    edges = pairs.join(labels.withColumnRenamed("v", "a"), "a")
     quality = nodes.select(F.col("asset_id").alias("a"), F.coalesce("quality", F.lit(0.0)).alias("qa"))
     other = quality.select(F.col("a").alias("b"), F.col("qa").alias("qb"))
-    edges = edges.join(quality, "a").join(other, "b").select("component", "a", "b", "similarity", "qa", "qb")
+    edges = pairs.join(labels.withColumnRenamed("v", "a"), "a").join(quality, "a").join(other, "b")
+    edges = materialize(edges.select("component", "a", "b", "similarity", "qa", "qb"))
+    large = materialize(edges.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > held_edges).select("component"))
 
     def cover(batch: pd.DataFrame) -> pd.DataFrame:
         score: dict[int, float] = {}
@@ -181,7 +183,49 @@ def greedy_cliques(pairs: DataFrame, nodes: DataFrame, most: int = MAX_CLIQUE) -
                 out += [(anchor, v, max(links[v][c] for c in clique if c != v)) for v in clique]
         return pd.DataFrame(out, columns=["anchor_id", "asset_id", "similarity"])
 
-    return edges.groupBy("component").applyInPandas(cover, "anchor_id long, asset_id long, similarity double")
+    small = edges.join(large, "component", "left_anti")
+    found = small.groupBy("component").applyInPandas(cover, "anchor_id long, asset_id long, similarity double")
+    rest = materialize(edges.join(large, "component", "left_semi"))
+    return found if rest.isEmpty() else found.unionByName(_covered_in_rounds(rest, most))
+
+
+def _covered_in_rounds(edges: DataFrame, most: int) -> DataFrame:
+    """The cover of :func:`greedy_cliques` of edges (a, b, similarity, qa, qb), without a task per component.
+
+    In each round those anchors choose that come before all vertices within two steps: nobody
+    could take their neighbours before them, and their cliques do not meet.  Members are added one
+    at a time, each a minimum over the neighbours that are linked to all members so far.
+    """
+    back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity", F.col("qb").alias("qa"), F.col("qa").alias("qb"))
+    live = materialize(edges.select("a", "b", "similarity", "qa", "qb").unionByName(back))
+    found = None
+    while not live.isEmpty():
+        own = F.struct((-F.col("qa")).alias("q"), F.col("a").alias("v"))
+        next_ = F.struct((-F.col("qb")).alias("q"), F.col("b").alias("v"))
+        near = materialize(live.groupBy("a").agg(F.min(F.least(own, next_)).alias("first")))
+        far = live.join(near.select(F.col("a").alias("b"), F.col("first").alias("beyond")), "b").groupBy("a").agg(F.min("beyond").alias("beyond"))
+        first = near.join(far, "a").withColumn("first", F.least("first", "beyond"))
+        anchors = materialize(first.filter(F.col("first.v") == F.col("a")).select(F.col("a").alias("anchor_id")))
+        members = anchors.select("anchor_id", F.col("anchor_id").alias("asset_id"))
+        around = live.select(F.col("a").alias("anchor_id"), F.col("b").alias("v"), "similarity")
+        around = materialize(around.join(anchors, "anchor_id"))  # a vertex is near one anchor only
+        for _ in range(most - 1):
+            best = around.groupBy("anchor_id").agg(F.min_by("v", F.struct(-F.col("similarity"), "v")).alias("asset_id"))
+            best = materialize(best)
+            members = members.unionByName(best)
+            linked = live.select(F.col("a").alias("asset_id"), F.col("b").alias("v"))
+            around = materialize(around.join(best, "anchor_id").join(linked, ["asset_id", "v"], "left_semi").drop("asset_id"))
+        members = materialize(members)
+        inside = live.join(members.select(F.col("asset_id").alias("a"), "anchor_id"), "a")
+        inside = inside.join(members.select(F.col("asset_id").alias("b"), "anchor_id"), ["b", "anchor_id"])
+        chosen = materialize(inside.groupBy("anchor_id", F.col("a").alias("asset_id")).agg(F.max("similarity").alias("similarity")))
+        found = chosen if found is None else found.unionByName(chosen)
+        gone = materialize(members.select(F.col("asset_id").alias("a")).distinct())
+        last = live
+        live = live.join(gone, "a", "left_anti").join(gone.withColumnRenamed("a", "b"), "b", "left_anti")
+        live = materialize(live.select("a", "b", "similarity", "qa", "qb"))
+        release(last, near, around)
+    return found
 
 
 def similar_anchor(cliques: DataFrame) -> DataFrame:

@@ -117,6 +117,16 @@ def test_cliques_of_long_chains(spark):
     assert cliques(spark, edges, quality) == sorted(want)
 
 
+def test_cliques_of_large_components_in_rounds(spark):
+    rng = np.random.default_rng(17)
+    pairs = {(int(min(p)), int(max(p))) for p in rng.integers(0, 24, (60, 2)) if p[0] != p[1]}
+    edges = [(a, b, 0.97 + int(rng.integers(0, 4)) / 100) for a, b in sorted(pairs)]
+    frame = spark.createDataFrame(edges, "a long, b long, similarity double")
+    nodes = spark.createDataFrame([(i, float(rng.integers(0, 5))) for i in range(24)], "asset_id long, quality double")
+    whole = rows(matching.greedy_cliques(frame, nodes), "anchor_id", "asset_id", "similarity")
+    assert rows(matching.greedy_cliques(frame, nodes, held_edges=0), "anchor_id", "asset_id", "similarity") == whole and len(whole) > 8
+
+
 def test_raw_pairs(spark):
     rows = spark.createDataFrame([("d/x.rw2",), ("d/x.jpg",), ("e/x.jpg",), ("d/x.mp4",)], "path string")
     ext = paths.extension(F.col("path"))
