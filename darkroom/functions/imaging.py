@@ -26,8 +26,9 @@ def encode_png(grey: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
-def decode_png(data: bytes) -> np.ndarray:
-    """Grey values 0 to 255 of an 8-bit PNG without interlace; ValueError for other content."""
+def decode_png(data: bytes, colour: bool = False) -> np.ndarray:
+    """Grey values 0 to 255 of an 8-bit PNG without interlace, or with ``colour`` its red, green and blue;
+    ValueError for other content."""
     if not data.startswith(b"\x89PNG\r\n\x1a\n"):
         raise ValueError("not a PNG")
     at, packed, head = 8, b"", None
@@ -48,6 +49,8 @@ def decode_png(data: bytes) -> np.ndarray:
     for y in range(height):
         out[y] = _unfilter(rows[y, 0], rows[y, 1:].astype(np.int64), out[y - 1] if y else np.zeros(width * channels, np.int64), channels)
     pixels = out.reshape(height, width, channels).astype(float)
+    if colour:
+        return pixels[:, :, :3] if channels > 2 else np.repeat(pixels[:, :, :1], 3, axis=2)
     return pixels[:, :, 0] if channels < 3 else pixels[:, :, :3] @ LUMA
 
 
@@ -71,17 +74,19 @@ def _unfilter(kind: int, row: np.ndarray, up: np.ndarray, step: int) -> np.ndarr
     return np.array(out[step:], dtype=np.int64)
 
 
-def decode(data: bytes) -> np.ndarray:
-    """Grey values 0 to 255 of an 8-bit PNG or sequential JPEG, or of what an installed Pillow reads; else ValueError."""
+def decode(data: bytes, colour: bool = False) -> np.ndarray:
+    """Grey values 0 to 255, or with ``colour`` red, green and blue, of an 8-bit PNG or sequential JPEG, or of
+    what an installed Pillow reads; else ValueError."""
     try:
-        return decode_png(data) if data.startswith(b"\x89PNG") else decode_jpeg(data)
+        return decode_png(data, colour) if data.startswith(b"\x89PNG") else decode_jpeg(data, colour)
     except ValueError as error:
         try:
             from PIL import Image
         except ImportError:
             raise error from None
     with Image.open(io.BytesIO(data)) as image:
-        return np.asarray(image.convert("RGB"), dtype=float) @ LUMA
+        pixels = np.asarray(image.convert("RGB"), dtype=float)
+        return pixels if colour else pixels @ LUMA
 
 
 def resize(grey: np.ndarray, height: int, width: int) -> np.ndarray:

@@ -89,8 +89,9 @@ def _block(bits: _Bits, dc: list, ac: list, last: int, out: list[int] | None) ->
     return first
 
 
-def decode_jpeg(data: bytes) -> np.ndarray:
-    """Luma, 0 to 255, of an 8-bit sequential JPEG; ValueError for other content."""
+def decode_jpeg(data: bytes, colour: bool = False) -> np.ndarray:
+    """Luma, 0 to 255, of an 8-bit sequential JPEG, or with ``colour`` its red, green and blue (height,
+    width, 3); ValueError for other content."""
     if not data.startswith(b"\xff\xd8"):
         raise ValueError("not a JPEG")
     at, quants, tables, frame, interval = 2, {}, {}, None, 0
@@ -126,41 +127,54 @@ def decode_jpeg(data: bytes) -> np.ndarray:
             if frame is None or not height or not width or body[0] != len(frame) or any(h == 0 or v == 0 for _, h, v, _ in frame):
                 raise ValueError("unsupported JPEG")
             chosen = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
-            return _scan(data[at:], frame, chosen, quants, tables, interval, height, width)
+            planes = _scan(data[at:], frame, chosen, quants, tables, interval, height, width, colour)
+            return _colours(planes) if colour else planes[0]
     raise ValueError("JPEG without an image")
 
 
-def _scan(data: bytes, frame, chosen, quants, tables, interval: int, height: int, width: int) -> np.ndarray:
+def _colours(planes: list[np.ndarray]) -> np.ndarray:
+    if len(planes) < 3:
+        return np.repeat(planes[0][:, :, None], 3, axis=2)
+    luma, blue, red = planes[0], planes[1] - 128, planes[2] - 128
+    out = np.stack([luma + 1.402 * red, luma - 0.344136 * blue - 0.714136 * red, luma + 1.772 * blue], axis=2)
+    return np.clip(out, 0, 255)
+
+
+def _scan(data: bytes, frame, chosen, quants, tables, interval: int, height: int, width: int, colour: bool) -> list[np.ndarray]:
+    """The planes of the image in full size: the first, or all."""
     wide, high = max(f[1] for f in frame), max(f[2] for f in frame)
     if len(frame) == 1:  # one component is not interleaved, whatever its factors
         frame, wide, high = [(frame[0][0], 1, 1, frame[0][3])], 1, 1
     across, down = -(-width // (8 * wide)), -(-height // (8 * high))
-    _, h, v, quant = frame[0]
-    blocks = np.zeros((down * v, across * h, 64), dtype=np.float64)
+    wanted = len(frame) if colour else 1
+    blocks = [np.zeros((down * v, across * h, 64), dtype=np.float64) for _, h, v, _ in frame[:wanted]]
     pieces = _pieces(data)
     bits, last = _Bits(next(pieces)), [0] * len(frame)
     for unit in range(across * down):
         if interval and unit and unit % interval == 0:
             bits, last = _Bits(next(pieces, b"")), [0] * len(frame)
         row, column = divmod(unit, across)
-        for number, (name, ch, cv, _) in enumerate(frame):
+        for number, (name, h, v, _) in enumerate(frame):
             dc, ac = (tables.get(t) for t in (chosen.get(name, 0) >> 4, 16 | chosen.get(name, 0) & 15))
             if dc is None or ac is None:
                 raise ValueError("JPEG without a Huffman table")
-            for part in range(ch * cv):
-                out = [0] * 64 if number == 0 else None
+            for part in range(h * v):
+                out = [0] * 64 if number < wanted else None
                 last[number] = _block(bits, dc, ac, last[number], out)
                 if out is not None:
-                    blocks[row * v + part // ch, column * h + part % ch] = out
-    if quant not in quants:
-        raise ValueError("JPEG without a quantisation table")
-    plain = np.zeros_like(blocks)
-    plain[:, :, ZIGZAG] = blocks * quants[quant]
-    pixels = _BASIS.T @ plain.reshape(*plain.shape[:2], 8, 8) @ _BASIS
-    grey = np.clip(pixels.transpose(0, 2, 1, 3).reshape(down * v * 8, across * h * 8) + 128, 0, 255)
-    if (h, v) != (wide, high):  # luma of a lower resolution
-        grey = np.repeat(np.repeat(grey, high // v, axis=0), wide // h, axis=1)
-    return grey[:height, :width]
+                    blocks[number][row * v + part // h, column * h + part % h] = out
+    planes = []
+    for held, (_, h, v, quant) in zip(blocks, frame):
+        if quant not in quants:
+            raise ValueError("JPEG without a quantisation table")
+        plain = np.zeros_like(held)
+        plain[:, :, ZIGZAG] = held * quants[quant]
+        pixels = _BASIS.T @ plain.reshape(*plain.shape[:2], 8, 8) @ _BASIS
+        plane = np.clip(pixels.transpose(0, 2, 1, 3).reshape(down * v * 8, across * h * 8) + 128, 0, 255)
+        if (h, v) != (wide, high):  # a plane of a lower resolution
+            plane = np.repeat(np.repeat(plane, high // v, axis=0), wide // h, axis=1)
+        planes.append(plane[:height, :width])
+    return planes
 
 
 def _pieces(data: bytes):

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from darkroom.functions import hashing, imaging, jpeg, paths
+from darkroom.functions import encoder, hashing, imaging, jpeg, paths
 from darkroom.functions.vectors import from_bytes, ssim, to_bytes
 from darkroom.operators import graph, ingest, jobs, learning, matching, order, ranking, ratings, review
 from darkroom.schema import schema
@@ -329,6 +329,23 @@ def test_jpeg(spark, tmp_path):
     assert sorted(p.name for p in folder.iterdir()) == sorted(f"{s}.jpg" for s in named) and len(named) == 2
 
 
+def test_encoder(spark, tmp_path):
+    y, x = np.mgrid[0:30, 0:50]
+    grey = np.clip(100 + 3 * x, 0, 255)
+    (tmp_path / "a.jpg").write_bytes(jpeg.encode_jpeg(grey, 95))
+    (tmp_path / "b.png").write_bytes(imaging.encode_png(grey))
+    (tmp_path / "c.jpg").write_bytes(b"no image")
+    shown = encoder.encoder_input(np.repeat(grey[:, :, None].astype(float), 3, axis=2))
+    assert shown.shape == (3, 224, 224) and shown.dtype == np.float32
+    want = (resized := imaging.resize(grey.astype(float), 224, 224) / 255)[10, 20]
+    assert abs(shown[1, 10, 20] - (want - 0.4578275) / 0.26130258) < 1e-5 and resized.max() <= 1
+    found = encoder.embeddings(files.contents(spark, [str(tmp_path)]), "m", lambda path: lambda batch: batch.reshape(len(batch), 3, -1).mean(axis=2) + len(path), 2)
+    got = [r for r in found.collect()]
+    assert sum(r.error is not None for r in got) == 1 and all((r.embedding is None) == (r.error is not None) for r in got)
+    one, two = (np.array(r.embedding) for r in got if r.embedding)
+    assert abs(one @ one - 1) < 1e-5 and one @ two > 0.999
+
+
 @pytest.mark.parametrize("channels", [1, 3])
 def test_png_filters(channels):
     """Each filter of PNG rows undone, against filters applied by their definition."""
