@@ -30,6 +30,11 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[context.applicationId]
 
 
+#: Bytes of an Arrow batch while an intermediate table is written: what a task and its Python worker
+#: hold of rows on their way, where single rows may be large.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table of the shared folder, which outlives the executors that wrote it.
 
@@ -37,7 +42,14 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/darkroom-{uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH[0], None)
+    if before is not None:
+        spark.conf.set(*BATCH)
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(BATCH[0], before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
