@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.llm.common import WORD, attach, cut_lineage, free_names, keyed, map_arrow, membership, release, texts_of
+from darkroom.llm.common import WORD, attach, cut_lineage, free_names, keyed, map_arrow, map_texts, membership, release, texts_of
 from darkroom.llm.shingles import mix, signed
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
             found.append(signed(lines.hashes[np.unique(lines.mark)]))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["v"])
 
-    return map_arrow(docs.select("text"), run, "v long")
+    return map_texts(docs.select("text"), run, "v long")
 
 
 def positions(docs: DataFrame, min_words: int, repeated: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def positions(docs: DataFrame, min_words: int, repeated: DataFrame) -> DataFrame
             ["run", "doc_id", "text_id", "first", "last"],
         )
 
-    return map_arrow(docs, run, "run long, doc_id long, text_id long, first long, last long")
+    return map_texts(docs, run, "run long, doc_id long, text_id long, first long, last long")
 
 
 def repeated_lines(docs: DataFrame, min_words: int = 3) -> DataFrame:

@@ -75,15 +75,15 @@ def link(
     known_values: Callable[[Membership], DataFrame],
     alike: Alike,
     percent: int = 0,
-    sketches: DataFrame | None = None,
+    about: DataFrame | None = None,
 ) -> DataFrame:
     """(v, component) of the vertices whose values ``alike`` links, directly or by others.
 
-    Candidates share a key: ``members`` is a table of :func:`cut_lineage` of distinct (key, v).  It
-    may have n (set size) and s0 to s3 (see :func:`parity_sketch`) as well, which rule pairs of a
-    lower Jaccard similarity than ``percent`` out before they are gathered; ``sketches`` (v, n,
-    sketch), longer ones, rule more out before values are read.  ``known_values`` gives (v, value)
-    for at least the vertices that a bitmap holds; of rows with the same v any may be taken.
+    Candidates share a key: ``members`` is a table of :func:`cut_lineage` of distinct (key, v).
+    ``about`` has what rules pairs of a lower Jaccard similarity than ``percent`` out before their
+    values are read: v, n (set size), s0 to s3 (see :func:`parity_sketch`) and maybe sketch (see
+    :func:`long_sketch`), a row for each vertex.  ``known_values`` gives (v, value) for at least the
+    vertices that a bitmap holds; of rows with the same v any may be taken.
 
     In the first round each key's members meet one leader, by one order for all keys, and each
     vertex is compared with the leader it meets most often.  A pair within one component can add
@@ -93,19 +93,16 @@ def link(
     lie in one component.  So every pair that shares a key is compared or joined otherwise, and only
     a group of sets that do not link with each other is ever compared pair by pair.
     """
-    known = [c for c in ("n", *SKETCH) if c in members.columns]
+    known = [] if about is None else ["n", *SKETCH]
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return _tested(pairs, known_values, alike, percent, sketches)
+        return _tested(pairs, known_values, alike, percent, about if about is not None and "sketch" in about.columns else None)
 
     own = F.xxhash64("v", F.lit("leader"))
-    spans = members.groupBy("key").agg(
-        F.min(F.struct(own.alias("h"), "v", *known)).alias("first"), F.max(F.struct(own.alias("h"), "v")).alias("last")
-    )
+    spans = members.groupBy("key").agg(F.min(F.struct(own.alias("h"), "v")).alias("first"), F.max(own).alias("last"))
     # what an aggregation gives is written before it is joined, so that a join on a hot key can be split
-    spans = cut_lineage(spans.filter(F.col("first.v") != F.col("last.v")).select("key", "first"))
-    met = members.join(spans, "key").filter((F.col("v") != F.col("first.v")) & _possible("", "first.", known, percent))
-    met = met.groupBy(F.col("first.v").alias("a"), F.col("v").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+    spans = cut_lineage(spans.filter(F.col("first.h") != F.col("last")).select("key", F.col("first.v").alias("a")))
+    met = members.join(spans, "key").filter("v != a").groupBy("a", F.col("v").alias("b")).agg(F.count(F.lit(1)).alias("times"))
     edges = linked(met.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")))
     release(spans)
     labels = components(edges)
@@ -123,8 +120,11 @@ def link(
         if not led:
             place = F.pmod(F.xxhash64("v", "key"), F.lit(1 << 31)) / float(1 << 31)
             named = named.withColumns({"m": F.col("of"), "place": place})
+            if about is not None:
+                named = named.join(about.select("v", *known), "v")
         last, live = live, cut_lineage(named.drop("of"))
         release(spans, last if led else None)
+        sweep(live.sparkSession)
         if live.isEmpty():
             break
         other = live.filter(F.col("place") * F.col("m") < leaders)

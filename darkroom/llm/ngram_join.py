@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from darkroom.llm.common import Membership, cut_lineage, keyed, map_arrow, membership, release, slices, sweep, texts_of, without
-from darkroom.llm.links import SKETCH, jaccard, link, long_sketch, most_apart, parity_sketch, shared_keys
+from darkroom.llm.links import SKETCH, jaccard, link, long_sketch, most_apart, parity_sketch
 from darkroom.llm.shingles import mix, shingle_set, signed, word_hashes
 
 #: Ratio of the upper to the lower size of a band.
 BAND_RATIO = 1.5
 #: Bits of a part of the parity sketch.
 PART_BITS = 64
-_SECOND = np.uint64(0xD6E8FEB86659FD93)
+_PLACES = np.random.default_rng(20240613).integers(0, 1 << 63, 6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def band_bounds(size: int) -> tuple[int, int, int]:
@@ -31,15 +31,27 @@ def band_bounds(size: int) -> tuple[int, int, int]:
         number, low = number + 1, high
 
 
+def parts_of_group(percent: int) -> int:
+    """Parts of a group: so many that two unrelated sets hardly agree in a key by empty parts alone.
+
+    With q parts a part holds n / (q * d / 2) shingles of n, and all parts but one of a group are
+    empty in both of two sets with probability exp(-2 * (q - 1) times that).
+    """
+    parts = 3
+    while parts < 6 and 4 * (parts - 1) * (100 + percent) < 13 * parts * 2 * (100 - percent):
+        parts += 1
+    return parts
+
+
 def parity_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """Join keys of a set: band, group, part pair and XOR sketch of the parts, hashed to 64 bits.
+    """Join keys of a set: band, group, parts and XOR sketch of these parts, hashed to 64 bits.
 
     Each shingle flips one bit of one sketch, so differing bits number at most the symmetric
     difference d of two sets.  With more than d / 2 groups, one group differs in at most one bit;
-    of its three parts two then agree whole, and a key is made of each two parts.  That takes half
-    as many keys again as single segments would, of which far fewer agree by chance.  A set has the
-    keys of its own band and, if a linked set may be in the band below, that band's as well; the
-    number of groups allows for all pairs whose smaller set lies in the band.
+    of its parts all but one then agree whole, and a key is made of each choice of all but one.
+    Such keys agree by chance far less often than single segments would.  A set has the keys of its
+    own band and, if a linked set may be in the band below, that band's as well; the number of
+    groups allows for all pairs whose smaller set lies in the band.
     """
     size = len(shingles)
     number, low, high = band_bounds(size)
@@ -47,20 +59,22 @@ def parity_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     if number and -(-size * percent // 100) < low:
         bands.append((number - 1, low))
     out = []
+    each = parts_of_group(percent)
     bit = np.uint64(1) << (shingles & np.uint64(PART_BITS - 1))
     for band, above in bands:
         largest = above - 1
-        parts = 3 * (most_apart(largest, largest * 100 // percent, percent) // 2 + 1)
-        part = ((shingles >> np.uint64(16)) % np.uint64(parts)).astype(np.int64)
+        groups = most_apart(largest, largest * 100 // percent, percent) // 2 + 1
+        part = ((shingles >> np.uint64(16)) % np.uint64(each * groups)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         part, flips = part[order], bit[order]
-        sketch = np.zeros(parts, dtype=np.uint64)
+        sketch = np.zeros(each * groups, dtype=np.uint64)
         starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         sketch[part[starts]] = np.bitwise_xor.reduceat(flips, starts)
-        one, two, three = mix(sketch.reshape(-1, 3) + np.arange(1, 4, dtype=np.uint64)).T
-        where = np.arange(parts, dtype=np.uint64) + (np.uint64(band + 1) << np.uint64(40))
-        pairs = np.concatenate([one + two * _SECOND, two + three * _SECOND, one + three * _SECOND])
-        out.append(mix(mix(where) + pairs))
+        # a sum of mixed parts, each with its place, less the one that is left out
+        mixed = mix(sketch.reshape(-1, each) + np.arange(1, each + 1, dtype=np.uint64)) * _PLACES[:each]
+        where = mix(np.arange(groups, dtype=np.uint64) + (np.uint64(band + 1) << np.uint64(40)))
+        left_out = mixed.sum(axis=1, dtype=np.uint64)[:, None] - mixed + np.arange(each, dtype=np.uint64)
+        out.append(mix(where[:, None] + left_out).ravel())
     return np.concatenate(out)
 
 
@@ -113,26 +127,39 @@ def set_id(shingles: np.ndarray) -> int:
 
 
 def _members(rows: DataFrame) -> DataFrame:
-    """Distinct (key, v, n, s0 to s3) under the keys that two or more sets have.
+    """Distinct (key, v) under the keys that two or more sets have.
 
-    A bitmap thins the keys out before they are shuffled a second time, with what describes the set.
+    Of rows with equal sets one gives the keys (a bitmap may let a few more through, which only adds
+    keys).  Keys are counted by partial aggregation, a key and a count each; a bitmap thins them out
+    before they are shuffled a second time, with their sets.
     """
-    shared = shared_keys(rows.select(F.explode("keys").alias("key"), F.col("set_id").alias("v")))
-    held = rows.sparkSession.sparkContext.broadcast(membership(shared, "key"))
+    context = rows.sparkSession.sparkContext
+    some = rows.filter("keys IS NOT NULL").withColumn("row", F.xxhash64("doc_id", "text_id", "set_id"))
+    first = cut_lineage(some.groupBy("set_id").agg(F.min("row").alias("row")).select("row"))
+    one = context.broadcast(membership(first, "row"))
+    release(first)
+
+    def keys_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        batch = batch.filter(pa.array(one.value(batch.column("row").to_numpy())))
+        lists = batch.column("keys")
+        owners = np.repeat(batch.column("set_id").to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False))
+        return lists.flatten().to_numpy(zero_copy_only=False), owners
+
+    def plain(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys_of(batch)[0])], ["key"])
+
+    columns = some.select("row", "set_id", "keys")
+    shared = map_arrow(columns, plain, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("times"))
+    shared = cut_lineage(shared.filter("times > 1").select("key"))
+    sweep(rows.sparkSession)
+    held = context.broadcast(membership(shared, "key", 64))
 
     def thin(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lists = batch.column("keys")
-        keys = lists.flatten().to_numpy(zero_copy_only=False)
+        keys, owners = keys_of(batch)
         keep = held.value(keys)
-        owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))[keep]
-        about = [batch.column(c).take(pa.array(owner)) for c in ("set_id", "n", *SKETCH)]
-        return pa.RecordBatch.from_arrays([pa.array(keys[keep]), *about], ["key", "v", "n", *SKETCH])
-
-    some = rows.filter("keys IS NOT NULL").select("set_id", "n", *SKETCH, "keys")
-    fields = ", ".join(f"{c} long" for c in ("key", "v", "n", *SKETCH))
-    thinned = map_arrow(some, thin, fields).join(shared, "key", "left_semi")
-    members = thinned.groupBy("key", "v").agg(*(F.first(c).alias(c) for c in ("n", *SKETCH)))
-    members = cut_lineage(members)
+        return pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(owners[keep])], ["key", "v"])
+
+    members = cut_lineage(map_arrow(columns, thin, "key long, v long").join(shared, "key", "left_semi").distinct())
     release(shared)
     return members
 
@@ -209,12 +236,12 @@ def _components(docs: DataFrame, length: int, percent: int) -> DataFrame:
     whole = cut_lineage(set_rows(docs, length, percent))
     members = _members(whole)
     rows = cut_lineage(whole.select("doc_id", "text_id", "n", "set_id"))
-    sketches = whole.filter("sketch IS NOT NULL").groupBy(F.col("set_id").alias("v"))
-    sketches = cut_lineage(sketches.agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    about = whole.filter("sketch IS NOT NULL").groupBy(F.col("set_id").alias("v"))
+    about = cut_lineage(about.agg(*(F.first(c).alias(c) for c in ("n", *SKETCH, "sketch"))))
     release(whole)  # the keys are the most of it
     sweep(docs.sparkSession)
-    labels = link(members, lambda wanted: _sets(docs, rows, length, wanted), jaccard(percent), percent, sketches)
-    release(members, sketches)
+    labels = link(members, lambda wanted: _sets(docs, rows, length, wanted), jaccard(percent), percent, about)
+    release(members, about)
     named = rows.select("doc_id", "text_id", F.col("n").alias("n_shingles"), "set_id")
     named = named.join(labels.withColumnRenamed("v", "set_id"), "set_id", "left")
     named = named.withColumn("component", F.coalesce("component", "set_id")).drop("set_id")

@@ -6,6 +6,7 @@ import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -243,7 +244,7 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
         import tiktoken
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+        tokenizer = cache(lambda: Tokenizer.from_file(path))  # read when first needed
         with open(path, encoding="utf-8") as file:
             described = json.load(file)
         special = {t["content"]: t["id"] for t in described["added_tokens"]}
@@ -261,7 +262,7 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
 
         def encode(text: str) -> np.ndarray:
             if ODD.search(text):
-                return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+                return np.array(tokenizer().encode(text, add_special_tokens=False).ids, dtype="<u4")
             return fast(text, allowed_special="all").astype("<u4", copy=False)
 
         _ENCODERS[path] = encode

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.llm.common import WORD, Membership, attach, cut_lineage, free_names, keyed, map_arrow, membership, release, sweep, texts_of
+from darkroom.llm.common import WORD, Membership, attach, cut_lineage, free_names, keyed, map_arrow, map_texts, membership, release, sweep, texts_of
 from darkroom.llm.links import SKETCH, jaccard, link, parity_sketch, shared_keys
 from darkroom.llm.shingles import WORDS, mix, runs, signed
 
@@ -30,7 +30,7 @@ def _powers(base: int, n: int) -> np.ndarray:
         steps = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         steps[0] = 1
         held = np.multiply.accumulate(steps)
-        if len(held) <= 1 << 21:
+        if len(held) <= 1 << 20:
             _POWERS[base] = held
     return held[:n]
 
@@ -188,7 +188,7 @@ def _units(docs: DataFrame, min_words: int, block_words: int) -> DataFrame:
         names = ["doc_id", "text_id"]
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *found.columns], [*names, *found.schema.names])
 
-    return map_arrow(docs, run, UNITS)
+    return map_texts(docs, run, UNITS)
 
 
 def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -265,7 +265,7 @@ def _sets(docs: DataFrame, units: DataFrame, min_words: int, block_words: int, w
         return pa.RecordBatch.from_arrays(columns, ["v", "value", "n", *SKETCH])
 
     words = ", ".join(f"{s} long" for s in SKETCH)
-    return map_arrow(docs.select("text_id", "text"), run, f"v long, value binary, n long, {words}")
+    return map_texts(docs.select("text_id", "text"), run, f"v long, value binary, n long, {words}")
 
 
 def _occurrences(units: DataFrame, block_words: int, held, near) -> DataFrame:
@@ -328,7 +328,7 @@ def _surroundings(docs: DataFrame, reach: int, places: DataFrame) -> DataFrame:
             ["text_id", "at", "before", "after"],
         )
 
-    found = map_arrow(docs.select("text_id", "text"), run, "text_id long, at long, before binary, after binary")
+    found = map_texts(docs.select("text_id", "text"), run, "text_id long, at long, before binary, after binary")
     return cut_lineage(found.groupBy("text_id", "at").agg(F.first("before").alias("before"), F.first("after").alias("after")))
 
 
@@ -441,9 +441,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 20, block_words: int = 2
     sweep(docs.sparkSession)
     sets = _sets(docs, units, min_words, block_words, membership(members, "v"))
     sets = cut_lineage(sets.groupBy("v").agg(*(F.first(c).alias(c) for c in ("value", "n", *SKETCH))))
-    described = cut_lineage(members.join(sets.select("v", "n", *SKETCH), "v"))
-    labels = link(described, lambda wanted: sets.select("v", "value"), jaccard(percent), percent)
-    release(members, described, sets)
+    labels = link(members, lambda wanted: sets.select("v", "value"), jaccard(percent), percent, sets.select("v", "n", *SKETCH))
+    release(members, sets)
     near = context.broadcast(membership(labels, "v"))
     found = _occurrences(units, block_words, held, near).join(labels, "v", "left")
     found = cut_lineage(found.withColumn("component", F.coalesce("component", "v")).drop("v"))
