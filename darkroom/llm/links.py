@@ -16,7 +16,7 @@ from darkroom.operators.graph import components
 #: Leaders of a key in the round after the first; each later round has so many times more.
 LEADERS = 16
 #: Words of 64 bits of the parity sketch that travels with a vertex.
-SKETCH_WORDS = 4
+SKETCH_WORDS = 8
 SKETCH = tuple(f"s{i}" for i in range(SKETCH_WORDS))
 
 
@@ -81,7 +81,7 @@ def link(
 
     Candidates share a key: ``members`` is a table of :func:`cut_lineage` of distinct (key, v).
     ``about`` has what rules pairs of a lower Jaccard similarity than ``percent`` out before their
-    values are read: v, n (set size), s0 to s3 (see :func:`parity_sketch`) and maybe sketch (see
+    values are read: v, n (set size), s0 to s7 (see :func:`parity_sketch`) and maybe sketch (see
     :func:`long_sketch`), a row for each vertex.  ``known_values`` gives (v, value) for at least the
     vertices that a bitmap holds; of rows with the same v any may be taken.
 
@@ -159,8 +159,8 @@ def _tested(
 
 
 def long_sketch(hashes: np.ndarray) -> bytes:
-    """A parity sketch of a power of two of bits, at least twice as many as hashes and 256."""
-    bits = max(256, 1 << (2 * len(hashes) - 1).bit_length())
+    """A parity sketch of a power of two of bits, at least twice as many as hashes and 512."""
+    bits = max(512, 1 << (2 * len(hashes) - 1).bit_length())
     at = ((hashes >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -10,37 +11,42 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.llm.common import Membership, cut_lineage, keyed, map_arrow, membership, release, slices, sweep, texts_of, without
+from darkroom.llm.common import Membership, cut_lineage, keyed, map_arrow, map_texts, membership, release, slices, sweep, texts_of, without
 from darkroom.llm.links import SKETCH, jaccard, link, long_sketch, most_apart, parity_sketch
 from darkroom.llm.shingles import mix, shingle_set, signed, word_hashes
 
-#: Ratio of the upper to the lower size of a band.
-BAND_RATIO = 1.5
+#: Ways to cut keys, by cost: parts of a group, and the ratio of the upper to the lower size of a band.
+PLANS = ((3, 1.5), (4, 1.5), (4, 1.2), (5, 1.2), (6, 1.2))
+#: What :func:`key_plan` asks of the exponent of two unrelated sets' chance to agree in a key.
+LEAST_EXPONENT = 11.0
 #: Bits of a part of the parity sketch.
 PART_BITS = 64
+#: Bits of a key that are counted; the others only tell keys apart later.
+COUNTED_BITS = 48
 _PLACES = np.random.default_rng(20240613).integers(0, 1 << 63, 6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def band_bounds(size: int) -> tuple[int, int, int]:
-    """Number, lower and upper (exclusive) size of the band that holds ``size``."""
-    number, low = 0, 1
-    while True:
-        high = max(low + 1, int(low * BAND_RATIO))
-        if size < high:
-            return number, low, high
-        number, low = number + 1, high
+def key_plan(percent: int) -> tuple[int, float]:
+    """The cheapest of PLANS under which unrelated sets hardly agree in a key by empty parts alone.
 
+    Linked sets of n shingles differ in d = 2 n (100 - percent) / (100 + percent).  With q parts in
+    each of d / 2 groups a part holds 2 n / (q d) shingles, less by the ratio of the band at its
+    lower end, and all parts but one of a group are empty in two sets with probability
+    exp(-2 (q - 1) times that).
+    """
+    for parts, ratio in PLANS:
+        if 2 * (parts - 1) * (100 + percent) / (100 - percent) / parts / ratio >= LEAST_EXPONENT:
+            break
+    return parts, ratio
 
-def parts_of_group(percent: int) -> int:
-    """Parts of a group: so many that two unrelated sets hardly agree in a key by empty parts alone.
 
-    With q parts a part holds n / (q * d / 2) shingles of n, and all parts but one of a group are
-    empty in both of two sets with probability exp(-2 * (q - 1) times that).
-    """
-    parts = 3
-    while parts < 6 and 4 * (parts - 1) * (100 + percent) < 13 * parts * 2 * (100 - percent):
-        parts += 1
-    return parts
+@cache
+def band_edges(ratio: float, most: int) -> np.ndarray:
+    """Lower sizes of the bands, up to a band that lies above ``most``."""
+    edges = [1]
+    while edges[-1] <= most:
+        edges.append(max(edges[-1] + 1, int(edges[-1] * ratio)))
+    return np.array(edges)
 
 
 def parity_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
@@ -49,20 +55,18 @@ def parity_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     Each shingle flips one bit of one sketch, so differing bits number at most the symmetric
     difference d of two sets.  With more than d / 2 groups, one group differs in at most one bit;
     of its parts all but one then agree whole, and a key is made of each choice of all but one.
-    Such keys agree by chance far less often than single segments would.  A set has the keys of its
-    own band and, if a linked set may be in the band below, that band's as well; the number of
-    groups allows for all pairs whose smaller set lies in the band.
+    Such keys agree by chance far less often than single segments would (see :func:`key_plan`).  A
+    set has the keys of its own band and of the bands below in which a linked set may lie; the
+    number of groups allows for all pairs whose smaller set lies in the band.
     """
+    each, ratio = key_plan(percent)
     size = len(shingles)
-    number, low, high = band_bounds(size)
-    bands = [(number, high)]
-    if number and -(-size * percent // 100) < low:
-        bands.append((number - 1, low))
+    edges = band_edges(ratio, 1 << max(20, size.bit_length()))
+    first, last = np.searchsorted(edges, [-(-size * percent // 100), size], side="right") - 1
     out = []
-    each = parts_of_group(percent)
     bit = np.uint64(1) << (shingles & np.uint64(PART_BITS - 1))
-    for band, above in bands:
-        largest = above - 1
+    for band in range(first, last + 1):
+        largest = int(edges[band + 1]) - 1
         groups = most_apart(largest, largest * 100 // percent, percent) // 2 + 1
         part = ((shingles >> np.uint64(16)) % np.uint64(each * groups)).astype(np.int64)
         order = np.argsort(part, kind="stable")
@@ -84,82 +88,81 @@ def _each(batch: pa.RecordBatch, length: int) -> Iterator[np.ndarray]:
             yield shingle_set(word_hashes(text), length)
 
 
-def set_rows(docs: DataFrame, length: int, percent: int) -> DataFrame:
-    """doc_id, text_id, n (set size), set_id (hash of the set, null if empty), s0 to s3, sketch and keys.
+def set_rows(docs: DataFrame, length: int) -> DataFrame:
+    """doc_id, text_id, row, n (set size), set_id (hash of the set, null if empty), s0 to s7 and sketch.
 
-    Sketch and keys are null where the partition has given the set's before.
+    The sketch is null where the partition has given the set's before.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in (part for whole in batches for part in slices(whole, "text")):
-            sizes, ids, keys, longs = [], [], [], []
+            sizes, ids, longs = [], [], []
             sketches = np.zeros((batch.num_rows, len(SKETCH)), dtype=np.int64)
             for row, shingles in enumerate(_each(batch, length)):
                 sizes.append(len(shingles))
                 ids.append(set_id(shingles) if len(shingles) else None)
                 fresh = len(shingles) > 0 and ids[-1] not in seen
-                keys.append(signed(parity_keys(shingles, percent)) if fresh else None)
                 longs.append(long_sketch(shingles) if fresh else None)
                 if len(shingles):
                     sketches[row] = parity_sketch(shingles)
                     if len(seen) < 1_000_000:
                         seen.add(ids[-1])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("text_id"),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(ids, pa.int64()),
-                    *(pa.array(sketches[:, i]) for i in range(len(SKETCH))),
-                    pa.array(longs, pa.binary()),
-                    pa.array(keys, pa.list_(pa.int64())),
-                ],
-                ["doc_id", "text_id", "n", "set_id", *SKETCH, "sketch", "keys"],
-            )
+            names = ["doc_id", "text_id", "row"]
+            columns = [pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), *(pa.array(c) for c in np.ascontiguousarray(sketches.T)), pa.array(longs, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns], [*names, "n", "set_id", *SKETCH, "sketch"])
 
     words = ", ".join(f"{s} long" for s in SKETCH)
-    return docs.mapInArrow(run, f"doc_id long, text_id long, n long, set_id long, {words}, sketch binary, keys array<long>")
+    return docs.mapInArrow(run, f"doc_id long, text_id long, row long, n long, set_id long, {words}, sketch binary")
 
 
 def set_id(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-def _members(rows: DataFrame) -> DataFrame:
+def _members(docs: DataFrame, rows: DataFrame, length: int, percent: int) -> DataFrame:
     """Distinct (key, v) under the keys that two or more sets have.
 
     Of rows with equal sets one gives the keys (a bitmap may let a few more through, which only adds
-    keys).  Keys are counted by partial aggregation, a key and a count each; a bitmap thins them out
-    before they are shuffled a second time, with their sets.
+    keys).  First keys are counted by partial aggregation, COUNTED_BITS of each and a count; those
+    that occur twice thin out, by a bitmap, the keys that are made again and shuffled with their
+    sets.  Keys are nowhere kept, as they would outweigh the texts.
     """
-    context = rows.sparkSession.sparkContext
-    some = rows.filter("keys IS NOT NULL").withColumn("row", F.xxhash64("doc_id", "text_id", "set_id"))
-    first = cut_lineage(some.groupBy("set_id").agg(F.min("row").alias("row")).select("row"))
+    context = docs.sparkSession.sparkContext
+    first = cut_lineage(rows.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("row").alias("row")).select("row"))
     one = context.broadcast(membership(first, "row"))
     release(first)
+    counted = np.uint64((1 << COUNTED_BITS) - 1)
 
-    def keys_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        batch = batch.filter(pa.array(one.value(batch.column("row").to_numpy())))
-        lists = batch.column("keys")
-        owners = np.repeat(batch.column("set_id").to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False))
-        return lists.flatten().to_numpy(zero_copy_only=False), owners
+    def sets_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        some = one.value(batch.column("row").to_numpy())
+        return (s for s in _each(batch.filter(pa.array(some)), length) if len(s))
 
     def plain(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys_of(batch)[0])], ["key"])
+        found = [np.zeros(0, dtype=np.uint64), *(parity_keys(s, percent) & counted for s in sets_of(batch))]
+        return pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(found)))], ["key"])
 
-    columns = some.select("row", "set_id", "keys")
-    shared = map_arrow(columns, plain, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("times"))
+    columns = docs.select("row", "text")
+    shared = map_texts(columns, plain, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("times"))
     shared = cut_lineage(shared.filter("times > 1").select("key"))
-    sweep(rows.sparkSession)
+    sweep(docs.sparkSession)
     held = context.broadcast(membership(shared, "key", 64))
 
     def thin(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, owners = keys_of(batch)
-        keep = held.value(keys)
-        return pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(owners[keep])], ["key", "v"])
-
-    members = cut_lineage(map_arrow(columns, thin, "key long, v long").join(shared, "key", "left_semi").distinct())
+        keys, owners = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+        for shingles in sets_of(batch):
+            found = parity_keys(shingles, percent)
+            found = found[held.value(signed(found & counted))]
+            keys.append(found)
+            owners.append(np.full(len(found), set_id(shingles)))
+        whole = np.concatenate(keys)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(signed(whole)), pa.array(signed(whole & counted)), pa.array(np.concatenate(owners))], ["key", "part", "v"]
+        )
+
+    thinned = map_texts(columns, thin, "key long, part long, v long")
+    members = thinned.join(shared.withColumnRenamed("key", "part"), "part", "left_semi").select("key", "v").distinct()
+    members = cut_lineage(members)
     release(shared)
     return members
 
@@ -232,13 +235,11 @@ def one_of_each(docs: DataFrame, length: int = 3, percent: int = 90) -> DataFram
 
 def _components(docs: DataFrame, length: int, percent: int) -> DataFrame:
     """(doc_id, text_id, n_shingles, component, component_id) of every document."""
-    docs = keyed(docs)
-    whole = cut_lineage(set_rows(docs, length, percent))
-    members = _members(whole)
-    rows = cut_lineage(whole.select("doc_id", "text_id", "n", "set_id"))
-    about = whole.filter("sketch IS NOT NULL").groupBy(F.col("set_id").alias("v"))
+    docs = keyed(docs).withColumn("row", F.xxhash64("doc_id", "text_id"))
+    rows = cut_lineage(set_rows(docs, length))
+    members = _members(docs, rows, length, percent)
+    about = rows.filter("sketch IS NOT NULL").groupBy(F.col("set_id").alias("v"))
     about = cut_lineage(about.agg(*(F.first(c).alias(c) for c in ("n", *SKETCH, "sketch"))))
-    release(whole)  # the keys are the most of it
     sweep(docs.sparkSession)
     labels = link(members, lambda wanted: _sets(docs, rows, length, wanted), jaccard(percent), percent, about)
     release(members, about)

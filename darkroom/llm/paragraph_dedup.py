@@ -233,7 +233,7 @@ def _members(units: DataFrame, shared: DataFrame, held) -> DataFrame:
 
 
 def _sets(docs: DataFrame, units: DataFrame, min_words: int, block_words: int, wanted: Membership) -> DataFrame:
-    """(v, value, n, s0 to s3): shingles, their number and parity sketch of the paragraphs that ``wanted`` may hold."""
+    """(v, value, n, s0 to s7): shingles, their number and parity sketch of the paragraphs that ``wanted`` may hold."""
     context = docs.sparkSession.sparkContext
     held = context.broadcast(wanted)
 

@@ -348,7 +348,7 @@ def test_pipeline_keeps_one_of_near_copies(spark):
 
 def test_parity_keys_miss_no_link():
     rng = np.random.default_rng(1)
-    assert [ngram_join.parts_of_group(p) for p in (95, 90, 80, 70)] == [3, 3, 4, 6]
+    assert [ngram_join.key_plan(p) for p in (95, 90, 80, 70)] == [(3, 1.5), (3, 1.5), (4, 1.2), (6, 1.2)]
     for percent, size in [(p, n) for p in (90, 80, 70) for n in (1, 5, 20, 60, 61, 300, 2000)]:
         a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
         for _ in range(20):
