@@ -128,8 +128,9 @@ def link(
         if live.isEmpty():
             break
         other = live.filter(F.col("place") * F.col("m") < leaders)
-        other = other.select("key", *(F.col(x).alias(f"o_{x}") for x in ("v", "c", *known)))
-        pairs = live.join(other, "key").filter((F.col("c") != F.col("o_c")) & _possible("", "o_", known, percent))
+        other = other.select("key", *(F.col(x).alias(f"o_{x}") for x in ("v", "c", "place", *known)))
+        after = F.struct("o_place", "o_v") < F.struct(F.col("place").alias("o_place"), F.col("v").alias("o_v"))  # two leaders meet once
+        pairs = live.join(other, "key").filter((F.col("c") != F.col("o_c")) & after & _possible("", "o_", known, percent))
         more = linked(pairs.select(F.least("v", "o_v").alias("a"), F.greatest("v", "o_v").alias("b")))
         if not more.isEmpty():
             named = components(more.unionAll(labels.select(F.col("v").alias("a"), F.col("component").alias("b"))))
