@@ -94,7 +94,7 @@ def by_bytes(texts: Iterable[str], limit: int) -> Iterator[list[str]]:
         yield run
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of a batch that hold about ``limit`` bytes of ``column`` each."""
     values = batch.column(batch.schema.get_field_index(column))
     sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
@@ -125,7 +125,7 @@ def map_arrow(
 def map_texts(
     df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType
 ) -> DataFrame:
-    """:func:`map_arrow` for a function of the rows of about 4 MB of ``text``, which bounds what a task holds."""
+    """:func:`map_arrow` for a function of the rows of about 2 MB of ``text``, which bounds what a task holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,7 +176,7 @@ def membership(values: DataFrame, column: str, bits_a_row: int = 16) -> Membersh
 
 
 def texts_of(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
-    """The texts of a batch, null as empty, in runs of about 4 MB."""
+    """The texts of a batch, null as empty, in runs of about 2 MB."""
     for part in slices(batch, "text"):
         buffers = (t.as_buffer() for t in part.column("text"))
         yield [raw.to_pybytes() if raw is not None else b"" for raw in buffers]

@@ -30,7 +30,7 @@ def _powers(base: int, n: int) -> np.ndarray:
         steps = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         steps[0] = 1
         held = np.multiply.accumulate(steps)
-        if len(held) <= 1 << 20:
+        if len(held) <= 1 << 19:
             _POWERS[base] = held
     return held[:n]
 

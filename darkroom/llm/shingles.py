@@ -13,7 +13,7 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 class WordHashes(dict):
     """64-bit hashes of words, kept in a memo of bounded size."""
 
-    LIMIT = 200_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > self.LIMIT:
