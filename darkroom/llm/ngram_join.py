@@ -64,16 +64,13 @@ def parity_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     edges = band_edges(ratio, 1 << max(20, size.bit_length()))
     first, last = np.searchsorted(edges, [-(-size * percent // 100), size], side="right") - 1
     out = []
-    bit = np.uint64(1) << (shingles & np.uint64(PART_BITS - 1))
+    bit, place = np.uint64(1) << (shingles & np.uint64(PART_BITS - 1)), shingles >> np.uint64(16)
     for band in range(first, last + 1):
         largest = int(edges[band + 1]) - 1
         groups = most_apart(largest, largest * 100 // percent, percent) // 2 + 1
-        part = ((shingles >> np.uint64(16)) % np.uint64(each * groups)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        part, flips = part[order], bit[order]
+        part = (place % np.uint64(each * groups)).astype(np.int64)
         sketch = np.zeros(each * groups, dtype=np.uint64)
-        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        sketch[part[starts]] = np.bitwise_xor.reduceat(flips, starts)
+        np.bitwise_xor.at(sketch, part, bit)
         # a sum of mixed parts, each with its place, less the one that is left out
         mixed = mix(sketch.reshape(-1, each) + np.arange(1, each + 1, dtype=np.uint64)) * _PLACES[:each]
         where = mix(np.arange(groups, dtype=np.uint64) + (np.uint64(band + 1) << np.uint64(40)))
