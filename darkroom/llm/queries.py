@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from darkroom.llm.byte_bpe import encode_decode
 from darkroom.llm.common import table
 from darkroom.llm.embedding_dedup import near_duplicates
+from darkroom.llm.hard_negatives import ORACLE as HARD_NEGATIVES_SQL
+from darkroom.llm.hard_negatives import hard_negatives
 from darkroom.llm.language import identify
 from darkroom.llm.line_dedup import ORACLE as LINE_DEDUP_SQL
 from darkroom.llm.line_dedup import dedup_lines
@@ -63,6 +66,12 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label, vec_id = F.col("label").cast("long"), F.col("vec_id")
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives(rows, anchor=vec_id % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -75,8 +84,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_line_dedup": op9_line_dedup,
         "op10_ngram_join": op10_ngram_join,
+        "op11_hard_negatives": op11_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": QUALITY_RULES_SQL, "op9_line_dedup": LINE_DEDUP_SQL, "op10_ngram_join": NGRAM_JOIN_SQL}
+    return {
+        "op8_quality_rules": QUALITY_RULES_SQL,
+        "op9_line_dedup": LINE_DEDUP_SQL,
+        "op10_ngram_join": NGRAM_JOIN_SQL,
+        "op11_hard_negatives": HARD_NEGATIVES_SQL,
+    }
