@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from darkroom.llm.byte_bpe import encode_decode
+from darkroom.llm.chat_format import ORACLE as CHAT_FORMAT_SQL
+from darkroom.llm.chat_format import canonical_turns, digests, format_turns, read_back, records_of
 from darkroom.llm.common import table
 from darkroom.llm.embedding_dedup import near_duplicates
 from darkroom.llm.hard_negatives import ORACLE as HARD_NEGATIVES_SQL
@@ -72,6 +74,16 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(rows, anchor=vec_id % 100 == 0)
 
 
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = F.lit("</s>[INST] ok [/INST]")
+    planted = spark.range(1).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.to_json(F.struct(control.alias("prompt"), control.alias("response"))).alias("record")
+    )
+    records = records_of(table(spark, sf_dir, "conversations")).unionByName(planted)
+    formatted = format_turns(canonical_turns(records)).select("conv_id", "formatted", "mask")
+    return digests(read_back(formatted))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -85,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": op9_line_dedup,
         "op10_ngram_join": op10_ngram_join,
         "op11_hard_negatives": op11_hard_negatives,
+        "op12_chat_format": op12_chat_format,
     }
 
 
@@ -94,4 +107,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_line_dedup": LINE_DEDUP_SQL,
         "op10_ngram_join": NGRAM_JOIN_SQL,
         "op11_hard_negatives": HARD_NEGATIVES_SQL,
+        "op12_chat_format": CHAT_FORMAT_SQL,
     }
