@@ -11,6 +11,8 @@ from darkroom.llm.byte_bpe import encode_decode
 from darkroom.llm.chat_format import ORACLE as CHAT_FORMAT_SQL
 from darkroom.llm.chat_format import canonical_turns, digests, format_turns, read_back, records_of
 from darkroom.llm.common import table
+from darkroom.llm.conversation_repair import ORACLE as CONVERSATION_REPAIR_SQL
+from darkroom.llm.conversation_repair import repair_digests
 from darkroom.llm.embedding_dedup import near_duplicates
 from darkroom.llm.hard_negatives import ORACLE as HARD_NEGATIVES_SQL
 from darkroom.llm.hard_negatives import hard_negatives
@@ -84,6 +86,21 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read_back(formatted))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    name = F.concat(*(F.coalesce(F.col(c).cast("string"), F.lit(" ")) if c else F.lit(":") for c in ("conv_id", None, "turn")))
+    damage = F.crc32(name.cast("binary")) % 20
+    role, text = F.coalesce("role", F.lit(" ")), F.coalesce("text", F.lit(" "))
+    damaged = given.filter(damage != 0).select(
+        "conv_id",
+        "turn",
+        F.when(damage == 4, "user").otherwise(role).alias("role"),
+        F.when(damage == 1, "").when(damage == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.when(damage == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    )
+    return repair_digests(damaged, given)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -98,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_ngram_join": op10_ngram_join,
         "op11_hard_negatives": op11_hard_negatives,
         "op12_chat_format": op12_chat_format,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
@@ -108,4 +126,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_ngram_join": NGRAM_JOIN_SQL,
         "op11_hard_negatives": HARD_NEGATIVES_SQL,
         "op12_chat_format": CHAT_FORMAT_SQL,
+        "op13_conversation_repair": CONVERSATION_REPAIR_SQL,
     }
