@@ -162,7 +162,7 @@ class Template:
     middle: str = "\n"
     stop: str = "<|im_end|>\n"
     #: Control strings without their first character.
-    controls: str = r"/?s>|/?INST\]|</?SYS>>|/SYS>>|\|[A-Za-z0-9_]+\|>"
+    controls: str = r"/?s>|/?INST\]|</?SYS>>|\|[A-Za-z0-9_]+\|>"
 
     def escape(self, text: Column) -> Column:
         """A backslash more after the first character of each control string, whatever number it has."""
@@ -278,7 +278,7 @@ WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), sized AS (
-  SELECT *, len(regexp_extract_all(text, '[<\[]\\*(/?s>|/?INST\]|</?SYS>>|/SYS>>|\|[A-Za-z0-9_]+\|>)')) AS escapes FROM rows
+  SELECT *, len(regexp_extract_all(text, '[<\[]\\*(/?s>|/?INST\]|</?SYS>>|\|[A-Za-z0-9_]+\|>)')) AS escapes FROM rows
 )
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
