@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.sources.scratch import materialize, release
+from darkroom.sources.scratch import materialize, owned, release
 
 #: Edges that a task holds at once when it joins those it has.
 HELD_EDGES = 1 << 21
@@ -62,6 +62,7 @@ def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
     yield None
 
 
+@owned
 def components(edges: DataFrame) -> DataFrame:
     """(v, component): the least vertex each vertex of ``edges`` (a, b) reaches.
 

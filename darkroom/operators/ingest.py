@@ -7,14 +7,16 @@ modified_ms, volume_id, file_id, extension, file_class, sha256 and quick_fingerp
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from darkroom.functions import paths
 from darkroom.operators.order import placed
 from darkroom.schema import ANALYSIS_VERSION
-from darkroom.sources.scratch import materialize
+from darkroom.sources.scratch import materialize, owned
 
 
 def prepare_roots(roots: list[str]) -> list[str]:
@@ -238,6 +240,20 @@ def job_group(run_id: int) -> str:
     return f"scan-{run_id}"
 
 
+@contextmanager
+def grouped(spark: SparkSession, run_id: int) -> Iterator[None]:
+    """Jobs of this thread under the group of a run, and after that under what they were before."""
+    context = spark.sparkContext
+    names = ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")
+    before = {name: context.getLocalProperty(name) for name in names}
+    context.setJobGroup(job_group(run_id), f"scan {run_id}", True)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            context.setLocalProperty(name, value)
+
+
 def cancel(spark, run_id: int, runs: DataFrame) -> DataFrame:
     """Stop the run's jobs, which :func:`scan` runs under its group, and mark it cancelled, so that it is not resumed."""
     spark.sparkContext.cancelJobGroup(job_group(run_id))
@@ -269,6 +285,7 @@ def resume(observed: DataFrame, instances: DataFrame, assets: DataFrame, runs: D
     return run_id, out, runs, promote(queue, waiting)
 
 
+@owned
 def scan(
     observed: DataFrame, instances: DataFrame, assets: DataFrame, roots: list[str], run_id: int, now: Column, known: bool = True
 ) -> dict[str, DataFrame]:
@@ -279,7 +296,13 @@ def scan(
     changed files whose fingerprint and hash name a current asset take it at once; the others are
     resolved by hash.  Jobs run under the run's group, see :func:`cancel`.
     """
-    observed.sparkSession.sparkContext.setJobGroup(job_group(run_id), f"scan {run_id}", True)
+    with grouped(observed.sparkSession, run_id):
+        return _scanned(observed, instances, assets, roots, run_id, now, known)
+
+
+def _scanned(
+    observed: DataFrame, instances: DataFrame, assets: DataFrame, roots: list[str], run_id: int, now: Column, known: bool
+) -> dict[str, DataFrame]:
     media, sidecars, counted = route(classified(observed))
     # Each step is written once, as the later ones read it several times.
     state = materialize(with_state(media, instances, assets).withColumn("is_unchanged", unchanged()))

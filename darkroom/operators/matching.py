@@ -11,7 +11,7 @@ from darkroom.functions.vectors import ssim
 from darkroom.operators.graph import components
 from darkroom.operators.ingest import numbered
 from darkroom.schema import DHASH_MAX_DISTANCE, MAX_CLIQUE, PHASH_MAX_DISTANCE, SIMILARITY_THRESHOLD
-from darkroom.sources.scratch import materialize, release
+from darkroom.sources.scratch import materialize, owned, release
 
 
 def best_first(quality: Column, pixels: Column, path: Column) -> list[Column]:
@@ -95,6 +95,7 @@ def hamming_links(
     return met.select("l_rep", "rep").distinct()
 
 
+@owned
 def hamming_join(
     hashes: DataFrame,
     id_: str = "asset_id",
@@ -144,6 +145,7 @@ def incremental_pairs(candidates: DataFrame, new_assets: DataFrame, cached: Data
     return tagged.filter(touched).select("a", "b"), tagged.filter(~touched).select("a", "b").join(cached, ["a", "b"])
 
 
+@owned
 def greedy_cliques(pairs: DataFrame, nodes: DataFrame, most: int = MAX_CLIQUE, held_edges: int = 200_000) -> DataFrame:
     """Cover by cliques: (anchor_id, asset_id, similarity).
 
@@ -308,6 +310,7 @@ def _drafts(found: DataFrame, anchor: Column, kind: str) -> DataFrame:
     )
 
 
+@owned
 def recompute(drafts: DataFrame, groups: DataFrame, members: DataFrame, new_assets: DataFrame | None, run_at: str) -> tuple[DataFrame, DataFrame]:
     """Groups and members after ``drafts`` (see :func:`exact_drafts`) are reconciled with them.
 

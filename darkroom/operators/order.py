@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from darkroom.sources.scratch import materialize
+from darkroom.sources.scratch import materialize, owned
 
 
+@owned
 def placed(rows: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
     """``rows`` with their place from 0 in ``order`` within each ``group`` (none: of all rows) as ``name``.
 

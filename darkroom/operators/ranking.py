@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from darkroom.operators.learning import initial, logistic, unit
 from darkroom.operators.order import placed
 from darkroom.operators.ratings import latest_per_asset
-from darkroom.sources.scratch import materialize
+from darkroom.sources.scratch import materialize, owned
 
 GAPS = (1, 2, 4, 8, 16, 32)
 CHOICES = ("left", "right", "tie", "skip")
 
 
+@owned
 def ranked(scores: DataFrame) -> DataFrame:
     """Ranks of (set_id, asset_id, score): rank_position, percentile, score_gap, rank_bucket, uncertainty_bucket.
 
@@ -132,6 +133,7 @@ def vote_samples(votes: DataFrame, embeddings: DataFrame) -> DataFrame:
     )
 
 
+@owned
 def star_pairs(best: DataFrame) -> DataFrame:
     """(better_id, worse_id, weight) of assets (asset_id, rating) at least two stars apart.
 

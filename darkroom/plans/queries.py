@@ -18,6 +18,7 @@ from darkroom.operators.learning import LinearHead, MlpHead, initial, predict_li
 from darkroom.schema import schema
 from darkroom.sources import library
 from darkroom.sources.library import read
+from darkroom.sources.scratch import owned
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -37,7 +38,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return {name: owned(query) for name, query in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

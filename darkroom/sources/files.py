@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from darkroom.functions import hashing
 from darkroom.operators.ingest import classified, prepare_roots
 from darkroom.schema import ANALYSIS_VERSION
-from darkroom.sources.scratch import materialize
+from darkroom.sources.scratch import materialize, owned
 
 
 def listing(spark: SparkSession, roots: list[str]) -> DataFrame:
@@ -31,6 +31,7 @@ def changed(listed: DataFrame, instances: DataFrame, version: int = ANALYSIS_VER
     return classified(listed).join(known, ["path_key", "size", "modified_ms"], "left_anti")
 
 
+@owned
 def manifest(
     spark: SparkSession, roots: list[str], identities: DataFrame | None = None, instances: DataFrame | None = None, chunk: int = 10_000
 ) -> DataFrame:

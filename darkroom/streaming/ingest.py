@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from darkroom.operators.ingest import insert_ignore, run_counters, scan
+from darkroom.sources.scratch import owned
 from darkroom.sources.store import Store
 
 
+@owned
 def apply_batch(store: Store, batch: DataFrame, epoch: int, now: Column) -> None:
     """One batch as a scan of no root: nothing is marked missing.  A batch seen before changes nothing.
 
