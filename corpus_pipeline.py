@@ -7,14 +7,12 @@ and tables without rows, which give no rows.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from darkroom.llm.common import shared_folder, table
+from darkroom.llm.common import cut_lineage, owned, release, table
 from darkroom.llm.line_dedup import dedup_lines
 from darkroom.llm.ngram_join import one_of_each
 from darkroom.llm.packing import pack
@@ -64,25 +62,25 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
-    ("toxicity", toxicity),
-    ("line_dedup", line_dedup),
-    ("ngram_join", ngram_join),
-    ("substring_dedup", substring_dedup),
-    ("packing", packing),
+    ("toxicity", owned(toxicity)),
+    ("line_dedup", owned(line_dedup)),
+    ("ngram_join", owned(ngram_join)),
+    ("substring_dedup", owned(substring_dedup)),
+    ("packing", owned(packing)),
 ]
 #: The classifier and the packing order have no SQL form; the tests compare with brute force.
 ORACLE_SQL = None
 
 
+@owned
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; each stage's result is written and read again."""
-    folder = f"{shared_folder(spark)}/pipeline-{uuid4().hex}"
+    """All stages over the documents of ``sf_dir``; each stage's result is written, read again, and deleted when the next is there."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        path = os.path.join(folder, name)
-        out.write.parquet(path)
-        docs = spark.read.parquet(path)
+    before = None
+    for _, stage in STAGES:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+        release(before)
+        before = docs
     return docs
 
 

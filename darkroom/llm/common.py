@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from darkroom.sources.scratch import materialize as cut_lineage
-from darkroom.sources.scratch import release, shared_folder, sweep
+from darkroom.sources.scratch import broadcast, owned, release, shared_folder
 
-__all__ = ["cut_lineage", "release", "shared_folder", "sweep"]
+__all__ = ["broadcast", "cut_lineage", "owned", "release", "shared_folder"]
 
 #: ASCII blanks; a word is a run of other characters.
 BLANKS = r"\x20\x09-\x0D"

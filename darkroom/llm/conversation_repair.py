@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.llm.common import cut_lineage
+from darkroom.llm.common import cut_lineage, owned
 
 #: ASCII blanks; a text of these alone is blank.
 BLANK = " \t\n\x0b\x0c\r"
@@ -339,6 +339,7 @@ def _pairs(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows])], ["conv_id", "sha256"])
 
 
+@owned
 def repair_digests(turns: DataFrame, every: DataFrame) -> DataFrame:
     """:func:`reports` with ``repaired_sha256``, the hash of the repaired turns (that of nothing where none is left)."""
     found = cut_lineage(reports(turns, every))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.llm.common import Membership, cut_lineage, map_arrow, membership, release
+from darkroom.llm.common import Membership, broadcast, cut_lineage, map_arrow, membership, owned, release
 from darkroom.llm.links import link, shared_keys
 from darkroom.llm.shingles import mix, signed
 
@@ -221,7 +221,7 @@ def _counts(tasks: DataFrame, threshold: float) -> DataFrame:
 
 
 def _wanted(classes: DataFrame, held: Membership) -> DataFrame:
-    shared = classes.sparkSession.sparkContext.broadcast(held)
+    shared = broadcast(classes.sparkSession, held)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array(shared.value(batch.column("v").to_numpy())))
@@ -229,6 +229,7 @@ def _wanted(classes: DataFrame, held: Membership) -> DataFrame:
     return map_arrow(classes.select("v", F.col("unit").alias("value")), run, "v long, value binary")
 
 
+@owned
 def near_duplicates(
     vectors: DataFrame, threshold: float = 0.9, tables: int = 12, probes: int = 4, per_bucket: int = 1
 ) -> DataFrame:

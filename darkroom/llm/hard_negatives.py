@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +11,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from darkroom.llm.common import cut_lineage, map_arrow, release, shared_folder
+from darkroom.llm.common import cut_lineage, map_arrow, owned, release
 from darkroom.operators.order import placed
+from darkroom.sources.scratch import write, written
 
 #: Components of a subvector, and centroids of a subspace (a code is a byte).
 WIDTH, CENTROIDS = 2, 256
@@ -337,6 +337,7 @@ def _scan(rows: DataFrame, anchors: dict[int, Anchors], add, keys: str, wide: in
     return out
 
 
+@owned
 def hard_negatives(
     vectors: DataFrame,
     anchor: Column,
@@ -379,8 +380,7 @@ def hard_negatives(
     ranked = cut_lineage(placed(rows.filter("anchor").select("size", "vec_id", "label", "exact"), [], [F.col("size"), F.col("vec_id"), F.col("label"), F.col("exact")], "place"))
     count, longest = ranked.agg(F.count(F.lit(1)), F.max("size")).first()
     block = max(1, min(block_rows, BLOCK_BYTES // (4 * max(1, longest or 0))))
-    folder = f"{shared_folder(spark)}/darkroom-{uuid4().hex}"
-    spark.createDataFrame([], SCHEMA).write.parquet(folder)
+    folder = write(spark.createDataFrame([], SCHEMA))
     for start in range(0, count, block):
         anchors = _block(ranked.filter(F.col("place").between(start, start + block - 1)), books)
         found = _scan(rows, anchors, add_positives, "anchor", 1, positives)
@@ -390,7 +390,7 @@ def hard_negatives(
         _append(found, anchors, positives, folder)
         release(found)
     release(rows, ranked)
-    return spark.read.schema(SCHEMA).parquet(folder)
+    return written(spark, SCHEMA, folder)
 
 
 def _block(rows: DataFrame, books: dict[int, np.ndarray]) -> dict[int, Anchors]:
@@ -437,7 +437,7 @@ def _append(found: DataFrame, anchors: dict[int, Anchors], positives: int, folde
         columns = [pa.array(out[0]), pa.array(out[1]), batch.column("rank"), batch.column("id"), pa.array(out[2]), batch.column("score")]
         return pa.RecordBatch.from_arrays(columns, ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"])
 
-    map_arrow(found, run, SCHEMA).write.mode("append").parquet(folder)
+    write(map_arrow(found, run, SCHEMA), folder)
     shared.destroy()
 
 

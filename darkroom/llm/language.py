@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.llm.common import map_arrow, slices
+from darkroom.llm.common import broadcast, map_arrow, slices
 
 UNDETERMINED = "und"
 #: Characters of a text that are hashed at once; neighbouring blocks overlap by the n-gram length.
@@ -153,7 +153,7 @@ def identify(
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds, F.lit(-1))
     sample = training_sample(docs.filter(fold != held_out_fold), rows, rows_per_language, max_chars)
     model = fit([r.text for r in sample], [r.lang for r in sample], **options)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = broadcast(docs.sparkSession, model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         names: list[str] = []

@@ -8,7 +8,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.llm.common import WORD, attach, cut_lineage, free_names, keyed, map_arrow, map_texts, membership, release, texts_of
+from darkroom.llm.common import (
+    WORD,
+    attach,
+    broadcast,
+    cut_lineage,
+    free_names,
+    keyed,
+    map_arrow,
+    map_texts,
+    membership,
+    owned,
+    release,
+    texts_of,
+)
 from darkroom.llm.shingles import mix, signed
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -94,7 +107,7 @@ def positions(docs: DataFrame, min_words: int, repeated: DataFrame) -> DataFrame
     Of a fingerprint at a line all runs that selected it are given; ``run`` is the hash of a run's
     lines, first and last the numbers of its first and last line.
     """
-    held = docs.sparkSession.sparkContext.broadcast(membership(repeated, "v"))
+    held = broadcast(docs.sparkSession, membership(repeated, "v"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         columns: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)] for _ in range(4)]
@@ -149,6 +162,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 3) -> DataFrame:
     return gone
 
 
+@owned
 def dedup_lines(docs: DataFrame, min_words: int = 3, keep_emptied: bool = False, counts: bool = True) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) without later repeated runs of lines.
 

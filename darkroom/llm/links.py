@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.llm.common import Membership, cut_lineage, map_arrow, membership, release, sweep
+from darkroom.llm.common import Membership, cut_lineage, map_arrow, membership, owned, release
 from darkroom.llm.shingles import intersection_size
 from darkroom.operators.graph import components
 
@@ -70,6 +70,7 @@ def jaccard(percent: int) -> Alike:
     return alike
 
 
+@owned
 def link(
     members: DataFrame,
     known_values: Callable[[Membership], DataFrame],
@@ -124,7 +125,6 @@ def link(
                 named = named.join(about.select("v", *known), "v")
         last, live = live, cut_lineage(named.drop("of"))
         release(spans, last if led else None)
-        sweep(live.sparkSession)
         if live.isEmpty():
             break
         other = live.filter(F.col("place") * F.col("m") < leaders)
@@ -155,7 +155,6 @@ def _tested(
     values = cut_lineage(values.groupBy("v").agg(F.first("value").alias("value")))
     found = verified(pairs, values, alike)
     release(pairs, ends, values)
-    sweep(found.sparkSession)
     return found
 
 

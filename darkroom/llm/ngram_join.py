@@ -11,7 +11,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.llm.common import Membership, cut_lineage, keyed, map_arrow, map_texts, membership, release, slices, sweep, texts_of, without
+from darkroom.llm.common import (
+    Membership,
+    broadcast,
+    cut_lineage,
+    keyed,
+    map_arrow,
+    map_texts,
+    membership,
+    owned,
+    release,
+    slices,
+    texts_of,
+    without,
+)
 from darkroom.llm.links import SKETCH, jaccard, link, long_sketch, most_apart, parity_sketch
 from darkroom.llm.shingles import mix, shingle_set, signed, word_hashes
 
@@ -125,9 +138,9 @@ def _members(docs: DataFrame, rows: DataFrame, length: int, percent: int) -> Dat
     that occur twice thin out, by a bitmap, the keys that are made again and shuffled with their
     sets.  Keys are nowhere kept, as they would outweigh the texts.
     """
-    context = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     first = cut_lineage(rows.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("row").alias("row")).select("row"))
-    one = context.broadcast(membership(first, "row"))
+    one = broadcast(spark, membership(first, "row"))
     release(first)
     counted = np.uint64((1 << COUNTED_BITS) - 1)
 
@@ -142,8 +155,7 @@ def _members(docs: DataFrame, rows: DataFrame, length: int, percent: int) -> Dat
     columns = docs.select("row", "text")
     shared = map_texts(columns, plain, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("times"))
     shared = cut_lineage(shared.filter("times > 1").select("key"))
-    sweep(docs.sparkSession)
-    held = context.broadcast(membership(shared, "key", 64))
+    held = broadcast(spark, membership(shared, "key", 64))
 
     def thin(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, owners = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
@@ -169,15 +181,15 @@ def _sets(docs: DataFrame, rows: DataFrame, length: int, wanted: Membership) ->
 
     Only texts whose set is wanted, again by a bitmap, are split into words once more.
     """
-    context = docs.sparkSession.sparkContext
-    held = context.broadcast(wanted)
+    spark = docs.sparkSession
+    held = broadcast(spark, wanted)
 
     def known(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = held.value(batch.column("set_id").to_numpy(zero_copy_only=False))
         return pa.RecordBatch.from_arrays([batch.column("text_id").filter(pa.array(keep))], ["text_id"])
 
     of_texts = cut_lineage(map_arrow(rows.filter("set_id IS NOT NULL").select("text_id", "set_id"), known, "text_id long"))
-    texts = context.broadcast(membership(of_texts, "text_id"))
+    texts = broadcast(spark, membership(of_texts, "text_id"))
     release(of_texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,6 +212,7 @@ def _sets(docs: DataFrame, rows: DataFrame, length: int, wanted: Membership) ->
     return docs.select("text_id", "text").mapInArrow(run, "v long, value binary")
 
 
+@owned
 def jaccard_components(docs: DataFrame, length: int = 3, percent: int = 90) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of at least ``percent``.
 
@@ -215,6 +228,7 @@ def jaccard_components(docs: DataFrame, length: int = 3, percent: int = 90) -> D
     return _components(docs, length, percent).select("doc_id", "n_shingles", "component_id")
 
 
+@owned
 def one_of_each(docs: DataFrame, length: int = 3, percent: int = 90) -> DataFrame:
     """``docs`` with one document of each component, that of the least doc_id (then text hash).
 
@@ -237,7 +251,6 @@ def _components(docs: DataFrame, length: int, percent: int) -> DataFrame:
     members = _members(docs, rows, length, percent)
     about = rows.filter("sketch IS NOT NULL").groupBy(F.col("set_id").alias("v"))
     about = cut_lineage(about.agg(*(F.first(c).alias(c) for c in ("n", *SKETCH, "sketch"))))
-    sweep(docs.sparkSession)
     labels = link(members, lambda wanted: _sets(docs, rows, length, wanted), jaccard(percent), percent, about)
     release(members, about)
     named = rows.select("doc_id", "text_id", F.col("n").alias("n_shingles"), "set_id")

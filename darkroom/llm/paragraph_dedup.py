@@ -7,7 +7,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.llm.common import WORD, Membership, attach, cut_lineage, free_names, keyed, map_arrow, map_texts, membership, release, sweep, texts_of
+from darkroom.llm.common import (
+    WORD,
+    Membership,
+    attach,
+    broadcast,
+    cut_lineage,
+    free_names,
+    keyed,
+    map_arrow,
+    map_texts,
+    membership,
+    owned,
+    release,
+    texts_of,
+)
 from darkroom.llm.links import SKETCH, jaccard, link, parity_sketch, shared_keys
 from darkroom.llm.shingles import WORDS, mix, runs, signed
 
@@ -234,8 +248,8 @@ def _members(units: DataFrame, shared: DataFrame, held) -> DataFrame:
 
 def _sets(docs: DataFrame, units: DataFrame, min_words: int, block_words: int, wanted: Membership) -> DataFrame:
     """(v, value, n, s0 to s7): shingles, their number and parity sketch of the paragraphs that ``wanted`` may hold."""
-    context = docs.sparkSession.sparkContext
-    held = context.broadcast(wanted)
+    spark = docs.sparkSession
+    held = broadcast(spark, wanted)
 
     def known(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, rows = _flat(batch.column("p_id"))
@@ -243,7 +257,7 @@ def _sets(docs: DataFrame, units: DataFrame, min_words: int, block_words: int, w
         return pa.RecordBatch.from_arrays([batch.column("text_id").take(pa.array(some))], ["text_id"])
 
     of_texts = cut_lineage(map_arrow(units.select("text_id", "p_id"), known, "text_id long"))
-    texts = context.broadcast(membership(of_texts, "text_id"))
+    texts = broadcast(spark, membership(of_texts, "text_id"))
     release(of_texts)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -303,9 +317,9 @@ def _occurrences(units: DataFrame, block_words: int, held, near) -> DataFrame:
 def _surroundings(docs: DataFrame, reach: int, places: DataFrame) -> DataFrame:
     """(text_id, at, before, after): hashes of up to ``reach`` words on both sides of word ``at``, for
     at least the (text_id, at) of ``places``."""
-    context = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     spots = cut_lineage(places.select("text_id", F.col("text_id").bitwiseXOR(F.col("at")).alias("spot")))
-    texts, held = context.broadcast(membership(spots, "text_id")), context.broadcast(membership(spots, "spot", 64))
+    texts, held = broadcast(spark, membership(spots, "text_id")), broadcast(spark, membership(spots, "spot", 64))
     release(spots)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -413,6 +427,7 @@ def _extensions(docs: DataFrame, later: DataFrame, reach: int) -> DataFrame:
     return out
 
 
+@owned
 def repeated_passages(docs: DataFrame, min_words: int = 20, block_words: int = 25, percent: int = 80) -> DataFrame:
     """Passages of ``docs`` (doc_id, text) that another place holds already.
 
@@ -432,18 +447,17 @@ def repeated_passages(docs: DataFrame, min_words: int = 20, block_words: int = 2
     empty texts have no passages; extra columns are ignored; an empty table gives no rows.
     """
     docs = keyed(docs)
-    context = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     units = cut_lineage(_units(docs, min_words, block_words))
     shared = shared_keys(_places(units))
-    held = context.broadcast(membership(shared, "key"))
+    held = broadcast(spark, membership(shared, "key"))
     members = _members(units, shared, held)
     release(shared)
-    sweep(docs.sparkSession)
     sets = _sets(docs, units, min_words, block_words, membership(members, "v"))
     sets = cut_lineage(sets.groupBy("v").agg(*(F.first(c).alias(c) for c in ("value", "n", *SKETCH))))
     labels = link(members, lambda wanted: sets.select("v", "value"), jaccard(percent), percent, sets.select("v", "n", *SKETCH))
     release(members, sets)
-    near = context.broadcast(membership(labels, "v"))
+    near = broadcast(spark, membership(labels, "v"))
     found = _occurrences(units, block_words, held, near).join(labels, "v", "left")
     found = cut_lineage(found.withColumn("component", F.coalesce("component", "v")).drop("v"))
     release(labels)
@@ -482,7 +496,7 @@ def _copies(units: DataFrame, min_words: int) -> DataFrame:
 def _runs(units: DataFrame, spans: DataFrame) -> DataFrame:
     """Join overlapping and touching spans of a text that one document keeps, and part them by line."""
     of_text = spans.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("start", "end", "component", "kept")).alias("spans"))
-    held = spans.sparkSession.sparkContext.broadcast(membership(spans, "text_id"))
+    held = broadcast(spans.sparkSession, membership(spans, "text_id"))
 
     def known(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array(held.value(batch.column("text_id").to_numpy(zero_copy_only=False))))
@@ -548,6 +562,7 @@ def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     return rewritten.filter(some).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+@owned
 def dedup_passages(docs: DataFrame, **options) -> DataFrame:
     """Documents without the passages that an earlier place holds (see :func:`repeated_passages`).
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.llm.common import cut_lineage, release
+from darkroom.llm.common import cut_lineage, owned, release
 
 #: Frequent short words of some languages, the bins of the common-word histogram.
 COMMON_WORDS: tuple[str, ...] = (
@@ -128,60 +128,78 @@ def js_distance(p: str, q: str) -> str:
     return f"sqrt(greatest(0D, 0.5D * aggregate({terms}, 0D, (a, x) -> a + x)))"
 
 
-def references(features: DataFrame, min_share: float, min_documents: int) -> dict[str, tuple[list[int], list[int]]]:
-    """Summed histograms of languages, from their documents that pass the base rules.
+N_CLASSES, N_COMMONS = len(CHARACTER_CLASSES) + 1, len(COMMON_WORDS) + 1
 
-    A language has a reference if those are at least ``min_documents`` and at least ``min_share`` of
-    all that pass, so that there are at most 1 / ``min_share`` references, and a few bad documents
-    under a label of their own, or under none, make no standard.
+
+def references(features: DataFrame, shrinkage: float) -> DataFrame:
+    """(lang, n, ref_classes, ref_commons): a reference for every language, and one of the whole corpus, whose lang is null.
+
+    A language's is the sum of the histograms of its documents that pass the base rules and of
+    ``shrinkage`` average documents of the corpus that do, so that a few documents under a label of
+    their own make no standard by themselves, and their label counts for more the more there are.
     """
-    n_classes, n_commons = len(CHARACTER_CLASSES) + 1, len(COMMON_WORDS) + 1
-    sums = [F.sum(F.col("classes")[i]).alias(f"k{i}") for i in range(n_classes)]
-    sums += [F.sum(F.col("commons")[i]).alias(f"w{i}") for i in range(n_commons)]
+    sums = [F.sum(F.col("classes")[i]).alias(f"k{i}") for i in range(N_CLASSES)]
+    sums += [F.sum(F.col("commons")[i]).alias(f"w{i}") for i in range(N_COMMONS)]
     by_language = cut_lineage(features.filter(~F.col("base_failed")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *sums))
-    least = max(min_documents, min_share * (by_language.agg(F.sum("n")).first()[0] or 0))
-    rows = by_language.filter(F.col("lang").isNotNull() & (F.col("n") >= least)).collect()
+    names = ["n", *(f"k{i}" for i in range(N_CLASSES)), *(f"w{i}" for i in range(N_COMMONS))]
+    whole = by_language.agg(*(F.sum(c).alias(f"all_{c}") for c in names))  # one row
+    mixed = {c: F.col(c) + shrinkage * F.col(f"all_{c}") / F.col("all_n") for c in names[1:]}
+    joined = by_language.filter("lang IS NOT NULL").crossJoin(F.broadcast(whole)).withColumns(mixed).select("lang", *names)
+    everything = whole.filter("all_n > 0").select(
+        F.lit(None).cast("string").alias("lang"), F.lit(0).cast("long").alias("n"), *(F.col(f"all_{c}").cast("double").alias(c) for c in names[1:])
+    )
+    found = joined.unionByName(everything)
+    out = cut_lineage(
+        found.select(
+            "lang", "n", F.array(*(f"k{i}" for i in range(N_CLASSES))).alias("ref_classes"), F.array(*(f"w{i}" for i in range(N_COMMONS))).alias("ref_commons")
+        )
+    )
     release(by_language)
-    return {r["lang"]: ([r[f"k{i}"] for i in range(n_classes)], [r[f"w{i}"] for i in range(n_commons)]) for r in rows}
+    return out
 
 
-def nearest(column: str, references: list[list[int]]) -> Column:
+def nearest(column: str, references: list[list[float]]) -> Column:
     """The smallest distance to any reference."""
-    literal = ", ".join(f"array({', '.join(f'{n}L' for n in r)})" for r in references)
+    literal = ", ".join(f"array({', '.join(f'{n!r}D' for n in r)})" for r in references)
     return F.expr(f"array_min(transform(array({literal}), r -> {js_distance(column, 'r')}))")
 
 
+@owned
 def quality_rules(
     docs: DataFrame,
     max_class_distance: float = 0.30,
     max_word_distance: float = 0.62,
     min_words: int = 50,
     max_repeat_percent: int = 50,
-    min_share: float = 0.01,
-    min_documents: int = 5,
+    shrinkage: float = 5.0,
+    common: int = 16,
 ) -> DataFrame:
     """Base counts and a verdict on every document of ``docs`` (doc_id, text, lang).
 
     base_failed: fewer than ``min_words`` words, or more than ``max_repeat_percent`` of them
     repeated.  Other documents are kept if both their histograms lie within the given
-    Jensen-Shannon distances of some language's reference (see :func:`references`); a reference
-    sums the corpus's own documents of a language that pass the base rules.  ``min_words`` is also
-    the guard below which no distance is judged, as short texts stray far by chance.  A document of
-    a language that has no reference (its documents are fewer than ``min_share`` of all) is judged
-    by the base rules alone, as others' references say nothing about it; one without a language is
-    judged by all references, if there are any.  Null texts have no words; repeated rows are judged
+    Jensen-Shannon distances of a reference (see :func:`references`): that of their own language, however
+    few documents it has, that of the whole corpus, or one of the ``common`` languages with most documents, as labels may be
+    missing or wrong.  ``min_words`` is also the guard below which no distance is judged, as short
+    texts stray far by chance.  Null texts have no words; repeated rows are judged
     each; extra columns are ignored; an empty table gives no rows.
     """
     base_failed = (F.col("n_words") < min_words) | (
         100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")
     )
     features = cut_lineage(histograms(base_counts(docs, "lang")).withColumn("base_failed", base_failed))
-    found = references(features, min_share, min_documents)
+    found = references(features, shrinkage)
+    ranked = found.orderBy(F.col("lang").isNotNull(), F.desc("n"), "lang").limit(common + 1).collect()  # the corpus, then languages
     near = near_words = F.lit(0.0)
-    if found:
-        judged = ~F.col("base_failed") & (F.col("lang").isNull() | F.col("lang").isin(list(found)))
-        near = F.when(judged, nearest("classes", [r[0] for r in found.values()]))
-        near_words = F.when(judged, nearest("commons", [r[1] for r in found.values()]))
+    if ranked:
+        judged = ~F.col("base_failed")
+        near = F.when(judged, nearest("classes", [r["ref_classes"] for r in ranked]))
+        near_words = F.when(judged, nearest("commons", [r["ref_commons"] for r in ranked]))
+    if len(ranked) > common:
+        rare = found.filter(F.col("lang").isNotNull() & ~F.col("lang").isin([r["lang"] for r in ranked[1:]]))
+        features = features.join(rare.select("lang", "ref_classes", "ref_commons"), "lang", "left")
+        own = lambda column: F.when(judged & F.col(f"ref_{column}").isNotNull(), F.expr(js_distance(column, f"ref_{column}")))
+        near, near_words = F.least(near, own("classes")), F.least(near_words, own("commons"))
     return features.select(
         "doc_id",
         "n_words",
@@ -216,8 +234,8 @@ def _oracle() -> str:
     texts = ["t", *(f"x{k}" for k in range(len(CHARACTER_CLASSES)))]
     classes = ", ".join(f"length({a}) - length({b})" for a, b in zip(texts, texts[1:]))
     commons = ", ".join(f"len(list_filter(words, lambda w: lower(w) = '{c}'))" for c in COMMON_WORDS)
-    n_classes, n_commons = len(CHARACTER_CLASSES) + 1, len(COMMON_WORDS) + 1
     sums = lambda column, n: "[" + ", ".join(f"sum({column}[{i}])" for i in range(1, n + 1)) + "]"
+    mixed = lambda column, n: "[" + ", ".join(f"s.{column}[{i}] + 5.0 * a.{column}[{i}] / a.n" for i in range(1, n + 1)) + "]"
     return rf"""
 WITH base AS (
   SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
@@ -233,12 +251,17 @@ WITH base AS (
     coalesce(again.n, 0)::BIGINT AS n_repeat_words, [{classes}, length({rest})] AS k, [{commons}] AS c FROM {f"r{len(CHARACTER_CLASSES) - 1}"} LEFT JOIN again USING (doc_id)
 ), judged AS (
   SELECT *, list_append(c, n_words - list_sum(c)) AS w, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
+), summed AS (
+  SELECT lang, count(*) AS n, {sums("k", N_CLASSES)} AS k, {sums("w", N_COMMONS)} AS w FROM judged WHERE NOT base_failed GROUP BY lang
+), whole AS (
+  SELECT count(*) AS n, {sums("k", N_CLASSES)} AS k, {sums("w", N_COMMONS)} AS w FROM judged WHERE NOT base_failed
 ), refs AS (
-  SELECT lang, {sums("k", n_classes)} AS k, {sums("w", n_commons)} AS w FROM judged WHERE NOT base_failed GROUP BY lang
-  HAVING lang IS NOT NULL AND count(*) >= greatest(5, 0.01 * (SELECT count(*) FROM judged WHERE NOT base_failed))
+  SELECT s.lang, {mixed("k", N_CLASSES)} AS k, {mixed("w", N_COMMONS)} AS w, row_number() OVER (ORDER BY s.n DESC, s.lang) AS place
+  FROM summed s CROSS JOIN whole a WHERE s.lang IS NOT NULL
+  UNION ALL SELECT NULL, k, w, 0 FROM whole WHERE n > 0
 ), near AS (
   SELECT j.doc_id, min({_distance_sql("j.k", "r.k")}) AS class_distance, min({_distance_sql("j.w", "r.w")}) AS word_distance
-  FROM judged j CROSS JOIN refs r WHERE NOT j.base_failed AND (j.lang IS NULL OR j.lang IN (SELECT lang FROM refs)) GROUP BY j.doc_id
+  FROM judged j JOIN refs r ON r.place <= 16 OR r.lang = j.lang WHERE NOT j.base_failed GROUP BY j.doc_id
 )
 SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance,
   NOT base_failed AND coalesce(class_distance, 0) <= 0.30 AND coalesce(word_distance, 0) <= 0.62 AS kept FROM judged j LEFT JOIN near USING (doc_id)

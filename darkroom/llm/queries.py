@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from darkroom.llm.byte_bpe import encode_decode
 from darkroom.llm.chat_format import ORACLE as CHAT_FORMAT_SQL
 from darkroom.llm.chat_format import canonical_turns, digests, format_turns, read_back, records_of
-from darkroom.llm.common import table
+from darkroom.llm.common import owned, table
 from darkroom.llm.conversation_repair import ORACLE as CONVERSATION_REPAIR_SQL
 from darkroom.llm.conversation_repair import repair_digests
 from darkroom.llm.embedding_dedup import near_duplicates
@@ -102,7 +102,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    found = {
         "op1_toxicity": op1_toxicity,
         "op2_packing": op2_packing,
         "op3_token_counts": op3_token_counts,
@@ -117,6 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op12_chat_format": op12_chat_format,
         "op13_conversation_repair": op13_conversation_repair,
     }
+    return {name: owned(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.llm.common import map_arrow, slices
+from darkroom.llm.common import broadcast, map_arrow, slices
 
 SENTENCE_END = re.compile(r"[.!?\n]+")
 WORD = re.compile(r"\w+")
@@ -276,16 +276,18 @@ def _calibrate(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 
 def training_sample(
-    docs: DataFrame, labels: DataFrame, rows_per_class: int, max_bytes: int
+    docs: DataFrame, labels: DataFrame, rows_per_class: int, max_chars: int
 ) -> tuple[list[str], list[int]]:
     """A bounded sample of labelled texts for the driver.
 
     ``labels`` has one (doc_id, toxic) row per document.  Of each class the ``2 * rows_per_class``
-    rows of the smallest id hash are broadcast to the documents, so that no text is shuffled; of
-    the texts found that have at most ``max_bytes`` bytes the first ``rows_per_class`` are kept.
-    Rows without text or label are no examples.
+    rows of the smallest id hash are broadcast to the documents, so that no text is shuffled; the
+    first ``rows_per_class`` of the texts found are kept, of a longer text than ``max_chars`` characters a
+    piece of that length, from a place chosen by the id's hash.  Rows without text or label are no
+    examples.
     """
     place = F.xxhash64("doc_id", F.lit("toxicity"))
+    start = F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.greatest(F.length("text") - max_chars, F.lit(0)) + 1) + 1
     chosen = None
     for value in (0, 1):
         some = labels.filter(F.col("toxic") == value).select("doc_id", "toxic", place.alias("h"))
@@ -293,9 +295,9 @@ def training_sample(
         chosen = some if chosen is None else chosen.unionAll(some)
     found = (
         docs.select("doc_id", "text")
-        .filter(F.octet_length("text") <= max_bytes)
+        .filter(F.col("text").isNotNull())
         .join(F.broadcast(chosen), "doc_id")
-        .select("text", "toxic", "h")
+        .select(F.col("text").substr(start.cast("int"), F.lit(max_chars)).alias("text"), "toxic", "h")
         .collect()
     )
     texts: list[str] = []
@@ -312,7 +314,7 @@ def score(docs: DataFrame, model: ToxicityModel, keep: Sequence[str] = ()) -> Da
 
     The model, of fixed size, is broadcast.  A null text is scored as an empty one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = broadcast(docs.sparkSession, model)
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema if f.name != "text")
 
@@ -332,7 +334,7 @@ def fit_on(
     docs: DataFrame,
     labels: DataFrame,
     rows_per_class: int = 3000,
-    max_bytes: int = 8192,
+    max_chars: int = 32_768,
     folds: int = 5,
     held_out_fold: int = 0,
     **options,
@@ -340,7 +342,7 @@ def fit_on(
     """Fit on the labelled documents outside the held-out fold, crc32(doc_id) mod ``folds``."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
     known = labels.filter(fold != held_out_fold).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return fit(*training_sample(docs, known, rows_per_class, max_bytes), **options)
+    return fit(*training_sample(docs, known, rows_per_class, max_chars), **options)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -363,7 +365,7 @@ def clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     all labels are toxic.  Repeated rows are judged each; without usable labels all stay; an empty
     table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit_on(docs, labels, **options))
+    shared = broadcast(docs.sparkSession, fit_on(docs, labels, **options))
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names of any kind pass through
     text = f"c{docs.columns.index('text')}"
 

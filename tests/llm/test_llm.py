@@ -70,6 +70,35 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.clean(odd, labels.limit(0)).columns == odd.columns
 
 
+def test_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(3)
+    groups = [["a", "gay", "idiot"], ["people", "talk"], ["a", "straight", "people"], ["moron"]]
+    data = toxicity._Sentences(groups, 8)
+    label, weights, step = np.array([1.0, 0.0, 0.0, 1.0]), rng.normal(size=256), 1e-6
+
+    def loss(w):  # logistic, and a squared change between two sentences
+        z = data.sums(w)
+        return np.logaddexp(0, np.where(label == 1, -z, z)).sum() + (z[0] - z[2]) ** 2
+
+    z = data.sums(weights)
+    error = 1 / (1 + np.exp(-z)) - label
+    error[0] += 2 * (z[0] - z[2])
+    error[2] -= 2 * (z[0] - z[2])
+    slope = data.gradient(error)
+    for k in np.flatnonzero(slope)[:12]:
+        e = np.eye(256)[k] * step
+        assert abs((loss(weights + e) - loss(weights - e)) / (2 * step) - slope[k]) < 1e-4
+
+
+def test_long_labelled_texts_are_examples(spark):
+    long = "you are an idiot here. " * 4000
+    docs = documents(spark, [long] * 8 + ["the day is fine here", "we read a book now"] * 20)
+    labels = docs.select("doc_id", (F.col("doc_id") < 8).cast("int").alias("toxic"))
+    texts, kept = toxicity.training_sample(docs, labels, 100, 500)
+    assert sum(kept) == 8 and max(map(len, texts)) == 500 and all(t in long for t in texts if len(t) == 500)
+    assert len(set(t for t in texts if len(t) == 500)) > 1
+
+
 def test_counterfactual_penalty_pulls_group_terms_together():
     texts = ["gay idiot people", "gay moron people", "straight people talk", "people talk a lot"] * 10
     labels = [1, 1, 0, 0] * 10
@@ -626,16 +655,19 @@ def test_quality_verdict_by_brute_force(spark):
         part = lambda x: (x[x > 0] * np.log2(x[x > 0] / m[x > 0])).sum()
         return np.sqrt(max(0.0, (part(p) + part(q)) / 2))
 
-    got = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
-    passed = [i for i in range(len(texts)) if not got[i].base_failed]
-    sums = {lang: [sum(h) for h in zip(*(counts(texts[i]) for i in passed if langs[i] == lang))] for lang in ("en", "de")}
-    for i in passed:
-        near = [min(distance(h, r[k]) for r in sums.values()) for k, h in enumerate(counts(texts[i]))]
-        want = langs[i] == "xx" or (near[0] <= 0.30 and near[1] <= 0.62)
-        assert got[i].kept == want, (i, near)
-        if langs[i] != "xx":
+    for common in (16, 1):  # with one common language, others meet their own by a join
+        got = {r.doc_id: r for r in quality_rules.quality_rules(docs, common=common).collect()}
+        passed = [i for i in range(len(texts)) if not got[i].base_failed]
+        total = [sum(h) for h in zip(*(counts(texts[i]) for i in passed))]
+        of = {lang: [i for i in passed if langs[i] == lang] for lang in ("en", "de", "xx")}
+        refs = {lang: [sum(h) + 5 * t / len(passed) for h, t in zip(zip(*(counts(texts[i]) for i in some)), total)] for lang, some in of.items()}
+        most = sorted(refs, key=lambda lang: (-len(of[lang]), lang))[:common]
+        for i in passed:
+            met = [total, *(refs[lang] for lang in {*most, langs[i]} - {None})]
+            near = [min(distance(h, r[k]) for r in met) for k, h in enumerate(counts(texts[i]))]
             assert abs(got[i].class_distance - near[0]) < 1e-9 and abs(got[i].word_distance - near[1]) < 1e-9
-    assert not any(got[i].kept for i in range(61, 68)) and got[68].kept  # unlabelled junk sets no standard
+            assert got[i].kept == (near[0] <= 0.30 and near[1] <= 0.62), (i, near)
+        assert not any(got[i].kept for i in range(60, 68)) and got[68].kept  # junk sets no standard, under whatever label
 
 
 def test_js_distance(spark):
