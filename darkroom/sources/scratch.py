@@ -234,7 +234,3 @@ def reap() -> None:
         else:
             left.append((spark, path, reference))
     _READ[:] = left
-
-
-def sweep(spark: SparkSession) -> None:
-    """Nothing to do: see ``WHILE_WRITING``."""
