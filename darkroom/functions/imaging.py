@@ -14,7 +14,18 @@ from pyspark.sql import DataFrame
 from darkroom.functions.jpeg import decode_jpeg, encode_jpeg
 from darkroom.schema import PHASH_EDGE, SIMILARITY_EDGE, THUMB_EDGE
 
-LUMA = np.array([0.299, 0.587, 0.114])
+#: Ten-thousandths of red, green and blue in the grey of a pixel.
+LUMA = np.array([2126, 7152, 722])
+
+
+def luma8(colour: np.ndarray) -> np.ndarray:
+    """8-bit greys of 8-bit colours, as whole numbers in floats."""
+    return (eight_bit(colour).astype(np.int64) @ LUMA // 10_000).astype(float)
+
+
+def eight_bit(pixels: np.ndarray) -> np.ndarray:
+    """The nearest whole numbers from 0 to 255, as what follows compares pixels exactly."""
+    return np.clip(np.floor(pixels + 0.5), 0, 255)
 
 
 def encode_png(grey: np.ndarray) -> bytes:
@@ -51,7 +62,7 @@ def decode_png(data: bytes, colour: bool = False) -> np.ndarray:
     pixels = out.reshape(height, width, channels).astype(float)
     if colour:
         return pixels[:, :, :3] if channels > 2 else np.repeat(pixels[:, :, :1], 3, axis=2)
-    return pixels[:, :, 0] if channels < 3 else pixels[:, :, :3] @ LUMA
+    return pixels[:, :, 0] if channels < 3 else luma8(pixels[:, :, :3])
 
 
 def _unfilter(kind: int, row: np.ndarray, up: np.ndarray, step: int) -> np.ndarray:
@@ -78,7 +89,10 @@ def decode(data: bytes, colour: bool = False) -> np.ndarray:
     """Grey values 0 to 255, or with ``colour`` red, green and blue, of an 8-bit PNG or sequential JPEG, or of
     what an installed Pillow reads; else ValueError."""
     try:
-        return decode_png(data, colour) if data.startswith(b"\x89PNG") else decode_jpeg(data, colour)
+        if data.startswith(b"\x89PNG"):
+            return decode_png(data, colour)
+        pixels = eight_bit(decode_jpeg(data, True))
+        return pixels if colour else luma8(pixels)
     except ValueError as error:
         try:
             from PIL import Image
@@ -86,7 +100,12 @@ def decode(data: bytes, colour: bool = False) -> np.ndarray:
             raise error from None
     with Image.open(io.BytesIO(data)) as image:
         pixels = np.asarray(image.convert("RGB"), dtype=float)
-        return pixels if colour else pixels @ LUMA
+        return pixels if colour else luma8(pixels)
+
+
+def shrunk(grey: np.ndarray, height: int, width: int) -> np.ndarray:
+    """:func:`resize` to 8-bit pixels."""
+    return eight_bit(resize(grey, height, width))
 
 
 def resize(grey: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -119,14 +138,14 @@ def _bits(flags: np.ndarray) -> int:
 
 def difference_hash(grey: np.ndarray) -> int:
     """64 bits: pixels of a 9 by 8 image brighter than their right neighbour."""
-    small = resize(grey, 8, 9)
+    small = shrunk(grey, 8, 9)
     return _bits(small[:, :-1] > small[:, 1:])
 
 
 def perceptual_hash(grey: np.ndarray) -> int:
     """63 bits: low-frequency coefficients, without the first, above their mean."""
-    low = dct2(resize(grey, PHASH_EDGE, PHASH_EDGE))[:8, :8].ravel()[1:]
-    return _bits(low > low.mean())
+    low = np.round(dct2(shrunk(grey, PHASH_EDGE, PHASH_EDGE) / 255)[:8, :8].ravel()[1:], 9)  # equal pixels give equal bits
+    return _bits(low > low.mean() + 1e-12)
 
 
 def sharpness(grey: np.ndarray) -> float:
@@ -148,14 +167,14 @@ def quality(buffer: np.ndarray, width: int, height: int) -> float:
 
 
 def similarity_buffer(grey: np.ndarray) -> np.ndarray:
-    return resize(grey, SIMILARITY_EDGE, SIMILARITY_EDGE)
+    return shrunk(grey, SIMILARITY_EDGE, SIMILARITY_EDGE)
 
 
 def thumbnail(grey: np.ndarray) -> np.ndarray:
     """Fitted into a square, never enlarged."""
     height, width = grey.shape
     scale = min(1.0, THUMB_EDGE / max(height, width))
-    return resize(grey, max(1, round(height * scale)), max(1, round(width * scale)))
+    return shrunk(grey, max(1, round(height * scale)), max(1, round(width * scale)))
 
 
 FEATURES = (

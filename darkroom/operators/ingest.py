@@ -294,7 +294,8 @@ def scan(
     ``observed`` has path, size, modified_ms, volume_id, file_id, quick_fingerprint and sha256.
     Precedence is unchanged, same-volume move, known content, cross-volume move, new.  With ``known``,
     changed files whose fingerprint and hash name a current asset take it at once; the others are
-    resolved by hash.  Jobs run under the run's group, see :func:`cancel`.
+    resolved by hash.  A changed file without a hash could not be read: it is listed with its ``error``,
+    counts as seen, and changes nothing.  Jobs run under the run's group, see :func:`cancel`.
     """
     with grouped(observed.sparkSession, run_id):
         return _scanned(observed, instances, assets, roots, run_id, now, known)
@@ -307,7 +308,8 @@ def _scanned(
     # Each step is written once, as the later ones read it several times.
     state = materialize(with_state(media, instances, assets).withColumn("is_unchanged", unchanged()))
     same = state.filter("is_unchanged").withColumn("asset_id", F.col("known_asset_id"))
-    changed = state.filter(~F.col("is_unchanged"))
+    changed = state.filter(~F.col("is_unchanged") & F.col("sha256").isNotNull())
+    failed = state.filter(~F.col("is_unchanged") & F.col("sha256").isNull())
     moves = same_volume_moves(changed.filter("instance_id IS NULL"), instances).withColumn("change_type", F.lit("same_volume_move"))
     if known:
         hits, misses = known_content(changed, assets)
@@ -352,4 +354,7 @@ def _scanned(
         "files": files.select("path_key", "instance_id", "asset_id", "disposition", "change_type"),
         "sidecar_files": sidecars.select(F.lit(run_id).cast("long").alias("scan_run_id"), "path_key", "path", "extension"),
         "unknown_formats": unknown_formats(counted),
+        "failed_files": failed.select(
+            F.lit(run_id).cast("long").alias("scan_run_id"), "path_key", "path", F.col("error") if "error" in failed.columns else F.lit(None).cast("string").alias("error")
+        ),
     }

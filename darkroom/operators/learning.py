@@ -79,10 +79,16 @@ class LinearHead:
         return cls(np.array(held["weights"]), held["bias"])
 
 
-def initial(shape: tuple[int, ...], scale: float) -> np.ndarray:
-    """Reproducible start weights: sines of multiples of the golden section."""
+def initial(shape: tuple[int, ...], scale: float, before: int = 0) -> np.ndarray:
+    """Reproducible start weights: sines of multiples of the golden section, from number ``before`` on."""
     n = int(np.prod(shape))
-    return (np.sin((np.arange(n) + 1) * 0.618034) * scale).reshape(shape)
+    return (np.sin((np.arange(before, before + n) + 1) * 0.618034) * scale).reshape(shape)
+
+
+def start_weights(hidden: int, dimension: int, scales: tuple[float, float], before: tuple[int, int] = (0, 0)) -> tuple[np.ndarray, np.ndarray]:
+    """Both layers of a net with one output; the second goes on behind the first, scales shrink with the number of inputs."""
+    one = initial((hidden, dimension), np.sqrt(2 / max(1, dimension)) * scales[0], before[0])
+    return one, initial((hidden,), np.sqrt(2 / max(1, hidden)) * scales[1], hidden * dimension + before[1])
 
 
 @dataclass
@@ -97,7 +103,8 @@ class MlpHead:
     @classmethod
     def new(cls, dimension: int) -> MlpHead:
         hidden = int(np.clip(dimension // 24, 8, 32))
-        return cls(initial((hidden, dimension), 0.1), np.zeros(hidden), initial((hidden,), 0.2), 0.0)
+        one, two = start_weights(hidden, dimension, (0.35, 0.35))  # fixed values
+        return cls(one, np.zeros(hidden), two, 0.0)
 
     @classmethod
     def train(cls, x: np.ndarray, rating: np.ndarray, epochs: int = 140, rate: float = 0.03, decay: float = 0.0005):

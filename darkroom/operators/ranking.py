@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.operators.learning import initial, logistic, unit
+from darkroom.operators.learning import logistic, start_weights, unit
 from darkroom.operators.order import placed
 from darkroom.operators.ratings import latest_per_asset
 from darkroom.sources.scratch import materialize, owned
@@ -202,7 +202,8 @@ class PairwiseNet:
     @classmethod
     def new(cls, dimension: int) -> PairwiseNet:
         hidden = int(np.clip(dimension // 16, 16, 64))
-        return cls(initial((hidden, dimension), 0.08), np.zeros(hidden), initial((hidden,), 0.12), 0.0)
+        one, two = start_weights(hidden, dimension, (0.28, 0.25), (97, 193))  # fixed values
+        return cls(one, np.zeros(hidden), two, 0.0)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return np.maximum(unit(x) @ self.w1.T + self.b1, 0) @ self.w2 + self.b2

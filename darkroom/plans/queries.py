@@ -218,17 +218,17 @@ def linear_predict_buckets(spark, sf_dir):
 _UNIT = """u AS (SELECT vec_id AS asset_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS e FROM embeddings)"""
 
 
-def _hidden(n: int, scale: float) -> str:
+def _hidden(n: int, scale: float, before: int = 0) -> str:
     """A column of the outputs of ``n`` hidden units with start weights on the 64 places of e."""
     return (
         f"h AS (SELECT asset_id, list_transform(range(0, {n}), lambda j: greatest(0, list_sum(list_transform(range(1, 65), "
-        f"lambda i: e[i] * sin((j * 64 + i) * 0.618034) * {scale})))) AS h FROM u)"
+        f"lambda i: e[i] * sin((j * 64 + i + {before}) * 0.618034) * sqrt(2 / 64) * {scale})))) AS h FROM u)"
     )
 
 
 @query(
-    f"""WITH {_UNIT}, {_hidden(8, 0.1)},
-    s AS (SELECT asset_id, h, 1 / (1 + exp(-list_sum(list_transform(range(1, 9), lambda j: h[j] * sin(j * 0.618034) * 0.2)))) AS s FROM h),
+    f"""WITH {_UNIT}, {_hidden(8, 0.35)},
+    s AS (SELECT asset_id, h, 1 / (1 + exp(-list_sum(list_transform(range(1, 9), lambda j: h[j] * sin((j + 512) * 0.618034) * sqrt(2 / 8) * 0.35)))) AS s FROM h),
     c AS (SELECT asset_id, s, least(1, greatest(0, 2 * abs(s - 0.5) + 0.15 * list_sum(h) / 8)) AS c FROM s)
     SELECT asset_id, round(s, 6) AS ai_score, round(c, 6) AS ai_confidence, CASE WHEN s < 0.33 THEN 'low' WHEN s < 0.67 THEN 'maybe' ELSE 'high' END AS ai_bucket,
       s < 0.2 AND c > 0.6 AS delete_candidate FROM c"""
@@ -239,8 +239,8 @@ def mlp_predict(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_UNIT}, {_hidden(16, 0.08)},
-    s AS (SELECT asset_id, asset_id % 4 AS set_id, list_sum(list_transform(range(1, 17), lambda j: h[j] * sin(j * 0.618034) * 0.12)) AS s FROM h)
+    f"""WITH {_UNIT}, {_hidden(16, 0.28, 97)},
+    s AS (SELECT asset_id, asset_id % 4 AS set_id, list_sum(list_transform(range(1, 17), lambda j: h[j] * sin((j + 1024 + 193) * 0.618034) * sqrt(2 / 16) * 0.25)) AS s FROM h)
     SELECT set_id, asset_id, round(s, 6) AS score, row_number() OVER (PARTITION BY set_id ORDER BY s DESC, asset_id)::BIGINT AS rank_position FROM s"""
 )
 def rank_model_scores(spark, sf_dir):

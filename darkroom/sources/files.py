@@ -1,24 +1,17 @@
-"""Files as a manifest: path, size, time, content hash."""
+"""Files as a manifest: path, size, time, identity, content hashes."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from darkroom.functions import hashing
 from darkroom.operators.ingest import classified, prepare_roots
 from darkroom.schema import ANALYSIS_VERSION
+from darkroom.sources.content import hashed, listing
 from darkroom.sources.scratch import materialize, owned
 
-
-def listing(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """All files below the roots: path, size, modified_ms; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(prepare_roots(roots))
-    return files.select(
-        F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified_ms")
-    )
+__all__ = ["changed", "contents", "listing", "manifest"]
 
 
 def changed(listed: DataFrame, instances: DataFrame, version: int = ANALYSIS_VERSION) -> DataFrame:
@@ -32,48 +25,22 @@ def changed(listed: DataFrame, instances: DataFrame, version: int = ANALYSIS_VER
 
 
 @owned
-def manifest(
-    spark: SparkSession, roots: list[str], identities: DataFrame | None = None, instances: DataFrame | None = None, chunk: int = 10_000
-) -> DataFrame:
-    """The listing with hashes, extension and class, and volume_id and file_id where ``identities`` knows them.
+def manifest(spark: SparkSession, roots: list[str], identities: DataFrame | None = None, instances: DataFrame | None = None) -> DataFrame:
+    """The listing with quick_fingerprint, sha256, error, extension and class; ``identities`` (path, volume_id, file_id) overrule its own.
 
     With ``instances`` (see :func:`changed`) only files that changed are read; the others have no
-    hashes.  Paths of changed files are read from in runs of ``chunk``: a listing of all files is held by the
-    driver anyhow, contents never.
+    hashes.  Files are read by tasks, in ranges, whatever their size (see :mod:`darkroom.sources.content`);
+    one that cannot be read has an error and no hash.
     """
-    if instances is None:
-        rows = _hashed(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(prepare_roots(roots)))
-    else:
-        listed = materialize(listing(spark, roots))
-        some: list[str] = []
-        parts: list[DataFrame] = []
-        for row in changed(listed, instances).select("path").toLocalIterator():
-            some.append(row["path"])
-            if len(some) == chunk:
-                parts.append(materialize(_hashed(spark.read.format("binaryFile").load(some))))
-                some = []
-        if some:
-            parts.append(materialize(_hashed(spark.read.format("binaryFile").load(some))))
-        new = reduce(DataFrame.unionByName, parts) if parts else None
-        none = F.lit(None).cast("string")
-        same = listed.withColumns({"quick_fingerprint": none, "sha256": none})
-        rows = same if new is None else same.join(new.select("path"), "path", "left_anti").unionByName(new)
-    if identities is None:
-        nothing = F.lit(None).cast("string")
-        return classified(rows.withColumn("volume_id", nothing).withColumn("file_id", nothing))
-    return classified(rows.join(identities, "path", "left"))
-
-
-def _hashed(files: DataFrame) -> DataFrame:
-    return files.select(
-        F.regexp_replace("path", "^file:/*", "/").alias("path"),
-        F.col("length").alias("size"),
-        F.unix_millis("modificationTime").alias("modified_ms"),
-        hashing.quick_fingerprint(F.col("content")).alias("quick_fingerprint"),
-        hashing.sha256_hex(F.col("content")).alias("sha256"),
-    )
+    listed = materialize(listing(spark, roots))
+    read = listed if instances is None else changed(listed, instances)
+    rows = listed.join(hashed(read.select("path", "size")).drop("size"), "path", "left")
+    if identities is not None:
+        rows = rows.drop("volume_id", "file_id").join(identities, "path", "left")
+    return classified(rows)
 
 
 def contents(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """Files that pictures are decoded from, whole; for hashes see :func:`manifest`, which reads in ranges."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(prepare_roots(roots))
     return files.select("path", hashing.sha256_hex(F.col("content")).alias("sha256"), "content")

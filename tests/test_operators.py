@@ -307,6 +307,32 @@ def test_image_features(spark, tmp_path):
     assert pair.select(ssim(F.col("x"), F.col("y"))).first()[0] == pytest.approx(1.0)
 
 
+def test_hashes_compare_eight_bit_pixels():
+    """Flat areas have no edges, and a picture a pixel larger hashes alike."""
+    for value in (0, 17, 128, 255):
+        for shape in ((32, 32), (300, 400), (301, 401), (97, 1013)):
+            flat = np.full(shape, float(value))
+            assert imaging.difference_hash(flat) == 0 and imaging.perceptual_hash(flat) == 0
+
+    def square(height, width):
+        out = np.full((height, width), 255.0)
+        out[height // 4 : height // 2, width // 4 : width // 2] = 20
+        return out
+
+    def screen(height, width):  # a bar, a border and text-like stripes on a flat page
+        out = np.full((height, width), 240.0)
+        out[: height // 10] = 40
+        out[:, : width // 50] = 90
+        out[height // 3 : height // 2 : 4, width // 8 : width // 2] = 60
+        return out
+
+    apart = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1")
+    for draw, near in ((square, 0), (screen, 2)):
+        hashes = [(imaging.difference_hash(draw(h, w)), imaging.perceptual_hash(draw(h, w))) for h, w in ((300, 400), (301, 401), (600, 800))]
+        assert all(apart(hashes[0][0], d) <= near and apart(hashes[0][1], p) <= near + 2 for d, p in hashes[1:])
+    assert imaging.luma8(np.array([[[255, 0, 0], [0, 255, 0], [0, 0, 255], [9, 9, 9]]])).tolist() == [[54, 182, 18, 9]]
+
+
 def test_jpeg(spark, tmp_path):
     y, x = np.mgrid[0:41, 0:67]
     grey = np.clip(128 + 70 * np.sin(x / 9) + 40 * np.cos(y / 7), 0, 255)
@@ -365,7 +391,7 @@ def test_png_filters(channels):
     head = struct.pack(">IIBBBBB", 7, 5, 8, {1: 0, 3: 2}[channels], 0, 0, 0)
     data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(packed)) + chunk(b"IEND", b"")
     want = rows_.reshape(5, 7, channels).astype(float)
-    assert np.allclose(imaging.decode(data), want[:, :, 0] if channels == 1 else want @ imaging.LUMA)
+    assert np.allclose(imaging.decode(data), want[:, :, 0] if channels == 1 else want.astype(int) @ imaging.LUMA // 10_000)
 
 
 def test_scan_states(spark, tmp_path):
@@ -695,7 +721,7 @@ def test_only_changed_files_are_read(spark, tmp_path):
     known = spark.createDataFrame(known.collect(), known.schema)
     assert files.manifest(spark, roots, instances=known).filter("sha256 IS NOT NULL").count() == 0
     (tmp_path / "b.jpg").write_bytes(b"two, changed")
-    again = files.manifest(spark, roots, instances=known, chunk=1)
+    again = files.manifest(spark, roots, instances=known)
     assert again.count() == 3 and [r.path.rsplit("/", 1)[1] for r in again.filter("sha256 IS NOT NULL").collect()] == ["b.jpg"]
 
 
