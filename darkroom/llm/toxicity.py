@@ -169,7 +169,8 @@ def fit(
     fitted to sums of texts that two further fits, each on half of the texts, have not seen.
     Without both labels every text gets a low (or high) score according to the one label seen.
     """
-    groups = [windows(t) for t in texts]
+    known: dict[str, str] = {}  # a word is held once, however often it occurs
+    groups = [[[known.setdefault(w, w) for w in words] for words in windows(t)] for t in texts]
     labels = np.asarray(labels, dtype=np.int64)
     kept = [i for i, g in enumerate(groups) if g]
     if len(set(labels[kept].tolist())) < 2:
@@ -334,7 +335,7 @@ def fit_on(
     docs: DataFrame,
     labels: DataFrame,
     rows_per_class: int = 3000,
-    max_chars: int = 32_768,
+    max_chars: int = 16_384,
     folds: int = 5,
     held_out_fold: int = 0,
     **options,
