@@ -10,7 +10,7 @@ import os
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from darkroom.functions import paths
@@ -187,10 +187,14 @@ def disposition() -> Column:
     )
 
 
+#: Fixed values.
+DISPOSITIONS = ("new", "updated", "unchanged")
+
+
 def run_counters(committed: DataFrame) -> DataFrame:
     """One row: new_count, updated_count, unchanged_count."""
     return committed.agg(
-        *(F.count_if(F.col("disposition") == d).alias(f"{d}_count") for d in ("new", "updated", "unchanged"))
+        *(F.count_if(F.col("disposition") == d).alias(f"{d}_count") for d in DISPOSITIONS)
     )
 
 
@@ -205,6 +209,12 @@ def mark_missing(instances: DataFrame, observed_keys: DataFrame, roots: list[str
     return joined.withColumn("exists_flag", F.when(missing, F.lit(False)).otherwise(F.col("exists_flag"))).drop("_seen")
 
 
+def newly_missing(instances: DataFrame, observed_keys: DataFrame, roots: list[str]) -> DataFrame:
+    """The rows that :func:`mark_missing` changes, with exists_flag false."""
+    live = instances.filter("exists_flag")
+    return mark_missing(live, observed_keys, roots).filter("NOT exists_flag")
+
+
 def fitted(rows: DataFrame, like: DataFrame) -> DataFrame:
     """``rows`` with the columns of ``like``, null where missing."""
     have = set(rows.columns)
@@ -261,8 +271,9 @@ def cancel(spark, run_id: int, runs: DataFrame) -> DataFrame:
 
 
 def enqueue(observed: DataFrame, run_id: int) -> DataFrame:
-    """Queue rows of the files that a run found: scan_run_id, path_key, path, stage."""
-    return observed.select(F.lit(run_id).cast("long").alias("scan_run_id"), "path_key", "path", F.lit("discovered").alias("stage"))
+    """Queue rows of the files that a run found: scan_run_id, path_key, path, stage, chunk."""
+    rows = observed.select(F.lit(run_id).cast("long").alias("scan_run_id"), "path_key", "path", F.lit("discovered").alias("stage"))
+    return rows.withColumn("chunk", F.lit(0).cast("long"))
 
 
 def resume(observed: DataFrame, instances: DataFrame, assets: DataFrame, runs: DataFrame, queue: DataFrame, now: Column):
@@ -287,10 +298,21 @@ def resume(observed: DataFrame, instances: DataFrame, assets: DataFrame, runs: D
 
 @owned
 def scan(
-    observed: DataFrame, instances: DataFrame, assets: DataFrame, roots: list[str], run_id: int, now: Column, known: bool = True
+    observed: DataFrame,
+    instances: DataFrame,
+    assets: DataFrame,
+    roots: list[str],
+    run_id: int,
+    now: Column,
+    known: bool = True,
+    seen: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """One scan: the next instances and assets, the move log and a disposition per file.
 
+    ``changed_instances`` and ``changed_assets`` are the rows of these that differ from before.  Where
+    ``observed`` is a part of what the run found, ``seen`` has the path_key of all of it.  ``counts``
+    (of the rows' dispositions) are observed as ``files`` is written.
+
     ``observed`` has path, size, modified_ms, volume_id, file_id, quick_fingerprint and sha256.
     Precedence is unchanged, same-volume move, known content, cross-volume move, new.  With ``known``,
     changed files whose fingerprint and hash name a current asset take it at once; the others are
@@ -298,11 +320,11 @@ def scan(
     counts as seen, and changes nothing.  Jobs run under the run's group, see :func:`cancel`.
     """
     with grouped(observed.sparkSession, run_id):
-        return _scanned(observed, instances, assets, roots, run_id, now, known)
+        return _scanned(observed, instances, assets, roots, run_id, now, known, seen)
 
 
 def _scanned(
-    observed: DataFrame, instances: DataFrame, assets: DataFrame, roots: list[str], run_id: int, now: Column, known: bool
+    observed: DataFrame, instances: DataFrame, assets: DataFrame, roots: list[str], run_id: int, now: Column, known: bool, seen: DataFrame | None
 ) -> dict[str, DataFrame]:
     media, sidecars, counted = route(classified(observed))
     # Each step is written once, as the later ones read it several times.
@@ -319,7 +341,8 @@ def _scanned(
         resolved = resolve_assets(changed, assets)
     resolved = materialize(resolved)
     rest = resolved.join(moves.select("path_key"), "path_key", "left_anti")
-    far = cross_volume_moves(rest, instances, media, moves).withColumn("change_type", F.lit("cross_volume_move"))
+    all_keys = media if seen is None else seen
+    far = cross_volume_moves(rest, instances, all_keys, moves).withColumn("change_type", F.lit("cross_volume_move"))
     log = materialize(moves.select("path_key", "instance_id", "old_path", "change_type").unionByName(far))
     moved = log.select("path_key", F.col("instance_id").alias("moved_id"), "change_type")
     columns = ["path_key", "path", "size", "modified_ms", "volume_id", "file_id", "extension", "file_class", "sha256",
@@ -328,7 +351,10 @@ def _scanned(
     files = files.withColumn("moved", F.col("moved_id").isNotNull()).withColumn("disposition", disposition())
     files = files.withColumn("instance_id", F.coalesce("instance_id", "moved_id"))
     new_ids = numbered(files.filter("instance_id IS NULL").select("path_key"), "path_key", instances, "id", "new_id")
-    files = materialize(files.join(new_ids, "path_key", "left").withColumn("instance_id", F.coalesce("instance_id", "new_id")))
+    files = files.join(new_ids, "path_key", "left").withColumn("instance_id", F.coalesce("instance_id", "new_id"))
+    counted_as = Observation()
+    files = materialize(files.observe(counted_as, *(F.count_if(F.col("disposition") == d).alias(f"{d}_count") for d in DISPOSITIONS)))
+    counts = counted_as.get
     written = files.select(
         F.col("instance_id").alias("id"), F.col("asset_id").alias("content_asset_id"), F.col("path").alias("current_path"), "path_key",
         "volume_id", "file_id", F.col("size").alias("file_size"), "modified_ms", "extension", "file_class",
@@ -336,8 +362,10 @@ def _scanned(
     )
     first_seen = instances.select("id", "first_seen_at")
     written = written.join(first_seen, "id", "left").withColumn("first_seen_at", F.coalesce("first_seen_at", "last_seen_at"))
-    next_instances = upsert(instances, fitted(written, instances), ["id"])
-    next_instances = mark_missing(next_instances, media, roots)
+    written = materialize(fitted(written, instances))
+    missing = newly_missing(instances.join(written.select("id"), "id", "left_anti"), all_keys, roots) if roots else None
+    changed_instances = written if missing is None else written.unionByName(missing.select(*written.columns))
+    next_instances = upsert(instances, changed_instances, ["id"])
     fresh = resolved.filter("asset_action != 'reuse'").dropDuplicates(["sha256"])
     rows = fresh.select(
         F.col("asset_id").alias("id"), "sha256", F.col("size").alias("file_size"), "quick_fingerprint", "extension",
@@ -345,9 +373,13 @@ def _scanned(
         paths.can_decode(F.col("extension")).alias("preview_supported"), F.lit(ANALYSIS_VERSION).alias("analysis_version"),
         now.alias("created_at"), now.alias("updated_at"),
     )
+    changed_assets = materialize(fitted(rows, assets))
     return {
         "file_instances": next_instances,
-        "content_assets": upsert(assets, fitted(rows, assets), ["id"]),
+        "content_assets": upsert(assets, changed_assets, ["id"]),
+        "changed_instances": changed_instances,
+        "changed_assets": changed_assets,
+        "counts": counts,
         "path_history": log.join(files.select("path_key", F.col("path").alias("new_path")), "path_key").select(
             F.col("instance_id").alias("file_instance_id"), "old_path", "new_path", "change_type", now.alias("detected_at")
         ),

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from darkroom.operators.ingest import insert_ignore, run_counters, scan
+from darkroom.operators.chunks import run_changes
+from darkroom.operators.ingest import scan
 from darkroom.sources.scratch import owned
 from darkroom.sources.store import Store
 
@@ -20,27 +21,14 @@ def apply_batch(store: Store, batch: DataFrame, epoch: int, now: Column) -> None
 
     ``now`` is given, so that a batch that is replayed gives the same rows.
     """
-    done = store.read("scan_runs")
-    if not done.filter(F.col("id") == epoch).isEmpty():
+    seen = store.latest()
+    if not store.read("scan_runs", seen).filter(F.col("id") == epoch).isEmpty():
         return
     order = F.struct("modified_ms", "sha256")
     last = batch.groupBy("path_key").agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-    instances, assets = store.read("file_instances"), store.read("content_assets")
-    out = scan(last, instances, assets, [], epoch, now)
-    counts = run_counters(out["files"])
-    run = counts.select(
-        F.lit(epoch).cast("long").alias("id"), F.array().cast("array<string>").alias("roots"), F.lit("completed").alias("status"),
-        now.alias("started_at"), now.alias("finished_at"), "new_count", "updated_count", "unchanged_count",
-    )
-    store.commit(
-        {
-            "file_instances": out["file_instances"],
-            "content_assets": out["content_assets"],
-            "path_history": store.read("path_history").unionByName(out["path_history"]),
-            "sidecar_files": insert_ignore(store.read("sidecar_files"), out["sidecar_files"], ["scan_run_id", "path_key"]),
-            "scan_runs": done.unionByName(run),
-        }
-    )
+    out = scan(last, store.read("file_instances", seen), store.read("content_assets", seen), [], epoch, now)
+    store.commit(changes=run_changes(out, epoch, [], now, "completed", out["counts"]), seen=seen)
+    store.maintain()
 
 
 def start(stream: DataFrame, store: Store, checkpoint: str, clock: Callable[[int], datetime], once: bool = True) -> StreamingQuery:
