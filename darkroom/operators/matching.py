@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from darkroom.functions.hashing import hamming
 from darkroom.functions.vectors import ssim
 from darkroom.operators.graph import components
 from darkroom.operators.ingest import numbered
+from darkroom.operators.order import summed
 from darkroom.schema import DHASH_MAX_DISTANCE, MAX_CLIQUE, PHASH_MAX_DISTANCE, SIMILARITY_THRESHOLD
 from darkroom.sources.scratch import materialize, owned, release
 
@@ -123,6 +126,9 @@ def confirmed_pairs(pairs: DataFrame, buffers: DataFrame, threshold: float = SIM
 
     Only the buffers of assets in a pair are read into the join; pairs without a buffer drop out.
     """
+    pairs = materialize(pairs)
+    ends = pairs.select(F.col("a").alias("asset_id")).unionAll(pairs.select("b")).distinct()
+    buffers = buffers.select("asset_id", "buffer").join(ends, "asset_id", "left_semi")
     one = buffers.select(F.col("asset_id").alias("a"), F.col("buffer").alias("x"))
     two = buffers.select(F.col("asset_id").alias("b"), F.col("buffer").alias("y"))
     scored = pairs.join(one, "a").join(two, "b").withColumn("similarity", ssim(F.col("x"), F.col("y")))
@@ -145,88 +151,142 @@ def incremental_pairs(candidates: DataFrame, new_assets: DataFrame, cached: Data
     return tagged.filter(touched).select("a", "b"), tagged.filter(~touched).select("a", "b").join(cached, ["a", "b"])
 
 
+def twin_classes(found: DataFrame) -> DataFrame:
+    """(asset_id, twin): each asset with the least one that has equal hashes and an equal buffer.
+
+    Twins are alike in every comparison, so that pairs need only be confirmed between twins of least
+    id, however many files show the same picture.  Buffers are compared by 64-bit hashes, besides the two of the picture.
+    """
+    named = found.select("asset_id", "phash", "dhash", F.xxhash64("buffer").alias("h"))
+    least = materialize(named.groupBy("phash", "dhash", "h").agg(F.min("asset_id").alias("twin")))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("phash", "dhash", "h")]
+    return named.alias("l").join(least.alias("r"), same[0] & same[1] & same[2]).select("l.asset_id", "r.twin")
+
+
+#: What a task returns of a clique.
+COVERED = "anchor_id long, asset_id long, similarity double"
+
+
+def cover(links: dict[int, dict[int, float]], members: dict[int, list[int]], anchors: list[tuple[int, int]], most: int) -> list[tuple]:
+    """Cliques of ``anchors`` (asset, twin class), which come in order: (anchor_id, asset_id, similarity).
+
+    ``links`` are those of twin classes, ``members`` the unused assets of each in order of id.  Of a
+    class the least unused member comes next, so a class is never expanded into pairs.
+    """
+    used: set[int] = set()
+    at = dict.fromkeys(members, 0)
+
+    def next_of(twin: int) -> int | None:
+        held = members.get(twin, ())
+        i = at.get(twin, 0)
+        while i < len(held) and held[i] in used:
+            i += 1
+        at[twin] = i
+        return held[i] if i < len(held) else None
+
+    out = []
+    for anchor, twin in anchors:
+        if anchor in used:
+            continue
+        used.add(anchor)
+        near = {twin: 1.0, **links.get(twin, {})}
+        heap = [(-s, v, t) for t, s in near.items() if (v := next_of(t)) is not None]
+        heapq.heapify(heap)
+        clique = [(anchor, twin)]
+        while heap and len(clique) < most:
+            s, v, t = heapq.heappop(heap)
+            if all(t == c or t in links.get(c, ()) for _, c in clique):
+                used.add(v)
+                clique.append((v, t))
+                if (after := next_of(t)) is not None:
+                    heapq.heappush(heap, (s, after, t))
+        if len(clique) > 1:
+            best = lambda v, t: max(1.0 if t == u else links[t][u] for w, u in clique if w != v)
+            out += [(anchor, v, best(v, t)) for v, t in clique]
+    return out
+
+
+def _cover_task(most: int):
+    def run(key: tuple, edges: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        links: dict[int, dict[int, float]] = {}
+        for a, b, s in zip(edges.a.tolist(), edges.b.tolist(), edges.similarity.tolist()):
+            links.setdefault(a, {})[b] = s
+            links.setdefault(b, {})[a] = s
+        members = members.sort_values("asset_id")
+        held = {t: m.tolist() for t, m in members.groupby("twin").asset_id}
+        anchors = members[members.anchor].sort_values(["quality", "asset_id"], ascending=[False, True])
+        found = cover(links, held, list(zip(anchors.asset_id.tolist(), anchors.twin.tolist())), most)
+        return pd.DataFrame(found, columns=["anchor_id", "asset_id", "similarity"])
+
+    return run
+
+
 @owned
 def greedy_cliques(pairs: DataFrame, nodes: DataFrame, most: int = MAX_CLIQUE, held_edges: int = 200_000) -> DataFrame:
     """Cover by cliques: (anchor_id, asset_id, similarity).
 
-    Anchors come in order of quality, descending, then id.  An anchor takes its unused neighbours by
-    similarity, descending, then id, each only if linked to all taken so far, up to ``most``
-    members.  Decisions never leave a connected component: components of at most ``held_edges``
-    edges are covered in a task each, larger ones in rounds (see :func:`_covered_in_rounds`), with
-    equal results.  A clique's member has the greatest similarity it has inside the clique.
+    ``pairs`` (a, b, similarity) link assets, or twin classes if ``nodes`` (asset_id, quality) has a column twin
+    (see :func:`twin_classes`); twins are linked with similarity 1.  Anchors come in order of
+    quality, descending, then id.  An anchor takes its unused neighbours by similarity, descending,
+    then id, each only if linked to all taken so far, up to ``most`` members.  A clique's member has
+    the greatest similarity it has inside the clique.
+
+    Decisions never leave a connected component: components of at most ``held_edges`` links and
+    members are covered in a task each.  Larger ones are swept in blocks of anchors of that size (see :func:`_swept`),
+    with equal results.
     """
-    labels = components(pairs.select("a", "b"))
-    quality = nodes.select(F.col("asset_id").alias("a"), F.coalesce("quality", F.lit(0.0)).alias("qa"))
-    other = quality.select(F.col("a").alias("b"), F.col("qa").alias("qb"))
-    edges = pairs.join(labels.withColumnRenamed("v", "a"), "a").join(quality, "a").join(other, "b")
-    edges = materialize(edges.select("component", "a", "b", "similarity", "qa", "qb"))
-    large = materialize(edges.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > held_edges).select("component"))
-
-    def cover(batch: pd.DataFrame) -> pd.DataFrame:
-        score: dict[int, float] = {}
-        links: dict[int, dict[int, float]] = {}
-        for row in batch.itertuples():
-            score[row.a], score[row.b] = row.qa, row.qb
-            links.setdefault(row.a, {})[row.b] = row.similarity
-            links.setdefault(row.b, {})[row.a] = row.similarity
-        used: set[int] = set()
-        out = []
-        for anchor in sorted(score, key=lambda v: (-score[v], v)):
-            if anchor in used:
-                continue
-            clique = [anchor]
-            for v in sorted(links[anchor], key=lambda v: (-links[anchor][v], v)):
-                if len(clique) == most:
-                    break
-                if v not in used and all(v in links[c] for c in clique):
-                    clique.append(v)
-            if len(clique) > 1:
-                used.update(clique)
-                out += [(anchor, v, max(links[v][c] for c in clique if c != v)) for v in clique]
-        return pd.DataFrame(out, columns=["anchor_id", "asset_id", "similarity"])
-
-    small = edges.join(large, "component", "left_anti")
-    found = small.groupBy("component").applyInPandas(cover, "anchor_id long, asset_id long, similarity double")
-    rest = materialize(edges.join(large, "component", "left_semi"))
-    return found if rest.isEmpty() else found.unionByName(_covered_in_rounds(rest, most))
-
-
-def _covered_in_rounds(edges: DataFrame, most: int) -> DataFrame:
-    """The cover of :func:`greedy_cliques` of edges (a, b, similarity, qa, qb), without a task per component.
-
-    In each round those anchors choose that come before all vertices within two steps: nobody
-    could take their neighbours before them, and their cliques do not meet.  Members are added one
-    at a time, each a minimum over the neighbours that are linked to all members so far.
+    if "twin" not in nodes.columns:
+        nodes = nodes.withColumn("twin", F.col("asset_id"))
+    nodes = nodes.select("asset_id", "twin", F.coalesce("quality", F.lit(0.0)).alias("quality"))
+    classes = nodes.groupBy("twin").agg(F.count(F.lit(1)).alias("n"))
+    several = classes.filter("n > 1").select(F.col("twin").alias("a"), F.col("twin").alias("b"))
+    labels = components(pairs.select("a", "b").unionAll(several))
+    members = materialize(nodes.join(labels.select(F.col("v").alias("twin"), "component"), "twin"))
+    edges = materialize(pairs.select("a", "b", "similarity").join(labels.select(F.col("v").alias("a"), "component"), "a"))
+    sizes = edges.select("component").unionAll(members.select("component")).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    large = materialize(sizes.filter(F.col("n") > held_edges).select("component"))
+    small = [d.join(large, "component", "left_anti") for d in (edges, members.withColumn("anchor", F.lit(True)))]
+    found = small[0].groupBy("component").cogroup(small[1].groupBy("component")).applyInPandas(_cover_task(most), COVERED)
+    if large.isEmpty():
+        return found
+    rest = [d.join(large, "component", "left_semi") for d in (edges, members)]
+    return materialize(found).unionByName(_swept(*rest, most, held_edges))
+
+
+def _swept(edges: DataFrame, members: DataFrame, most: int, held: int) -> DataFrame:
+    """The cover of large components, a block of anchors of each at a time.
+
+    Anchors are dealt to blocks once, in their order, by the number of their links.  As all anchors
+    before it have chosen, a block only needs the links among its classes and their neighbours, and
+    of each such class as many unused members of least id as the block's anchors could take.  So there are as
+    many rounds as blocks, whatever the shape of the component, and a task holds a block's surroundings.
     """
-    back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity", F.col("qb").alias("qa"), F.col("qa").alias("qb"))
-    live = materialize(edges.select("a", "b", "similarity", "qa", "qb").unionByName(back))
+    both = materialize(edges.select("component", "a", "b", "similarity").unionAll(edges.select("component", F.col("b").alias("a"), F.col("a").alias("b"), "similarity")))
+    degrees = both.groupBy(F.col("a").alias("twin")).agg(F.count(F.lit(1)).alias("degree"))
+    weighed = members.join(degrees, "twin", "left").withColumn("weight", F.coalesce("degree", F.lit(0)) + 1).drop("degree")
+    order = [F.desc("quality"), F.col("asset_id")]
+    left = summed(weighed, ["component"], order, F.col("weight"), "before")
+    left = materialize(left.select("component", "twin", "asset_id", "quality", F.floor(F.col("before") / held).cast("long").alias("block")))
     found = None
-    while not live.isEmpty():
-        own = F.struct((-F.col("qa")).alias("q"), F.col("a").alias("v"))
-        next_ = F.struct((-F.col("qb")).alias("q"), F.col("b").alias("v"))
-        near = materialize(live.groupBy("a").agg(F.min(F.least(own, next_)).alias("first")))
-        far = live.join(near.select(F.col("a").alias("b"), F.col("first").alias("beyond")), "b").groupBy("a").agg(F.min("beyond").alias("beyond"))
-        first = near.join(far, "a").withColumn("first", F.least("first", "beyond"))
-        anchors = materialize(first.filter(F.col("first.v") == F.col("a")).select(F.col("a").alias("anchor_id")))
-        members = anchors.select("anchor_id", F.col("anchor_id").alias("asset_id"))
-        around = live.select(F.col("a").alias("anchor_id"), F.col("b").alias("v"), "similarity")
-        around = materialize(around.join(anchors, "anchor_id"))  # a vertex is near one anchor only
-        for _ in range(most - 1):
-            best = around.groupBy("anchor_id").agg(F.min_by("v", F.struct(-F.col("similarity"), "v")).alias("asset_id"))
-            best = materialize(best)
-            members = members.unionByName(best)
-            linked = live.select(F.col("a").alias("asset_id"), F.col("b").alias("v"))
-            around = materialize(around.join(best, "anchor_id").join(linked, ["asset_id", "v"], "left_semi").drop("asset_id"))
-        members = materialize(members)
-        inside = live.join(members.select(F.col("asset_id").alias("a"), "anchor_id"), "a")
-        inside = inside.join(members.select(F.col("asset_id").alias("b"), "anchor_id"), ["b", "anchor_id"])
-        chosen = materialize(inside.groupBy("anchor_id", F.col("a").alias("asset_id")).agg(F.max("similarity").alias("similarity")))
-        found = chosen if found is None else found.unionByName(chosen)
-        gone = materialize(members.select(F.col("asset_id").alias("a")).distinct())
-        last = live
-        live = live.join(gone, "a", "left_anti").join(gone.withColumnRenamed("a", "b"), "b", "left_anti")
-        live = materialize(live.select("a", "b", "similarity", "qa", "qb"))
-        release(last, near, around)
+    while (block := left.agg(F.min("block")).first()[0]) is not None:
+        now = materialize(left.filter(F.col("block") == block).select("component", "twin", "asset_id"))
+        own = now.select("component", F.col("twin").alias("t")).distinct()
+        around = both.join(own.withColumnRenamed("t", "a"), ["component", "a"], "left_semi").select("component", F.col("b").alias("t"))
+        known = materialize(own.unionAll(around).distinct())
+        near = both.filter("a < b").join(known.withColumnRenamed("t", "a"), ["component", "a"], "left_semi")
+        near = near.join(known.withColumnRenamed("t", "b"), ["component", "b"], "left_semi")
+        wanted = now.groupBy("component").agg((F.count(F.lit(1)) * most).alias("wanted"))
+        first = Window.partitionBy("twin").orderBy("asset_id")
+        some = left.join(known.withColumnRenamed("t", "twin"), ["component", "twin"], "left_semi").withColumn("_n", F.row_number().over(first))
+        some = some.join(wanted, "component").withColumn("anchor", F.col("block") == block).filter("anchor OR _n <= wanted")
+        some = some.select("component", "twin", "asset_id", "quality", "anchor")
+        chosen = near.groupBy("component").cogroup(some.groupBy("component")).applyInPandas(_cover_task(most), COVERED)
+        chosen = materialize(chosen)
+        found = chosen if found is None else materialize(found.unionByName(chosen))  # one table, so that the plan does not grow
+        gone = now.select("asset_id").unionAll(chosen.select("asset_id"))
+        last, left = left, materialize(left.join(gone, "asset_id", "left_anti"))
+        release(last, now, known)
+    release(both)
     return found
 
 

@@ -15,11 +15,18 @@ def placed(rows: DataFrame, group: list[str], order: list[Column], name: str) ->
     Rows are dealt to range partitions and numbered there, above the sizes of the partitions before,
     so that a group of any size is spread over tasks.  ``order`` should have no ties.
     """
+    return summed(rows, group, order, F.lit(1).cast("long"), name)
+
+
+@owned
+def summed(rows: DataFrame, group: list[str], order: list[Column], weight: Column, name: str) -> DataFrame:
+    """``rows`` with the sum of ``weight`` (whole numbers) over those before them, as :func:`placed` has their number."""
     keys = [F.col(c) for c in group]
-    ranged = materialize(rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
-    local = Window.partitionBy(*group, "_part").orderBy(*order)
-    sizes = ranged.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_size"))
+    weighed = rows.withColumn("_weight", weight.cast("long"))
+    ranged = materialize(weighed.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    local = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = ranged.groupBy(*group, "_part").agg(F.sum("_weight").alias("_size"))
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     offsets = materialize(sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size"))
-    out = ranged.withColumn("_row", F.row_number().over(local) - 1).join(offsets, [*group, "_part"])
-    return out.withColumn(name, (F.col("_row") + F.col("_offset")).cast("long")).drop("_row", "_offset", "_part")
+    out = ranged.withColumn("_upto", F.sum("_weight").over(local)).join(offsets, [*group, "_part"])
+    return out.withColumn(name, (F.col("_upto") - F.col("_weight") + F.col("_offset")).cast("long")).drop("_upto", "_weight", "_offset", "_part")

@@ -175,11 +175,30 @@ def ssim_confirmed_pairs(spark, sf_dir):
     return pairs.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+_CLIQUES = "WITH RECURSIVE " + _CONFIRMED + """, ways AS (SELECT a, b, s FROM pairs UNION ALL SELECT b, a, s FROM pairs),
+verts AS (SELECT a AS v, list(b ORDER BY s DESC, b) AS near, row_number() OVER (ORDER BY max(d.n_chars % 101) DESC, a) AS k
+  FROM ways JOIN documents d ON d.doc_id = a GROUP BY a),
+known AS (SELECT list(a || '-' || b) AS links FROM ways),
+steps AS (
+  SELECT 0::BIGINT AS k, []::BIGINT[] AS used, []::BIGINT[] AS clique
+  UNION ALL
+  SELECT k, CASE WHEN len(c) > 1 THEN list_concat(used, c) ELSE used END, c FROM (
+    SELECT v.k, used, CASE WHEN list_contains(used, v.v) THEN []::BIGINT[] ELSE
+      list_reduce(list_prepend([v.v], list_transform(near, lambda x: [x])), lambda c, x: CASE WHEN len(c) < 4 AND NOT list_contains(used, x[1])
+        AND len(list_filter(c, lambda m: NOT list_contains(links, m || '-' || x[1]))) = 0 THEN list_concat(c, x) ELSE c END) END AS c
+    FROM steps s JOIN verts v ON v.k = s.k + 1, known)
+), placed AS (SELECT clique[1] AS anchor_id, unnest(clique) AS asset_id, clique FROM steps WHERE len(clique) > 1)
+SELECT anchor_id, asset_id, round((SELECT max(s) FROM ways WHERE ways.a = asset_id AND list_contains(clique, ways.b)), 6) AS similarity FROM placed
+"""
+
+
+@query(_CLIQUES)
 def greedy_cliques(spark, sf_dir):
     found = library.signatures(spark, sf_dir)
-    pairs = matching.confirmed_pairs(matching.hamming_join(found), found)
-    return matching.greedy_cliques(pairs, found)
+    nodes = found.join(matching.twin_classes(found), "asset_id")
+    firsts = nodes.filter("asset_id = twin")
+    pairs = matching.confirmed_pairs(matching.hamming_join(firsts), firsts)
+    return matching.greedy_cliques(pairs, nodes).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(

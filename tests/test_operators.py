@@ -124,7 +124,65 @@ def test_cliques_of_large_components_in_rounds(spark):
     frame = spark.createDataFrame(edges, "a long, b long, similarity double")
     nodes = spark.createDataFrame([(i, float(rng.integers(0, 5))) for i in range(24)], "asset_id long, quality double")
     whole = rows(matching.greedy_cliques(frame, nodes), "anchor_id", "asset_id", "similarity")
-    assert rows(matching.greedy_cliques(frame, nodes, held_edges=0), "anchor_id", "asset_id", "similarity") == whole and len(whole) > 8
+    assert rows(matching.greedy_cliques(frame, nodes, held_edges=9), "anchor_id", "asset_id", "similarity") == whole and len(whole) > 8
+
+
+def plain_cover(pairs, quality, most=4):
+    """The cover by a plain loop over assets."""
+    links, used, out = {}, set(), []
+    for a, b, s in pairs:
+        links.setdefault(a, {})[b] = s
+        links.setdefault(b, {})[a] = s
+    for anchor in sorted(links, key=lambda v: (-quality[v], v)):
+        clique = [anchor]
+        if anchor not in used:
+            for v in sorted(links[anchor], key=lambda v: (-links[anchor][v], v)):
+                if len(clique) < most and v not in used and all(v in links[c] for c in clique):
+                    clique.append(v)
+        if len(clique) > 1:
+            used.update(clique)
+            out += [(anchor, v, max(links[v][c] for c in clique if c != v)) for v in clique]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("held", [12, 10_000])
+def test_cliques_of_twins_are_those_of_all_pairs(spark, held):
+    rng = np.random.default_rng(31)
+    twin, quality, linked = {}, {}, {}
+    for t in range(14):  # classes of up to nine twins, one of forty
+        size = 40 if t == 3 else int(rng.integers(1, 10))
+        for i in range(size):
+            asset = 100 * i + t  # ids of the classes interleave
+            twin[asset], quality[asset] = t, float(rng.integers(0, 4))
+    for _ in range(26):
+        a, b = sorted(int(x) for x in rng.choice(14, 2, replace=False))
+        linked[a, b] = round(0.97 + int(rng.integers(0, 3)) / 100, 2)
+    every = [(a, b, 1.0 if twin[a] == twin[b] else linked.get(tuple(sorted((twin[a], twin[b]))))) for a, b in itertools.combinations(sorted(twin), 2)]
+    want = plain_cover([p for p in every if p[2] is not None], quality)
+    pairs = spark.createDataFrame([(a, b, s) for (a, b), s in linked.items()], "a long, b long, similarity double")
+    nodes = spark.createDataFrame([(a, quality[a], t) for a, t in twin.items()], "asset_id long, quality double, twin long")
+    got = matching.greedy_cliques(pairs, nodes, held_edges=held)
+    assert sorted((r.anchor_id, r.asset_id, r.similarity) for r in got.collect()) == want and len(want) > 60
+
+
+def test_a_falling_chain_needs_as_many_rounds_as_blocks(spark, monkeypatch):
+    """Each anchor waits for the one before it, so nothing but the order of the chain can be followed."""
+    n = 20_000
+    pairs = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit(0.98).alias("similarity"))
+    nodes = spark.range(n).select(F.col("id").alias("asset_id"), (n - F.col("id")).cast("double").alias("quality"))
+    tasks = []
+    monkeypatch.setattr(matching, "_cover_task", lambda most, real=matching._cover_task: tasks.append(1) or real(most))
+    got = {(r.anchor_id, r.asset_id) for r in matching.greedy_cliques(pairs, nodes, held_edges=6_000).collect()}
+    assert got == {(i, j) for i in range(0, n - 1, 2) for j in (i, i + 1)}
+    assert len(tasks) <= 12
+
+
+def test_twins_have_equal_pixels(spark):
+    found = spark.createDataFrame(
+        [(1, 5, 5, [0.5, 1.0]), (2, 5, 5, [0.5, 1.0]), (3, 5, 5, [0.5, 0.9]), (4, None, 5, [0.5, 1.0]), (5, None, 5, [0.5, 1.0])],
+        "asset_id long, phash long, dhash long, buffer array<double>",
+    )
+    assert {r.asset_id: r.twin for r in matching.twin_classes(found).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
 
 
 def test_raw_pairs(spark):
