@@ -329,10 +329,15 @@ def reconcile(drafts: DataFrame, groups: DataFrame, run_at: str) -> DataFrame:
     )
 
 
-def untouched_groups(groups: DataFrame, members: DataFrame, new_assets: DataFrame) -> DataFrame:
-    """Similar groups, not applied, none of whose members is a new asset."""
-    touched = members.join(new_assets.select(F.col("asset_id").alias("content_asset_id")), "content_asset_id", "left_semi")
+def untouched_groups(groups: DataFrame, members: DataFrame, new_assets: DataFrame, live: DataFrame | None = None) -> DataFrame:
+    """Similar groups, not applied, with a live member, none of whose live members is a new asset.
+
+    ``live`` has the instances (file_instance_id) that exist; without it all members do.
+    """
+    alive = members if live is None else members.join(live.select("file_instance_id"), "file_instance_id", "left_semi")
+    touched = alive.join(new_assets.select(F.col("asset_id").alias("content_asset_id")), "content_asset_id", "left_semi")
     open_ = groups.filter((F.col("kind") == "similar") & (F.col("status") != "applied"))
+    open_ = open_.join(alive.select(F.col("group_id").alias("id")).distinct(), "id", "left_semi")
     return open_.join(touched.select(F.col("group_id").alias("id")).distinct(), "id", "left_anti")
 
 
@@ -371,7 +376,9 @@ def _drafts(found: DataFrame, anchor: Column, kind: str) -> DataFrame:
 
 
 @owned
-def recompute(drafts: DataFrame, groups: DataFrame, members: DataFrame, new_assets: DataFrame | None, run_at: str) -> tuple[DataFrame, DataFrame]:
+def recompute(
+    drafts: DataFrame, groups: DataFrame, members: DataFrame, new_assets: DataFrame | None, run_at: str, live: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Groups and members after ``drafts`` (see :func:`exact_drafts`) are reconciled with them.
 
     ``groups`` has id, anchor, kind, status, recommended_keep_instance_id; ``members`` has group_id,
@@ -379,7 +386,7 @@ def recompute(drafts: DataFrame, groups: DataFrame, members: DataFrame, new_asse
     members of a group that is not applied, under its id and status; an applied group keeps its
     members under an archived anchor while the draft becomes a new pending group.  Groups without a
     draft go, but for applied ones and, if there are ``new_assets`` (an incremental run), similar
-    groups that hold none of these.  New ids follow the greatest one in the order of anchors.
+    groups that hold none of these and have a member that is ``live`` (see :func:`untouched_groups`).  New ids follow the greatest one in the order of anchors.
     """
     drafts = materialize(drafts)
     best = best_member(drafts.withColumn("group", F.col("anchor")), "group").select("anchor", F.col("instance_id").alias("best"), F.col("kind").alias("new_kind"))
@@ -389,7 +396,7 @@ def recompute(drafts: DataFrame, groups: DataFrame, members: DataFrame, new_asse
     kept = plan.filter("action = 'keep'").select(F.col("group_id").alias("id"))
     if new_assets is not None and not new_assets.isEmpty():
         dropped = plan.filter("action = 'drop'").select(F.col("group_id").alias("id"))
-        kept = kept.unionAll(untouched_groups(groups, members, new_assets).join(dropped, "id", "left_semi").select("id"))
+        kept = kept.unionAll(untouched_groups(groups, members, new_assets, live).join(dropped, "id", "left_semi").select("id"))
     archived = plan.filter("action = 'archive_insert'").select(F.col("group_id").alias("id"), "archived_anchor")
     replaced = plan.filter("action = 'replace'").select(F.col("group_id").alias("id"), "anchor").join(best, "anchor")
     columns = ["id", "anchor", "kind", "status", "recommended_keep_instance_id"]

@@ -6,19 +6,21 @@ The SQL is for DuckDB over the same tables; names and types of columns agree.
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from darkroom.functions import hashing, paths
 from darkroom.functions.vectors import l2_normalized, stub_embedding
-from darkroom.operators import classify, ingest, learning, matching, ranking, ratings, review
+from darkroom.operators import classify, grouping, ingest, learning, matching, ranking, ratings, review
 from darkroom.operators.classify import Filter, listing
 from darkroom.operators.learning import LinearHead, MlpHead, initial, predict_linear, predict_mlp
 from darkroom.schema import schema
 from darkroom.sources import library
 from darkroom.sources.library import read
-from darkroom.sources.scratch import owned
+from darkroom.sources.scratch import delete, materialize, owned, shared_folder
+from darkroom.sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -1026,3 +1028,35 @@ def orders_listing_page(spark, sf_dir):
     joined = orders.join(customers, orders.o_custkey == customers.c_custkey).join(lines, "o_orderkey")
     shown = joined.select("o_orderkey", "c_name", "o_totalprice", "n_lines", "qty")
     return shown.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100)
+
+
+_EIGHT_BIT = "WITH " + _SIGNATURES.replace("sig AS (", "all_sig AS (") + """,
+eight AS (SELECT asset_id, phash, dhash, list_transform(e, lambda x: floor(x * 255 + 0.5) / 255) AS e FROM all_sig),
+sig AS (SELECT min(asset_id) AS asset_id, e, phash, dhash FROM eight GROUP BY e, phash, dhash)
+""" + _CONFIRMED.removeprefix(_SIGNATURES)
+
+
+@query(_EIGHT_BIT + "SELECT a, b, round(s, 6) AS similarity FROM pairs")
+def incremental_similar_pairs(spark, sf_dir):
+    """All similar pairs, found in three runs of an index that is kept between them."""
+    found = library.signatures(spark, sf_dir)
+    eight = F.transform("buffer", lambda x: F.lpad(F.hex(F.floor(x * 255 + 0.5).cast("long")), 2, "0"))
+    none = F.lit(None).cast("int")
+    features = found.select(
+        F.col("asset_id").alias("content_asset_id"), "phash", "dhash", F.col("quality").alias("quality_score"), none.alias("width"), none.alias("height"),
+        F.unhex(F.array_join(eight, "")).alias("buffer"),
+    )
+    folder = f"{shared_folder(spark)}/index-{uuid4().hex}"
+    store = Store(spark, folder)
+    run = F.pmod(F.xxhash64("content_asset_id"), F.lit(3))  # each asset comes in one of three runs
+    for number in range(3):
+        grouping.extend(store, features.filter(run == number))
+    # Classes are named by the asset that came first, the SQL names them by the least id.
+    named = found.select("asset_id").join(store.read("picture_twins").withColumnRenamed("content_asset_id", "asset_id"), "asset_id")
+    least = named.groupBy("twin").agg(F.min("asset_id").alias("least"))
+    pairs = store.read("similar_pairs")
+    for side in ("a", "b"):
+        pairs = pairs.join(least.select(F.col("twin").alias(side), F.col("least").alias(f"{side}_")), side)
+    out = materialize(pairs.select(F.least("a_", "b_").alias("a"), F.greatest("a_", "b_").alias("b"), F.round("similarity", 6).alias("similarity")))
+    delete(spark, folder)
+    return out
