@@ -179,3 +179,32 @@ def page_after(rows: DataFrame, sort: str, last: dict, limit: int) -> DataFrame:
 
 def total(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("total"))
+
+
+def totals(rows: DataFrame, filters: dict[str, Filter], members: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """(filter, total): the number of ``rows`` (a listing without filters) under each of ``filters``, in one pass.
+
+    What the group filters ask is worked out once for each file that is in a group.
+    """
+    if members is not None and groups is not None:
+        joined = members.select("group_id", "instance_id").join(groups.select("group_id", "kind", "status"), "group_id")
+        of = joined.groupBy("instance_id").agg(
+            F.lit(True).alias("_in"), F.bool_or(F.col("status") == "pending").alias("_pending"),
+            F.collect_set(F.when(F.col("status") == "pending", F.col("kind"))).alias("_kinds"),  # of a few kinds
+        )
+        rows = rows.join(of, "instance_id", "left")
+    named = {"in_group": "_in", "pending_group": "_pending"}
+
+    def condition(wanted: Filter) -> Column:
+        found = list(wanted.conditions())
+        if wanted.group == "not_in_group":
+            found.append(F.col("_in").isNull())
+        elif wanted.group in named:
+            found.append(F.col(named[wanted.group]))
+        elif wanted.group is not None:
+            found.append(F.array_contains("_kinds", wanted.group))
+        return reduce(and_, found, F.lit(True))
+
+    numbers = rows.agg(*(F.count_if(condition(wanted)).alias(f"n{i}") for i, wanted in enumerate(filters.values())))
+    pairs = F.array(*(F.struct(F.lit(name).alias("filter"), F.col(f"n{i}").alias("total")) for i, name in enumerate(filters)))
+    return numbers.select(F.explode(pairs).alias("r")).select("r.*")

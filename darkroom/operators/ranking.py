@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from darkroom.operators.learning import logistic, start_weights, unit
-from darkroom.operators.order import placed
+from darkroom.operators.order import placed, values_at
 from darkroom.operators.ratings import latest_per_asset
 from darkroom.sources.scratch import materialize, owned
 
@@ -26,7 +26,7 @@ def ranked(scores: DataFrame) -> DataFrame:
 
     The gap is to the nearer neighbour in score.  Buckets: percentile at most 20 top, at least 80
     back.  The low gaps are uncertain: cut-offs are the nearest-rank 0.35 and 0.70 quantiles of the
-    set's gaps.  Ties go by asset.  Places are dealt by range, so a set of any size is spread over tasks.
+    set's gaps, found by counting (see :func:`darkroom.operators.order.values_at`).  Ties go by asset.  Places are dealt by range, so a set of any size is spread over tasks.
     """
     by_score = [F.desc("score"), F.col("asset_id")]
     rows = materialize(placed(scores.select("set_id", "asset_id", "score"), ["set_id"], by_score, "at"))
@@ -37,9 +37,10 @@ def ranked(scores: DataFrame) -> DataFrame:
     gap = F.least(F.col("above") - F.col("score"), F.col("score") - F.col("below"))
     out = out.withColumn("score_gap", F.coalesce(gap, F.lit(0.0))).drop("above", "below")
     out = materialize(out)
-    by_gap = placed(out.select("set_id", "asset_id", "score_gap", "n"), ["set_id"], [F.col("score_gap"), F.col("asset_id")], "g")
-    cut = lambda q: F.max(F.when(F.col("g") == F.floor((F.col("n") - 1) * q + 0.5), F.col("score_gap")))
-    cuts = materialize(by_gap.groupBy("set_id").agg(cut(0.35).alias("low"), cut(0.70).alias("high")))
+    of = lambda name, q: sizes.select("set_id", F.lit(name).alias("name"), F.floor((F.col("n") - 1) * q + 0.5).cast("long").alias("place"))
+    found = values_at(out, ["set_id"], "score_gap", of("low", 0.35).unionAll(of("high", 0.70)))
+    picked = lambda name: F.max(F.when(F.col("name") == name, F.col("at"))).alias(name)
+    cuts = materialize(found.groupBy("set_id").agg(picked("low"), picked("high")))
     out = out.join(cuts, "set_id")
     out = out.withColumn("rank_position", F.col("at") + 1).withColumn("percentile", F.col("rank_position") * 100.0 / F.col("n"))
     bucket = F.when(F.col("percentile") <= 20, "top").when(F.col("percentile") >= 80, "back").otherwise("mid")

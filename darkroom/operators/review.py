@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from darkroom.operators.ingest import numbered
+from darkroom.sources.scratch import materialize, owned
+
 
 def list_groups(
     groups: DataFrame, members: DataFrame, kind: str | None = None, status: str | None = None, instances: DataFrame | None = None
@@ -88,6 +91,68 @@ def apply_decision(
     }
 
 
+@owned
+def apply_decisions(state: dict[str, DataFrame], decisions: DataFrame, now: Column) -> dict[str, DataFrame]:
+    """State after many decisions (seq, group_id, keep_ids, recycle_ids, note), as if they were applied one by one by ``seq``.
+
+    A decision is judged by the files of its group that are live when all earlier ones have been
+    applied or rejected.  Those that touch no earlier open decision (none on the same group, none
+    that recycles a file of it or has a file that this one recycles) are judged together, in one
+    plan; the others wait for the next round.  ``outcomes`` has seq, group_id and the error that a decision was rejected for, null for accepted
+    ones; a group with fewer than two live files counts as not found.  Actions are numbered
+    on from the greatest id in order of ``seq``; seq is unique.
+    """
+    instances, groups, members = state["file_instances"], state["match_groups"], state["group_members"]
+    decisions = materialize(decisions.select(F.col("seq").cast("long").alias("seq"), "group_id", "keep_ids", "recycle_ids", "note"))
+    alive = instances.filter("exists_flag").select(F.col("id").alias("file_instance_id"))
+    of_groups = members.join(decisions.select("group_id").distinct(), "group_id", "left_semi").select("group_id", "file_instance_id")
+    live = materialize(of_groups.join(alive, "file_instance_id", "left_semi").distinct())
+    todo, outcomes, gone = decisions, None, None
+    while not todo.isEmpty():
+        by_file = todo.select("seq", F.explode("recycle_ids").alias("file_instance_id")).groupBy("file_instance_id").agg(F.min("seq").alias("first"))
+        touched = live.join(by_file, "file_instance_id").groupBy("group_id").agg(F.min("first").alias("touched"))
+        same = todo.groupBy("group_id").agg(F.min("seq").alias("same"))
+        open_files = live.join(same, "group_id").groupBy("file_instance_id").agg(F.min("same").alias("asked"))
+        needed = todo.select("seq", F.explode("recycle_ids").alias("file_instance_id")).join(open_files, "file_instance_id")
+        needed = needed.groupBy("seq").agg(F.min("asked").alias("asked"))
+        ids = live.groupBy("group_id").agg(F.collect_list("file_instance_id").alias("live_ids"))  # as many as a valid decision names
+        judged = todo.join(same, "group_id").join(touched, "group_id", "left").join(needed, "seq", "left").join(ids, "group_id", "left")
+        first = F.least("same", F.coalesce("touched", "seq"), F.coalesce("asked", "seq"))
+        ready = first >= F.col("seq")
+        found = F.when(F.size("live_ids") >= 2, F.col("live_ids"))
+        error = decision_error(F.col("keep_ids"), F.col("recycle_ids"), found)
+        done = materialize(judged.filter(ready).withColumn("error", error).select(*decisions.columns, "error"))
+        accepted = done.filter("error IS NULL").select(F.explode("recycle_ids").alias("file_instance_id"))
+        outcomes = done if outcomes is None else materialize(outcomes.unionByName(done))
+        gone = materialize(accepted if gone is None else gone.unionAll(accepted))
+        live = materialize(live.join(accepted, "file_instance_id", "left_anti"))
+        todo = materialize(todo.join(done.select("seq"), "seq", "left_anti"))
+    empty = decisions.filter("false").withColumn("error", F.lit(None).cast("string"))
+    outcomes = empty if outcomes is None else outcomes
+    accepted = outcomes.filter("error IS NULL")
+    out = state | {"outcomes": outcomes.select("seq", "group_id", "error"), "recycle_plan": instances.filter("false").select("id", "current_path")}
+    if accepted.isEmpty():
+        return out
+    dead = gone.select(F.col("file_instance_id").alias("id"), F.lit(True).alias("_gone")).distinct()
+    next_instances = instances.join(dead, "id", "left").withColumn("exists_flag", F.when(F.col("_gone"), F.lit(False)).otherwise(F.col("exists_flag")))
+    applied = accepted.select(F.col("group_id").alias("id"), F.lit(True).alias("_applied")).distinct()
+    next_groups = groups.join(applied, "id", "left").withColumns(
+        {"status": F.when(F.col("_applied"), "applied").otherwise(F.col("status")), "updated_at": F.when(F.col("_applied"), now).otherwise(F.col("updated_at"))}
+    )
+    named = accepted.join(groups.select(F.col("id").alias("group_id"), F.col("kind").alias("group_kind")), "group_id")
+    numbered_ = numbered(named, "seq", state["review_actions"], "id", "id")
+    actions = numbered_.withColumns({"action_type": F.lit("apply"), "created_at": now}).select(*state["review_actions"].columns)
+    next_instances = next_instances.select(*instances.columns)
+    kept, held = prune(next_groups.select(*groups.columns), members, next_instances, state["content_assets"])
+    return out | {
+        "file_instances": next_instances,
+        "match_groups": kept,
+        "group_members": held,
+        "review_actions": state["review_actions"].unionByName(actions),
+        "recycle_plan": instances.join(dead, "id", "left_semi").select("id", "current_path"),
+    }
+
+
 def prune(groups: DataFrame, members: DataFrame, instances: DataFrame, assets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Groups and members without dead files.
 

@@ -751,8 +751,12 @@ def test_resume_and_cancel(spark):
     stopped = ingest.cancel(spark, 2, runs)
     assert rows(stopped, "id", "status") == [(1, "running"), (2, "cancelled"), (3, "completed")]
     assert ingest.resume_candidate(stopped, queue).count() == 0
+    groups = []
+    context = spark.sparkContext
+    with ingest.grouped(spark, 77):
+        groups.append(context.getLocalProperty("spark.jobGroup.id"))
     ingest.scan(seen, empty("file_instances"), empty("content_assets"), ["r"], 77, now())
-    assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") == ingest.job_group(77)
+    assert groups == [ingest.job_group(77)] and context.getLocalProperty("spark.jobGroup.id") is None  # later jobs are not the run's
 
 
 def test_known_content_takes_the_fast_path(spark):
