@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from darkroom.functions.imaging import decode, resize
+from darkroom.functions.imaging import colours, resize
 
 # Size, mean and spread of what the encoder was trained on.
 EDGE = 224
@@ -34,8 +34,8 @@ def open_onnx(path: str) -> Model:
     return lambda batch: session.run(None, {name: batch})[0]
 
 
-def embeddings(files: DataFrame, path: str, opener: Callable[[str], Model] = open_onnx, rows: int = 16) -> DataFrame:
-    """(sha256, embedding, error) of files (sha256, content): unit vectors by the model at ``path``.
+def embeddings(pictures: DataFrame, path: str, opener: Callable[[str], Model] = open_onnx, rows: int = 16) -> DataFrame:
+    """(sha256, embedding, error) of pictures (sha256, image): unit vectors by the model at ``path``.
 
     The path is one that all executors read; a task opens the model once and encodes ``rows`` images
     at a time.  Files that do not decode get an error and a null embedding.
@@ -47,11 +47,11 @@ def embeddings(files: DataFrame, path: str, opener: Callable[[str], Model] = ope
             for low in range(0, len(batch), rows):
                 some = batch.iloc[low : low + rows]
                 inputs, errors = [], []
-                for content in some.content:
+                for image in some.image:
                     try:
-                        inputs.append(encoder_input(decode(bytes(content), colour=True)))
+                        inputs.append(encoder_input(colours(image).astype(float)))
                         errors.append(None)
-                    except (ValueError, IndexError, OSError) as error:  # one bad file does not stop the rest
+                    except ValueError as error:  # one bad file does not stop the rest
                         errors.append(str(error))
                 vectors = iter(())
                 if inputs:
@@ -62,4 +62,4 @@ def embeddings(files: DataFrame, path: str, opener: Callable[[str], Model] = ope
                 out = [None if e else next(vectors) for e in errors]
                 yield pd.DataFrame({"sha256": some.sha256.to_numpy(), "embedding": out, "error": errors})
 
-    return files.select("sha256", "content").mapInPandas(run, "sha256 string, embedding array<float>, error string")
+    return pictures.select("sha256", "image").mapInPandas(run, "sha256 string, embedding array<float>, error string")

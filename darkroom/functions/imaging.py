@@ -1,17 +1,17 @@
-"""Pixel functions in numpy: decode, resize, perceptual hashes, quality."""
+"""Pixel functions in numpy: resize, perceptual hashes, quality, thumbnails.  Spark decodes the pictures."""
 
 from __future__ import annotations
 
-import io
-import os
 import struct
 import zlib
+from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 
-from darkroom.functions.jpeg import decode_jpeg, encode_jpeg
 from darkroom.schema import PHASH_EDGE, SIMILARITY_EDGE, THUMB_EDGE
 
 #: Ten-thousandths of red, green and blue in the grey of a pixel.
@@ -28,79 +28,22 @@ def eight_bit(pixels: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(pixels + 0.5), 0, 255)
 
 
-def encode_png(grey: np.ndarray) -> bytes:
-    """8-bit grey PNG."""
-    height, width = grey.shape
-    raw = b"".join(b"\0" + row.astype(np.uint8).tobytes() for row in grey)
+def encode_png(pixels: np.ndarray) -> bytes:
+    """8-bit PNG of greys (height, width) or of red, green and blue (height, width, 3)."""
+    height, width = pixels.shape[:2]
+    rows = pixels.astype(np.uint8).reshape(height, -1)
+    raw = np.concatenate([np.zeros((height, 1), np.uint8), rows], axis=1).tobytes()
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    head = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
+    head = struct.pack(">IIBBBBB", width, height, 8, 0 if pixels.ndim == 2 else 2, 0, 0, 0)
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
-def decode_png(data: bytes, colour: bool = False) -> np.ndarray:
-    """Grey values 0 to 255 of an 8-bit PNG without interlace, or with ``colour`` its red, green and blue;
-    ValueError for other content."""
-    if not data.startswith(b"\x89PNG\r\n\x1a\n"):
-        raise ValueError("not a PNG")
-    at, packed, head = 8, b"", None
-    while at + 8 <= len(data):
-        size, kind = struct.unpack(">I4s", data[at : at + 8])
-        body = data[at + 8 : at + 8 + size]
-        if kind == b"IHDR":
-            head = struct.unpack(">IIBBBBB", body)
-        elif kind == b"IDAT":
-            packed += body
-        at += size + 12
-    channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(head[3]) if head else None
-    if channels is None or head[2] != 8 or head[6]:
-        raise ValueError("unsupported PNG")
-    width, height = head[:2]
-    rows = np.frombuffer(zlib.decompress(packed), dtype=np.uint8).reshape(height, 1 + width * channels)
-    out = np.zeros((height, width * channels), dtype=np.int64)
-    for y in range(height):
-        out[y] = _unfilter(rows[y, 0], rows[y, 1:].astype(np.int64), out[y - 1] if y else np.zeros(width * channels, np.int64), channels)
-    pixels = out.reshape(height, width, channels).astype(float)
-    if colour:
-        return pixels[:, :, :3] if channels > 2 else np.repeat(pixels[:, :, :1], 3, axis=2)
-    return pixels[:, :, 0] if channels < 3 else luma8(pixels[:, :, :3])
-
-
-def _unfilter(kind: int, row: np.ndarray, up: np.ndarray, step: int) -> np.ndarray:
-    if kind == 0:
-        return row
-    if kind == 1:
-        return row.reshape(-1, step).cumsum(axis=0).ravel() & 255
-    if kind == 2:
-        return (row + up) & 255
-    out, above = [0] * step + row.tolist(), [0] * step + up.tolist()
-    for i in range(step, len(out)):
-        left, over, corner = out[i - step], above[i], above[i - step]
-        if kind == 3:
-            guess = (left + over) // 2
-        else:
-            base = left + over - corner
-            a, b, c = abs(base - left), abs(base - over), abs(base - corner)
-            guess = left if a <= b and a <= c else over if b <= c else corner
-        out[i] = (out[i] + guess) & 255
-    return np.array(out[step:], dtype=np.int64)
-
-
-def decode(data: bytes, colour: bool = False) -> np.ndarray:
-    """Grey values 0 to 255, or with ``colour`` red, green and blue, of an 8-bit PNG or sequential JPEG, or of
-    what an installed Pillow reads; else ValueError."""
-    try:
-        if data.startswith(b"\x89PNG"):
-            return decode_png(data, colour)
-        pixels = eight_bit(decode_jpeg(data, True))
-        return pixels if colour else luma8(pixels)
-    except ValueError as error:
-        try:
-            from PIL import Image
-        except ImportError:
-            raise error from None
-    with Image.open(io.BytesIO(data)) as image:
-        pixels = np.asarray(image.convert("RGB"), dtype=float)
-        return pixels if colour else luma8(pixels)
+def colours(image: dict | None) -> np.ndarray:
+    """Red, green and blue (height, width, 3) of a decoded picture as Spark's image source gives it; ValueError if it could not be decoded."""
+    if image is None or image["height"] is None or image["height"] <= 0 or image["width"] <= 0:
+        raise ValueError("not a picture that can be decoded")
+    pixels = np.frombuffer(image["data"], dtype=np.uint8).reshape(image["height"], image["width"], image["nChannels"])
+    return pixels[:, :, 2::-1] if image["nChannels"] > 2 else np.repeat(pixels[:, :, :1], 3, axis=2)
 
 
 def shrunk(grey: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -170,60 +113,77 @@ def similarity_buffer(grey: np.ndarray) -> np.ndarray:
     return shrunk(grey, SIMILARITY_EDGE, SIMILARITY_EDGE)
 
 
-def thumbnail(grey: np.ndarray) -> np.ndarray:
+def thumbnail(colour: np.ndarray) -> np.ndarray:
     """Fitted into a square, never enlarged."""
-    height, width = grey.shape
+    height, width = colour.shape[:2]
     scale = min(1.0, THUMB_EDGE / max(height, width))
-    return shrunk(grey, max(1, round(height * scale)), max(1, round(width * scale)))
+    to = max(1, round(height * scale)), max(1, round(width * scale))
+    return np.stack([shrunk(colour[:, :, c], *to) for c in range(3)], axis=2)
 
 
 FEATURES = (
     "path string, sha256 string, width int, height int, phash bigint, dhash bigint, quality_score double, "
-    "buffer array<double>, thumbnail binary, error string"
+    "buffer binary, thumbnail binary, error string"
 )
 
 
-def features(files: DataFrame) -> DataFrame:
-    """Visual features of (path, sha256, content); files that do not decode get an error and nulls."""
+def features(pictures: DataFrame) -> DataFrame:
+    """Visual features of (path, sha256, image), see :func:`darkroom.sources.files.pictures`.
 
-    def run(batches):
+    ``buffer`` has the 8-bit greys of a square that pictures are compared by, ``thumbnail`` a PNG.
+    Files that do not decode get an error and nulls.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, sha, content in zip(batch.path, batch.sha256, batch.content):
+            for row in range(batch.num_rows):  # a picture at a time, as one may be large
+                path, sha, image = (batch.column(c)[row].as_py() for c in ("path", "sha256", "image"))
                 try:
-                    grey = decode(bytes(content))
+                    colour = colours(image)
+                    grey = luma8(colour)
                     buffer = similarity_buffer(grey)
                     height, width = grey.shape
-                    rows.append((path, sha, width, height, perceptual_hash(grey), difference_hash(grey),
-                                 quality(buffer, width, height), (buffer / 255).ravel().tolist(), encode_jpeg(thumbnail(grey)), None))
-                except (ValueError, IndexError, OSError, zlib.error, struct.error) as error:  # one bad file does not stop the rest
-                    rows.append((path, sha, None, None, None, None, None, None, None, str(error)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FEATURES.split(", ")]).astype(
-                {"width": "Int32", "height": "Int32", "phash": "Int64", "dhash": "Int64"}
-            )
+                    found = [path, sha, width, height, perceptual_hash(grey), difference_hash(grey), quality(buffer, width, height),
+                             buffer.astype(np.uint8).tobytes(), encode_png(thumbnail(colour.astype(float))), None]
+                except ValueError as error:  # one bad file does not stop the rest
+                    found = [path, sha, *[None] * 7, str(error)]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(found, TYPES)], NAMES)
+
+    return pictures.select("path", "sha256", "image").mapInArrow(run, FEATURES)
 
-    return files.select("path", "sha256", "content").mapInPandas(run, FEATURES)
+
+NAMES = [c.split()[0] for c in FEATURES.split(", ")]
+_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+TYPES = [_ARROW[c.split()[1]] for c in FEATURES.split(", ")]
 
 
 def thumbnail_files(found: DataFrame, folder: str) -> DataFrame:
-    """(sha256, thumbnail_path): the thumbnails of :func:`features` as ``{sha256}.jpg`` below ``folder``.
+    """(sha256, thumbnail_path): the thumbnails of :func:`features` as ``{sha256}.png`` below ``folder``.
 
-    The folder is one that all executors share.  A file appears whole or not at all, and one that is
-    there already is left, so that a task may run twice.
+    The folder is of any file system that Arrow knows, one that all executors reach.  A file appears whole or not
+    at all, and one that is there already is left, so that a task may run twice.
     """
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, at = system_of(folder)
         for batch in batches:
             paths = []
-            for sha, data in zip(batch.sha256, batch.thumbnail):
-                path = os.path.join(folder, f"{sha}.jpg")
-                if not os.path.exists(path):
-                    own = f"{path}.{os.getpid()}"
-                    with open(own, "wb") as file:
-                        file.write(bytes(data))
-                    os.replace(own, path)
-                paths.append(path)
-            yield pd.DataFrame({"sha256": batch.sha256, "thumbnail_path": paths})
+            for sha, data in zip(batch.column("sha256").to_pylist(), batch.column("thumbnail")):
+                path = f"{at}/{sha}.png"
+                if system.get_file_info(path).type == fs.FileType.NotFound:
+                    own = f"{at}/.{sha}.{uuid4().hex}"
+                    with system.open_output_stream(own) as file:
+                        file.write(data.as_buffer())
+                    system.move(own, path)
+                paths.append(f"{folder.rstrip('/')}/{sha}.png")
+            yield pa.RecordBatch.from_arrays([batch.column("sha256"), pa.array(paths)], ["sha256", "thumbnail_path"])
 
     wanted = found.filter("thumbnail IS NOT NULL").select("sha256", "thumbnail").dropDuplicates(["sha256"])
-    return wanted.mapInPandas(run, "sha256 string, thumbnail_path string")
+    return wanted.mapInArrow(run, "sha256 string, thumbnail_path string")
+
+
+def system_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, and the path there; without a scheme that of the machine."""
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.rstrip("/") or "/")

@@ -16,6 +16,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from darkroom.functions.imaging import system_of
 from darkroom.operators.ingest import prepare_roots
 from darkroom.schema import SLICE_BYTES
 from darkroom.sources.scratch import materialize, owned, release
@@ -26,22 +27,11 @@ BLOCK_BYTES, TASK_BYTES = 1 << 20, 1 << 30
 TASK_FILES, TASK_FOLDERS = 5_000, 64
 
 
-def plain(path: str) -> str:
-    """A local path without its scheme."""
-    if path.startswith("file:"):
-        return "/" + path[5:].lstrip("/")
-    return path
-
-
-def _system(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), plain(path))
-
-
 class RangedFile:
     """A file that is read by ranges and counts the bytes that it gave."""
 
     def __init__(self, path: str):
-        system, at = _system(path)
+        system, at = system_of(path)
         self.file, self.bytes_read = system.open_input_file(at), 0
 
     def __enter__(self) -> RangedFile:
@@ -133,7 +123,7 @@ def _entries(folder: str) -> Iterator[tuple]:
             elif info.type == fs.FileType.File:
                 yield scheme + info.path, info.size, (info.mtime_ns or 0) // 1_000_000, None, None, False
         return
-    with os.scandir(plain(folder)) as found:
+    with os.scandir(folder) as found:
         for entry in found:
             about = entry.stat(follow_symlinks=False)
             if stat.S_ISDIR(about.st_mode):
@@ -175,7 +165,7 @@ def listing(spark: SparkSession, roots: list[str]) -> DataFrame:
     the driver.  Links are not followed.  A folder that cannot be read ends the listing with an
     error: a scan that saw a part of a tree would mark the rest as missing.
     """
-    level = spark.createDataFrame([(plain(r.rstrip("/") or "/"),) for r in prepare_roots(roots)], "path string")
+    level = spark.createDataFrame([(r if "://" in r and not r.startswith("file:") else system_of(r)[1],) for r in prepare_roots(roots)], "path string")
     files, count = None, level.count()
     while count:
         found = materialize(_level(level.repartition(max(1, -(-count // TASK_FOLDERS)), "path")))

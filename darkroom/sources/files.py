@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from darkroom.functions import hashing
 from darkroom.operators.ingest import classified, prepare_roots
-from darkroom.schema import ANALYSIS_VERSION
-from darkroom.sources.content import hashed, listing
+from darkroom.schema import ANALYSIS_VERSION, DECODABLE
+from darkroom.sources.content import full_hashes, hashed, listing
 from darkroom.sources.scratch import materialize, owned
 
-__all__ = ["changed", "contents", "listing", "manifest"]
+__all__ = ["changed", "listing", "manifest", "pictures"]
 
 
 def changed(listed: DataFrame, instances: DataFrame, version: int = ANALYSIS_VERSION) -> DataFrame:
@@ -40,7 +39,18 @@ def manifest(spark: SparkSession, roots: list[str], identities: DataFrame | None
     return classified(rows)
 
 
-def contents(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """Files that pictures are decoded from, whole; for hashes see :func:`manifest`, which reads in ranges."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(prepare_roots(roots))
-    return files.select("path", hashing.sha256_hex(F.col("content")).alias("sha256"), "content")
+def pictures(spark: SparkSession, roots: list[str], hashes: DataFrame | None = None) -> DataFrame:
+    """(path, sha256, image) of the pictures below the roots, decoded on the JVM by Spark's image source.
+
+    ``hashes`` (path, sha256), as of :func:`manifest`, are read from the files where not given; a file that
+    is no picture has an image of no size.
+    """
+    clean = prepare_roots(roots)
+    read = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True)
+    names = "*.{" + ",".join(v for e in DECODABLE for v in (e, e.upper())) + "}"
+    found = read.option("pathGlobFilter", names).load(clean)
+    found = found.select(F.regexp_replace("image.origin", "^file:/*", "/").alias("path"), "image")
+    if hashes is None:
+        listed = listing(spark, clean)
+        hashes = full_hashes(listed.join(found.select("path"), "path", "left_semi"))
+    return found.join(hashes.select("path", "sha256"), "path", "left").select("path", "sha256", "image")
