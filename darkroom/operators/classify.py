@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from darkroom.functions.paths import contains_folded, megapixels_at_least
@@ -162,19 +162,56 @@ def page(rows: DataFrame, sort: str, offset: int, limit: int) -> DataFrame:
     return rows.orderBy(*order(sort)).offset(offset).limit(limit)
 
 
-def page_after(rows: DataFrame, sort: str, last: dict, limit: int) -> DataFrame:
-    """The page behind the row ``last`` (a value for each column of the order), whatever was added meanwhile.
-
-    Unlike an offset this reads no row before it, and never shows a row twice.
-    """
-    behind, equal = F.lit(False), F.lit(True)
+def behind(sort: str, last: dict, at: str = "") -> Column:
+    """Whether a row, or the struct ``at``, comes after the row ``last`` (a value for each column of the order)."""
+    found, equal = F.lit(False), F.lit(True)
     for name, up in SORTS[sort]:
-        column, value = F.col(name), last[name]
+        column, value = F.col(f"{at}.{name}" if at else name), last[name]
         if value is not None:  # nulls come last
             past = column > value if up else column < value
-            behind = behind | (equal & (past | column.isNull()))
+            found = found | (equal & (past | column.isNull()))
         equal = equal & column.eqNullSafe(F.lit(value))
-    return rows.filter(behind).orderBy(*order(sort)).limit(limit)
+    return found
+
+
+def page_after(rows: DataFrame, sort: str, last: dict, limit: int) -> DataFrame:
+    """The page behind the row ``last``, whatever was added meanwhile.
+
+    Unlike an offset this reads no row before it, and never shows a row twice.
+    """
+    return rows.filter(behind(sort, last)).orderBy(*order(sort)).limit(limit)
+
+
+def cluster(rows: DataFrame, sort: str, folder: str, rows_per_file: int = 100_000) -> None:
+    """Write a listing in its order, a range a file, and a table of the files: path, number of rows, and the last row's sort values."""
+    files = max(1, -(-rows.count() // rows_per_file))
+    ordered = rows.repartitionByRange(files, *order(sort)).sortWithinPartitions(*order(sort))
+    ordered.write.parquet(f"{folder}/rows")
+    written = rows.sparkSession.read.parquet(f"{folder}/rows")
+    last = F.max_by(F.struct(*(c for c, _ in SORTS[sort])), F.col("_metadata.row_index"))
+    about = written.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"), last.alias("last"))
+    about.write.parquet(f"{folder}/files")
+
+
+def clustered_page(spark: SparkSession, folder: str, sort: str, last: dict | None, limit: int) -> DataFrame:
+    """:func:`page_after` (or the first page) of a listing of :func:`cluster`; only the files that the page lies in are opened.
+
+    The first is that whose last row comes after ``last``, and the next ones follow until they hold enough rows:
+    two in all, where files hold at least a page.
+    """
+    about = spark.read.parquet(f"{folder}/files")
+    if last is not None:
+        about = about.filter(behind(sort, last, "last"))
+    wanted, held = [], 0
+    for row in about.orderBy("file").select("file", "n").limit(limit + 1).collect():  # every file has a row at least
+        wanted.append(row["file"])
+        held += row["n"] if last is None or len(wanted) > 1 else 1
+        if held >= limit:
+            break
+    if not wanted:
+        return spark.read.parquet(f"{folder}/rows").limit(0)
+    rows = spark.read.parquet(*wanted)
+    return rows.orderBy(*order(sort)).limit(limit) if last is None else page_after(rows, sort, last, limit)
 
 
 def total(rows: DataFrame) -> DataFrame:
