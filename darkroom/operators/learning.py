@@ -1,8 +1,9 @@
-"""Aesthetic models on embeddings: training on the driver, scoring as columns or Arrow batches."""
+"""Aesthetic models on embeddings: training by sums over tasks, scoring as columns or Arrow batches."""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -11,7 +12,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.functions.vectors import dot, sigmoid
+from darkroom.functions.vectors import clamp, dot, sigmoid
+from darkroom.operators import jobs
+from darkroom.operators.training import descend, summed
+from darkroom.sources.scratch import materialize, owned, release
 
 #: Encoders by what there is to load, and the least number of ratings to train on.
 ENCODER, STUB_ENCODER = "clip_vitb32", "stub"
@@ -51,17 +55,23 @@ class LinearHead:
     weights: np.ndarray
     bias: float = 0.5
 
+    def terms(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Sums over rows that a step needs."""
+        error = self.score(x) - y
+        return np.concatenate([error @ x, [error.sum()]])
+
+    def stepped(self, total: np.ndarray, n: int, rate: float = 0.01, decay: float = 0.001) -> LinearHead:
+        return LinearHead(self.weights - rate * (total[:-1] / n + decay * self.weights), self.bias - rate * float(total[-1] / n))
+
     @classmethod
-    def train(cls, x: np.ndarray, rating: np.ndarray, epochs: int = 500, rate: float = 0.01, decay: float = 0.001):
+    def train(cls, x: np.ndarray, rating: np.ndarray, epochs: int = 500):
         """Gradient descent on the mean over all samples; returns the head and its metrics."""
-        if not len(x):
-            raise ValueError("no training samples")
-        head, y = cls(np.zeros(x.shape[1])), target(rating)
-        for _ in range(epochs):
-            error = head.score(x) - y
-            head.weights = head.weights - rate * (error @ x / len(x) + decay * head.weights)
-            head.bias -= rate * float(error.mean())
-        return head, metrics(head.score(x), y)
+        return _trained(cls(np.zeros(x.shape[1] if len(x) else 0)), x, rating, epochs)
+
+    @classmethod
+    def fit(cls, samples: DataFrame, epochs: int = 500):
+        """:meth:`train` on ``samples`` (see :func:`samples_of`), whose sums are taken in tasks."""
+        return _fitted(lambda size: cls(np.zeros(size)), samples, epochs)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return logistic(x @ self.weights + self.bias)
@@ -106,23 +116,29 @@ class MlpHead:
         one, two = start_weights(hidden, dimension, (0.35, 0.35))  # fixed values
         return cls(one, np.zeros(hidden), two, 0.0)
 
+    def terms(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Sums over rows that a step needs; errors are clamped to -1 to 1."""
+        rows = unit(x)
+        pre = rows @ self.w1.T + self.b1
+        h = np.maximum(pre, 0)
+        error = np.clip(logistic(h @ self.w2 + self.b2) - y, -1, 1)
+        back = error[:, None] * self.w2 * (pre > 0)
+        return np.concatenate([(back.T @ rows).ravel(), back.sum(axis=0), error @ h, [error.sum()]])
+
+    def stepped(self, total: np.ndarray, n: int, rate: float = 0.03, decay: float = 0.0005) -> MlpHead:
+        one, two, three = np.split(total[:-1] / n, np.cumsum([self.w1.size, self.b1.size]))
+        w1 = self.w1 - rate * (one.reshape(self.w1.shape) + decay * self.w1)
+        return MlpHead(w1, self.b1 - rate * two, self.w2 - rate * (three + decay * self.w2), self.b2 - rate * float(total[-1] / n))
+
+    @classmethod
+    def train(cls, x: np.ndarray, rating: np.ndarray, epochs: int = 140):
+        """Gradient descent on the mean over all samples."""
+        return _trained(cls.new(x.shape[1] if len(x) else 1), x, rating, epochs)
+
     @classmethod
-    def train(cls, x: np.ndarray, rating: np.ndarray, epochs: int = 140, rate: float = 0.03, decay: float = 0.0005):
-        """Gradient descent on the mean over all samples, errors clamped to -1 to 1."""
-        if not len(x):
-            raise ValueError("no training samples")
-        head, y = cls.new(x.shape[1]), target(rating)
-        rows, n = unit(x), len(x)
-        for _ in range(epochs):
-            pre = rows @ head.w1.T + head.b1
-            h = np.maximum(pre, 0)
-            error = np.clip(logistic(h @ head.w2 + head.b2) - y, -1, 1)
-            back = error[:, None] * head.w2 * (pre > 0)
-            head.w1 = head.w1 - rate * (back.T @ rows / n + decay * head.w1)
-            head.b1 = head.b1 - rate * back.mean(axis=0)
-            head.w2 = head.w2 - rate * (error @ h / n + decay * head.w2)
-            head.b2 -= rate * float(error.mean())
-        return head, metrics(head.score(x), y)
+    def fit(cls, samples: DataFrame, epochs: int = 140):
+        """:meth:`train` on ``samples`` (see :func:`samples_of`), whose sums are taken in tasks."""
+        return _fitted(cls.new, samples, epochs)
 
     def hidden(self, x: np.ndarray) -> np.ndarray:
         return np.maximum(unit(x) @ self.w1.T + self.b1, 0)
@@ -143,6 +159,37 @@ class MlpHead:
         return cls(*(np.array(held[k]) for k in ("w1", "b1", "w2")), held["b2"])
 
 
+def _trained(head, x: np.ndarray, rating: np.ndarray, epochs: int):
+    if not len(x):
+        raise ValueError("no training samples")
+    y = target(rating)
+    for _ in range(epochs):
+        head = head.stepped(head.terms(x, y), len(x))
+    return head, metrics(head.score(x), y)
+
+
+@owned
+def _fitted(new: Callable[[int], LinearHead | MlpHead], samples: DataFrame, epochs: int):
+    size = samples.agg(F.max(F.size("x"))).first()[0]
+    if not size:
+        raise ValueError("no training samples")
+    rows = samples.filter(F.size("x") == size).select("x", "y")
+    head = descend(rows, new(size), lambda head, x, y: head.terms(x, y), lambda head, total, n: head.stepped(total, n), epochs)
+
+    def apart(head, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        error = head.score(x) - y
+        return np.array([(error**2).sum(), np.abs(error).sum(), len(y)], dtype=np.float64)
+
+    squares, absolute, n = summed(rows, head, apart)
+    return head, {"mse": float(squares / n), "mae": float(absolute / n), "sample_count": int(n)}
+
+
+def samples_of(embeddings: DataFrame, ratings: DataFrame) -> DataFrame:
+    """(x, y): vector and target of all assets with a rating above 0.  Vectors of another than the greatest length are not fitted."""
+    joined = embeddings.join(ratings.filter("rating > 0"), "asset_id")
+    return joined.select(F.col("embedding").cast("array<double>").alias("x"), ((clamp(F.col("rating").cast("double"), 1, 5) - 1) / 4).alias("y"))
+
+
 def metrics(score: np.ndarray, want: np.ndarray) -> dict[str, float]:
     return {
         "mse": float(np.mean((score - want) ** 2)),
@@ -227,15 +274,60 @@ def active_model(models: DataFrame) -> DataFrame:
     return models.filter("active").orderBy(F.desc("id")).limit(1)
 
 
-def full_pipeline(embeddings: DataFrame, ratings: DataFrame, predictions: DataFrame, least: int = LEAST_RATED, most: int = 200_000):
-    """Train on what is rated, if that is enough, and score what is not scored; (head or None, predictions)."""
-    _, x, y = training_set(embeddings, ratings, most)
-    if len(y) < least:
+def full_pipeline(embeddings: DataFrame, ratings: DataFrame, predictions: DataFrame, least: int = LEAST_RATED):
+    """Train on all that is rated, if that is enough, and score what is not scored; (head or None, predictions)."""
+    samples = materialize(samples_of(embeddings, ratings))
+    if samples.count() < least:
         return None, predictions
-    head, _ = MlpHead.train(x, y)
+    head, _ = MlpHead.fit(samples)
+    release(samples)
     return head, predict_missing(embeddings, predictions, head)
 
 
+@owned
+def run_full_pipeline(
+    state: dict[str, DataFrame], assets: DataFrame, ratings: DataFrame, encode: Column, encoder: str, version: str, now: Column,
+    save: Callable[[MlpHead], str], least: int = LEAST_RATED,
+) -> dict[str, DataFrame]:
+    """State (image_embeddings, ai_models, ai_predictions, ai_jobs) after one logged run of extraction, training and prediction.
+
+    ``assets`` (asset_id and what ``encode`` reads) without an embedding get one; a head is trained
+    on all assets of ``ratings`` (asset_id, rating), saved by ``save``, which returns its path, and made active; assets without
+    its prediction get one.  With fewer than ``least`` rated assets the model that is active stays, but scores
+    nothing new.  The job ends as completed, with the number of predictions, or as failed, with the
+    reason, and then nothing but the log has changed.
+    """
+    log = materialize(jobs.create(state["ai_jobs"], "full_pipeline", now))
+    job_id = log.agg(F.max("id")).first()[0]
+    log = jobs.update(log, job_id, "running", 0, 0, None, now)
+    try:
+        embeddings = materialize(extract(assets, state["image_embeddings"], encode, encoder, version))
+        own = embeddings.filter((F.col("encoder_name") == encoder) & (F.col("encoder_version") == version))
+        own = own.select(F.col("content_asset_id").alias("asset_id"), "embedding")
+        samples = materialize(samples_of(own, ratings))
+        rated = samples.count()
+        out = state | {"image_embeddings": embeddings}
+        if rated < least:
+            note = f"{rated} rated assets, {least} needed: not trained"
+            return out | {"ai_jobs": materialize(jobs.update(log, job_id, "completed", 0, 0, note, now))}
+        head, _ = MlpHead.fit(samples)
+        top = state["ai_models"].agg(F.coalesce(F.max("id"), F.lit(0)) + 1).first()[0]
+        new = own.sparkSession.range(1).select(
+            F.lit(top).cast("long").alias("id"), F.lit("mlp").alias("head_type"), F.lit(True).alias("active"), now.alias("created_at"), F.lit(save(head)).alias("path")
+        )
+        found = materialize(predict_mlp(own, head))  # the model is new, so nothing has its prediction
+        columns = state["ai_predictions"].columns
+        named = found.withColumnRenamed("asset_id", "content_asset_id").withColumns({"model_id": F.lit(top).cast("long"), "predicted_at": now})
+        scored = found.count()
+        return out | {
+            "ai_models": materialize(activate(state["ai_models"], new.select(*state["ai_models"].columns))),
+            "ai_predictions": state["ai_predictions"].unionByName(named.select(*columns)),
+            "ai_jobs": materialize(jobs.update(log, job_id, "completed", scored, scored, None, now)),
+        }
+    except Exception as error:  # whatever it was, the log says so
+        return state | {"ai_jobs": materialize(jobs.update(log, job_id, "failed", 0, 0, str(error)[:500], now))}
+
+
 def rated_counts(ratings: DataFrame, instances: DataFrame) -> DataFrame:
     """One row: n_rated, ratings above 0 of known files, and n_rated_images, any ratings of live images."""
     files = instances.select(F.col("id").alias("file_instance_id"), "exists_flag", "file_class")

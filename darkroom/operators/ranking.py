@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from darkroom.operators.learning import logistic, start_weights, unit
 from darkroom.operators.order import placed, values_at
 from darkroom.operators.ratings import latest_per_asset
-from darkroom.sources.scratch import materialize, owned
+from darkroom.operators.training import descend, summed
+from darkroom.sources.scratch import materialize, owned, release
 
 GAPS = (1, 2, 4, 8, 16, 32)
 CHOICES = ("left", "right", "tie", "skip")
@@ -209,32 +210,47 @@ class PairwiseNet:
     def score(self, x: np.ndarray) -> np.ndarray:
         return np.maximum(unit(x) @ self.w1.T + self.b1, 0) @ self.w2 + self.b2
 
-    def train(self, better: np.ndarray, worse: np.ndarray, weight: np.ndarray, tie: np.ndarray, epochs: int = 90,
-              rate: float = 0.02, decay: float = 0.0004) -> dict[str, float]:
+    def terms(self, better: np.ndarray, worse: np.ndarray, weight: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        """Sums over preferences and ties that a step needs."""
+        a, b, tie = unit(better), unit(worse), tie.astype(bool)
+        pre_a, pre_b = a @ self.w1.T + self.b1, b @ self.w1.T + self.b1
+        apart = np.maximum(pre_a, 0) - np.maximum(pre_b, 0)
+        gap = apart @ self.w2
+        pull = weight * np.where(tie, gap, logistic(gap) - 1)
+        back_a, back_b = (pull[:, None] * self.w2 * (pre > 0) for pre in (pre_a, pre_b))
+        return np.concatenate([(back_a.T @ a - back_b.T @ b).ravel(), (back_a - back_b).sum(axis=0), pull @ apart])
+
+    def stepped(self, total: np.ndarray, n: int, rate: float = 0.02, decay: float = 0.0004) -> PairwiseNet:
+        one, two, three = np.split(total / n, np.cumsum([self.w1.size, self.b1.size]))
+        w1 = self.w1 - rate * (one.reshape(self.w1.shape) + decay * self.w1)
+        return PairwiseNet(w1, self.b1 - rate * two, self.w2 - rate * (three + decay * self.w2), self.b2)
+
+    def losses(self, better: np.ndarray, worse: np.ndarray, weight: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        """Sums of the loss of preferences and of ties, preferences met, preferences and ties."""
+        gap, tie = self.score(better) - self.score(worse), tie.astype(bool)
+        pairwise, squared = (np.log1p(np.exp(-gap)) * weight)[~tie].sum(), (0.5 * gap**2 * weight)[tie].sum()
+        return np.array([pairwise, squared, (gap[~tie] > 0).sum(), (~tie).sum(), tie.sum()], dtype=np.float64)
+
+    def train(self, better: np.ndarray, worse: np.ndarray, weight: np.ndarray, tie: np.ndarray, epochs: int = 90) -> dict[str, float]:
         """Gradient descent on the mean over all samples of the weighted logistic loss on score differences
         of preferences and half the squared difference of ties; returns the metrics of the two."""
         if not len(better):
             raise ValueError("no ranking samples")
-        a, b, n, tie = unit(better), unit(worse), len(better), tie.astype(bool)
+        net = self
         for _ in range(epochs):
-            pre_a, pre_b = a @ self.w1.T + self.b1, b @ self.w1.T + self.b1
-            apart = np.maximum(pre_a, 0) - np.maximum(pre_b, 0)
-            gap = apart @ self.w2
-            pull = weight * np.where(tie, gap, logistic(gap) - 1)
-            back_a, back_b = (pull[:, None] * self.w2 * (pre > 0) for pre in (pre_a, pre_b))
-            self.w1 = self.w1 - rate * ((back_a.T @ a - back_b.T @ b) / n + decay * self.w1)
-            self.b1 = self.b1 - rate * (back_a - back_b).sum(axis=0) / n
-            self.w2 = self.w2 - rate * (pull @ apart / n + decay * self.w2)
-        gap = self.score(better) - self.score(worse)
-        some, ties = max(1, int((~tie).sum())), max(1, int(tie.sum()))
-        return {
-            "pairwise_loss": float((np.log1p(np.exp(-gap)) * weight)[~tie].sum() / some),
-            "tie_loss": float((0.5 * gap**2 * weight)[tie].sum() / ties),
-            "preference_pair_count": int((~tie).sum()),
-            "tie_pair_count": int(tie.sum()),
-            "preference_accuracy": float((gap[~tie] > 0).sum() / some),
-            "weak_only": bool(tie.all()),
-        }
+            net = net.stepped(net.terms(better, worse, weight, tie), len(better))
+        self.w1, self.b1, self.w2 = net.w1, net.b1, net.w2
+        return measured(self.losses(better, worse, weight, tie))
+
+    @classmethod
+    def fit(cls, samples: DataFrame, epochs: int = 90) -> tuple[PairwiseNet, dict[str, float]]:
+        """:meth:`train` on ``samples`` (x, y, weight, tie: vectors of the better and the worse), whose sums are taken in tasks."""
+        size = samples.agg(F.max(F.size("x"))).first()[0]
+        if not size:
+            raise ValueError("no ranking samples")
+        rows = samples.filter((F.size("x") == size) & (F.size("y") == size)).select("x", "y", "weight", F.col("tie").cast("double").alias("tie"))
+        net = descend(rows, cls.new(size), lambda net, *columns: net.terms(*columns), lambda net, total, n: net.stepped(total, n), epochs)
+        return net, measured(summed(rows, net, lambda net, *columns: net.losses(*columns)))
 
     def save(self, path: Path) -> None:
         path.write_text(json.dumps({k: np.asarray(v).tolist() for k, v in self.__dict__.items()}, indent=2))
@@ -245,6 +261,19 @@ class PairwiseNet:
         return cls(*(np.array(held[k]) for k in ("w1", "b1", "w2")), held["b2"])
 
 
+def measured(sums: np.ndarray) -> dict[str, float]:
+    """The metrics of :meth:`PairwiseNet.losses`."""
+    pairwise, squared, met, some, ties = sums
+    return {
+        "pairwise_loss": float(pairwise / max(1, some)),
+        "tie_loss": float(squared / max(1, ties)),
+        "preference_pair_count": int(some),
+        "tie_pair_count": int(ties),
+        "preference_accuracy": float(met / max(1, some)),
+        "weak_only": bool(some == 0),
+    }
+
+
 def rank_set(embeddings: DataFrame, items: DataFrame, net: PairwiseNet) -> DataFrame:
     """Ranks of a set's items by the net's scores."""
     shared = embeddings.sparkSession.sparkContext.broadcast(net)  # of fixed size
@@ -263,16 +292,13 @@ def replace_rankings(rankings: DataFrame, new: DataFrame, run_id: int, now: Colu
     return rankings.join(gone, ["set_id", "model_run_id"], "left_anti").unionByName(fresh.select(*rankings.columns))
 
 
-def train_and_rank(embeddings: DataFrame, votes: DataFrame, best: DataFrame, items: DataFrame, most: int = 200_000):
-    """Train on votes and star pairs, at most ``most`` of the least hash, and rank the sets; (net, metrics, ranks)."""
+def train_and_rank(embeddings: DataFrame, votes: DataFrame, best: DataFrame, items: DataFrame):
+    """Train on all votes and star pairs and rank the sets; (net, metrics, ranks)."""
     pairs = vote_samples(votes, embeddings).unionByName(star_pairs(best).withColumn("tie", F.lit(False)))
-    one = embeddings.select(F.col("asset_id").alias("better_id"), F.col("embedding").alias("x"))
-    two = embeddings.select(F.col("asset_id").alias("worse_id"), F.col("embedding").alias("y"))
-    rows = pairs.join(one, "better_id").join(two, "worse_id")
-    rows = rows.orderBy(F.xxhash64("better_id", "worse_id"), "better_id", "worse_id", "tie", "weight").limit(most).collect()
-    if not rows:
-        raise ValueError("no ranking samples")
-    x, y = (np.array([r[c] for r in rows], dtype=np.float64) for c in ("x", "y"))
-    net = PairwiseNet.new(x.shape[1])
-    found = net.train(x, y, np.array([r.weight for r in rows]), np.array([r.tie for r in rows]))
+    vector = F.col("embedding").cast("array<double>")
+    one = embeddings.select(F.col("asset_id").alias("better_id"), vector.alias("x"))
+    two = embeddings.select(F.col("asset_id").alias("worse_id"), vector.alias("y"))
+    samples = materialize(pairs.join(one, "better_id").join(two, "worse_id").select("x", "y", "weight", "tie"))
+    net, found = PairwiseNet.fit(samples)
+    release(samples)
     return net, found, rank_set(embeddings, items, net)

@@ -290,7 +290,8 @@ def test_heads_equal_plain_loops(tmp_path):
     assert np.allclose(head.weights, w) and abs(head.bias - bias) < 1e-12 and found["sample_count"] == 9
     mlp, found = learning.MlpHead.train(x, rating, epochs=7)
     ref = learning.MlpHead.new(30)
-    assert ref.w1.shape == (8, 30) and abs(ref.w1[0, 1] - np.sin(2 * 0.618034) * 0.1) < 1e-12
+    assert ref.w1.shape == (8, 30) and abs(ref.w1[0, 1] - np.sin(2 * 0.618034) * np.sqrt(2 / 30) * 0.35) < 1e-12
+    assert abs(ref.w2[3] - np.sin((8 * 30 + 4) * 0.618034) * np.sqrt(2 / 8) * 0.35) < 1e-12
     for _ in range(7):
         g1, gb1, g2, gb2 = np.zeros_like(ref.w1), np.zeros(8), np.zeros(8), 0.0
         for row, want in zip(map(_normal, x), y):
@@ -321,6 +322,8 @@ def test_pairwise_net_equals_plain_loop(tmp_path):
     a, b = rng.normal(size=(8, 40)), rng.normal(size=(8, 40))
     weight, tie = rng.uniform(0.2, 1, 8), np.arange(8) % 3 == 0
     net, ref = ranking.PairwiseNet.new(40), ranking.PairwiseNet.new(40)
+    assert abs(ref.w1[0, 1] - np.sin((97 + 2) * 0.618034) * np.sqrt(2 / 40) * 0.28) < 1e-12
+    assert abs(ref.w2[3] - np.sin((193 + 16 * 40 + 4) * 0.618034) * np.sqrt(2 / 16) * 0.25) < 1e-12
     found = net.train(a, b, weight, tie, epochs=6)
     for _ in range(6):
         g1, gb, g2 = np.zeros_like(ref.w1), np.zeros_like(ref.b1), np.zeros_like(ref.w2)
@@ -586,6 +589,49 @@ def test_train_and_rank(spark):
         ranking.train_and_rank(embeddings, votes.limit(0), best.limit(0), items)
 
 
+def test_training_in_tasks_is_training_on_all_rows(spark):
+    rng = np.random.default_rng(6)
+    x, rating = rng.normal(size=(90, 6)), rng.integers(1, 6, 90)
+    embeddings = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(500, [1.0])], "asset_id long, embedding array<double>")
+    rated = spark.createDataFrame([(i, int(r)) for i, r in enumerate(rating)] + [(500, 3), (501, 5)], "asset_id long, rating int")
+    samples = learning.samples_of(embeddings.repartition(3), rated)
+    for kind in (learning.LinearHead, learning.MlpHead):
+        (one, found), (two, want) = kind.fit(samples, epochs=9), kind.train(x, rating, epochs=9)
+        assert np.allclose(one.score(x), two.score(x), atol=1e-12) and found == pytest.approx(want)
+        with pytest.raises(ValueError):
+            kind.fit(samples.limit(0))
+    a, b, weight, tie = x[:40], x[40:80], rng.random(40), rng.random(40) < 0.3
+    pairs = [([float(v) for v in p], [float(v) for v in q], float(w), bool(t)) for p, q, w, t in zip(a, b, weight, tie)]
+    net, found = ranking.PairwiseNet.fit(spark.createDataFrame(pairs, "x array<double>, y array<double>, weight double, tie boolean").repartition(3), epochs=9)
+    plain = ranking.PairwiseNet.new(6)
+    assert found == pytest.approx(plain.train(a, b, weight, tie, epochs=9)) and np.allclose(net.score(x), plain.score(x), atol=1e-12)
+
+
+def test_logged_pipeline(spark, tmp_path):
+    empty = lambda t: spark.createDataFrame([], schema(t))
+    state = {t: empty(t) for t in ("image_embeddings", "ai_models", "ai_predictions", "ai_jobs")}
+    assets = spark.createDataFrame([(i, float(i)) for i in range(1, 8)], "asset_id long, q double")
+    rated = spark.createDataFrame([(1, 5), (2, 1), (3, 4), (9, 3)], "asset_id long, rating int")
+    encode, saved = F.array(F.col("q"), F.lit(1.0)), []
+
+    def save(head):
+        head.save(tmp_path / "head.json")
+        saved.append(head)
+        return str(tmp_path / "head.json")
+
+    few = learning.run_full_pipeline(state, assets, rated.limit(2), encode, "stub", "1", now(), save)
+    assert rows(few["ai_jobs"], "id", "status") == [(1, "completed")] and "2 rated" in few["ai_jobs"].first().message and few["ai_models"].count() == 0
+    assert few["image_embeddings"].count() == 7
+    out = learning.run_full_pipeline(few, assets, rated, encode, "stub", "1", now(), save)
+    assert rows(out["ai_jobs"], "id", "status", "done") == [(1, "completed", 0), (2, "completed", 7)] and len(saved) == 1
+    assert rows(out["ai_models"], "id", "active", "head_type") == [(1, True, "mlp")] and out["image_embeddings"].count() == 7
+    scores = {r.content_asset_id: r.ai_score for r in out["ai_predictions"].collect()}
+    head = learning.MlpHead.load(tmp_path / "head.json")
+    assert all(abs(scores[i] - head.score(np.array([[float(i), 1.0]]))[0]) < 1e-6 for i in range(1, 8))
+    failed = learning.run_full_pipeline(out, assets, rated, F.raise_error(F.lit("no encoder")).cast("array<double>"), "clip", "2", now(), save)
+    assert failed["ai_jobs"].orderBy(F.desc("id")).first().status == "failed" and failed["ai_models"].count() == 1
+
+
 def test_learning_state(spark, tmp_path):
     embeddings = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 7)], "asset_id long, embedding array<double>")
     rated = spark.createDataFrame([(1, 5), (2, 1), (3, 0), (4, 3)], "asset_id long, rating int")
