@@ -154,7 +154,7 @@ def listing(
 
 def with_first_group(shown: DataFrame, members: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of a page with their first group; only groups of files on the page are looked at."""
-    of_page = members.join(F.broadcast(shown.select("instance_id")), "instance_id", "left_semi")  # a page
+    of_page = members.join(shown.select("instance_id"), "instance_id", "left_semi")
     return shown.join(first_group(of_page, groups), "instance_id", "left")
 
 

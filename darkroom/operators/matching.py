@@ -12,7 +12,7 @@ from darkroom.functions.hashing import hamming
 from darkroom.functions.vectors import ssim
 from darkroom.operators.graph import components
 from darkroom.operators.ingest import numbered
-from darkroom.operators.order import summed
+from darkroom.operators.order import placed, summed
 from darkroom.schema import DHASH_MAX_DISTANCE, MAX_CLIQUE, PHASH_MAX_DISTANCE, SIMILARITY_THRESHOLD
 from darkroom.sources.scratch import materialize, owned, release
 
@@ -34,11 +34,15 @@ def exact_groups(records: DataFrame) -> DataFrame:
     return counted.withColumn("anchor", F.concat(F.lit("exact:"), F.col("asset_id").cast("string")))
 
 
+@owned
 def exact_members(records: DataFrame) -> DataFrame:
-    """Members of exact groups with their role; similarity is 1."""
-    order = Window.partitionBy("asset_id").orderBy(*best_first(F.col("quality"), F.col("width") * F.col("height"), F.col("current_path")))
-    size = F.count(F.lit(1)).over(Window.partitionBy("asset_id"))
-    ranked = records.withColumn("n_members", size).filter("n_members >= 2").withColumn("place", F.row_number().over(order))
+    """Members of exact groups with their place, best first, and their role; similarity is 1.
+
+    Sizes are pre-aggregated and places dealt by range, so that a content with any number of copies is spread over tasks.
+    """
+    sizes = materialize(records.groupBy("asset_id").agg(F.count(F.lit(1)).alias("n_members")).filter("n_members >= 2"))
+    order = best_first(F.col("quality"), F.col("width") * F.col("height"), F.col("current_path"))
+    ranked = placed(records.join(sizes, "asset_id"), ["asset_id"], order, "place").withColumn("place", (F.col("place") + 1).cast("int"))
     return ranked.withColumn("role", F.when(F.col("place") == 1, "recommended_keep").otherwise("duplicate")).withColumn(
         "similarity", F.lit(1.0)
     )

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from darkroom.plans import queries as plans
 from darkroom.sources import scratch
+from darkroom.sources.store import Store
+from darkroom.streaming.ingest import apply_batch
 
 SF = "/root/testdata/sf0.001"
 
@@ -109,3 +111,18 @@ def test_settings_hold_while_a_table_is_written(bare):
 def test_queries_leave_nothing(bare, name):
     plans.queries()[name](bare, SF).collect()
     assert left(bare) == []
+
+
+def test_micro_batches_leave_nothing(bare, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("store")
+    store = Store(bare, str(folder), 2)
+    ddl = "path string, size long, modified_ms long, volume_id string, file_id string, quick_fingerprint string, sha256 string"
+    for epoch in range(4):
+        batch = bare.createDataFrame([(f"r/f{epoch}.jpg", 1, epoch, "v", f"i{epoch}", "q", f"s{epoch}"), ("r/same.jpg", 1, epoch, "v", "i", "q", f"t{epoch}")], ddl)
+        apply_batch(store, batch, epoch, F.lit("2024-05-01").cast("timestamp"))
+        apply_batch(store, batch, epoch, F.lit("2024-05-01").cast("timestamp"))  # seen before
+    assert store.read("file_instances").count() == 5 and store.read("scan_runs").count() == 4
+    layers = os.listdir(folder / "file_instances")
+    rows = sorted(bare.read.parquet(str(folder / "file_instances" / layer)).count() for layer in layers)
+    assert rows == [2, 2, 2, 2]  # a batch writes its own files
+    assert left(bare) == []
