@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from darkroom.operators.chunks import run_changes
-from darkroom.operators.ingest import scan
+from darkroom.operators.ingest import classified, scan
 from darkroom.sources.scratch import owned
 from darkroom.sources.store import Store
 
@@ -25,6 +25,7 @@ def apply_batch(store: Store, batch: DataFrame, epoch: int, now: Column) -> None
     if not store.read("scan_runs", seen).filter(F.col("id") == epoch).isEmpty():
         return
     order = F.struct("modified_ms", "sha256")
+    batch = classified(batch)
     last = batch.groupBy("path_key").agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
     out = scan(last, store.read("file_instances", seen), store.read("content_assets", seen), [], epoch, now)
     store.commit(changes=run_changes(out, epoch, [], now, "completed", out["counts"]), seen=seen)
