@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from darkroom.functions import hashing, paths
-from darkroom.functions.vectors import l2_normalized, stub_embedding
+from darkroom.functions.vectors import l2_normalized, rounded, stub_embedding
 from darkroom.operators import classify, grouping, ingest, learning, matching, ranking, ratings, review
 from darkroom.operators.classify import Filter, listing
 from darkroom.operators.learning import LinearHead, MlpHead, initial, predict_linear, predict_mlp
@@ -217,7 +217,7 @@ def similarity_summary(spark, sf_dir):
     FROM embeddings"""
 )
 def l2_normalized_vectors(spark, sf_dir):
-    unit = F.transform(l2_normalized(F.col("embedding")), lambda x: F.round(x, 5))
+    unit = F.transform(l2_normalized(F.col("embedding")), lambda x: rounded(x, 5))
     return read(spark, sf_dir, "embeddings").select("vec_id", unit.alias("unit"))
 
 
