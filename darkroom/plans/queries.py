@@ -170,6 +170,14 @@ def hamming_candidates(spark, sf_dir):
     return matching.hamming_join(library.signatures(spark, sf_dir))
 
 
+def _twin_pairs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Similar pairs of twin classes, and all assets with their class."""
+    found = library.signatures(spark, sf_dir)
+    nodes = materialize(found.join(matching.twin_classes(found), "asset_id"))
+    firsts = nodes.filter("asset_id = twin")
+    return matching.confirmed_pairs(matching.hamming_join(firsts), firsts), nodes
+
+
 @query("WITH " + _CONFIRMED + "SELECT a, b, round(s, 6) AS similarity FROM pairs")
 def ssim_confirmed_pairs(spark, sf_dir):
     found = library.signatures(spark, sf_dir)
@@ -196,10 +204,7 @@ SELECT anchor_id, asset_id, round((SELECT max(s) FROM ways WHERE ways.a = asset_
 
 @query(_CLIQUES)
 def greedy_cliques(spark, sf_dir):
-    found = library.signatures(spark, sf_dir)
-    nodes = found.join(matching.twin_classes(found), "asset_id")
-    firsts = nodes.filter("asset_id = twin")
-    pairs = matching.confirmed_pairs(matching.hamming_join(firsts), firsts)
+    pairs, nodes = _twin_pairs(spark, sf_dir)
     return matching.greedy_cliques(pairs, nodes).withColumn("similarity", F.round("similarity", 6))
 
 
