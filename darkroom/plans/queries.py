@@ -212,9 +212,8 @@ def greedy_cliques(spark, sf_dir):
     "WITH " + _CONFIRMED + """SELECT round(min(s), 6) AS least, round(max(s), 6) AS most, count(*)::BIGINT AS n FROM pairs"""
 )
 def similarity_summary(spark, sf_dir):
-    found = library.signatures(spark, sf_dir)
-    pairs = matching.confirmed_pairs(matching.hamming_join(found), found)
-    return pairs.agg(F.round(F.min("similarity"), 6).alias("least"), F.round(F.max("similarity"), 6).alias("most"), F.count(F.lit(1)).alias("n"))
+    counted = matching.counted(*_twin_pairs(spark, sf_dir))
+    return counted.agg(F.round(F.min("similarity"), 6).alias("least"), F.round(F.max("similarity"), 6).alias("most"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 @query(
