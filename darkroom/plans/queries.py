@@ -180,9 +180,8 @@ def _twin_pairs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 @query("WITH " + _CONFIRMED + "SELECT a, b, round(s, 6) AS similarity FROM pairs")
 def ssim_confirmed_pairs(spark, sf_dir):
-    found = library.signatures(spark, sf_dir)
-    pairs = matching.confirmed_pairs(matching.hamming_join(found), found)
-    return pairs.select("a", "b", F.round("similarity", 6).alias("similarity"))
+    pairs, nodes = _twin_pairs(spark, sf_dir)
+    return matching.expanded(pairs, nodes).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 _CLIQUES = "WITH RECURSIVE " + _CONFIRMED + """, ways AS (SELECT a, b, s FROM pairs UNION ALL SELECT b, a, s FROM pairs),
