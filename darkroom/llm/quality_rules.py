@@ -28,9 +28,14 @@ CHARACTER_CLASSES = (
 )
 
 
+def _bound(value: str, name: str, body: str) -> str:
+    """SQL for ``body`` with ``value`` under ``name``: evaluated once, also where body has it inside another lambda."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def _flagged(sorted_: str, same: str, position: str) -> str:
     """Positions in a sorted array whose neighbour before or behind has the same gram."""
-    return f"""array_sort(filter(transform({sorted_}, (s, k) ->
+    return f"""sort_array(filter(transform({sorted_}, (s, k) ->
         CASE WHEN {same.format(a="s", b=f"get({sorted_}, k - 1)")}
                OR {same.format(a="s", b=f"get({sorted_}, k + 1)")} THEN {position} END), p -> p IS NOT NULL))"""
 
@@ -44,7 +49,7 @@ def base_counts(docs: DataFrame, *keep: str) -> DataFrame:
     are counted each; an empty table gives no rows.
     """
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.coalesce("text", F.lit("")).alias("text"))
-    df = df.withColumn("words", F.expr("filter(split(text, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w != '')"))
+    df = df.withColumn("words", F.expr("array_remove(split(text, '[\\\\x20\\\\x09-\\\\x0D]+'), '')"))
     df = df.withColumn("n_words", F.size("words").cast("long"))
     df = df.withColumn(
         "grams",
@@ -80,7 +85,7 @@ def base_counts(docs: DataFrame, *keep: str) -> DataFrame:
     )
     lines = "filter(split(text, '\\n', -1), l -> l RLIKE '[^\\\\x20\\\\x09-\\\\x0D]')"
     df = df.withColumn("lines", F.expr(lines))
-    symbols = F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))
+    symbols = F.length("text") - F.length(F.regexp_replace("text", "[#*$%&|<>]+", ""))
     return df.select(
         "doc_id",
         *keep,
@@ -99,41 +104,53 @@ def base_counts(docs: DataFrame, *keep: str) -> DataFrame:
 
 def histograms(df: DataFrame) -> DataFrame:
     """Replace text and words by word_chars, classes and commons (arrays of counts, zeros for empty texts)."""
-    rest = "text"
+    df = df.withColumn("_joined", F.array_join("words", ""))  # the text without its blanks, which part words only
+    taken, rest = {"blank": F.length("text") - F.length("_joined")}, "_joined"
     for name, pattern in CHARACTER_CLASSES:
-        df = df.withColumn(f"_{name}", F.regexp_replace(rest, pattern, ""))
-        rest = f"_{name}"
-    lengths = ["text", *(f"_{n}" for n, _ in CHARACTER_CLASSES)]
-    taken = [F.length(a) - F.length(b) for a, b in zip(lengths, lengths[1:])]
+        if name not in taken:
+            df = df.withColumn(f"_{name}", F.regexp_replace(rest, pattern, ""))
+            taken[name] = F.length(rest) - F.length(f"_{name}")
+            rest = f"_{name}"
     quoted = ", ".join(f"'{w}'" for w in COMMON_WORDS)
-    df = df.withColumn("_common", F.expr(f"filter(transform(words, w -> lower(w)), w -> w IN ({quoted}))"))
+    longest = max(map(len, COMMON_WORDS))
+    common = f"filter(words, w -> length(w) <= {longest} AND lower(w) IN ({quoted}))"  # lower-casing shortens no word
+    df = df.withColumn("_common", F.expr(f"transform({common}, w -> lower(w))"))
     other = F.col("n_words") - F.size("_common")
-    commons = F.expr(f"transform(array({quoted}), c -> cast(size(filter(_common, w -> w = c)) AS bigint))")
-    dropped = ["text", "words", "_common", *(f"_{n}" for n, _ in CHARACTER_CLASSES)]
+    count = "CASE WHEN array_contains(kinds, c) THEN cast(size(_common) - size(array_remove(_common, c)) AS bigint) ELSE 0L END"
+    commons = F.expr(_bound("array_distinct(_common)", "kinds", f"transform(array({quoted}), c -> {count})"))
+    dropped = ["text", "words", "_common", "_joined", *(f"_{n}" for n, _ in CHARACTER_CLASSES)]
     return (
-        df.withColumn("word_chars", (F.length("text") - taken[1]).cast("long"))
-        .withColumn("classes", F.array(*(c.cast("long") for c in taken), F.length(rest).cast("long")))
+        df.withColumn("word_chars", F.length("_joined").cast("long"))
+        .withColumn("classes", F.array(*(taken[n].cast("long") for n, _ in CHARACTER_CLASSES), F.length(rest).cast("long")))
         .withColumn("commons", F.concat(commons, F.array(other.cast("long"))))
         .drop(*dropped)
     )
 
 
-def js_distance(p: str, q: str) -> str:
-    """SQL for the Jensen-Shannon distance (base 2, 0 to 1) of two arrays of counts."""
-    total = "aggregate({0}, cast(0 AS double), (a, x) -> a + x)"
-    terms = f"""zip_with(
-        transform({p}, x -> x / {total.format(p)}), transform({q}, x -> x / {total.format(q)}),
-        (x, y) -> CASE WHEN x > 0 THEN x * log2(2 * x / (x + y)) ELSE 0D END
-                + CASE WHEN y > 0 THEN y * log2(2 * y / (x + y)) ELSE 0D END)"""
+def shares(counts: str) -> str:
+    """SQL for an array of counts divided by their sum, which is taken once."""
+    return _bound(f"aggregate({counts}, 0D, (a, x) -> a + x)", "total", f"transform({counts}, x -> x / total)")
+
+
+def divergence(p: str, q: str) -> str:
+    """SQL for the Jensen-Shannon distance (base 2, 0 to 1) of two arrays of shares; a share that meets none counts whole."""
+    terms = f"""zip_with({p}, {q}, (x, y) -> CASE WHEN x > 0 AND y > 0
+        THEN x * log2(2 * x / (x + y)) + y * log2(2 * y / (x + y)) ELSE x + y END)"""
     return f"sqrt(greatest(0D, 0.5D * aggregate({terms}, 0D, (a, x) -> a + x)))"
 
 
+def js_distance(p: str, q: str) -> str:
+    """SQL for the :func:`divergence` of two arrays of counts."""
+    return _bound(shares(p), "of_p", _bound(shares(q), "of_q", divergence("of_p", "of_q")))
+
+
 N_CLASSES, N_COMMONS = len(CHARACTER_CLASSES) + 1, len(COMMON_WORDS) + 1
 
 
 def references(features: DataFrame, shrinkage: float) -> DataFrame:
     """(lang, n, ref_classes, ref_commons): a reference for every language, and one of the whole corpus, whose lang is null.
 
+    References are given as shares, so that no distance sums them again.
     A language's is the sum of the histograms of its documents that pass the base rules and of
     ``shrinkage`` average documents of the corpus that do, so that a few documents under a label of
     their own make no standard by themselves, and their label counts for more the more there are.
@@ -149,9 +166,10 @@ def references(features: DataFrame, shrinkage: float) -> DataFrame:
         F.lit(None).cast("string").alias("lang"), F.lit(0).cast("long").alias("n"), *(F.col(f"all_{c}").cast("double").alias(c) for c in names[1:])
     )
     found = joined.unionByName(everything)
+    bins = lambda name, n: f"array({', '.join(f'{name}{i}' for i in range(n))})"
     out = cut_lineage(
         found.select(
-            "lang", "n", F.array(*(f"k{i}" for i in range(N_CLASSES))).alias("ref_classes"), F.array(*(f"w{i}" for i in range(N_COMMONS))).alias("ref_commons")
+            "lang", "n", F.expr(shares(bins("k", N_CLASSES))).alias("ref_classes"), F.expr(shares(bins("w", N_COMMONS))).alias("ref_commons")
         )
     )
     release(by_language)
@@ -159,9 +177,9 @@ def references(features: DataFrame, shrinkage: float) -> DataFrame:
 
 
 def nearest(column: str, references: list[list[float]]) -> Column:
-    """The smallest distance to any reference."""
+    """The smallest distance of an array of counts to any reference (shares)."""
     literal = ", ".join(f"array({', '.join(f'{n!r}D' for n in r)})" for r in references)
-    return F.expr(f"array_min(transform(array({literal}), r -> {js_distance(column, 'r')}))")
+    return F.expr(_bound(shares(column), "own", f"array_min(transform(array({literal}), r -> {divergence('own', 'r')}))"))
 
 
 @owned
@@ -198,7 +216,7 @@ def quality_rules(
     if len(ranked) > common:
         rare = found.filter(F.col("lang").isNotNull() & ~F.col("lang").isin([r["lang"] for r in ranked[1:]]))
         features = features.join(rare.select("lang", "ref_classes", "ref_commons"), "lang", "left")
-        own = lambda column: F.when(judged & F.col(f"ref_{column}").isNotNull(), F.expr(js_distance(column, f"ref_{column}")))
+        own = lambda column: F.when(judged & F.col(f"ref_{column}").isNotNull(), F.expr(_bound(shares(column), "own", divergence("own", f"ref_{column}"))))
         near, near_words = F.least(near, own("classes")), F.least(near_words, own("commons"))
     return features.select(
         "doc_id",

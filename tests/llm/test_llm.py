@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import re
+import time
 import zlib
 from itertools import combinations
 
@@ -675,6 +676,32 @@ def test_js_distance(spark):
     assert [round(r[0], 6) for r in frame.select(F.expr(quality_rules.js_distance("p", "q"))).collect()] == [1.0, 0.0]
 
 
+def test_js_distance_sums_each_array_once(spark):
+    """Work grows with the bins, not with their square."""
+    p, q = [i % 7 + 1 for i in range(30_000)], [i % 11 for i in range(30_000)]
+    frame = spark.createDataFrame([(p, q)], "p array<long>, q array<long>")
+    distance = F.expr(quality_rules.js_distance("p", "q"))
+    frame.select(F.slice("p", 1, 9).alias("p"), F.slice("q", 1, 9).alias("q")).select(distance).collect()
+    began = time.monotonic()
+    got = frame.select(distance).first()[0]
+    assert time.monotonic() - began < 5
+    x, y = np.array(p) / sum(p), np.array(q) / sum(q)
+    part = lambda a: (a[a > 0] * np.log2(2 * a[a > 0] / (x + y)[a > 0])).sum()
+    assert abs(got - np.sqrt((part(x) + part(y)) / 2)) < 1e-9
+
+
+def test_histograms_of_odd_words(spark):
+    texts = ODD_TEXTS + [" The THE the, the\x0bDANS\x0c\u212a \u0130s IS ist\u00a0is ", "\t\r\n", "#*$%&|<>\U0001d7d9\U00020000\u00e9A1."]
+    got = quality_rules.histograms(quality_rules.base_counts(documents(spark, texts, lang=F.lit("en")), "lang")).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        text = texts[r.doc_id] or ""
+        words = WORD.findall(text)
+        common = [sum(w.lower() == c for w in words) for c in quality_rules.COMMON_WORDS]
+        assert list(r.commons) == [*common, len(words) - sum(common)]
+        assert sum(r.classes) == len(text) and r.classes[1] == len(text) - r.word_chars == len(text) - sum(map(len, words))
+
+
 # the pipeline
 
 
